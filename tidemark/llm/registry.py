@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, quality_rules, tokens
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op7_records": tokens.op7_records,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 SQL = {
