@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, quality_rules, tokens
+from tidemark.llm import byte_cnn, decontaminate, quality_rules, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op7_records": tokens.op7_records,
+    "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 SQL = {
