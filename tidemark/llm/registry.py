@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_cnn, decontaminate, quality_rules, tokens
+from tidemark.llm import byte_cnn, decontaminate, jaccard_join, quality_rules, tokens
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_records": tokens.op7_records,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 SQL = {
+    "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
