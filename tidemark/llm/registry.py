@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_cnn, decontaminate, jaccard_join, quality_rules, tokens, toxicity
+from tidemark.llm import byte_cnn, decontaminate, jaccard_join, quality_rules, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_records": tokens.op7_records,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_secrets": secrets.op10_secrets,
 }
 SQL = {
     "op6_jaccard_join": jaccard_join.OP6_SQL,
