@@ -1,8 +1,80 @@
-"""Corpus pipeline; stages follow."""
+"""Corpus pipeline: quality, near duplicates, benchmark contamination, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet into the shared folder and
+reads again as the next stage's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import byte_cnn, decontaminate, jaccard_join, packing, secrets
+from tidemark.llm.common import materialise, read, text_udf, with_struct
+from tidemark.llm.tokens import byte_bpe
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to which the byte-level network gives a probability of 0.3 or more."""
+    model = byte_cnn.quality_model(docs, read(spark, sf_dir, "labels"))
+    return docs.withColumn("_quality", byte_cnn.scorer(model)("text")).where("_quality >= 0.3").drop("_quality")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of similar documents, and all that link with none."""
+    groups = jaccard_join.near_duplicates(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth of the words."""
+    slim = decontaminate.find_contamination(docs.select(F.struct(*docs.columns).alias("_row"), "text"), read(spark, sf_dir, "benchmark"))
+    return slim.where("not contaminated").select("_row.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret in the text replaced by [secret] and n_chars counted anew."""
+    model = secrets.secret_model(docs)
+
+    def redact(texts: list[str | None]) -> list[list]:
+        return [[None if t is None else without(t, secrets.scan(t, model)) for t in texts]]
+
+    clean = text_udf({"text": "string"}, lambda: redact)("text")
+    columns = docs.columns
+    done = with_struct(docs, "_clean", clean, ["text"])
+    if "n_chars" in columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*columns)
+
+
+def without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for start, end, _ in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in bins of the permitted sequence lengths."""
+    return packing.pack_documents(packing.token_lengths(docs, byte_bpe()))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scan", redact_secrets),
+    ("best-fit packing", pack),
+]
+#: The classifier, the field and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_cnn, decontaminate, jaccard_join, pii, quality_rules, secrets, tokens, toxicity
+from tidemark.llm import byte_cnn, decontaminate, jaccard_join, packing, pii, quality_rules, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_packing": packing.op5_packing,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_records": tokens.op7_records,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
