@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_cnn, decontaminate, jaccard_join, packing, pii, quality_rules, secrets, tokens, toxicity
+from tidemark.llm import byte_cnn, decontaminate, jaccard_join, licenses, packing, pii, quality_rules, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_licenses": licenses.op2_licenses,
     "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 SQL = {
+    "op2_licenses": licenses.OP2_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
