@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidemark.plans import inventory_queries, inventory_sql, text_queries
+
+QUERIES: dict = {**inventory_queries.QUERIES, **text_queries.QUERIES}
+SQL: dict = {**inventory_sql.SQL, **text_queries.SQL}
