@@ -47,22 +47,25 @@ def as_of(rows: DataFrame, keys: list[str], order: str, value, strict: bool = Fa
     return rows.withColumn("as_of", F.last(value, ignorenulls=True).over(w))
 
 
-def associate_gates(signals: DataFrame, operations: DataFrame, line: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def associate_gates(signals: DataFrame, operations: DataFrame, line: str, order: list[str], scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Gate signals with the operations that own them, and the signals that name no operation.
 
     An operation is named by a line with a word that begins with one of its identity tokens. Owners are the named
     operations whose name hints at the gate, or else all named ones; each operation and gate keeps its first signal.
-    Lines are cut into word beginnings of the tokens' lengths, which turns the prefix match into an equi-join.
+    Lines are cut into word beginnings of the tokens' lengths, which turns the prefix match into an equi-join. ``scope``
+    (a repository, say) is shared by signals and operations; ``order`` names a signal within it.
     """
-    tokens = operations.select("op_id", F.explode(identity_tokens(F.col("name"))).alias("token")).withColumn("n", F.length("token"))
+    at = [*scope, *order]
+    tokens = operations.select(*scope, "op_id", F.explode(identity_tokens(F.col("name"))).alias("token")).withColumn("n", F.length("token"))
     lengths = F.broadcast(tokens.select("n").distinct())  # word lengths: a few dozen rows at most
-    words = signals.select(*order, "gate", F.explode(F.array_distinct(F.split(F.lower(line), r"\W+"))).alias("word")).where("word <> ''")
-    heads = words.join(lengths, F.length("word") >= F.col("n")).select(*order, "gate", F.substring("word", F.lit(1), F.col("n")).alias("token")).distinct()
-    named = heads.join(tokens.select("op_id", "token"), "token").select(*order, "gate", "op_id").distinct()
+    words = signals.select(*at, "gate", F.explode(F.array_distinct(F.split(F.lower(line), r"\W+"))).alias("word")).where("word <> ''")
+    heads = words.join(lengths, F.length("word") >= F.col("n")).select(*at, "gate", F.substring("word", F.lit(1), F.col("n")).alias("token")).distinct()
+    named = heads.join(tokens.select(*scope, "op_id", "token"), [*scope, "token"]).select(*at, "gate", "op_id").distinct()
     hints = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(h).alias("hint")) for g, hs in GATE_NAME_HINTS.items() for h in hs])
-    fit = tokens.select("op_id", "token", F.explode(hints).alias("x")).where(F.col("token").startswith(F.col("x.hint")) | F.col("x.hint").startswith(F.col("token"))).select("op_id", "x.gate", F.lit(1).alias("fits")).distinct()
-    scored = named.join(fit, ["op_id", "gate"], "left").withColumn("fits", F.coalesce("fits", F.lit(0)))
-    best = scored.groupBy(*order, "gate").agg(F.max("fits").alias("best"))
-    owned = scored.join(best, [*order, "gate"]).where("fits = best")
-    first = owned.groupBy("op_id", "gate").agg(F.min(F.struct(*order)).alias("x")).select("op_id", "gate", *[F.col(f"x.{c}") for c in order])
-    return first, signals.join(named.select(*order, "gate").distinct(), [*order, "gate"], "left_anti")
+    prefixed = F.col("token").startswith(F.col("x.hint")) | F.col("x.hint").startswith(F.col("token"))
+    fit = tokens.select(*scope, "op_id", "token", F.explode(hints).alias("x")).where(prefixed).select(*scope, "op_id", "x.gate", F.lit(1).alias("fits")).distinct()
+    scored = named.join(fit, [*scope, "op_id", "gate"], "left").withColumn("fits", F.coalesce("fits", F.lit(0)))
+    best = scored.groupBy(*at, "gate").agg(F.max("fits").alias("best"))
+    owned = scored.join(best, [*at, "gate"]).where("fits = best")
+    first = owned.groupBy(*scope, "op_id", "gate").agg(F.min(F.struct(*order)).alias("x")).select(*scope, "op_id", "gate", *[F.col(f"x.{c}") for c in order])
+    return first, signals.join(named.select(*at, "gate").distinct(), [*at, "gate"], "left_anti")
