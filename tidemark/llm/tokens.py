@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary record files, with an offset index for shuffled reads.
 
 Record: u64 length of the payload, u32 masked crc32 of those 8 bytes, payload, u32 masked crc32 of the payload.
-Payload: i64 document id, u8 1 if the id is null, u32 number of ids, the ids as u32. All little-endian. A mask
-(rotation and constant) keeps a checksum of data that holds checksums from being trivial. Beside each shard lies
+Payload: i64 document id, u8 1 if the id is null, u8 bytes an id (2 where the vocabulary has at most 65,536 ids, else
+4), u32 number of ids, the ids. All little-endian. A mask (rotation and constant) keeps a checksum of data that holds checksums from being trivial. Beside each shard lies
 its index: for every record a u64 offset and a u64 length, so a reader can draw records in any order.
 
 Texts are range-partitioned by document id, so shards follow each other in ascending id order, whatever the number
@@ -39,11 +39,15 @@ class Known(dict):
     """Ids of space-separated chunks, each with ``lead`` before it; chunks not seen yet are encoded on the way."""
 
     def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.shown = encoder, lead, lead.translate(encoder.alphabet)
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isalpha():
-            ids = self.encoder.piece(self.lead + chunk)
+            if chunk.isascii():
+                code = self.encoder.code
+                ids = b"".join([code[t.id] for t in self.encoder.model.tokenize(self.shown + chunk)])
+            else:
+                ids = self.encoder.piece(self.lead + chunk)
         elif (m := WORD_AND_MARKS.fullmatch(chunk)) and m[1].isalpha():
             ids = self[m[1]] + self.encoder.piece(m[2])
         else:
@@ -61,11 +65,14 @@ class Encoder:
     that hold one of the special tokens' strings, goes through the library's whole encode. ``entries`` bounds the cache.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.entries = self.tokenizer.model, entries
+        top = max(self.tokenizer.get_vocab().values(), default=0)
+        self.width = 2 if top < 1 << 16 else 4
+        self.code = [i.to_bytes(self.width, "little") for i in range(top + 1)]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.whole("\n")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -78,15 +85,15 @@ class Encoder:
         self.first[""] = b""
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def piece(self, text: str) -> bytes:
         """Ids of what the tokenizer's splitting leaves in one piece."""
         shown = text.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return b"".join([self.code[t.id] for t in self.model.tokenize(shown)])
 
     def one(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian u32."""
+        """The ids of a text, little-endian, ``width`` bytes each."""
         if not text:
             return b""
         if ADJACENT.search(text) or any(s in text for s in self.special):
@@ -109,14 +116,14 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def framed(doc_id: int | None, ids: bytes) -> bytes:
-    payload = struct.pack("<qBI", doc_id or 0, doc_id is None, len(ids) // 4) + ids
+def framed(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    payload = struct.pack("<qBBI", doc_id or 0, doc_id is None, width, len(ids) // width) + ids
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
-def records(data: memoryview) -> Iterator[tuple[int | None, memoryview]]:
-    """(document id, ids) of each record of a shard; raises on a length or checksum that doesn't hold."""
+def records(data: memoryview) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(document id, ids as u32) of each record of a shard; raises on a length or checksum that doesn't hold."""
     at = 0
     while at < len(data):
         head = data[at : at + 8]
@@ -126,10 +133,10 @@ def records(data: memoryview) -> Iterator[tuple[int | None, memoryview]]:
         payload = data[at + 12 : at + 12 + size]
         if len(payload) != size or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(payload):
             raise ValueError(f"damaged record at byte {at}")
-        doc_id, null, n = struct.unpack_from("<qBI", payload)
-        if size != 13 + 4 * n:
+        doc_id, null, width, n = struct.unpack_from("<qBBI", payload)
+        if size != 14 + width * n:
             raise ValueError(f"record at byte {at} has {size} bytes for {n} ids")
-        yield None if null else doc_id, payload[13:]
+        yield None if null else doc_id, np.frombuffer(payload, f"<u{width}", n, 14).astype("<u4")
         at += 16 + size
 
 
@@ -144,10 +151,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     A shard ends once it holds ``shard_bytes``. The manifest is written before it is returned: the files are there.
     """
-    end = struct.pack("<I", end_id)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, made, out, index = Encoder(tokenizer_path), TaskContext.get().partitionId(), [], None, b""
+        end = end_id.to_bytes(encode.width, "little")
         store, root = filesystem(folder)
         run = uuid.uuid4().hex[:12]
 
@@ -169,12 +175,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                         path = f"{root}/part-{part:06d}-{len(made):04d}-{run}.records"
                         made.append({"part": part, "seq": len(made), "path": path, "n_docs": 0, "n_ids": 0})
                         out, at, index = store.open_output_stream(path), 0, bytearray()
-                    record = framed(doc_id, x + end)
+                    record = framed(doc_id, x + end, encode.width)
                     out.write(record)
                     index += struct.pack("<QQ", at, len(record))
                     at += len(record)
                     made[-1]["n_docs"] += 1
-                    made[-1]["n_ids"] += len(x) // 4 + 1
+                    made[-1]["n_ids"] += len(x) // encode.width + 1
                     if at >= shard_bytes:
                         close()
         close()
@@ -185,8 +191,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     return materialise(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read record shards back: doc_id, start (ids before the document), n_tokens, ids (u32 bytes), ids_crc32.
+def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """Read record shards back: doc_id, start (ids before the document), n_tokens, ids_crc32 and, if asked for, ids.
 
     The running start of the shards is a window over the manifest, which has one row for each shard of tens of MB.
     """
@@ -199,8 +205,8 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                     data = memoryview(f.read())
                 rows: list[tuple] = []
                 for doc_id, ids in records(data):
-                    rows.append((doc_id, base, len(ids) // 4, bytes(ids), zlib.crc32(ids)))
-                    base += len(ids) // 4
+                    rows.append((doc_id, base, len(ids), zlib.crc32(ids), ids if with_ids else None))
+                    base += len(ids)
                     if len(rows) == 512:
                         yield table(rows)
                         rows = []
@@ -208,11 +214,11 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "base").repartition("path")
-    return shards.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return shards.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def token_counts(tokenizer_path: str):
@@ -220,7 +226,7 @@ def token_counts(tokenizer_path: str):
 
     def make():
         encode = Encoder(tokenizer_path)
-        return lambda texts: [[len(x) // 4 for x in encode(texts)]]
+        return lambda texts: [[len(x) // encode.width for x in encode(texts)]]
 
     return lambda text: text_udf({"n": "long"}, make)(text)["n"]
 
@@ -234,4 +240,4 @@ def byte_bpe() -> str:
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "records")
     manifest = write_records(read(spark, sf_dir, "documents"), byte_bpe(), folder)
-    return read_records(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_records(manifest, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
