@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class:
         return {"share": shares[1] / total}
     m = train(np.concatenate(cut), y)
     rest = sample.where("part = 0").select("label", pooled_udf(m)("text").alias("p")).select("label", "p.*").collect()
-    x, y = np.array([[r[c] for c in POOLED] for r in rest]).reshape(-1, len(POOLED)), np.array([r["label"] for r in rest])
+    x, y = np.array([[r[c] for c in POOLED] for r in rest]).reshape(-1, len(POOLED)), np.array([r["label"] for r in rest], int)
     weight = np.array([shares[v] / max(1, (y == v).sum()) for v in (0, 1)])[y.astype(int)] * len(y) / total if len(y) else y
     return {"share": shares[1] / total, "net": m, "combine": logistic(x, y, weight)}
 

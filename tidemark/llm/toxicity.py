@@ -10,7 +10,7 @@ The insult lexicon is an acceptor of word beginnings: a fixed seed and the stems
 hashes of the id). The weights of the grammar's outputs are fitted on the same documents.
 
 Defined results: null and empty texts match nothing and get the score of such texts; repeated rows get equal scores;
-without labels of both values the score is the share of label 1 (0 without any label).
+without labelled documents of both values the score is the share of label 1 (0 without any label).
 """
 
 from __future__ import annotations
@@ -176,6 +176,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 4000) ->
     sample = labelled_sample(docs, labels, "toxic", keep, per_class)
     stems = learn_stems(sample)
     rows = sample.select("label", feature_udf(stems)("text").alias("f")).select("label", "f.*").collect()
+    if len({r["label"] for r in rows}) < 2:
+        return {"stems": {}, "weights": None, "share": shares[1] / sum(shares.values())}
     x, y = np.array([[r[c] for c in FEATURES] for r in rows]), np.array([r["label"] for r in rows])
     weight = np.array([shares[v] / max(1, (y == v).sum()) for v in (0, 1)])[y.astype(int)] * len(y) / sum(shares.values())
     return {"stems": stems, "weights": logistic(x, y, weight, ridge=0.1), "share": shares[1] / sum(shares.values())}
