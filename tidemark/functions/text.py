@@ -33,13 +33,30 @@ SECRET_KINDS = {
 PLACEHOLDER = r"(?i)\$\{[^}]*\}|os\.environ|your-[a-z0-9-]*-here|<[a-z_-]+>"
 # Language that points to a gate, and to an optional step.
 GATE_LANGUAGE = {
-    "publish": r"\bpublish(?:es|ing)?\b|\bupload(?:s|ing)?\b|\bgo(?:es)? live\b|\brelease(?:s|d)? to\b|\bpost(?:s|ing)? publicly\b|\bmake public\b|\bship(?:s|ping)? to production\b",
-    "spend": r"\bcosts?\b|\bbill(?:ing|ed)?\b|\bpaid (?:tier|plan|api)\b|\bcharges?\b|\bcredits?\b|\bbudget\b|\bpricing\b|\bper[- ](?:call|request|token|image|minute)\b|\$",
-    "irreversible": r"\bcannot be undone\b|\birreversible\b|\bpermanent(?:ly)?\b|\bdestructive\b|\bdelete permanently\b|\bwipe[sd]?\b|\bhard delete\b|\bmigrat(?:e|ion)\b",
-    "legal": r"\brights?\b|\blicen[cs]e\b|\bcopyright\b|\bprovenance\b|\bdisclos(?:e|ure)\b|\bconsent\b|\battribution\b|\bsynthetic media\b|\bfair use\b|\bterms of service\b",
-    "privacy": r"\bprivacy\b|\bpersonal data\b|\bPII\b|\bGDPR\b|\bvisibility\b|\bprivate by default\b|\bdefault_privacy\b|\bsensitive\b",
+    "publish": r"\b(?:publish(?:es|ing)?|upload(?:s|ing)?|go(?:es)? live|release(?:s|d)? to|post(?:s|ing)? publicly|make public|ship(?:s|ping)? to production)\b",
+    "spend": r"\b(?:costs?|bill(?:ing|ed)?|paid (?:tier|plan|api)|charges?|credits?|budget|pricing|per[- ](?:call|request|token|image|minute))\b|\$",
+    "irreversible": r"\b(?:cannot be undone|irreversible|permanent(?:ly)?|destructive|delete permanently|wipe[sd]?|hard delete|migrat(?:e|ion))\b",
+    "legal": r"\b(?:rights?|licen[cs]e|copyright|provenance|disclos(?:e|ure)|consent|attribution|synthetic media|fair use|terms of service)\b",
+    "privacy": r"\b(?:privacy|personal data|PII|GDPR|visibility|private by default|default_privacy|sensitive)\b",
 }
-OPTIONAL_LANGUAGE = r"\boptional(?:ly)?\b|\bif (?:you )?(?:want|wish)\b|\bcan be skipped\b|\bnice to have\b|\bnot required\b"
+OPTIONAL_LANGUAGE = r"\b(?:optional(?:ly)?|if (?:you )?(?:want|wish)|can be skipped|nice to have|not required)\b"
+#: What a lower-cased text must hold, one of each list, for a pattern to match at all. A plain substring test runs at the
+#: speed of memory, a regular expression of many words doesn't; so most texts never meet the expression.
+GATE_WORDS = {
+    "publish": ("publish", "upload", "live", "release", "public", "production"),
+    "spend": ("cost", "bill", "paid ", "charge", "credit", "budget", "pricing", "per-", "per ", "$"),
+    "irreversible": ("undone", "irreversible", "permanent", "destructive", "wipe", "hard delete", "migrat"),
+    "legal": ("right", "licen", "provenance", "disclos", "consent", "attribution", "synthetic media", "fair use", "terms of"),
+    "privacy": ("privacy", "personal data", "pii", "gdpr", "visibility", "private by", "sensitive"),
+}
+OPTIONAL_WORDS = ("optional", "if ", "skipped", "nice to", "not required")
+GH, ASSIGNED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("bearer", "token", "secret", "passw", "apikey", "api_key", "api-key")
+SECRET_WORDS = [("sk-", "pk-", "rk-"), ("sk_live_",), ("akia",), GH, ("xox",), ("aiza",), ("eyj",), ASSIGNED]
+KIND_WORDS = {
+    "openai": ("sk-",), "stripe": ("k_live_",), "aws": ("akia",), "github": GH, "slack": ("xox",), "google": ("aiza",), "jwt": ("eyj",), "pem": ("-----begin",),
+    "assignment": ASSIGNED,
+}
+CLAIM_WORDS = {"study": ("stud", "research", "scientist", "expert"), "attribution": ("according",), "superlative": ("est", "most", "worst", "leading", "world"), "absolute": ("al", "never", "every", "no")}
 # Markers of sentences that assert something checkable.
 CLAIM_MARKERS = {
     "statistic": r"(?i)\b\d+(?:\.\d+)?\s?(?:%|percent|per cent)\b",
@@ -72,37 +89,50 @@ PHASE_VERBS = {
 }
 
 
+def holds(low: Column, words: tuple[str, ...]) -> Column:
+    """A lower-cased text holds one of the words."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
 def slugify(text: Column) -> Column:
     """Lower-case kebab case: runs of characters that are no letters or digits become one dash, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
 
 
-def redact(text: Column) -> Column:
-    """Replace credential shapes, one pattern after the other."""
-    return reduce(lambda t, p: F.regexp_replace(t, p, "[redacted]"), SECRET_PATTERNS, text)
+def redact(text: Column, low: Column | None = None) -> Column:
+    """Replace credential shapes, one pattern after the other.
+
+    Here and below ``low`` is the lower-cased text as a column of its own, so that it is made once for all tests.
+    """
+    low = F.lower(text) if low is None else low
+    some = holds(low, tuple(w for words in SECRET_WORDS for w in words))
+    return F.when(some, reduce(lambda t, p: F.regexp_replace(t, p, "[redacted]"), SECRET_PATTERNS, text)).otherwise(text)
 
 
-def contains_secret(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in SECRET_PATTERNS])
+def contains_secret(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    return reduce(lambda a, b: a | b, [holds(low, w) & text.rlike(p) for p, w in zip(SECRET_PATTERNS, SECRET_WORDS, strict=True)])
 
 
-def secret_kinds(line: Column) -> Column:
+def secret_kinds(line: Column, low: Column | None = None) -> Column:
     """Kinds of credentials on a line, sorted; lines that show a placeholder have none. Never the value itself."""
-    kinds = F.array_compact(F.array(*[F.when(line.rlike(p), F.lit(k)) for k, p in SECRET_KINDS.items()]))
-    return F.when(line.rlike(PLACEHOLDER), F.array().cast("array<string>")).otherwise(F.array_sort(kinds))
+    low = F.lower(line) if low is None else low
+    kinds = F.array_compact(F.array(*[F.when(holds(low, KIND_WORDS[k]) & line.rlike(p), F.lit(k)) for k, p in SECRET_KINDS.items()]))
+    return F.when((F.size(kinds) > 0) & line.rlike(PLACEHOLDER), F.array().cast("array<string>")).otherwise(F.array_sort(kinds))
 
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def gates_of(line: Column) -> Column:
+def gates_of(line: Column, low: Column | None = None) -> Column:
     """Gates whose language a line uses, one signal for each."""
-    return F.array_compact(F.array(*[F.when(line.rlike("(?i)" + p), F.lit(g)) for g, p in GATE_LANGUAGE.items()]))
+    low = F.lower(line) if low is None else low
+    return F.array_compact(F.array(*[F.when(holds(low, GATE_WORDS[g]) & line.rlike("(?i)" + p), F.lit(g)) for g, p in GATE_LANGUAGE.items()]))
 
 
-def is_optional(line: Column) -> Column:
-    return line.rlike("(?i)" + OPTIONAL_LANGUAGE)
+def is_optional(line: Column, low: Column | None = None) -> Column:
+    return holds(F.lower(line) if low is None else low, OPTIONAL_WORDS) & line.rlike("(?i)" + OPTIONAL_LANGUAGE)
 
 
 def sentences(text: Column) -> Column:
@@ -110,9 +140,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
-def claim_reasons(sentence: Column) -> Column:
+def claim_reasons(sentence: Column, low: Column | None = None) -> Column:
     """Names of the markers a sentence carries, sorted."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(sentence.rlike(p), F.lit(k)) for k, p in CLAIM_MARKERS.items()])))
+    low = F.lower(sentence) if low is None else low
+    digits = sentence.rlike("[0-9]")
+    test = lambda k, p: (holds(low, CLAIM_WORDS[k]) if k in CLAIM_WORDS else digits) & sentence.rlike(p)
+    return F.array_sort(F.array_compact(F.array(*[F.when(test(k, p), F.lit(k)) for k, p in CLAIM_MARKERS.items()])))
 
 
 def humanize(name: Column) -> Column:

@@ -47,8 +47,8 @@ def match_providers(deps: DataFrame, ignored: DataFrame | None = None) -> tuple[
 
 def gate_signals(files: DataFrame) -> DataFrame:
     """Gate language in documents, one signal for each line and gate."""
-    lines = line_rows(files.where(F.col("rel").rlike(DOCUMENTS)))
-    return lines.select("repo", "rel", "line", "text_line", F.explode(T.gates_of(F.col("text_line"))).alias("gate"))
+    lines = line_rows(files.where(F.col("rel").rlike(DOCUMENTS))).withColumn("low", F.lower("text_line"))
+    return lines.select("repo", "rel", "line", "text_line", F.explode(T.gates_of(F.col("text_line"), F.col("low"))).alias("gate"))
 
 
 def build_inventory(files: DataFrame, deps: DataFrame | None = None) -> DataFrame:

@@ -17,23 +17,24 @@ def fn_slugify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_redact(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted_sha256"), T.contains_secret(F.col("text")).alias("has_secret"))
+    docs = read(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    return docs.select("doc_id", F.sha2(T.redact(F.col("text"), F.col("low")), 256).alias("redacted_sha256"), T.contains_secret(F.col("text"), F.col("low")).alias("has_secret"))
 
 
 def line_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).withColumn("line_no", (F.col("i") + 1).cast("long"))
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).select("doc_id", "line", (F.col("i") + 1).cast("long").alias("line_no"), F.lower("line").alias("low"))
 
 
 def fn_scan_secret(spark: SparkSession, sf: str) -> DataFrame:
-    return line_rows(spark, sf).select("doc_id", "line_no", F.explode(T.secret_kinds(F.col("line"))).alias("kind"))
+    return line_rows(spark, sf).select("doc_id", "line_no", F.explode(T.secret_kinds(F.col("line"), F.col("low"))).alias("kind"))
 
 
 def fn_gate_language(spark: SparkSession, sf: str) -> DataFrame:
-    return line_rows(spark, sf).select("doc_id", "line_no", F.explode(T.gates_of(F.col("line"))).alias("gate"))
+    return line_rows(spark, sf).select("doc_id", "line_no", F.explode(T.gates_of(F.col("line"), F.col("low"))).alias("gate"))
 
 
 def fn_optional_language(spark: SparkSession, sf: str) -> DataFrame:
-    return line_rows(spark, sf).groupBy("doc_id").agg(F.count_if(T.is_optional(F.col("line"))).alias("n_optional"))
+    return line_rows(spark, sf).groupBy("doc_id").agg(F.count_if(T.is_optional(F.col("line"), F.col("low"))).alias("n_optional"))
 
 
 def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +47,8 @@ def fn_sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_flag_claims(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sentence_rows(spark, sf).select("doc_id", "sentence_no", joined(T.claim_reasons(F.col("sentence"))).alias("reasons"))
+    rows = sentence_rows(spark, sf).withColumn("low", F.lower("sentence"))
+    rows = rows.select("doc_id", "sentence_no", joined(T.claim_reasons(F.col("sentence"), F.col("low"))).alias("reasons"))
     return rows.where("reasons <> ''")
 
 
@@ -91,7 +93,7 @@ def jn_gate_assoc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_gate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return line_rows(spark, sf).select("doc_id", "line_no", "line", F.explode(T.gates_of(F.col("line"))).alias("gate"))
+    return line_rows(spark, sf).select("doc_id", "line_no", "line", F.explode(T.gates_of(F.col("line"), F.col("low"))).alias("gate"))
 
 
 def rx(p: str) -> str:
