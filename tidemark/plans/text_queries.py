@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.sources.tables import read
+from tidemark.sources.tables import read, read_texts
 
 joined = lambda a: F.concat_ws(",", a)
 
@@ -17,12 +17,12 @@ def fn_slugify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_redact(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    docs = read_texts(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
     return docs.select("doc_id", F.sha2(T.redact(F.col("text"), F.col("low")), 256).alias("redacted_sha256"), T.contains_secret(F.col("text"), F.col("low")).alias("has_secret"))
 
 
 def line_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).select("doc_id", "line", (F.col("i") + 1).cast("long").alias("line_no"), F.lower("line").alias("low"))
+    return read_texts(spark, sf, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).select("doc_id", "line", (F.col("i") + 1).cast("long").alias("line_no"), F.lower("line").alias("low"))
 
 
 def fn_scan_secret(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,12 +38,12 @@ def fn_optional_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")).withColumn("sentence_no", (F.col("i") + 1).cast("long"))
+    return read_texts(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")).withColumn("sentence_no", (F.col("i") + 1).cast("long"))
 
 
 def fn_sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     s = T.sentences(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.concat_ws("|", s)).alias("sentences_md5"))
+    return read_texts(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.concat_ws("|", s)).alias("sentences_md5"))
 
 
 def fn_flag_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,13 +73,13 @@ def fn_phase_infer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_identity_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "conversations").select("conv_id", "turn", T.identity_tokens(F.col("text")).alias("t"))
+    rows = read_texts(spark, sf, "conversations").select("conv_id", "turn", T.identity_tokens(F.col("text")).alias("t"))
     return rows.select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.md5(joined(F.col("t"))).alias("tokens_md5"))
 
 
 def fn_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     found = F.locate("e", F.col("text")) - 1
-    return read(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.line_of(F.col("text"), F.greatest(found, F.lit(0))).cast("long").alias("line_of_e"))
+    return read_texts(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.line_of(F.col("text"), F.greatest(found, F.lit(0))).cast("long").alias("line_of_e"))
 
 
 def jn_gate_assoc(spark: SparkSession, sf: str) -> DataFrame:

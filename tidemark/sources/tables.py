@@ -12,6 +12,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table whose texts cost more to look at than to move: with fewer files than cores, its rows go to all cores."""
+    df, cores = read(spark, folder, table), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the folder that driver and executors share (spark.checkpoint.dir) and read it back.
 
