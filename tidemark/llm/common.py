@@ -75,7 +75,9 @@ def with_struct(df: DataFrame, name: str, struct: Column, fields: list[str]) ->
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    """A table of a data folder. Where it has fewer files than there are cores, its rows are dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def crc_mod(column: str, n: int) -> Column:
