@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, fusion, revisions, routing
+from tidemark.operators import attribution, checks, fusion, revisions, routing
 from tidemark.sources.tables import read
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -287,7 +287,33 @@ def lim_locations(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("user_id", "event_type", F.concat(F.concat_ws(", ", F.col("first").cast("array<string>")), more).alias("locations"))
 
 
+def op_validate_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules broken by operations damaged on purpose, by the user's number."""
+    r = F.col("user_id") % 8
+    rows = ops(spark, sf).withColumn("id", F.when(r == 1, F.col("id")).otherwise(F.translate("id", "/", "-"))).withColumn("stage", F.when(r == 2, "later").when(r == 3, None).otherwise(F.col("stage")))
+    rows = rows.withColumn("requires", F.when(r == 4, strings([])).otherwise(F.col("requires"))).withColumn("gate", F.when(r == 5, strings(["other"])).otherwise(F.col("gate")))
+    return checks.validate_operations(rows.unionByName(rows.where("user_id % 8 = 6")), ["day"])
+
+
+def op_validate_package(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat_ws("-", F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).otherwise(F.col("lang")), F.col("doc_id"))
+    return checks.validate_package(read(spark, sf, "documents").select(name.alias("name"), "text"), "name", "text")
+
+
+def snk_report_json(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.report_json(routing.binding_counts(resolved(spark, sf), ("profile", "day")).drop("coverage"), ["profile", "day"])
+
+
+def snk_report_text(spark: SparkSession, sf: str) -> DataFrame:
+    return resolved(spark, sf).select("profile", "id", checks.report_line().alias("line"))
+
+
+def snk_review_md(spark: SparkSession, sf: str) -> DataFrame:
+    return ops(spark, sf).select("id", checks.review_line().alias("line"))
+
+
 QUERIES = {f.__name__: f for f in (
+    op_validate_inventory, op_validate_package, snk_report_json, snk_report_text, snk_review_md,
     op_route, op_gates, op_resolve, op_summarise, agg_binding_hist, op_invariants, op_questions, set_unknown_ids, prd_deterministic, jn_standin_default, jn_provider_caps, jn_diff, jn_merge_reviewed,
     jn_apply_proposals, snk_digest, agg_merge_ops, topk_class_cap, sort_attention, agg_dominant_effect, agg_first_opid, agg_evidence_dedupe, fn_confidence_fuse, jn_interval_innermost, jn_leftover,
     jn_enclosing_service, jn_class_context, jn_play_name, jn_catalog_lookup, src_caps, agg_tracing, op_classify, fn_tool_names, prd_expiry, lim_locations,

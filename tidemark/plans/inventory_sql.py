@@ -38,7 +38,18 @@ FIELDS = {"stage": "{}.stage", "effect": "{}.effect", "requires": "array_to_stri
 CHANGES = " UNION ALL ".join(f"SELECT o.id, 'changed' AS change, '{f}' AS field, {x.format('o')} AS old, {x.format('n')} AS new FROM old o JOIN new n USING (id) WHERE {x.format('o')} IS DISTINCT FROM {x.format('n')}" for f, x in FIELDS.items())
 MONTH = "m AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m') AS month FROM events)"
 
+DAMAGED = f"""{ops()}, dmg AS (SELECT day, user_id % 8 AS r, CASE WHEN user_id % 8 = 1 THEN id ELSE translate(id, '/', '-') END AS id, CASE user_id % 8 WHEN 2 THEN 'later' WHEN 3 THEN NULL ELSE stage END AS stage, effect, confidence,
+ CASE WHEN user_id % 8 = 4 THEN [] ELSE requires END AS requires, CASE WHEN user_id % 8 = 5 THEN ['other'] ELSE gate END AS gate FROM ops), dbl AS (SELECT * FROM dmg UNION ALL SELECT * FROM dmg WHERE r = 6)"""
+ORDERED = ("executable", "n_ask_user", "n_drop", "n_mcp", "n_native", "n_script", "operations", "optional", "required")
+
 SQL = {
+    "op_validate_inventory": f"""WITH {DAMAGED} SELECT day, id, 'id-form' AS rule FROM dbl WHERE NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$')
+UNION ALL SELECT day, id, 'stage' FROM dbl WHERE stage IS NULL OR stage NOT IN {STAGES} UNION ALL SELECT day, id, 'requires-empty' FROM dbl WHERE len(requires) = 0
+UNION ALL SELECT day, id, 'gate' FROM dbl WHERE list_contains(gate, 'other') UNION ALL SELECT day, id, 'duplicate-id' FROM dbl GROUP BY day, id HAVING count(*) > 1""",
+    "op_validate_package": "WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END || '-' || doc_id AS name, text FROM documents) SELECT name, 'lines' AS rule FROM f WHERE length(text) - length(replace(text, chr(10), '')) + 1 > 500 UNION ALL SELECT name, 'tokens' FROM f WHERE length(text) // 4 > 5000 UNION ALL SELECT name, 'name' FROM f WHERE NOT regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*$')",
+    "snk_report_json": f"WITH {RES}, c AS (SELECT profile, day, {COUNTS} FROM res GROUP BY profile, day) SELECT profile, day, CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in ORDERED)})) AS VARCHAR) AS report FROM c",
+    "snk_report_text": f"WITH {RES} SELECT profile, id, rpad(id, 24, ' ') || rpad(binding, 10, ' ') || printf('%5.2f', CAST(coverage AS DOUBLE)) || '  ' || {text('gates')} AS line FROM res",
+    "snk_review_md": f"WITH {ops()} SELECT id, '- (' || confidence || ') `' || id || '` needs ' || array_to_string(requires, ', ') || CASE WHEN len(gate) > 0 THEN ' [gates: ' || array_to_string(gate, ', ') || ']' ELSE '' END AS line FROM ops",
     "op_route": f"WITH {RES} SELECT profile, id, binding FROM res",
     "op_gates": f"WITH {RES} SELECT profile, id, {text('gates')} AS gates, {text('deferred_gates')} AS deferred_gates FROM res",
     "op_resolve": f"WITH {RES} SELECT profile, id, binding, stand_in, CAST(coverage AS DOUBLE) AS coverage, {text('missing')} AS missing FROM res",
