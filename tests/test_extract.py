@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dialects
-from tidemark.operators import attribution, fusion, inventory
+from tidemark.operators import attribution, fallback, fusion, inventory
 from tidemark.sources import repos
+from tidemark.sources.entrypoints import entrypoints
 
 TREE = {
     "Makefile": "build: deps\n\tgcc\nVAR := 1\n.PHONY: build\n",
@@ -105,3 +106,26 @@ def test_running_total_in_two_levels(spark):
     for i in range(1000):
         total += i % 7
         assert got[i] == total
+
+
+def test_draft_ladder_and_unknown_dependencies(spark):
+    files = spark.createDataFrame([
+        ("declares", "cli.py", '@app.command()\ndef fetch():\n    requests.get("u")\n'), ("traced", "job.py", 'requests.post("u")\nopen("f")\n'),
+        ("plain", "readme.md", "nothing here"), ("traced", "other.py", "x = 1"),
+    ], "repo string, rel string, text string").withColumn("size", F.length("text").cast("long"))
+    deps = spark.createDataFrame([("declares", "pypi", "stripe"), ("traced", "pypi", "redis"), ("plain", "pypi", "stripe"), ("plain", "pypi", "zz"), ("plain", "npm", "zz")], "repo string, ecosystem string, name string")
+    rows = {(r["repo"], r["id"], r["way"]) for r in fallback.draft_inventory(files, deps).collect()}
+    assert rows == {
+        ("declares", "fetch", "declared"), ("traced", "http-request-job", "sites"), ("traced", "file-read-job", "sites"),
+        ("plain", "use-stripe", "providers"), ("plain", "unresolved-external-calls", "unresolved"),
+    }
+
+
+def test_entry_points_of_a_tree(spark):
+    files = spark.createDataFrame([
+        ("r", "pyproject.toml", '[project.scripts]\nx = "pkg.cli:main"\n[other]\ny = "a:b"\n'), ("r", "package.json", '{"bin": {"b": "./b.js"}, "scripts": {"start": "x", "lint": "y"}}'),
+        ("r", "Makefile", "build: x\n.PHONY: build\n"), ("r", "a/b/app.py", ""), ("r", "a/b/c/app.py", ""), ("r", "main.py", None),
+    ], "repo string, rel string, text string")
+    assert {(r["kind"], r["loc"]) for r in entrypoints(files).collect()} == {
+        ("console-script", "pkg.py"), ("cli", "./b.js"), ("script", "package.json#scripts.start"), ("make-target", "Makefile#build"), ("server", "a/b/app.py"), ("script", "main.py"),
+    }

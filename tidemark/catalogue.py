@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from tidemark.plans import extract_queries, inventory_queries, inventory_sql, selection_queries, text_queries
+from tidemark.plans import dialect_queries, extract_queries, inventory_queries, inventory_sql, selection_queries, text_queries
 
-QUERIES: dict = {**inventory_queries.QUERIES, **text_queries.QUERIES, **extract_queries.QUERIES, **selection_queries.QUERIES}
-SQL: dict = {**inventory_sql.SQL, **text_queries.SQL, **extract_queries.SQL, **selection_queries.SQL}
+QUERIES: dict = {**inventory_queries.QUERIES, **text_queries.QUERIES, **extract_queries.QUERIES, **dialect_queries.QUERIES, **selection_queries.QUERIES}
+SQL: dict = {**inventory_sql.SQL, **text_queries.SQL, **extract_queries.SQL, **dialect_queries.SQL, **selection_queries.SQL}
