@@ -1,5 +1,6 @@
 """Every operator on nulls, empty texts, repeats, clashing columns and empty tables: defined results, no failure."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,17 @@ def test_decontaminate(docs, spark):
 def test_secrets(docs):
     model = secrets.train(secrets.synthetic(60), rounds=2)
     assert secrets.find_secrets(docs, model).where("size(secret_kinds) > 0").count() == 0
+
+
+def test_samples_count_an_id_once_and_models_ignore_partitioning(spark, data):
+    from tidemark.llm import byte_cnn, common, toxicity
+
+    docs, labels = common.read(spark, data, "documents"), common.read(spark, data, "labels")
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~"), "text")))
+    sample = common.labelled_sample(twice, labels, "toxic", F.lit(True), 20)
+    assert sample.count() == sample.select("doc_id").distinct().count() <= 40
+    assert sample.where("text like '~%'").count() == 0
+    a, b = (toxicity.toxicity_model(docs.repartition(n), labels) for n in (2, 7))
+    assert a["stems"] == b["stems"] and np.array_equal(a["weights"], b["weights"])
+    a, b = (byte_cnn.fit(docs.repartition(n), labels, "quality", F.lit(True), per_class=60) for n in (2, 7))
+    assert np.array_equal(a["combine"], b["combine"])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, labelled_sample, read, text_udf
+from tidemark.llm.common import crc_mod, in_order, labelled_sample, read, text_udf
 
 CHUNK, STEP, STRIDE, BLOCKS, DIM, FILTERS, HIDDEN = 512, 448, 4, 4, 8, 32, 16
 POOLED = ["mean", "top", "low"]
@@ -142,13 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class:
         got = [chunks_of(t) for t in texts]
         return [[c[np.linspace(0, len(c) - 1, min(len(c), chunks_per_doc)).astype(int)].tobytes() for c in got]]
 
-    taken = sample.where("part > 0").select("label", text_udf({"c": "binary"}, lambda: some, raw=True)("text")["c"].alias("c")).collect()
+    taken = in_order(sample.where("part > 0").select("doc_id", "label", text_udf({"c": "binary"}, lambda: some, raw=True)("text")["c"].alias("c")).collect())
     cut = [np.frombuffer(r["c"], np.uint8).reshape(-1, CHUNK) for r in taken]
     y = np.repeat([r["label"] for r in taken], [len(c) for c in cut])
     if len(set(y.tolist())) < 2:
         return {"share": shares[1] / total}
     m = train(np.concatenate(cut), y)
-    rest = sample.where("part = 0").select("label", pooled_udf(m)("text").alias("p")).select("label", "p.*").collect()
+    rest = in_order(sample.where("part = 0").select("doc_id", "label", pooled_udf(m)("text").alias("p")).select("doc_id", "label", "p.*").collect())
     x, y = np.array([[r[c] for c in POOLED] for r in rest]).reshape(-1, len(POOLED)), np.array([r["label"] for r in rest], int)
     weight = np.array([shares[v] / max(1, (y == v).sum()) for v in (0, 1)])[y.astype(int)] * len(y) / total if len(y) else y
     return {"share": shares[1] / total, "net": m, "combine": logistic(x, y, weight)}

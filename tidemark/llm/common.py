@@ -89,9 +89,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """At most ``per_class`` documents of each label value (0, 1), the ones with the smallest hash of their id.
 
     Only ids travel to pick the sample (two bounded top-k sorts); the texts are then fetched by a broadcast
-    semi-join whose size is bounded by 2 * per_class ids.
+    semi-join whose size is bounded by 2 * per_class ids. Rows that repeat an id count once, with their smallest text,
+    so what a driver gathers from the sample is bounded too. It is written down, as a fit reads it several times and
+    would scan all texts each time.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = F.xxhash64("doc_id")
     picked = [one.where(F.col("label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return materialise(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")), "sample")
+
+
+def document_sample(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, text of the ids of the ``most`` rows with the smallest hash; an id counts once, with its smallest text."""
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def in_order(rows: list) -> list:
+    """Rows of a sample by id: a model doesn't depend on how its sample was partitioned."""
+    return sorted(rows, key=lambda r: r["doc_id"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_cnn import logistic
-from tidemark.llm.common import crc_mod, labelled_sample, read, text_udf
+from tidemark.llm.common import crc_mod, in_order, labelled_sample, read, text_udf
 
 # Seed words of the grammar in the corpus's four languages.
 INSULTS = "idiot moron stupid pathetic worthless loser scum trash disgusting imbecile idiota estúpido imbécil basura idiote stupide débile ordure dumm trottel abschaum".split()
@@ -175,7 +175,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 4000) ->
         return {"stems": {}, "weights": None, "share": float(shares.get(1, 0) > 0)}
     sample = labelled_sample(docs, labels, "toxic", keep, per_class)
     stems = learn_stems(sample)
-    rows = sample.select("label", feature_udf(stems)("text").alias("f")).select("label", "f.*").collect()
+    rows = in_order(sample.select("doc_id", "label", feature_udf(stems)("text").alias("f")).select("doc_id", "label", "f.*").collect())
     if len({r["label"] for r in rows}) < 2:
         return {"stems": {}, "weights": None, "share": shares[1] / sum(shares.values())}
     x, y = np.array([[r[c] for c in FEATURES] for r in rows]), np.array([r["label"] for r in rows])
