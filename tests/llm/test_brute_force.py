@@ -77,6 +77,18 @@ def test_jaccard_join_with_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(components_by_hand(texts)))
 
 
+def test_jaccard_join_with_salted_shingles(spark, monkeypatch):
+    """Copies whose shingles are all salted, each with one near copy: the two meet whatever their salts are."""
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    r = random.Random(12)
+    texts = []
+    for _ in range(16):
+        base = words(r, 60)
+        texts += [" ".join(base)] * 5 + [noisy(r, base, 1)]
+    got = jaccard_join.near_duplicates(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(components_by_hand(texts)))
+
+
 def test_prefixes_share_enough(spark):
     r = np.random.default_rng(3)
     rank = r.integers(0, 255, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)

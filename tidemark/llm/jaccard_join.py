@@ -134,7 +134,7 @@ def prefix(s: np.ndarray, rank: np.ndarray, usual: float, percent: int) -> tuple
 
 
 def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
-    """token, node, n, level (the least l that the token belongs to), l, salt (spreads tokens that HOT documents hold)."""
+    """token, node, n, level (the least l that the token belongs to), l, salt (spreads tokens that HOT documents hold, from 1; 0: whole)."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
     usual = float(2.0 ** (np.median(rank) / 8.0))
     names = ["token", "node", "n", "level", "l", "salt"]
@@ -151,7 +151,7 @@ def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
                         continue
                     token, level, l, seen = prefix(s, table, usual, percent)
                     k, node = len(token), node_of(s)
-                    salt = np.where(seen > HOT, node % np.maximum(1, (seen / (HOT / 2)).astype(np.int64)), 0)
+                    salt = np.where(seen > HOT, 1 + node % np.maximum(1, (seen / (HOT / 2)).astype(np.int64)), 0)
                     for c, v in zip(cols, (token.view(np.int64), np.full(k, node), np.full(k, len(s)), level, np.full(k, l), salt), strict=True):
                         c.append(v)
                 if cols[0]:
@@ -166,7 +166,10 @@ def fits(percent: int) -> Column:
 
 
 def meet(posts: DataFrame) -> DataFrame:
-    """Postings whose bucket holds another node, with the nodes before them in the bucket: all in a small bucket, else one."""
+    """Postings whose bucket holds another node, with the nodes before them in the bucket: all in a small bucket, else one.
+
+    A salted bucket is but a part of its token's nodes: all its rows stay, as of a large bucket, whatever its size.
+    """
     bucket = Window.partitionBy("token", "salt")
     line = bucket.orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
     before = F.collect_list(F.struct("node", "n", "level", "l")).over(line.rowsBetween(-(SMALL - 1), -1))
