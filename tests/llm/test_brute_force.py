@@ -89,6 +89,21 @@ def test_jaccard_join_with_salted_shingles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(components_by_hand(texts)))
 
 
+def test_copies_meet_once(spark, monkeypatch):
+    """Copies over several tasks give one posting a node and shingle, salted or not."""
+    r = random.Random(13)
+    texts = [t for _ in range(3) for t in [" ".join(words(r, 30))] * 40] + [" ".join(words(r, 30))]
+    docs = table(spark, texts).repartition(4)
+    rank = jaccard_join.sketch(jaccard_join.digests(docs, 5))
+    for hot in (3, 100_000):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        once = jaccard_join.postings(docs.coalesce(1), rank, 5, 75)
+        assert once.count() == once.select("token", "node").distinct().count()
+        met = jaccard_join.meet(jaccard_join.postings(docs, rank, 5, 75))
+        assert met.count() == met.select("token", "node").distinct().count()
+        assert met.isEmpty() == (hot > 3)
+
+
 def test_prefixes_share_enough(spark):
     r = np.random.default_rng(3)
     rank = r.integers(0, 255, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)

@@ -38,7 +38,7 @@ from tidemark.llm.components import connected_components
 
 SKETCH_BITS, SLICE = 20, 1 << 12
 SMALL, BLOCK, HOT = 16, 512, 100_000
-MOST_MATCHES = 16
+MOST_MATCHES, RECENT = 16, 1 << 16
 U = np.uint64
 
 
@@ -134,23 +134,29 @@ def prefix(s: np.ndarray, rank: np.ndarray, usual: float, percent: int) -> tuple
 
 
 def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
-    """token, node, n, level (the least l that the token belongs to), l, salt (spreads tokens that HOT documents hold, from 1; 0: whole)."""
+    """token, node, n, level (the least l that the token belongs to), l, salt (spreads tokens that HOT documents hold, from 1; 0: whole).
+
+    A task leaves out copies of the last RECENT nodes or fewer; meet() leaves out the rest.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
     usual = float(2.0 ** (np.median(rank) / 8.0))
     names = ["token", "node", "n", "level", "l", "salt"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, recent = shared.value, set()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 cols: list[list] = [[] for _ in names]
                 for t in batch.column("text").slice(i, 500).to_pylist():
                     s = shingles(t, size)
-                    if not len(s):
+                    if not len(s) or (node := node_of(s)) in recent:
                         continue
+                    if len(recent) == RECENT:
+                        recent.clear()
+                    recent.add(node)
                     token, level, l, seen = prefix(s, table, usual, percent)
-                    k, node = len(token), node_of(s)
+                    k = len(token)
                     salt = np.where(seen > HOT, 1 + node % np.maximum(1, (seen / (HOT / 2)).astype(np.int64)), 0)
                     for c, v in zip(cols, (token.view(np.int64), np.full(k, node), np.full(k, len(s)), level, np.full(k, l), salt), strict=True):
                         c.append(v)
@@ -168,17 +174,17 @@ def fits(percent: int) -> Column:
 def meet(posts: DataFrame) -> DataFrame:
     """Postings whose bucket holds another node, with the nodes before them in the bucket: all in a small bucket, else one.
 
-    A salted bucket is but a part of its token's nodes: all its rows stay, as of a large bucket, whatever its size.
+    A node comes once in a bucket, however many copies there are. A salted bucket is but a part of its token's nodes:
+    all its rows stay, as of a large bucket, whatever its size.
     """
     bucket = Window.partitionBy("token", "salt")
-    line = bucket.orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
+    line = bucket.orderBy("turn", "node")
     before = F.collect_list(F.struct("node", "n", "level", "l")).over(line.rowsBetween(-(SMALL - 1), -1))
-    rows = posts.select(
-        "*", F.count("*").over(bucket).alias("size"), before.alias("before"), F.lag("node").over(line).alias("last"), F.lead("node").over(line).alias("next"),
-    )
-    rows = rows.where("(last is not null and last <> node) or (next is not null and next <> node) or salt > 0")
+    rows = posts.withColumn("turn", F.xxhash64("node", F.pmod("token", F.lit(4))))
+    rows = rows.withColumn("last", F.lag("node").over(line)).where("last is null or last <> node")  # once a node; same sort as below
+    rows = rows.select(*posts.columns, "turn", F.count("*").over(bucket).alias("size"), before.alias("before")).where("size > 1 or salt > 0")
     rows = rows.withColumn("large", (F.col("size") > SMALL) | (F.col("salt") > 0))
-    return rows.withColumn("before", F.when(F.col("large"), F.slice("before", -1, 1)).otherwise(F.col("before"))).drop("size", "last", "next", "salt") \
+    return rows.withColumn("before", F.when(F.col("large"), F.slice("before", -1, 1)).otherwise(F.col("before"))).drop("size", "turn", "salt") \
         .withColumn("before", F.when(F.size("before") > 0, F.col("before")).otherwise(F.expr("cast(array() as array<struct<node:long,n:int,level:short,l:short>>)")))
 
 
