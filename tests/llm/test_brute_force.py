@@ -258,6 +258,17 @@ def test_field_on_held_out_lines():
     assert np.mean(right) > 0.93
 
 
+def test_field_tags_whole_lines():
+    """Secrets that are short or hold no digit are found by their company; prose with the same words isn't."""
+    model = secrets.train(secrets.synthetic(3000, seed=1))
+    found = lambda t: [t[s:e] for s, e, _ in secrets.scan(t, model)]
+    assert found("a\npwd: Tr0ub4dor\nb") == ["Tr0ub4dor"]
+    assert found("passphrase: correct-horse-battery-staple") == ["correct-horse-battery-staple"]
+    assert found("Authorization: Basic dXNlcjpwYXNz") == ["dXNlcjpwYXNz"]
+    for prose in ("please pass the salt to mary before 10am", "the 2nd key point was made by the author", "import fooBar from module1"):
+        assert found(prose) == []
+
+
 def test_base_pii_spans():
     text = "a@b.co, 10.0.0.256 192.168.0.1 4111 1111 1111 1111 4111111111111112 +1 (415) 555-0100 +12"
     assert [(text[s:e], k) for s, e, k in pii.base_spans(text)] == [("a@b.co", "email"), ("192.168.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("+1 (415) 555-0100", "phone")] or \

@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field for what they miss.
 
-The fixed patterns (assign, access, hex) give the base spans, always kept. The field tags the value-like tokens of a
-line as secret begin, inside or outside, from their shape, the words beside them and features of the file, and Viterbi
-decodes the tags. Tokens that can't be a secret by form (under 12 characters, or without both a letter and a digit)
-are outside by definition, so each run of possible tokens is decoded apart from the rest with nothing lost.
+The fixed patterns (assign, access, hex) give the base spans, always kept. The field tags every token, ordinary words
+too, of the lines that hold a value-like token or a key word: secret begin, inside or outside, from its shape, the words
+beside it and features of the file. A line is a chain, and Viterbi decodes its tags. Value-like means a digit and a letter
+with nothing but marks between them, a capital after a small letter, or 20 characters and more; lines with neither such
+a token nor a key word have no learned spans. Names part from their values at '='.
 
-Training: possible tokens of at most ``documents`` documents (the smallest hashes of the id), at most 20 of each,
-labelled by the base patterns, and synthetic lines made by rule that show secrets and look-alikes (commit ids,
-checksums, UUIDs, paths, version strings) in their usual company. The seed is fixed.
+Training: lines of at most ``documents`` documents (the smallest hashes of the id), at most MOST_TOKENS tokens of each,
+labelled by the base patterns, and synthetic lines made by rule that show secrets, of one token and of several, and
+look-alikes (commit ids, checksums, UUIDs, paths, version strings, prose with key words) in their usual company. The seed
+is fixed.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; a learned span that
 overlaps a base span is left out; repeated rows give repeated results.
@@ -19,8 +21,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +39,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
-VALUE = re.compile(r"[A-Za-z0-9+/_.=~-]*")
-VALUE_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
-DIGITS = re.compile(r"[0-9]+")
-LEAST = 12
+TOKEN = re.compile(r"[\w+/.~-]+(?:={1,2}(?![\w+/.~=-]))?")
+TELLING = re.compile(
+    r"[0-9][+/_.~=-]*[A-Za-z]|[A-Za-z][+/_.~=-]*[0-9]|[a-z][A-Z]|[\w+/.~-]{20}|(?i:pass|pwd|secret|token|key|auth|bearer|credential|login|\bpin\b)"
+)
+WINDOW, MOST_TOKENS = 16, 48
 NEAR = re.compile(r"[A-Za-z]+|[:=\"'{}$<>@]")
 SLOTS, TAGS = 1 << 14, 3
 OUT, BEGIN, INSIDE = range(TAGS)
@@ -74,17 +80,27 @@ def shape(token: str) -> list[str]:
         f"len{min(n // 8, 8)}", f"al{alphabet}", f"kinds{kinds}", f"marks{marks}", f"head{head}", f"entropy{int(entropy * 2)}",
         f"digits{int(digits * 6)}", f"runs{int(runs * 8)}", f"{alphabet}{min(n // 8, 8)}", f"words{bool(re.search('[a-z]{6}', token))}",
         f"dots{min(token.count('.'), 3)}", f"slashes{min(token.count('/'), 3)}", f"dashes{min(token.count('-'), 5)}",
+        f"own{token.lower() if token.isalpha() else ''}",
     ]
 
 
-def features(text: str, start: int, end: int, file: list[str]) -> list[int]:
-    """Hashed features of one token: shape, neighbours on its line, file."""
-    before = NEAR.findall(text[max(0, text.rfind("\n", 0, start) + 1, start - 60) : start])[-4:]
-    stop = text.find("\n", end)
-    after = NEAR.findall(text[end : min(end + 30, stop if stop >= 0 else len(text))])[:2]
-    words = shape(text[start:end]) + file
-    words += [f"before{i}{w.lower()}" for i, w in enumerate(reversed(before))] + [f"any{w.lower()}" for w in before] + [f"after{i}{w.lower()}" for i, w in enumerate(after)]
-    return [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") % SLOTS for w in words]
+@lru_cache(1 << 16)
+def slot(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % SLOTS
+
+
+def features(text: str, start: int, end: int, tokens: list[tuple[int, int]], file: list[str]) -> list[list[int]]:
+    """Hashed features of tokens of the line from start to end: shape, neighbours on the line, file."""
+    near = [(m.start(), m.end(), m[0].lower()) for m in NEAR.finditer(text, start, end)]
+    firsts, lasts = [x[0] for x in near], [x[1] for x in near]
+    out = []
+    for s, e in tokens:
+        i, j = bisect_right(lasts, s), bisect_left(firsts, e)
+        before, after = [x[2] for x in near[max(0, i - 4) : i]], [x[2] for x in near[j : j + 2]]
+        words = shape(text[s:e]) + file
+        words += [f"before{i}{w}" for i, w in enumerate(reversed(before))] + [f"any{w}" for w in before] + [f"after{i}{w}" for i, w in enumerate(after)]
+        out.append([slot(w) for w in words])
+    return out
 
 
 def file_features(text: str) -> list[str]:
@@ -92,29 +108,22 @@ def file_features(text: str) -> list[str]:
     return [f"code{min(5, int(200 * sum(text.count(c) for c in '=;{}()') / n))}", f"long{min(4, len(text) // 1000)}", f"quotes{min(3, int(100 * text.count(chr(34)) / n))}"]
 
 
-def possible(text: str) -> Iterator[tuple[int, int]]:
-    """Value-like tokens of LEAST characters or more with a digit and an ASCII letter, found from their digits."""
-    end = 0
-    for m in DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > end and text[start - 1] in VALUE_SET:
-            start -= 1
-        end = VALUE.match(text, m.end()).end()
-        if end - start >= LEAST and any(c.isalpha() for c in text[start:end]):
-            yield start, end
-
-
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Possible tokens, grouped where only spaces or quotes part them: the chains to decode."""
-    out: list[list[tuple[int, int]]] = []
-    for start, end in possible(text):
-        if out and not text[out[-1][-1][1] : start].strip(" \"'"):
-            out[-1].append((start, end))
-        else:
-            out.append([(start, end)])
-    return out
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the lines that hold a value-like token or a key word."""
+    at = 0
+    while m := TELLING.search(text, at):
+        at = text.find("\n", m.end())
+        at = at if at >= 0 else len(text)
+        yield text.rfind("\n", 0, m.start()) + 1, at
+
+
+def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text, start, end)]
+
+
+def labels(tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[int]:
+    """Tags of tokens, given where secrets lie: a token that starts in a secret begins it."""
+    return [BEGIN if any(x <= s < y for x, y in parts) else OUT for s, _ in tokens]
 
 
 #: Tags that may follow each other: inside only after begin or inside.
@@ -160,18 +169,15 @@ def train(chains: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rat
     for _ in range(rounds):
         order.shuffle(chains)
         for tokens, tags in chains:
-            node = np.array([w[f].sum(0) for f in tokens])
+            sizes = np.array([len(f) for f in tokens])
+            slots = np.concatenate(tokens)
+            node = np.add.reduceat(w[slots], np.cumsum(sizes) - sizes, axis=0)
             _, p, pairs = forward_backward(node, edge)
             grad = -pairs
-            last = OUT
-            for f, t, q in zip(tokens, tags, p, strict=True):
-                g = -q
-                g[t] += 1
-                grad[last, t] += 1
-                last = t
-                g = g - decay * w[f].mean(0)
-                gw[f] += g * g
-                w[f] += rate * g / np.sqrt(gw[f])
+            np.add.at(grad, ([OUT, *tags[:-1]], tags), 1)
+            g = np.eye(TAGS)[tags] - p - decay * node / sizes[:, None]
+            np.add.at(gw, slots, np.repeat(g * g, sizes, axis=0))
+            np.add.at(w, slots, rate * np.repeat(g, sizes, axis=0) / np.sqrt(gw[slots]))
             ge += grad * grad
             edge += rate * grad / np.sqrt(ge)
     return {"w": w.astype(np.float32), "edge": edge}
@@ -193,6 +199,15 @@ def synthetic(n: int, seed: int = 11) -> list[tuple[list[list[int]], list[int]]]
         lambda: some(lower + upper + digits, 20, 40),
         lambda: "SG." + some(lower + upper + digits, 22, 22) + "." + some(lower + upper + digits, 43, 43),
     ]
+    weak = [  # told by their company alone
+        lambda: r.choice(["-", "_", "."]).join(word() for _ in range(r.randint(3, 5))),
+        lambda: word().capitalize() + some(digits, 1, 3) + word(),
+        lambda: some(lower + upper, 8, 14),
+        lambda: word() + some(digits, 2, 4),
+        lambda: some(lower + upper + digits, 10, 24) + r.choice(["", "=", "=="]),
+        lambda: some(lower + upper + digits, 3, 6) + r.choice("!@#$%&*") + some(lower + upper + digits, 2, 6) + r.choice(["", "!", "#" + word()]),
+        lambda: " ".join(word() for _ in range(r.randint(3, 5))),
+    ]
     plain = [
         lambda: "-".join(some("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)),
         lambda: "/".join(word() for _ in range(3)) + f"/v{r.randint(1, 9)}.{r.randint(0, 20)}",
@@ -204,30 +219,71 @@ def synthetic(n: int, seed: int = 11) -> list[tuple[list[list[int]], list[int]]]
         lambda: "sha256-" + some("0123456789abcdef", 8, 12),
     ]
     keys = ["Authorization: Bearer ", "client_secret = ", '"access_token": "', "export API_KEY=", "private_key: ", "credentials ", "auth ", "key = ", "bearer ", "pwd=", ""]
+    strong = ["pwd: ", "passphrase: ", "Authorization: Basic ", "passcode = ", "pwd=", "login password is: ", "auth: "]
+    names = ["PWD", "PASS", "KEY", "API_KEY", "AUTH", "CREDENTIAL", "LOGIN_KEY", "PASSPHRASE", "PRIVATE_KEY"]
+    prose = ["password", "key", "pass", "token", "secret", "author", "authority", "login", "keys", "passage", "monkey", "iPhone", "2nd", "3rd", "10am", "A4"]
+    env = lambda: r.choice(["", "export "]) + r.choice(["", some(upper, 2, 8) + "_"]) + r.choice(names) + "="
     others = ["commit ", "checksum ", "see ", "version ", "file ", "id ", "uuid: ", "build ", "path=", "url: ", "release ", "from ", ""]
     out = []
     for i in range(n):
         is_secret = i % 2 == 0
-        value = r.choice(secret if is_secret else plain)()
-        lead = r.choice(keys if is_secret == (r.random() < 0.9) else others)
-        line = " ".join(word() for _ in range(r.randint(0, 5))) + " " + lead + value + r.choice(["", '"', ";", " " + word(), ","])
-        at = line.index(value)
-        for chain in runs(line):
-            tags = [BEGIN if is_secret and at <= s < at + len(value) else OUT for s, _ in chain]
-            out.append(([features(line, s, e, file_features(line)) for s, e in chain], tags))
+        before = " ".join(word() for _ in range(r.randint(0, 5)))
+        if i % 6 == 0:
+            value, lead = r.choice(weak)(), r.choice([env, lambda: r.choice(strong)])()
+        elif i % 6 == 1:
+            said = [word() for _ in range(r.randint(3, 12))]
+            said.insert(r.randint(0, len(said)), r.choice(prose))
+            value, lead = " ".join(said) + r.choice(["", "."]), ""
+        else:
+            value = r.choice(secret if is_secret else plain)()
+            lead = r.choice(keys) if is_secret == (r.random() < 0.9) else r.choice(others)
+            lead = env() if is_secret and r.random() < 0.2 else lead
+        if " " in value and is_secret:
+            lead, end = lead + '"', '"'
+        elif lead.endswith('"'):
+            end = '"'
+        else:
+            end = r.choice(["", '"', ";", " " + word(), ","])
+        if lead.endswith('="') or lead.startswith("export") or r.random() < 0.2:
+            before = ""
+        line = before + (" " if before else "") + lead + value + end
+        at = len(line) - len(end) - len(value)
+        for start, stop in lines(line):
+            tokens = tokens_of(line, start, stop)
+            out.append((features(line, start, stop, tokens, file_features(line)), labels(tokens, [(at, at + len(value))] if is_secret else [])))
+    return out
+
+
+def secret_parts(text: str) -> list[tuple[int, int]]:
+    """Where the base spans' secrets lie, overlapping ones as one: of an assignment the value alone."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((ASSIGN.match(text, s).start(2) if k == "assign" else s, e) for s, e, k in base_spans(text)):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
-def examples(text: str | None, most: int = 20) -> list[tuple[list[list[int]], list[int]]]:
-    """Chains of a text labelled by its base spans."""
+def examples(text: str | None) -> list[tuple[list[list[int]], list[int]]]:
+    """Chains of a text labelled by its base spans: of each line WINDOW tokens around the first secret or telling token."""
     if not text:
         return []
-    base, file, out = base_spans(text), file_features(text), []
-    for chain in runs(text)[:most]:
-        tags = []
-        for s, e in chain:
-            tags.append(BEGIN if any(x < e and s < y for x, y, _ in base) else OUT)
-        out.append(([features(text, s, e, file) for s, e in chain], tags))
+    parts, file, out, left = secret_parts(text), file_features(text), [], MOST_TOKENS
+    for start, end in lines(text):
+        tokens = tokens_of(text, start, end)
+        tags = labels(tokens, parts)
+        telling = [i for i, (s, e) in enumerate(tokens) if tags[i]] or [i for i, (s, e) in enumerate(tokens) if TELLING.search(text, s, e)] or [0]
+        first = max(0, telling[0] - WINDOW // 2)
+        while first and tags[first] == INSIDE:
+            first -= 1
+        tokens, tags = tokens[first : first + WINDOW][:left], tags[first : first + WINDOW][:left]
+        if not tokens:
+            continue
+        out.append((features(text, start, end, tokens, file), tags))
+        left -= len(tokens)
+        if not left:
+            break
     return out
 
 
@@ -253,15 +309,18 @@ def learned_spans(text: str, model: dict[str, np.ndarray], base: list[Span]) ->
     """Spans that the field tags, without those that overlap base spans."""
     out: list[Span] = []
     file: list[str] | None = None
-    for chain in runs(text):
+    for start, end in lines(text):
         file = file or file_features(text)
-        node = np.array([model["w"][features(text, s, e, file)].sum(0) for s, e in chain])
-        for (s, e), tag in zip(chain, viterbi(node, model["edge"]), strict=True):
+        if not (tokens := tokens_of(text, start, end)):
+            continue
+        node = np.array([model["w"][f].sum(0) for f in features(text, start, end, tokens, file)])
+        for (s, e), tag in zip(tokens, viterbi(node, model["edge"]), strict=True):
             if tag == INSIDE and out:
                 out[-1] = (out[-1][0], e, "crf")
             elif tag == BEGIN:
                 out.append((s, e, "crf"))
-    return [x for x in out if not any(x[0] < e and s < x[1] for s, e, _ in base)]
+    starts, furthest = [s for s, _, _ in base], [0, *accumulate((e for _, e, _ in base), max)]
+    return [x for x in out if furthest[bisect_left(starts, x[1])] <= x[0]]
 
 
 def scan(text: str | None, model: dict[str, np.ndarray]) -> list[Span]:
