@@ -269,6 +269,24 @@ def test_field_tags_whole_lines():
         assert found(prose) == []
 
 
+def test_field_on_held_out_names_and_several_tokens():
+    """NAME=value lines and secrets of several tokens are labelled by overlap, learned and found whole."""
+    line = 'DB_PWD="aB3!xY7@kk" x'
+    tokens_ = secrets.tokens_of(line, 0, len(line))
+    assert secrets.labels(tokens_, [(8, 18)]) == [secrets.OUT, secrets.BEGIN, secrets.INSIDE, secrets.INSIDE, secrets.OUT]
+    assert any(secrets.INSIDE in tags for _, tags in secrets.synthetic(300))
+    model, r = secrets.train(secrets.synthetic(3000, seed=1)), random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for lead, make in [("DB_PWD=", lambda: some(40)), ("passphrase: ", lambda: '"' + " ".join(words(r, 4)) + '"'), ("pwd: ", lambda: f"{some(5)}!{some(4)}@{some(4)}")]:
+        right = 0
+        for _ in range(50):
+            value = make()
+            text = "x = 1\n" + lead + value + "\ny"
+            right += [text[s:e] for s, e, _ in secrets.scan(text, model)] == [value.strip('"')]
+        assert right >= 45, (lead, right)
+
+
 def test_base_pii_spans():
     text = "a@b.co, 10.0.0.256 192.168.0.1 4111 1111 1111 1111 4111111111111112 +1 (415) 555-0100 +12"
     assert [(text[s:e], k) for s, e, k in pii.base_spans(text)] == [("a@b.co", "email"), ("192.168.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("+1 (415) 555-0100", "phone")] or \

@@ -122,8 +122,17 @@ def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def labels(tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[int]:
-    """Tags of tokens, given where secrets lie: a token that starts in a secret begins it."""
-    return [BEGIN if any(x <= s < y for x, y in parts) else OUT for s, _ in tokens]
+    """Tags of tokens, given where secrets lie (sorted): the first token that overlaps a secret begins it."""
+    tags, last, at = [], -1, 0
+    for s, e in tokens:
+        while at < len(parts) and parts[at][1] <= s:
+            at += 1
+        if at < len(parts) and parts[at][0] < e:
+            tags.append(INSIDE if at == last else BEGIN)
+            last = at
+        else:
+            tags.append(OUT)
+    return tags
 
 
 #: Tags that may follow each other: inside only after begin or inside.
