@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import AWKWARD, table, words
+from tests.oracle import same
 from tidemark.llm import byte_cnn, decontaminate, jaccard_join, packing, pii, quality_rules, secrets, tokens, toxicity
 from tidemark.llm.components import connected_components
 
@@ -33,10 +34,49 @@ def test_measures(spark):
         assert quality_rules.measure(t)[:5] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)), repr(t[:60])
 
 
-def test_em_separates_faults():
-    counts = [("ggg", 800), ("bgg", 60), ("gbg", 60), ("ggb", 60), ("g-g", 20), ("---", 5)]
-    q = quality_rules.fit(counts)
-    assert q["ggg"] > 0.9 and q["g-g"] > 0.5 and max(q["bgg"], q["gbg"], q["ggb"]) < 0.5
+def test_em_overrules_a_poor_witness():
+    """Three of four rules confirm each other; the fourth fires alone, so one bad vote of it is no reason to refuse."""
+    faults = ["form", "noise", "noise", "noise"]
+    counts = [("gggg", 800), ("bggg", 120), ("gbbb", 60), ("bbbb", 8), ("gbb-", 20), ("g---", 30), ("gb-b", 12)]
+    q = quality_rules.fit(counts, faults)
+    assert q["gggg"] > 0.9 and q["bggg"] > 0.5  # one bad vote, kept: all-must-pass would refuse it
+    assert max(q["gbbb"], q["bbbb"], q["gbb-"], q["gb-b"]) < 0.1
+    doubtful = quality_rules.fit([("gggg", 800), ("gbbb", 60), ("gbb-", 50), ("g-b-", 60), ("gb--", 60), ("g--b", 40), ("g---", 4)], faults)
+    assert doubtful["g---"] < 0.5  # no bad vote, refused: only bad documents make these rules abstain
+
+
+def test_em_estimates_accuracies():
+    """Votes drawn from known rates: EM finds them without labels."""
+    r = np.random.default_rng(4)
+    bad = r.random(20_000) < 0.2
+    alarm, caught = np.array([0.02, 0.1, 0.01, 0.05]), np.array([0.9, 0.6, 0.7, 0.8])
+    votes = np.where(r.random((len(bad), 4)) < 0.15, "-", np.where(r.random((len(bad), 4)) < np.where(bad[:, None], caught, alarm), "b", "g"))
+    counts = sorted(Counter(map("".join, votes)).items())
+    share, rate, _ = quality_rules.estimate(counts, ["noise"] * 4)
+    assert share[1] == pytest.approx(0.2, abs=0.02)
+    assert np.allclose(rate[0, :, 0] / 0.85, alarm, atol=0.02) and np.allclose(rate[1, :, 0] / 0.85, caught, atol=0.04)
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 2] AS k FROM w, LATERAL unnest(generate_series(1, len(w) - 2)) AS t(i)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, LATERAL unnest([0, 1, 2]) AS t(j) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
+"""
+
+
+def test_quality_base_columns_match_sql_and_em_decides(spark, data):
+    out = quality_rules.op1_quality_rules(spark, data)
+    same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), BASE_SQL, data)
+    rows = quality_rules.op1_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed").select("votes", "kept").collect()
+    assert any(r["kept"] and "b" in r["votes"] for r in rows)  # overruled bad votes
+    assert all(not r["kept"] for r in rows if r["votes"].count("b") > 2)
 
 
 def components_by_hand(texts: list[str | None]) -> list[int]:
