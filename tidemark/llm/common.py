@@ -1,17 +1,18 @@
-"""Helpers that every training-data operator shares: shared storage, text UDFs, label joins."""
+"""Helpers that every training-data operator shares: text UDFs, samples of labelled rows, and the storage of sources.tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import discard, materialise, new_path
+from tidemark.sources.tables import read_texts as read
+
+__all__ = ["crc_mod", "discard", "document_sample", "in_order", "labelled_sample", "materialise", "new_path", "read", "text_udf", "with_struct"]
+
 ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -26,28 +27,6 @@ ARROW = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_udf(fields: dict[str, str], make: Callable[[], Callable[[list], list]], raw: bool = False):
     """An Arrow UDF from one text column to a struct.
 
@@ -74,12 +53,6 @@ def with_struct(df: DataFrame, name: str, struct: Column, fields: list[str]) ->
     return df.withColumn(name, struct).select(*kept, *[F.col(f"{name}.{f}").alias(f) for f in fields])
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a data folder. Where it has fewer files than there are cores, its rows are dealt out to all of them."""
-    df, cores = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
