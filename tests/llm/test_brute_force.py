@@ -350,14 +350,43 @@ def test_grammar_scopes():
     m = toxicity.Machine({"idio": 2.0})
     got = lambda t: {k: round(float(np.expm1(v)), 3) for k, v in zip(toxicity.OUTPUTS, m.features(t), strict=False) if v}
     assert got("what an idiot") == {"plain": 2.0}
-    assert got("you are an idiot") == {"targeted": 2.0}
-    assert got("this is not an idiot") == {"negated": 2.0}
-    assert got("they said that was idiotic") == {"reported": 2.0}
+    assert got("you are an idiot") == {"targeted": 4.0}
+    assert got("idiot, you") == {"plain": 2.0, "targeted_after": 2.0}
+    assert got("this is not an idiot") == got("you are not an idiot") == {"negated": 0.5}
+    assert got("they said that was idiotic") == got("he said you are an idiot") == {"reported": 1.0}
+    assert got("he said nothing but you are an idiot") == {"targeted": 4.0}
     assert got("not here. an idiot") == {"plain": 2.0}
-    assert got("i will kill you") == {"threat": 1.0}
+    assert got("i will kill you") == {"threat": 1.0, "threat_targeted_after": 1.0}
+    assert got("i never will kill you") == {"threat_muted": 0.25}
+    assert got("the bees kill") == {"violent": 0.5}
+    assert got("stupid idiot") == {"plain": 3.0}
     assert got("nothing of that kind") == {}
 
 
+def test_composition_equals_the_transducers_in_turn():
+    r = random.Random(15)
+    parts, (arcs, begin) = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported(), toxicity.target()], toxicity.grammar()
+    starts = begin.split("/")
+    for _ in range(300):
+        states, state = list(starts), begin
+        for _ in range(r.randint(1, 30)):
+            x = r.choice(toxicity.LEXICAL)
+            state, y, w = arcs[state, x]
+            weight = 1.0
+            for i, p in enumerate(parts):
+                states[i], x, v = p[states[i], x]
+                weight *= v
+            assert (y, w, state) == (x, weight, "/".join(states))
+
+
+def test_toxic_clauses_are_located(spark):
+    model = {"stems": {"idio": 2.0}, "weights": np.ones(len(toxicity.FEATURES) + 1), "share": 0.1}
+    text = "Fine words here. You idiots!  More"
+    row = toxicity.find_toxic_clauses(table(spark, [text, None, ""]).withColumn("toxicity", F.lit("clash")), model).orderBy("doc_id").collect()
+    assert [text[s:e] for s, e in zip(row[0]["clause_starts"], row[0]["clause_ends"])] == ["You idiots"]
+    assert row[0]["clause_events"] == ["targeted"] and row[0]["clause_weights"] == [4.0] and row[0]["toxicity"] > row[1]["toxicity"] == row[2]["toxicity"]
+
+
 def held_out(df, label, data, spark):
     rows = df.where("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").select("predicted", label).collect()
     return np.mean([r["predicted"] == r[label] for r in rows])

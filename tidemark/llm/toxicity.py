@@ -1,16 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reported speech, clause end, other. Three small transducers,
-one for negation scope, one for reported speech and one for targets, are composed into one machine that rewrites each
-clause's symbols: an insult comes out as plain, targeted, negated or reported, and so on. Matched clauses, not isolated
-words, are counted by what came out, each with the weight of its word; a logistic function of these sums is the score.
+A lexicon turns words into classes: insult, violent verb, intention, target, negation, reporting verb, contrast, other.
+Five weighted transducers read them, each with states and arcs of its own: insults (a chain of insults weighs more), threats
+(a violent verb after an intention is a threat), negation (mutes what follows within a few words), reported speech (turns
+what follows into a quotation) and targets (an insult or threat near a word for a person, before it or after it). A contrast
+word ends negation and reported speech, a clause's end ends all. They are composed into one machine, the weights of
+whose arcs are products of the parts'. It reads each clause with an insult or violent verb in it and writes events: plain,
+targeted, negated, reported and so on, each with the weight of its arc and of its word's stem.
+
+A matched clause counts once for each kind of event, by its heaviest one. A document's score is a logistic function of
+these sums over its clauses, of its heaviest clause and of the share of its clauses that matched; words as such count
+for nothing. ``find_toxic_clauses`` gives the clauses themselves.
 
 The insult lexicon is an acceptor of word beginnings: a fixed seed and the stems whose share among toxic documents is
 ``ratio`` times that among others, counted on at most ``per_class`` labelled documents of each value (the smallest
-hashes of the id). The weights of the grammar's outputs are fitted on the same documents.
+hashes of the id). The weights of the events are fitted on the same documents.
 
-Defined results: null and empty texts match nothing and get the score of such texts; repeated rows get equal scores;
-without labelled documents of both values the score is the share of label 1 (0 without any label).
+Defined results: null, empty and wordless texts match nothing and get the score of such texts; whole texts are read, clause
+by clause, in memory that grows with the one text; repeated rows and ties get equal scores; an empty table gives no rows;
+without labelled documents of both values the score is the share of label 1 (0 without any label); other columns of the
+input, whatever their names, stay as they are in find_toxic_clauses, but for those that it adds, which replace theirs.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +35,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_cnn import logistic
-from tidemark.llm.common import crc_mod, in_order, labelled_sample, read, text_udf
+from tidemark.llm.common import crc_mod, in_order, labelled_sample, read, text_udf, with_struct
 
 # Seed words of the grammar in the corpus's four languages.
 INSULTS = "idiot moron stupid pathetic worthless loser scum trash disgusting imbecile idiota estúpido imbécil basura idiote stupide débile ordure dumm trottel abschaum".split()
-THREATS = "kill hurt destroy beat stab shoot matar golpear destruir tuer frapper détruire töten schlagen vernichten".split()
+VIOLENT = "kill hurt destroy beat stab shoot matar golpear destruir tuer frapper détruire töten schlagen vernichten".split()
+INTENTIONS = "will gonna shall should must want werde werden sollte muss voy vamos quiero debe vais veux devrait faut".split()
 TARGETS = "you your yours he she they him her them tu te vous ton votre toi usted ustedes ti du dich dir ihr euch sie".split()
 NEGATIONS = "not no never isn aren wasn don doesn didn ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTED = "said says say wrote claimed called reported quoted dijo dice según dit écrit selon sagte schrieb laut".split()
+CONTRASTS = "but however yet though although aber doch jedoch sondern pero sino aunque mais cependant pourtant".split()
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 LENGTHS = (4, 5, 6, 7, 8)
-OUTPUTS = ["plain", "targeted", "negated", "reported", "threat", "threat_targeted", "threat_muted"]
-FEATURES = [*OUTPUTS, "rate", "clauses", "any"]
 STOP = ".!?;\n"
+LEXICAL = "ikmynrbo"
+#: What the machine writes, by event.
+EVENTS = {
+    "X": "plain", "Y": "targeted", "+": "targeted_after", "N": "negated", "R": "reported",
+    "K": "threat", "V": "violent", "T": "threat_targeted", "t": "threat_targeted_after", "M": "threat_muted",
+}
+OUTPUTS = list(EVENTS.values())
+FEATURES = [*OUTPUTS, "heaviest", "share"]
 
-Arcs = dict[tuple[str, str], tuple[str, str]]
+Arcs = dict[tuple[str, str], tuple[str, str, float]]
 
 
-def within(trigger: str, marked: dict[str, str], reach: int, symbols: str) -> Arcs:
-    """A transducer that rewrites symbols by ``marked`` for ``reach`` steps after ``trigger`` (0: to the clause's end)."""
-    arcs: Arcs = {}
-    for left in range(reach + 1) if reach else (0, 1):
-        for s in symbols:
-            after = (reach or 1) if s == trigger else max(0, left - 1) if reach else left
-            arcs[str(left), s] = (str(after), marked.get(s, s) if left else s)
-    return arcs
+def transducer(states: list, alphabet: str, step) -> Arcs:
+    """Arcs of a deterministic transducer: ``step(state, symbol)`` is (next state, what is written, weight)."""
+    return {(str(q), x): (str(to), y, w) for q in states for x in alphabet for to, y, w in [step(q, x)]}
 
 
-def compose(first: Arcs, second: Arcs) -> Arcs:
-    """The machine that passes what ``first`` writes on to ``second``."""
-    states = {s for s, _ in second}
-    return {
-        (f"{a}/{b}", x): (f"{to}/{second[b, y][0]}", second[b, y][1])
-        for (a, x), (to, y) in first.items() for b in states if (b, y) in second
-    }
+def insult() -> Arcs:
+    """An insult (i) is written as X; one right after another weighs half as much again."""
+    return transducer([0, 1], LEXICAL, lambda q, x: (1, "X", 1.5 if q else 1.0) if x == "i" else (0, x, 1.0))
 
 
-def grammar() -> tuple[Arcs, str]:
-    """Negation, then reported speech, then targets, over i(nsult) t(hreat) y(target) n(egation) r(eported) o(ther).
+def threat(reach: int = 3) -> Arcs:
+    """A violent verb (k) within ``reach`` words of an intention (m) is a threat K, another one mere violence V."""
+
+    def step(left, x):
+        if x == "k":
+            return 0, "K" if left else "V", 1.0 if left else 0.5
+        return reach if x == "m" else max(0, left - 1), x, 1.0
+
+    return transducer(list(range(reach + 1)), "X" + LEXICAL[1:], step)
+
+
+def negation(reach: int = 3) -> Arcs:
+    """Within ``reach`` words of a negation, insults become N and threats M, at a quarter of the weight."""
+
+    def step(left, x):
+        if left and x in "XKV":
+            return left - 1, "N" if x == "X" else "M", 0.25
+        return reach if x == "n" else 0 if x == "b" else max(0, left - 1), x, 1.0
+
+    return transducer(list(range(reach + 1)), "XKVmynrbo", step)
 
-    Capitals: N negated insult, M muted threat, R reported insult, Y targeted insult, T targeted threat.
-    """
-    symbols = "ityNMRYTnro"
-    negated = within("n", {"i": "N", "t": "M"}, 3, symbols)
-    reported = within("r", {"i": "R", "t": "M", "N": "R"}, 0, symbols)
-    targeted = within("y", {"i": "Y", "t": "T"}, 4, symbols)
-    return compose(compose(negated, reported), targeted), "0/0/0"
 
+def reported() -> Arcs:
+    """From a reporting verb to a contrast word, insults become R and threats M, at half the weight."""
 
-WRITES = {"i": "plain", "Y": "targeted", "N": "negated", "R": "reported", "t": "threat", "T": "threat_targeted", "M": "threat_muted"}
+    def step(inside, x):
+        if inside and x in "XNKVM":
+            return 1, "R" if x in "XN" else "M", 0.5
+        return 1 if x == "r" else 0 if x == "b" else inside, x, 1.0
+
+    return transducer([0, 1], "XNKVMmynrbo", step)
+
+
+def target(before: int = 4, after: int = 3) -> Arcs:
+    """A target up to ``before`` words before an insult or threat makes it Y or T; one up to ``after`` words after it adds + or t."""
+
+    def step(state, x):
+        left, kind, right = state
+        kind, right = (kind, right - 1) if right > 1 else ("", 0)
+        if x == "y":
+            return (before, "", 0), "+" if state[1] == "X" else "t" if state[1] else "y", 1.0
+        if x in "XKV":
+            marked = "Y" if x == "X" else "T"
+            return (max(0, left - 1), "" if left else "X" if x == "X" else "K", 0 if left else after), marked if left else x, 2.0 if left else 1.0
+        return (max(0, left - 1), kind, right), x, 1.0
+
+    states = [(left, kind, right) for left in range(before + 1) for kind, right in [("", 0), *product("XK", range(1, after + 1))]]
+    return transducer(states, "XNRKVMmynrbo", step)
+
+
+def compose(first: Arcs, second: Arcs) -> Arcs:
+    """The machine that passes what ``first`` writes on to ``second``; weights of arcs multiply."""
+    arcs: Arcs = {}
+    states = {q for q, _ in second}
+    for (a, x), (to, y, w) in first.items():
+        for b in states:
+            b_to, z, v = second[b, y]
+            arcs[f"{a}/{b}", x] = (f"{to}/{b_to}", z, w * v)
+    return arcs
+
+
+def grammar() -> tuple[Arcs, str]:
+    """The five transducers composed, and the state in which a clause begins."""
+    arcs = insult()
+    for part in (threat(), negation(), reported(), target()):
+        arcs = compose(arcs, part)
+    return arcs, "/".join(("0", "0", "0", "0", str((0, "", 0))))
 
 
 class Lexicon(dict):
-    """Symbol of each word; stems of insults accept every word that begins with them."""
+    """Class of each word; stems of insults accept every word that begins with them."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.fixed = {}
-        for words, symbol in ((INSULTS, "i"), (THREATS, "t"), (TARGETS, "y"), (NEGATIONS, "n"), (REPORTED, "r"), (STOP, ".")):
+        for words, symbol in ((INSULTS, "i"), (VIOLENT, "k"), (INTENTIONS, "m"), (TARGETS, "y"), (NEGATIONS, "n"), (REPORTED, "r"), (CONTRASTS, "b"), (STOP, ".")):
             self.fixed.update(dict.fromkeys(words, symbol))
 
     def weight(self, word: str) -> float:
@@ -99,30 +162,44 @@ class Lexicon(dict):
 
 
 class Machine:
-    """Scans texts with the composed grammar."""
+    """Reads texts with the composed grammar."""
 
     def __init__(self, stems: dict[str, float]):
         self.lexicon = Lexicon(stems)
         self.arcs, self.begin = grammar()
 
-    def features(self, text: str | None) -> list[float]:
-        words = TOKEN.findall(text.lower()) if text else []
+    def clause(self, symbols: str, words: list[str]) -> dict[str, float]:
+        """Events of a clause, each with its heaviest weight: of the arc, times that of the word's stem for insults."""
+        state, out, last = self.begin, {}, 1.0
+        for s, word in zip(symbols, words, strict=True):
+            state, event, weight = self.arcs[state, s]
+            if name := EVENTS.get(event):
+                if s == "i":
+                    last = self.lexicon.weight(word)
+                elif s == "k":
+                    last = 1.0
+                out[name] = max(out.get(name, 0.0), weight * last)
+        return out
+
+    def clauses(self, words: list[str]) -> tuple[list[tuple[int, int, dict[str, float]]], int]:
+        """First and last word (exclusive) and events of each matched clause, and the number of clauses."""
         symbols = "".join(map(self.lexicon.__getitem__, words))
+        parts, out, at = symbols.split("."), [], 0
+        if "i" in symbols or "k" in symbols:
+            for part in parts:
+                if ("i" in part or "k" in part) and (events := self.clause(part, words[at : at + len(part)])):
+                    out.append((at, at + len(part), events))
+                at += len(part) + 1
+        return out, sum(map(bool, parts))
+
+    def features(self, text: str | None) -> list[float]:
+        found, n = self.clauses(TOKEN.findall(text.lower()) if text else [])
         sums = dict.fromkeys(OUTPUTS, 0.0)
-        clauses = total = at = 0
-        if "i" in symbols or "t" in symbols:
-            for clause in symbols.split("."):
-                if "i" in clause or "t" in clause:
-                    state = self.begin
-                    for k, s in enumerate(clause, at):
-                        state, out = self.arcs[state, s]
-                        if out in WRITES:
-                            sums[WRITES[out]] += self.lexicon.weight(words[k]) if s == "i" else 1.0
-                            total += s == "i"
-                    clauses += 1
-                at += len(clause) + 1
-        n = max(1, len(symbols) - symbols.count("."))
-        return [*(np.log1p(v) for v in sums.values()), min(1.0, 20 * total / n), np.log1p(clauses), float(total > 0)]
+        for _, _, events in found:
+            for name, w in events.items():
+                sums[name] += w
+        heaviest = max((sum(e.values()) for _, _, e in found), default=0.0)
+        return [*(float(np.log1p(v)) for v in sums.values()), float(np.log1p(heaviest)), len(found) / max(1, n)]
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:
@@ -180,24 +257,50 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 4000) ->
         return {"stems": {}, "weights": None, "share": shares[1] / sum(shares.values())}
     x, y = np.array([[r[c] for c in FEATURES] for r in rows]), np.array([r["label"] for r in rows])
     weight = np.array([shares[v] / max(1, (y == v).sum()) for v in (0, 1)])[y.astype(int)] * len(y) / sum(shares.values())
-    return {"stems": stems, "weights": logistic(x, y, weight, ridge=0.1), "share": shares[1] / sum(shares.values())}
+    return {"stems": stems, "weights": logistic(x, y, weight, ridge=0.01), "share": shares[1] / sum(shares.values())}
+
+
+def score_of(model: dict):
+    """Probabilities of toxic for texts, from the events of their matched clauses."""
+
+    def score(machine: Machine, texts: list[str | None]) -> np.ndarray:
+        if model["weights"] is None or not texts:
+            return np.full(len(texts), model["share"])
+        x = np.array([machine.features(t) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
+
+    return score
 
 
 def scorer(model: dict):
-    """An Arrow UDF: probability of toxic, from the sums of matched clauses."""
+    """An Arrow UDF: probability of toxic."""
 
     def make():
-        machine = Machine(model["stems"])
+        machine, score = Machine(model["stems"]), score_of(model)
+        return lambda texts: [score(machine, texts)]
 
-        def score(texts: list[str | None]) -> list:
-            if model["weights"] is None or not texts:
-                return [[model["share"]] * len(texts)]
-            x = np.array([machine.features(t) for t in texts])
-            return [1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))]
+    return lambda text: text_udf({"p": "double"}, make)(text)["p"]
 
-        return score
 
-    return lambda text: text_udf({"p": "double"}, make)(text)["p"]
+def find_toxic_clauses(docs: DataFrame, model: dict) -> DataFrame:
+    """Add toxicity and, for each matched clause, clause_starts and clause_ends (code points, end exclusive), clause_events
+    (joined by +) and clause_weights to every row of ``docs``."""
+    fields = {"toxicity": "double", "clause_starts": "array<int>", "clause_ends": "array<int>", "clause_events": "array<string>", "clause_weights": "array<double>"}
+
+    def make():
+        machine, score = Machine(model["stems"]), score_of(model)
+
+        def run(texts: list[str | None]) -> list[list]:
+            rows = []
+            for text in texts:
+                spans = [m.span() for m in TOKEN.finditer(text)] if text else []
+                found, _ = machine.clauses([text[s:e].lower() for s, e in spans])
+                rows.append(([spans[i][0] for i, _, _ in found], [spans[j - 1][1] for _, j, _ in found], ["+".join(e) for *_, e in found], [sum(e.values()) for *_, e in found]))
+            return [list(score(machine, texts)), *map(list, zip(*rows, strict=True))] if rows else [[] for _ in fields]
+
+        return run
+
+    return with_struct(docs, "_tox", text_udf(fields, make)("text"), list(fields))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
