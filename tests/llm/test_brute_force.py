@@ -188,6 +188,27 @@ def test_records_round_trip(spark, tmp_path):
     assert manifest.count() > 1
 
 
+def test_shards_start_where_others_end_and_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(p, q, f"{p}-{q}", 1, (7 * p + q) % 5) for p in range(23) for q in range(p % 4)]
+    got = {r["path"]: r["base"] for r in tokens.shard_starts(spark.createDataFrame(rows, tokens.MANIFEST), team=4).collect()}
+    assert got == {path: sum(x[4] for x in rows[:i]) for i, (_, _, path, _, _) in enumerate(rows)}
+    folder = str(tmp_path / "r")
+    manifest = tokens.write_records(table(spark, ["some words here"] * 400), tokens.byte_bpe(), folder, shard_bytes=64)
+    read = tokens.read_records(manifest, folder)
+    assert read.select(F.spark_partition_id()).distinct().count() >= min(4, spark.sparkContext.defaultParallelism)
+    assert read.count() == 400
+
+
+def test_other_tokenizers_are_encoded_whole():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))
+    assert not tokens.byte_level(t)
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert not tokens.byte_level(t)
+    assert tokens.byte_level(Tokenizer.from_file(tokens.byte_bpe()))
+
+
 def test_damaged_records_are_found(tmp_path):
     record = tokens.framed(7, struct.pack("<3H", 1, 2, 3), 2)
     assert [(i, x.tolist()) for i, x in tokens.records(memoryview(record * 2))] == [(7, [1, 2, 3])] * 2

@@ -9,8 +9,10 @@ Texts are range-partitioned by document id, so shards follow each other in ascen
 of tasks. A task's files have names of their own; the manifest lists only the files of the attempt that succeeded,
 so a task that is run again after a lost executor leaves no double records.
 
-Defined results: a null text is encoded as an empty one; every document ends with ``end_id``; documents of equal id
-follow each other by the hash of their text; an empty table gives no shard and no row.
+Defined results: a null or empty text is encoded as an end id alone; every document ends with ``end_id``; whole texts are
+encoded, in memory that grows with the one text; repeated rows give repeated records, and documents of equal or null id follow
+each other by the hash of their text; an empty table gives no shard and no row; columns of the input beside doc_id and
+text, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -35,6 +37,17 @@ WORD_AND_MARKS = re.compile("(.+?)([.,;:!?#$%&*)]+)")
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"
 
 
+def byte_level(tokenizer) -> bool:
+    """Whether a tokenizer is a BPE model behind the usual byte-level splitting alone, for which chunks may be encoded apart."""
+    import json
+
+    told = json.loads(tokenizer.to_str())
+    split = told["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    model = told["model"]
+    return bool(plain and told["normalizer"] is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
+
+
 class Known(dict):
     """Ids of space-separated chunks, each with ``lead`` before it; chunks not seen yet are encoded on the way."""
 
@@ -62,13 +75,15 @@ class Encoder:
     Where no two whitespace characters meet, the tokenizer's own splitting always parts a text before a space and
     around a newline, so the chunks between them can be encoded apart. A chunk of letters alone is one piece for the
     library's BPE model; marks that follow it are another piece. All else, texts in which whitespace meets, and texts
-    that hold one of the special tokens' strings, goes through the library's whole encode. ``entries`` bounds the cache.
+    that hold one of the special tokens' strings, goes through the library's whole encode, and so do all texts where the
+    tokenizer isn't a byte-level BPE of that splitting. ``entries`` bounds the cache.
     """
 
     def __init__(self, path: str, entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cached = byte_level(self.tokenizer)
         self.model, self.entries = self.tokenizer.model, entries
         top = max(self.tokenizer.get_vocab().values(), default=0)
         self.width = 2 if top < 1 << 16 else 4
@@ -96,7 +111,7 @@ class Encoder:
         """The ids of a text, little-endian, ``width`` bytes each."""
         if not text:
             return b""
-        if ADJACENT.search(text) or any(s in text for s in self.special):
+        if not self.cached or ADJACENT.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         if len(self.first) + len(self.rest) > self.entries:
             self.forget()
@@ -191,10 +206,25 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     return materialise(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+def shard_starts(manifest: DataFrame, team: int = 256) -> DataFrame:
+    """path, base, n_ids of each shard, base being the ids of all shards before it: sums over parts, then within a part.
+
+    Parts are numbered in order of ids. Their running sum goes in two levels, teams of ``team`` parts and the parts of a team,
+    so no task gets all shards; the one window without a key is over teams.
+    """
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("team", F.expr(f"part div {team}"))
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    teams = parts.groupBy("team").agg(F.sum("ids").alias("ids")).select("team", before(Window.orderBy("team")).alias("team_base"))
+    parts = parts.select("part", "team", before(Window.partitionBy("team").orderBy("part")).alias("part_base")).join(teams, "team")
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.join(parts.select("part", (F.col("team_base") + F.col("part_base")).alias("part_base")), "part")
+    return shards.select("path", (F.col("part_base") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).alias("base"), "n_ids")
+
+
+def read_records(manifest: DataFrame, folder: str, with_ids: bool = True, task_ids: int = 64 << 20) -> DataFrame:
     """Read record shards back: doc_id, start (ids before the document), n_tokens, ids_crc32 and, if asked for, ids.
 
-    The running start of the shards is a window over the manifest, which has one row for each shard of tens of MB.
+    Shards are dealt to tasks of about ``task_ids`` ids, at least one for each core: their number comes from the manifest.
     """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +246,9 @@ def read_records(manifest: DataFrame, folder: str, with_ids: bool = True) -> Dat
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "base").repartition("path")
+    total = manifest.agg(F.sum("n_ids").alias("ids"), F.count("*").alias("shards")).first()
+    tasks = max(1, min(total["shards"], max(manifest.sparkSession.sparkContext.defaultParallelism, -(-(total["ids"] or 0) // task_ids))))
+    shards = shard_starts(manifest).select("path", "base").repartition(tasks, "base")
     return shards.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
