@@ -8,23 +8,24 @@ comparison of the words confirms an occurrence. Every occurrence covers a block
 so the first probes are those positions alone; numpy looks all of them up at once and the ordinary
 shift-by-shift search goes on only around a probe whose block is in the table.
 
-Defined results: null or wordless texts have n_words 0, n_hit 0 and are not contaminated; null items and items
-without words are never found; items with equal windows are all reported; repeated rows give repeated results.
+Defined results: null, empty or wordless texts have n_words 0, n_hit 0 and are not contaminated; whole texts are searched,
+in memory that grows with the one text; null items and items without words are never found; items with equal windows are all
+reported, which settles ties; repeated rows give repeated results; an empty table gives no rows, an empty benchmark no hits;
+of other columns of the input those that are added replace theirs, in any case, and the rest stay as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, text_udf, with_struct
+from tidemark.llm.common import materialise, new_path, read, text_udf, with_struct
 
 #: Word characters after lower-casing: digits, a-z, all that isn't ASCII. Others become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FIELDS = {"n_words": "long", "n_hit": "long", "hit_starts": "array<int>", "hit_ends": "array<int>", "items": "array<string>"}
+NO_RANGES = "cast(array() as array<struct<s:int,e:int>>)"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -125,37 +126,74 @@ def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 8_000_000) -> DataFrame:
     """Add n_words, n_hit, hit_starts, hit_ends, items and contaminated to every row of ``docs`` (text column ``text``).
 
-    The benchmark is a stated query set; its tables go to every task in blocks of about ``block_chars``
-    characters, so a task's memory doesn't grow with the benchmark. Each block adds one search over the text, and
-    the ranges of all blocks are united afterwards.
+    The benchmark is a stated query set. One of at most ``block_chars`` characters goes to every task as it is. A larger one
+    is written to the shared folder in blocks of about that size, never through the driver, and searched block by block: a task
+    holds the tables of one block alone (of one item at least).
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    df, parts = docs, []
-    for k in range(n):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
-        parts.append(f"_hits{k}")
-        df = df.withColumn(parts[-1], text_udf(FIELDS, lambda block=block: Search(block, window), raw=True)("text"))
-    if n == 1:
-        df = with_struct(df, parts[0], F.col(parts[0]), list(FIELDS))
+    blocks = -(-total // block_chars)
+    if blocks <= 1:
+        known = [tuple(r) for r in items.collect()]  # at most block_chars characters
+        found = with_struct(docs, "_hits", text_udf(FIELDS, lambda: Search(known, window), raw=True)("text"), list(FIELDS))
     else:
-        zero = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-        pairs = F.array_sort(F.flatten(F.array(*[F.arrays_zip(F.col(f"{p}.hit_starts").alias("s"), F.col(f"{p}.hit_ends").alias("e")) for p in parts])))
-        step = lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-        spans = F.aggregate(pairs, zero, step)
-        struct = F.struct(
-            F.col(f"{parts[0]}.n_words").alias("n_words"),
-            F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"),
-            F.transform(spans, lambda x: x["s"]).alias("hit_starts"),
-            F.transform(spans, lambda x: x["e"]).alias("hit_ends"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts])))).alias("items"),
-        )
-        df = with_struct(df, "_hits", struct, list(FIELDS)).drop(*parts)
-    return with_struct(df, "_flag", F.struct(((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")), ["contaminated"])
+        found = search_blocks(docs, items, blocks, window)
+    return with_struct(found, "_flag", F.struct(((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")), ["contaminated"])
+
+
+def search_blocks(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """Hits of all blocks for each row of ``docs``; what one block finds is written before the next is searched.
+
+    Hits belong to a text, not to a row, so they are kept under the text's digest, once for all its copies.
+    """
+    from tidemark.llm.tokens import filesystem
+
+    folder = new_path(docs.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition(F.col("block")).write.partitionBy("block").parquet(folder)
+
+    def block(k: int):
+        def make():
+            from pyarrow import fs, parquet
+
+            store, root = filesystem(f"{folder}/block={k}")
+            if store.get_file_info(root).type == fs.FileType.NotFound:
+                return Search([], window)
+            rows = parquet.read_table(root, columns=["item_id", "text"], filesystem=store, partitioning=None).to_pylist()
+            return Search([(r["item_id"], r["text"]) for r in rows], window)
+
+        return text_udf(FIELDS, make, raw=True)
+
+    found = []
+    for k in range(blocks):
+        hits = docs.where("text is not null").select("text", block(k)("text").alias("h")).where(F.size("h.hit_starts") > 0)
+        hits = hits.groupBy(F.sha2("text", 256).alias("_digest")).agg(F.first("h").alias("h"))
+        found.append(materialise(hits.select("_digest", "h.hit_starts", "h.hit_ends", "h.items"), "hits"))
+    united = found[0]
+    for more in found[1:]:
+        united = united.unionByName(more)
+    ranges = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("hit_starts").alias("s"), F.col("hit_ends").alias("e")))))
+    united = united.groupBy("_digest").agg(union_of(ranges).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    counted = text_udf({"n": "long"}, lambda: lambda texts: [[len(words_of(t)) for t in texts]], raw=True)
+    rows = docs.withColumn("_count", counted("text")).withColumn("_digest", F.sha2("text", 256)).join(united, "_digest", "left")
+    spans = F.coalesce(F.col("_spans"), F.expr(NO_RANGES))
+    hits = F.struct(
+        F.col("_count.n").alias("n_words"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"),
+        F.transform(spans, lambda x: x["s"]).alias("hit_starts"),
+        F.transform(spans, lambda x: x["e"]).alias("hit_ends"),
+        F.coalesce(F.col("_items"), F.expr("cast(array() as array<string>)")).alias("items"),
+    )
+    return with_struct(rows, "_hits", hits, list(FIELDS)).drop("_digest", "_count", "_spans", "_items")
+
+
+def union_of(ranges: Column) -> Column:
+    """Union of sorted half-open ranges (s, e)."""
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (last(acc)["e"] >= x["s"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e")))),
+    ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    return F.aggregate(ranges, F.expr(NO_RANGES), step)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
