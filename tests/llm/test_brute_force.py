@@ -349,9 +349,80 @@ def test_field_on_held_out_names_and_several_tokens():
 
 
 def test_base_pii_spans():
-    text = "a@b.co, 10.0.0.256 192.168.0.1 4111 1111 1111 1111 4111111111111112 +1 (415) 555-0100 +12"
-    assert [(text[s:e], k) for s, e, k in pii.base_spans(text)] == [("a@b.co", "email"), ("192.168.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("+1 (415) 555-0100", "phone")] or \
-        [k for *_, k in pii.base_spans(text)].count("email") == 1
+    text = "a@b.co, 10.0.0.256 192.168.0.1, 4111 1111 1111 1111\n4111111111111112x +1 (415) 555-0100 +12"
+    found = sorted((text[s:e], k) for s, e, k in pii.base_spans(text))
+    assert found == [("+1 (415) 555-0100", "phone"), ("192.168.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("a@b.co", "email")]
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def test_base_pii_spans_match_the_expressions():
+    def holds(kind: str, x: str) -> bool:
+        digits = re.sub("[^0-9]", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+            return 13 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    r = random.Random(16)
+    pieces = ["a", "Z9", "@", ".", "-", "+", " ", "(", ")", "1", "25", "255", "4111 1111 1111 1111", "10.0.0.1", "+1 415 555 0100", "x@y.zz", "é", "٣", "\n", "%", "_"]
+    for _ in range(4000):
+        t = "".join(r.choice(pieces) for _ in range(r.randint(1, 14)))
+        want = [(*m.span(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if holds(k, m[0])]
+        assert pii.base_spans(t) == want, repr(t)
+
+
+def test_trees_find_planted_data_and_leave_numbers_alone(spark):
+    """Data in other dress, planted by forms of this test's own into documents the model never saw: recall and false alarms."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, r = pii.pii_model(docs.where("doc_id % 2 = 0")), random.Random(17)
+    hosts = [x["text"].split() for x in docs.where("doc_id % 2 = 1 and length(text) between 300 and 3000").orderBy("doc_id").limit(60).collect()]
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card(sep: str) -> str:
+        x = "4" + d(14)
+        x += next(c for c in "0123456789" if pii.luhn(x + c))
+        return sep.join(x[i : i + 4] for i in range(0, 16, 4))
+
+    forms = {
+        "email": lambda: r.choice(["mail {} (at) {} (dot) org", "contact {}[at]{}[dot]com", "write to {} at {} dot net"]).format("anna." + d(2), "host" + d(1)),
+        "ip": lambda: "server " + "[.]".join(str(r.randint(1, 254)) for _ in range(4)),
+        "card": lambda: "pay with " + card(r.choice([".", "/", "_"])),
+        "phone": lambda: r.choice(["call ({}) {}-{}", "phone: {}-{}-{}", "tel {}.{}.{}"]).format(d(3), d(3), d(4)),
+        "identity": lambda: f"ssn {d(3)}-{d(2)}-{d(4)}",
+    }
+    for kind, make in forms.items():
+        caught = 0
+        for i in range(60):
+            w, value = list(hosts[i % len(hosts)]), make()
+            at = r.randrange(len(w))
+            text = " ".join(w[:at]) + " " + value + " " + " ".join(w[at:])
+            lo = text.index(value)
+            caught += any(k == kind and s < lo + len(value) and e > lo for s, e, k in pii.scan(text, model))
+        assert caught >= 54, (kind, caught)
+    alarms = sum(len(pii.scan(" ".join(w) + f" version {d(1)}.{d(2)}.{d(3)} costs {d(3)} and {d(2)} on 20{d(2)}", model)) > len(pii.base_spans(" ".join(w))) for w in hosts)
+    assert alarms <= 2
+
+
+def test_long_texts_with_many_spans_end_soon():
+    import time
+
+    model = pii.boost(*(np.array(x, float) for x in zip(*pii.made_examples(600), strict=True)), trees=10)
+    model["threshold"] = dict.fromkeys(pii.KINDS, 0.5)
+    text = " ".join(f"a{i}@b.co 10.0.0.{i % 250} tel ({i % 900 + 100}) 555-{i % 9000 + 1000}" for i in range(20_000))
+    began = time.time()
+    assert len(pii.scan(text, model)) > 40_000 and time.time() - began < 60
+    line = " ".join(f"token=abcdef{i} 0123456789abcdef0123{i:06x}" for i in range(5_000))
+    field = secrets.train(secrets.synthetic(60), rounds=1)
+    assert len(secrets.scan(line, field)) >= 10_000 and time.time() - began < 120
 
 
 def test_trees_on_held_out_examples():
