@@ -6,13 +6,15 @@ beside it and features of the file. A line is a chain, and Viterbi decodes its t
 with nothing but marks between them, a capital after a small letter, or 20 characters and more; lines with neither such
 a token nor a key word have no learned spans. Names part from their values at '='.
 
-Training: lines of at most ``documents`` documents (the smallest hashes of the id), at most MOST_TOKENS tokens of each,
-labelled by the base patterns, and synthetic lines made by rule that show secrets, of one token and of several, and
+Training: lines of at most ``documents`` documents (the smallest hashes of the id), of each its lines of the smallest hashes of
+their places up to MOST_TOKENS tokens, from all of the text, labelled by the base patterns, and synthetic lines made by rule that show secrets, of one token and of several, and
 look-alikes (commit ids, checksums, UUIDs, paths, version strings, prose with key words) in their usual company. The seed
 is fixed.
 
-Defined results: null and empty texts have no spans; spans are in code points, end exclusive; a learned span that
-overlaps a base span is left out; repeated rows give repeated results.
+Defined results: null and empty texts have no spans; whole texts are scanned, line by line, in time linear in their length;
+spans are in code points, end exclusive; a learned span that overlaps a base span is left out; where two taggings weigh the same
+the one with tags outside first wins; repeated rows give repeated results; an empty table gives no rows, and a field
+from made lines alone; of other columns of the input those that are added replace theirs, in any case, the rest stay.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,7 +282,7 @@ def examples(text: str | None) -> list[tuple[list[list[int]], list[int]]]:
     if not text:
         return []
     parts, file, out, left = secret_parts(text), file_features(text), [], MOST_TOKENS
-    for start, end in lines(text):
+    for start, end in sorted(lines(text), key=lambda x: (crc32(f"{x[0]}:{x[1]}:{len(text)}".encode()), x)):
         tokens = tokens_of(text, start, end)
         tags = labels(tokens, parts)
         telling = [i for i, (s, e) in enumerate(tokens) if tags[i]] or [i for i, (s, e) in enumerate(tokens) if TELLING.search(text, s, e)] or [0]
