@@ -129,6 +129,40 @@ def test_jaccard_join_with_salted_shingles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(components_by_hand(texts)))
 
 
+def test_jaccard_join_with_all_thresholds_lowered(spark, monkeypatch):
+    """Salts, large buckets and blocks all at work on copies, near copies, a shared passage and sizes from short to long."""
+    for name, v in (("HOT", 20), ("SMALL", 3), ("BLOCK", 4), ("RECENT", 8)):
+        monkeypatch.setattr(jaccard_join, name, v)
+    r = random.Random(20)
+    base, line = words(r, 80), words(r, 30)
+    texts = [" ".join(base)] * 60 + [noisy(r, base, r.randint(1, 8)) for _ in range(40)]
+    texts += [" ".join(line + words(r, r.randint(3, 40))) for _ in range(60)] + [" ".join(words(r, r.randint(3, 40)) + line) for _ in range(20)]
+    texts += [" ".join(line[: r.randint(5, 30)]) for _ in range(20)] + [noisy(r, line, 1) for _ in range(10)] + AWKWARD
+    r.shuffle(texts)
+    docs = table(spark, texts).repartition(5)
+    got = jaccard_join.near_duplicates(docs).collect()
+    want = components_by_hand(texts)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    kept = sorted(r["doc_id"] for r in jaccard_join.one_of_each_group(docs).collect())
+    assert kept == sorted(set(want))
+
+
+def test_bands_hold_what_can_be_similar(spark):
+    n = spark.range(1, 400).select(F.col("id").cast("int").alias("n"))
+    pairs = n.crossJoin(n.withColumnRenamed("n", "m")).where("n <= m").where(jaccard_join.fits(75))
+    apart = jaccard_join.band("m", 75) - jaccard_join.band("n", 75)
+    assert {r[0] for r in pairs.select(apart).distinct().collect()} == {0, 1}
+
+
+def test_one_row_stays_of_each_group(spark):
+    a, b = "one text of some six words here", "another text that is not like it"
+    rows = [(3, b), (5, a), (5, a), (5, b), (7, a), (None, a), (8, ""), (8, ""), (9, None), (None, "quite alone these five words"), (None, "quite alone these five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else 99, r["text"] or "") for r in jaccard_join.one_of_each_group(docs).collect())
+    assert got == [(3, b), (5, a), (8, ""), (9, ""), (99, "quite alone these five words")]
+    assert jaccard_join.one_of_each_group(docs.where("false")).count() == 0
+
+
 def test_copies_meet_once(spark, monkeypatch):
     """Copies over several tasks give one posting a node and shingle, salted or not."""
     r = random.Random(13)
@@ -139,7 +173,7 @@ def test_copies_meet_once(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "HOT", hot)
         once = jaccard_join.postings(docs.coalesce(1), rank, 5, 75)
         assert once.count() == once.select("token", "node").distinct().count()
-        met = jaccard_join.meet(jaccard_join.postings(docs, rank, 5, 75))
+        met = jaccard_join.meet(jaccard_join.postings(docs, rank, 5, 75), 75)
         assert met.count() == met.select("token", "node").distinct().count()
         assert met.isEmpty() == (hot > 3)
 

@@ -9,16 +9,19 @@ For a pair the smaller l of both holds, over the prefixes that belong to it.
 
 Postings meet by shingle. A bucket of at most SMALL nodes yields its pairs, and those with enough meetings are verified
 on their whole sets. A larger bucket yields a chain of neighbours only. What chains leave open is settled without all
-pairs: nodes linked so far form components, nodes of similarity of half the threshold's odds or more form loose groups,
-and a loose group with several components is compared block against block inside tasks of bounded size, blocks of the same
-component left out; only links come back. Pairs that meet in a large bucket across loose groups are verified one by one.
-So no link between different components is lost, and no link inside one needs to be looked for.
+pairs: nodes linked so far form components, components of which some nodes are half alike form loose groups, and a loose
+group with several components is compared block against block inside tasks of bounded size, blocks of the same component
+left out; only links come back. Across loose groups, nodes that meet in a large bucket are paired within neighbouring bands of
+set size, and those with enough meetings are verified one by one. So no link between different components is lost, and no
+link inside one needs to be looked for.
 
 A node is named by a 64-bit hash of its sorted set: sets of 3e10 documents would hold some tens of accidental matches.
 
-Defined results: null, empty and wordless texts have an empty set, link with nothing and are components of their own;
-repeated rows and equal texts share a component; a null id gets its component like others (its own id counts as
-absent; a component of such rows alone is null); an empty table gives no rows.
+Defined results: null, empty and wordless texts have an empty set, link with nothing and are components of their own; whole
+texts are read, in memory that grows with the one text; repeated rows and equal texts share a component, and ties don't
+arise, as a component is named by its smallest id; a null id gets its component like others (its own id counts as
+absent; a component of such rows alone is null); an empty table gives no rows; columns of the input beside doc_id and text,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -166,21 +169,27 @@ def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
     return docs.select("text").mapInArrow(run, "token long, node long, n int, level short, l short, salt int")
 
 
+def band(n: str | Column, percent: int) -> Column:
+    """Band of a set's size: sets that can be similar lie in the same or in neighbouring bands."""
+    return F.floor(F.log(F.col(n)) / np.log(100 / percent) - 1e-9).cast("int")
+
+
 def fits(percent: int) -> Column:
     """Sets of sizes n and m can be similar."""
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
 
 
-def meet(posts: DataFrame) -> DataFrame:
+def meet(posts: DataFrame, percent: int) -> DataFrame:
     """Postings whose bucket holds another node, with the nodes before them in the bucket: all in a small bucket, else one.
 
-    A node comes once in a bucket, however many copies there are. A salted bucket is but a part of its token's nodes:
+    Nodes stand in order of the band of their size, then in one of four orders by hash, so that neighbours in large
+    buckets can be similar and differ from shingle to shingle. A node comes once in a bucket, however many copies there are. A salted bucket is but a part of its token's nodes:
     all its rows stay, as of a large bucket, whatever its size.
     """
     bucket = Window.partitionBy("token", "salt")
-    line = bucket.orderBy("turn", "node")
+    line = bucket.orderBy("band", "turn", "node")
     before = F.collect_list(F.struct("node", "n", "level", "l")).over(line.rowsBetween(-(SMALL - 1), -1))
-    rows = posts.withColumn("turn", F.xxhash64("node", F.pmod("token", F.lit(4))))
+    rows = posts.withColumn("turn", F.xxhash64("node", F.pmod("token", F.lit(4)))).withColumn("band", band("n", percent))
     rows = rows.withColumn("last", F.lag("node").over(line)).where("last is null or last <> node")  # once a node; same sort as below
     rows = rows.select(*posts.columns, "turn", F.count("*").over(bucket).alias("size"), before.alias("before")).where("size > 1 or salt > 0")
     rows = rows.withColumn("large", (F.col("size") > SMALL) | (F.col("salt") > 0))
@@ -261,14 +270,18 @@ def compared(blocks: DataFrame, percent: int, size: int) -> DataFrame:
     return blocks.groupBy("loose", "one", "two").applyInArrow(run, "a long, b long")
 
 
-def open_links(met: DataFrame, checked: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between different components of the links in ``checked`` that large buckets may still hide."""
-    large = met.where("large").select("token", "node", "n", "level", "l")
-    strict = connected_components(checked.where(100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter"))).select("a", "b"))
-    loose = connected_components(checked.where(2 * F.col("inter") >= F.col("n") + F.col("m") - F.col("inter")).select("a", "b"))
-    named = large.select("node").distinct()
-    named = named.join(strict, "node", "left").join(loose.withColumnRenamed("component", "loose"), "node", "left")
-    named = materialise(named.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("loose", "node").alias("loose")), "named")
+def alike(odds: int) -> str:
+    """Condition on n, m, inter: similarity of ``odds`` percent or more."""
+    return f"100 * inter >= {odds} * (n + m - inter)"
+
+
+def open_links(met: DataFrame, checked: DataFrame, strict: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links between different components (``strict``: node, component) that large buckets may still hide."""
+    large = met.where("large").select("token", "node", "n", "level", "l", band("n", percent).alias("band"))
+    half = of_components(checked.where(alike(50)).select("a", "b"), strict)
+    loose = connected_components(half).select(F.col("node").alias("component"), F.col("component").alias("loose"))
+    named = large.select("node").distinct().join(strict, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named = materialise(named.join(loose, "component", "left").select("node", "component", F.coalesce("loose", "component").alias("loose")), "named")
 
     # Inside loose groups: blocks of one large component, or of several small ones, by hash.
     sized = named.groupBy("loose", "component").count()
@@ -285,22 +298,29 @@ def open_links(met: DataFrame, checked: DataFrame, texts: DataFrame, percent: in
     right = pairs.where("one < two").join(placed, (pairs.loose == placed.loose) & (pairs.two == placed.block)).select(pairs.loose, "one", "two", F.lit(1).alias("side"), "node", "component")
     inside = compared(left.unionByName(right).join(texts, "node"), percent, size)
 
-    # Across loose groups: pairs of groups that share a token, then the pairs of their nodes.
+    # Across loose groups: pairs of groups that share a token in bands that fit, then the pairs of their nodes.
     where = large.join(named.select("node", "loose"), "node")
-    groups = where.groupBy("token", "loose").count().drop("count")
-    mixed_tokens = groups.groupBy("token").agg(F.min("loose").alias("lo"), F.max("loose").alias("hi")).where("lo < hi").select("token")
+    mixed_tokens = where.groupBy("token").agg(F.min("loose").alias("lo"), F.max("loose").alias("hi")).where("lo < hi").select("token")
     where = materialise(where.join(mixed_tokens, "token", "left_semi"), "across")
-    groups = where.select("token", "loose").distinct()
-    met_groups = groups.join(groups.withColumnRenamed("loose", "other"), "token").where("loose < other")
-    sides = met_groups.join(where, ["token", "loose"]).select("token", "other", F.col("node").alias("a"), "n", F.col("level").alias("la"), F.col("l").alias("l1"))
-    sides = sides.join(where.select("token", F.col("loose").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("level").alias("lb"), F.col("l").alias("l2")), ["token", "other"])
+    groups = where.select("token", "band", "loose").distinct()
+    others = groups.select("token", F.col("band").alias("other_band"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("loose").alias("other"))
+    met_groups = groups.join(others, ["token", "band"]).where("loose <> other and (band <> other_band or loose < other)")
+    sides = met_groups.join(where, ["token", "band", "loose"]).select("token", "other_band", "other", F.col("node").alias("a"), "n", F.col("level").alias("la"), F.col("l").alias("l1"))
+    sides = sides.join(where.select("token", F.col("band").alias("other_band"), F.col("loose").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("level").alias("lb"), F.col("l").alias("l2")), ["token", "other_band", "other"])
     many = sides.where(fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *meeting("la", "lb", "l1", "l2"))
     few = small_pairs(met, percent).join(many.select("a", "b").distinct(), ["a", "b"], "left_semi")
     across = counted(many.unionByName(few)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    across = verified(across, texts, size).where(100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter")))
+    across = verified(across, texts, size).where(alike(percent))
     return inside.unionByName(across.select("a", "b"))
 
 
+def of_components(links: DataFrame, components: DataFrame) -> DataFrame:
+    """Links of nodes (a, b) as links of their components (node, component); nodes without one stand for themselves."""
+    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+
+
 def meeting(level_a: str, level_b: str, l_a: str, l_b: str) -> list[Column]:
     """hits: 1 where the token belongs to the prefixes that count for the pair; enough: how many hits the pair needs."""
     l = F.least(F.col(l_a), F.col(l_b))
@@ -314,12 +334,16 @@ def small_pairs(met: DataFrame, percent: int) -> DataFrame:
     return rows.where((F.col("node") != F.col("other")) & fits(percent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), *meeting("level", "lb", "l", "l2"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) for every row of ``docs`` (doc_id, text)."""
+def clustered(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, node, component, component_id for every row of ``docs`` (doc_id, text).
+
+    ``node`` names the set of the row's shingles, ``component`` the group of linked sets (both null for an empty set), and
+    component_id is the smallest id in it.
+    """
     rows = materialise(digests(docs, size), "digests")
     rank = sketch(rows)
     ids = rows.where("counts is null").select("doc_id", "n", "node")
-    met = materialise(meet(postings(docs, rank, size, percent)), "met")
+    met = materialise(meet(postings(docs, rank, size, percent), percent), "met")
 
     chains = met.where("large").select("node", "n", F.explode("before").alias("x")).select("node", "n", F.col("x.node").alias("other"), F.col("x.n").alias("m"))
     chains = chains.where((F.col("node") != F.col("other")) & fits(percent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.lit(1).alias("hits"), F.lit(1).alias("enough"))
@@ -331,15 +355,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     texts = materialise(packed_texts(docs, firsts.join(wanted, "node", "left_semi"), size), "texts")
     checked = materialise(verified(pairs, texts, size), "checked")
 
-    links = checked.where(100 * F.col("inter") >= percent * (F.col("n") + F.col("m") - F.col("inter"))).select("a", "b")
+    group = connected_components(checked.where(alike(percent)).select("a", "b"))
     if not met.where("large").isEmpty():
-        links = links.unionByName(open_links(met, checked, texts, percent, size))
-    group = connected_components(links)
-    nodes = firsts.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+        more = materialise(of_components(open_links(met, checked, group, texts, percent, size), group), "more")
+        if not more.isEmpty():  # components that meet after all take the name of the smallest
+            renamed = connected_components(more).withColumnRenamed("component", "merged")
+            named = group.unionByName(renamed.select("node", F.col("node").alias("component")).join(group, "node", "left_anti"))
+            renamed = renamed.withColumnRenamed("node", "component")
+            group = named.join(renamed, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    nodes = materialise(firsts.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "nodes")
     least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    nodes = nodes.join(least, "component").select("node", "component_id")
-    whole = ids.where("node is not null").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(ids.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    nodes = nodes.join(least, "component").select("node", "component", "component_id")
+    whole = ids.where("node is not null").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), "node", "component", "component_id")
+    none = F.lit(None).cast("long")
+    return whole.unionByName(ids.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), "node", none.alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) for every row of ``docs`` (doc_id, text)."""
+    return clustered(docs, percent, size).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of similar texts: that of the smallest id (null last), then set.
+
+    Rows whose id and set both repeat are one document and stay once, with the smallest text. Texts without words are groups of
+    their own, one for each id.
+    """
+    groups = clustered(docs, percent, size)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col("node").alias("set"))
+    kept = groups.where("component is not null").groupBy("component").agg(F.min(key).alias("_key")).select("_key")
+    kept = kept.unionByName(groups.where("component is null").select(key.alias("_key")).distinct())
+    own = text_udf({"n": "long"}, lambda: lambda texts: [[node_of(s) if len(s) else None for s in (shingles(t, size) for t in texts)]])
+    rows = docs.withColumn("_node", own("text")["n"])
+    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col("_node").alias("set")).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    rows = rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.coalesce(F.col("_row.text"), F.lit(""))).alias("_row"))
+    return rows.select("_row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
