@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet into the shared folder and
 reads again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is scored by the classifier like any other; kept, it is a group of its own, has no
+benchmark words and no secrets, stays null, and is packed as a piece without tokens. Whole texts are worked on. Rows that repeat
+an id and a text stay once from the second stage on; of documents that tie in a group the smallest id stays. Empty tables
+give empty results; other columns of documents pass through all stages but the last, and those whose names a stage would use
+within keep their values.
 """
 
 from __future__ import annotations
@@ -21,10 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of similar documents, and all that link with none."""
-    groups = jaccard_join.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The document of smallest id of each group of similar documents, and all that link with none; a repeated row stays once."""
+    return jaccard_join.one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
