@@ -267,6 +267,14 @@ def test_packing_is_sound(spark):
         assert (d.start.values == np.cumsum(d.n_tokens.values) - d.n_tokens.values).all()
 
 
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("n_tokens"))
+    got = packing.numbered(rows, step=64).collect()
+    assert sorted(r["copy"] for r in got) == list(range(5000))
+    out = packing.pack_documents(rows, shard_rows=600)
+    assert out.count() == 5000 and out.select(F.expr("bin >> 32")).distinct().count() == 9
+
+
 def test_best_fit_by_hand():
     r = random.Random(6)
     for _ in range(30):

@@ -9,8 +9,10 @@ Fitted on at most ``per_class`` labelled documents of each label (the smallest h
 trains the network on at most ``chunks_per_doc`` chunks a document and another part the combination, on whole documents.
 Scoring covers every byte of every document.
 
-Defined results: null and empty texts are scored as one chunk of padding; repeated rows get equal scores; without
-labels of both values the score is the share of label 1 (0.5 without any label).
+Defined results: null and empty texts are scored as one chunk of padding; very long texts by all their chunks, in blocks of
+bounded size; repeated rows and ties get equal scores; without labels of both values the score is the share of label 1 (0.5
+without any label); an empty table gives no rows; the score is one column, so other columns, whatever their names, are
+left as they are.
 """
 
 from __future__ import annotations

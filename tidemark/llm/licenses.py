@@ -9,8 +9,9 @@ such a pair is 2 ** -BANDS, and each retrieved pair is then verified exactly.
 Windows are built around anchor words only, which loses nothing: anchors are words of the template such that fewer
 shingles than a match needs are without one. Texts without any anchor are put aside by one regular expression.
 
-Defined results: null and empty texts match nothing; rows of equal id are reported together; several templates of equal
-text are all reported; an empty table gives no rows.
+Defined results: null and empty texts match nothing; whole texts are scanned, in arrays that grow with the one text; rows of
+equal id are reported together, repeated rows as one; several templates of equal text are all reported, which settles ties;
+an empty table gives no rows; columns of the input beside doc_id and text, whatever their names, are not carried.
 """
 
 from __future__ import annotations

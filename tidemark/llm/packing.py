@@ -9,8 +9,10 @@ downsized to the smallest capacity that holds its contents. The cost of a bin is
 
 Documents longer than the largest capacity are cut into pieces of that capacity and a rest.
 
-Defined results: null or non-positive lengths give no piece (a text always has its end token, so op5 has one for every
-row); ties go by id, then piece; repeated rows are packed as documents of their own; an empty table gives no rows.
+Defined results: null or non-positive lengths give no piece (a null or empty text has its end token, so op5 has a piece for
+every row); very long texts are cut as said; ties go by id, then piece; repeated rows are packed as documents of their own,
+and rows of one id and length, however many, are dealt to all shards by their number; an empty table gives no rows; columns
+of the input beside doc_id and n_tokens (doc_id and text for token_lengths), whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -108,8 +110,15 @@ def pack_documents(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
             "bin": pa.array((key[0].as_py() << 32) + np.array(bins, np.int64), pa.int64()), "capacity": pa.array(sizes[np.array(bins, int)], pa.int32()), "offset": pa.array(offsets, pa.int32()),
         })
 
-    shard = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).alias("shard")
-    return rows.select("doc_id", "n_tokens", shard).groupBy("shard").applyInArrow(run, PACKED)
+    shard = F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(shards)).alias("shard")
+    return numbered(rows).select("doc_id", "n_tokens", shard).groupBy("shard").applyInArrow(run, PACKED)
+
+
+def numbered(rows: DataFrame, step: int = 1000) -> DataFrame:
+    """doc_id, n_tokens, copy: equal rows are counted, on the map side first, and get numbers, so a hash can part them."""
+    rows = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("n"))
+    rows = rows.select("doc_id", "n_tokens", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {step}"))).alias("team"))
+    return rows.select("doc_id", "n_tokens", F.explode(F.sequence(F.col("team") * step, F.least(F.col("n"), (F.col("team") + 1) * step) - 1)).alias("copy"))
 
 
 def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
