@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import dialects
-from tidemark.operators import attribution, fallback, fusion, inventory
+from tidemark.functions import dialects, effects, regexes
+from tidemark.operators import attribution, fallback, fusion, inventory, profile
 from tidemark.sources import repos
 from tidemark.sources.entrypoints import entrypoints
 
@@ -10,7 +10,8 @@ TREE = {
     "Makefile": "build: deps\n\tgcc\nVAR := 1\n.PHONY: build\n",
     "package.json": '{"scripts": {"start": "x", "lint": "y"}, "dependencies": {"KafkaJS": "1"}}',
     "requirements.txt": "requests>=2\n# none\nFoo_Bar\n",
-    "app/cli.py": 'import requests\n\n@app.command()\ndef fetch():\n    requests.get("u")\n\n@app.command("push")\ndef push_all():\n    session.commit()\n\nopen("x")\n',
+    "app/cli.py": 'import requests\n\n@app.command()\ndef fetch():\n    requests.get("u")\n\n@app.command("push")\ndef push_all():\n    session.commit()\n',
+    "app/job.py": 'def inner():\n    deep()\n\ndef deep():\n    requests.post("u")\n\ndef unused():\n    open("y", "w")\n\ninner()\n',
     "app/broken.py": "@app.command(\n",
     "README.md": "# x\nThe push command will publish results and costs money.\nNothing else is irreversible.\n",
     ".env": "SECRET=1",
@@ -35,8 +36,19 @@ def files(spark, tmp_path_factory):
 
 
 def test_walk(files):
-    listed = {r["rel"] for r in files.collect()}
-    assert listed == set(TREE) - {".env", "node_modules/x/index.js"}
+    listed = {r["rel"]: r["walk_ord"] for r in files.collect()}
+    assert set(listed) == set(TREE) - {".env", "node_modules/x/index.js"}
+    order = sorted(listed, key=lambda rel: (rel.split("/")[:-1], rel))
+    assert [listed[r] for r in order] == list(range(1, len(listed) + 1))
+    assert order[0] == "Makefile" and listed["crontab"] < listed[".github/workflows/ci.yml"] < listed["app/cli.py"]
+
+
+def test_unreadable_files_are_listed_without_a_text(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1")
+    (tmp_path / "kubeconfig").write_text("secret")
+    (tmp_path / "prod.env").write_text("secret")
+    rows = {r["rel"]: r["text"] for r in repos.read_repo(spark, str(tmp_path)).collect()}
+    assert rows == {"a.py": "x = 1"}
 
 
 def test_subdir_must_stay_inside(spark, tmp_path):
@@ -57,25 +69,183 @@ def test_dependencies(files):
 
 
 def test_candidates(files):
-    got = {(r["dialect"], r["op"]) for r in dialects.candidates(files).collect()}
+    got = {(r["dialect"], r["id"]) for r in dialects.candidates(repos.stored(files)).collect()}
     assert got == {
-        ("make-target", "build"), ("package-scripts", "start"), ("package-scripts", "lint"), ("cli-python", "fetch"), ("cli-python", "push"), ("github-actions", "test"),
-        ("github-actions", "deploy"), ("web-js", "GET /users"), ("proto-service", "Shop.Buy"), ("terraform", "resource.aws_s3_bucket"), ("kubernetes", "Service/web"),
-        ("kubernetes", "Job/sync"), ("ansible", "Setup hosts"), ("crontab", "backup"),
+        ("make-target", "make-build"), ("package-scripts", "script-start"), ("package-scripts", "script-lint"), ("cli-python", "fetch"), ("cli-python", "push"), ("github-actions", "job-test"),
+        ("github-actions", "job-deploy"), ("web-js", "get-users"), ("proto-service", "shop-buy"), ("terraform", "tf-aws-s3-bucket-logs"), ("kubernetes", "k8s-service-web"),
+        ("ansible", "play-setup-hosts"), ("crontab", "cron-usr-bin-backup"),
     }
 
 
-def test_brace_range(files):
-    r = dialects.braced(files).first()
-    assert (r["line"], r["lo"], r["hi"]) == (1, 1, 4)
+def test_declarations_tell_capabilities_and_triggers(files):
+    rows = {r["id"]: r for r in dialects.candidates(files).collect()}
+    told = {i: (rows[i]["caps"], rows[i]["effect"], rows[i]["trigger"]) for i in ("job-deploy", "cron-usr-bin-backup", "tf-aws-s3-bucket-logs", "k8s-service-web", "fetch")}
+    assert told == {
+        "job-deploy": (["shell.exec", "deploy.op"], "effectful-local", "event"), "cron-usr-bin-backup": (["shell.exec"], "effectful-local", "scheduled"),
+        "tf-aws-s3-bucket-logs": (["storage.object"], "effectful-external", "manual"), "k8s-service-web": (["deploy.op"], "effectful-external", "manual"), "fetch": ([], None, "manual"),
+    }
+
+
+def test_own_dialects(files, spark):
+    def notes(df):
+        rows = df.where("rel = 'README.md'").select("repo", "rel", F.lit(1).alias("line"))
+        return dialects.declared(rows, "notes", "note", F.lit("read me"), id=F.lit("read me"), name=F.lit("Read me"), detail=F.lit("a note"))
+
+    dialects.register("notes", notes, ("library",))
+    try:
+        with pytest.raises(ValueError, match="registered already"):
+            dialects.register("notes", notes)
+        classes = spark.createDataFrame([("r", "library")], "repo string, repo_class string")
+        got = {r["dialect"] for r in dialects.candidates(files, classes).collect()}
+        assert "notes" in got and "ansible" not in got and "make-target" in got
+        assert "notes" not in {r["dialect"] for r in dialects.candidates(files, classes.withColumn("repo_class", F.lit("unknown"))).collect()}
+    finally:
+        del dialects.READERS["notes"], dialects.CLASSES["notes"]
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "expected"),
+    [
+        ("js", "f(() => {\n  const s = '}';\n  /* } */\n})", (1, 4)), ("js", "f(`}${x}`, { a: '\\\'}' })", (1, 1)), ("js", "f({ // }\n", None), ("go", "func a() {\n\tx := `}`\n}", (1, 3)), ("go", "func a() { s := \"}", None),
+        ("jvm", 'void a() {\n  String s = """\n  } " }\n  """;\n}', (1, 5)), ("jvm", "char c() { return '}'; }", (1, 1)), ("rust", 'fn f<\'a>(x: &\'a str) {\n  let s = r#"}"#;\n  let c = \'}\';\n}', (1, 4)),
+        ("rust", "fn f() { /* } /* } */ } */ }", (1, 1)), ("rust", 'format!("{{}}") }', None), ("js", "no braces", None),
+    ],
+)
+def test_brace_range(language, text, expected):
+    assert regexes.brace_range(text, 0, language) == expected
+
+
+def test_scan_gives_places(spark):
+    text = "ab\nxx ab\n\nab"
+    rows = regexes.scan(spark.createDataFrame([("r", "f", text), ("r", "g", None), ("r", "h", "")], "repo string, rel string, text string"), "a(b)").collect()
+    assert [(r["line"], r["start"], r["end"]) for r in rows] == [(1, 0, 2), (2, 6, 8), (4, 10, 12)]
+    assert all(text[r["start"] : r["end"]] == r["m"] for r in rows)
+
+
+RUST = {
+    "Cargo.toml": '[workspace]\nmembers = ["crates/tool"]\n',
+    "crates/tool/Cargo.toml": '[package]\nname = "t"\n[[bin]]\nname = "tool-main"\npath = "x"\n[dependencies]\nredis = "1"\n',
+    "crates/tool/src/main.rs": '#[derive(Parser)]\n#[command(name = "tool", about = "x")]\nstruct Cli {}\n\n#[derive(Debug, Subcommand)]\nenum Todo {\n    /// fetch\n    FetchAll { url: String },\n    #[command(name = "show", about = "Show it")]\n    Report,\n    Status(u8),\n}\n\n#[tokio::main]\nasync fn main() {\n    println!("{{}}");\n}\n',
+    "crates/tool/src/web.rs": 'fn app() {\n    Router::new().route("/a", get(h).post(h)).service(metrics_page);\n}\n\n#[get("/b")]\nasync fn b<\'a>() {\n}\n',
+}
+GO = {
+    "cmd/x/main.go": 'package main\n\nfunc main() {\n\tcommands.Run()\n}\n',
+    "cmd/root.go": 'var c = &cobra.Command{\n\tUse: "drain all",\n\tShort: "Drain {it}",\n}\n\nfunc Serve() {\n\thttp.HandleFunc("/healthz", h)\n\tclient.Get("/no")\n\tr.GET("/items/:id", h)\n}\n\nfunc NewCmd() *cobra.Command {\n\treturn nil\n}\n',
+}
+JVM = {
+    "A.java": '@RestController\n@RequestMapping("/api")\npublic class A {\n  @GetMapping\n  public String all() {\n    return "}";\n  }\n  @RequestMapping(value = "/x", method = RequestMethod.PUT)\n  abstract String put();\n  @Scheduled(cron = "0")\n  void cleanUp() {\n  }\n}\nclass B {\n  @KafkaListener(topics = "t")\n  void onOrder(String o) {}\n  public static void main(String[] args) {}\n}\n',
+}
+
+
+@pytest.mark.parametrize(
+    ("tree", "expected"),
+    [
+        (RUST, {"member-tool", "bin-tool-main", "tool", "fetchall", "show", "status", "tool-main", "get-a", "post-a", "service-metrics-page", "get-b"}),
+        (GO, {"main", "drain", "serve", "http-healthz", "get-items-id"}),
+        (JVM, {"get-api", "put-api-x", "scheduled-clean-up", "kafka-on-order", "main"}),
+    ],
+)
+def test_declarations_of_braced_languages(spark, tree, expected):
+    df = spark.createDataFrame([("r", k, v) for k, v in tree.items()], "repo string, rel string, text string")
+    rows = {r["id"]: r for r in dialects.candidates(df).collect()}
+    assert set(rows) == expected
+    if tree is JVM:
+        assert (rows["get-api"]["lo"], rows["get-api"]["hi"]) == (4, 7) and rows["put-api-x"]["lo"] is None
+        assert rows["scheduled-clean-up"]["trigger"] == "scheduled" and rows["kafka-on-order"]["caps"] == ["queue.consume"]
+    if tree is RUST:
+        assert rows["show"]["detail"] == "clap subcommand show — Show it" and rows["tool-main"]["kind"] == "rust-async-main"
+
+
+@pytest.mark.parametrize(
+    ("call", "pattern"),
+    [
+        ("os.environ.get('X')", None), ("d.get('X')", None), ("open('f')", "file-read-open"), ("open('f', 'w')", "file-write-open"), ("open('f', mode='rb')", "file-read-open"),
+        ("session.execute('select 1')", "db-execute-read"), ("session.execute('delete')", None), ("session.execute(x)", None), ("cursor.executemany(text('x'))", "db-execute-read"), ("requests.request('GET')", "http-request-generic"),
+        ("a.b.requests.get('u')", None), ("requests.sessions.get('u')", "http-reading"), ("print('x')", None), ("f(x)[0].save()", None), ("stripe.Charge.create()", "payment-resource"), ("subprocess.run([])", "subprocess-exec"), ("run()", None),
+    ],
+)
+def test_patterns(spark, call, pattern):
+    df = spark.createDataFrame([("r", "a.py", call)], "repo string, rel string, text string")
+    rows = effects.matched(effects.python_calls(df)).where("pattern is not null").collect()
+    assert [r["pattern"] for r in rows] == ([pattern] if pattern else [])
+
+
+def test_only_what_the_module_reaches_is_traced(files):
+    got = {(r["rel"], r["line"], r["capability"]) for r in effects.effect_sites(effects.python_calls(files)).collect()}
+    assert got == {("app/cli.py", 5, "http.request"), ("app/cli.py", 9, "data.write"), ("app/job.py", 5, "http.request")}
+
+
+def test_depth_ends_the_trace(spark):
+    chain = "".join(f"def f{i}():\n    f{i + 1}()\n" for i in range(1, 5)) + "def f5():\n    open('x')\n"
+    df = spark.createDataFrame([("r", "a.py", chain + "f1()\nopen('y')\n"), ("r", "b.py", chain + "f3()\nopen('y')\n")], "repo string, rel string, text string")
+    got = {(r["rel"], r["line"]) for r in effects.effect_sites(effects.python_calls(df)).collect()}
+    assert got == {("a.py", 12), ("b.py", 10), ("b.py", 12)}
 
 
 def test_inventory(files):
     ops = {r["id"]: r for r in inventory.build_inventory(files, repos.dependencies(files)).collect()}
     assert ops["fetch"]["requires"] == ["http.request"] and ops["fetch"]["stage"] == "acquire"
-    assert ops["push"]["requires"] == ["data.write"] and ops["push"]["gate"] == ["publish", "spend"] and ops["push"]["confidence"] == "high"
+    assert ops["push"]["requires"] == ["data.write"] and ops["push"]["gate"] == ["publish", "spend"] and ops["push"]["confidence"] == "high" and ops["push"]["gate_confidence"] == "low"
     assert ops["fetch"]["confidence"] == "medium"  # an import of requests alone leaves its use open
-    assert ops["build"]["requires"] == ["external.call"] and ops["build"]["confidence"] == "low"
+    assert ops["make-build"]["requires"] == ["shell.exec"] and ops["make-build"]["confidence"] == "medium" and ops["make-build"]["deterministic"]
+    assert ops["get-users"]["requires"] == ["external.call"] and ops["get-users"]["confidence"] == "low"
+    assert [(e["source"], e["loc"]) for e in ops["fetch"]["evidence"]] == [("declared", "app/cli.py:4"), ("traced", "app/cli.py:5"), ("inferred", "manifest")]
+    assert {e["source"] for e in ops["get-users"]["evidence"]} == {"declared", "proposed"}
+    assert all(o["requires"] and o["evidence"] for o in ops.values())
+
+
+SYNC = """import click, requests, sqlalchemy
+
+
+def _engine():
+    return sqlalchemy.create_engine("x")
+
+
+@click.group()
+def cli():
+    pass
+
+
+@cli.command()
+def fetch():
+    r = requests.get("u")
+    with Session(_engine()) as session:
+        session.add(r)
+        session.commit()
+
+
+@cli.command()
+def publish(target):
+    body = open("d.md").read()
+    requests.post(target, json=body)
+
+
+@cli.command()
+def status():
+    with Session(_engine()) as session:
+        return session.execute(select(1))
+
+
+if __name__ == "__main__":
+    cli()
+"""
+
+
+def test_a_command_line_tool_end_to_end(spark):
+    tree = {
+        "src/cli.py": SYNC, "pyproject.toml": '[project]\ndependencies = ["click>=8", "requests", "sqlalchemy", "feedparser", "pytest"]\n[project.scripts]\nsync = "src.cli:cli"\n',
+        "README.md": "Publishing cannot be undone.\nThe status step is optional.\n",
+    }
+    df = spark.createDataFrame([("r", k, v, len(v)) for k, v in tree.items()], "repo string, rel string, text string, size long")
+    deps = repos.dependencies(df)
+    rows = {r["id"]: r for r in fallback.draft_inventory(df, deps).collect()}
+    assert {"fetch", "publish", "status", "unresolved-external-calls"} <= set(rows) and "cli" not in rows
+    assert set(rows["fetch"]["requires"]) == {"http.request", "data.write"}
+    assert rows["status"]["stage"] == "observe" and rows["status"]["requires"] == ["data.query"] and rows["status"]["optional"]
+    assert rows["publish"]["stage"] == "deliver" and rows["publish"]["effect"] == "effectful-external" and rows["publish"]["gate"] == ["irreversible", "publish"]
+    assert {r["name"] for r in inventory.match_providers(deps)[1].collect()} == {"feedparser"}
+    cls = profile.classify(df, deps, entrypoints(df)).first()
+    assert (cls["repo_class"], cls["class_confidence"]) == ("cli-tool", "high")
 
 
 def test_leftovers(spark):

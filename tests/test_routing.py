@@ -37,7 +37,9 @@ def test_summary_counts_required_only(spark):
     s = routing.summarise(resolved(spark, [c[0] for c in CASES])).first()
     assert (s["operations"], s["required"], s["optional"], s["n_ask_user"], s["n_drop"]) == (6, 5, 1, 1, 1)
     assert s["coverage"] == pytest.approx((1 + 1 + 0.9 + 0.25 + 0.5) / 5)
-    assert s["halted"] == ["asked"] and s["lost_optional"] == ["left-out"] and s["lost"] == [] and not s["executable"]
+    assert (s["n_halted"], s["n_lost_optional"], s["n_lost"], s["n_degraded"]) == (1, 1, 0, 1) and not s["executable"]
+    told = {(r["outcome"], r["id"], r["stand_in"]) for r in routing.outcomes(resolved(spark, [c[0] for c in CASES])).collect()}
+    assert told == {("halted", "asked", None), ("lost_optional", "left-out", None), ("degraded", "substitute", "card")}
 
 
 def test_sound_rows_break_no_invariant(spark):
@@ -68,3 +70,14 @@ def test_question_names_every_deferred_gate(spark):
     rows = resolved(spark, [c[0] for c in CASES]).withColumn("question", routing.question(F.col("id"), F.col("missing"), F.col("deferred_gates")))
     assert routing.unsurfaced_gates(rows).count() == 0
     assert routing.unsurfaced_gates(rows.withColumn("question", F.lit("?"))).count() == 2
+
+
+def test_unknown_stand_in_is_an_error(spark):
+    ops = spark.createDataFrame([("r", "x", ["a"], False, [], "nothing")], OPS)
+    with pytest.raises(ValueError, match="nothing"):
+        routing.check_standins(ops, spark.createDataFrame([("card", 0.1)], "stand_in string, fidelity double"))
+
+
+def test_question_names_the_safe_default(spark):
+    row = spark.range(1).select(routing.question(F.lit("x"), F.array(F.lit("a.b")), F.array(F.lit("spend"), F.lit("irreversible"))).alias("q")).first()["q"]
+    assert "IRREVERSIBLE" in row and row.endswith("Default: change nothing.")

@@ -13,4 +13,4 @@ def test_activity_stream_matches_batch(spark, tmp_path):
 def test_inventory_stream(spark, tmp_path):
     spark.createDataFrame([("r", "Makefile", "build: x\n", 1)], "repo string, rel string, text string, walk_ord int").write.parquet(str(tmp_path / "files"))
     incremental.inventory_stream(spark, str(tmp_path / "files"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["build"]
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["make-build"]

@@ -49,3 +49,24 @@ def test_camel_path_and_line(spark):
     assert value(spark, "fetchAllItems", T.split_camel) == "fetch All Items"
     assert value(spark, "/api/", lambda c: T.join_path(c, F.lit("/users"))) == "/api/users"
     assert value(spark, "a\nb\nc", lambda c: T.line_of(c, F.lit(4))) == 3
+
+
+@pytest.mark.parametrize(("text", "lines"), [("", []), ("a", ["a"]), ("aa bb cc", ["aa bb", "cc"]), ("  toolongword x ", ["toolongword", "x"]), (None, None)])
+def test_wrap(spark, text, lines):
+    assert value(spark, text, lambda c: T.wrap(c, 5)) == lines
+
+
+@pytest.mark.parametrize(("seconds", "stamp"), [(0.0005, "00:00:00,000"), (0.0015, "00:00:00,002"), (3661.25, "01:01:01,250")])
+def test_timestamps_round_half_to_even(spark, seconds, stamp):
+    assert spark.range(1).select(T.srt_seconds(F.lit(seconds)).alias("x")).first()["x"] == stamp
+
+
+def test_clip_redacts_first(spark):
+    out = value(spark, "password = hunter2hunter2 " + "x" * 50, lambda c: T.clip(c, 20))
+    assert "hunter2" not in out and out.endswith("chars truncated]")
+    assert value(spark, None, T.clip) == ""
+
+
+@pytest.mark.parametrize(("json", "kind", "out"), [("true", "number", None), ("3", "number", "3.0"), ("3.0", "integer", None), ('"a"', "string", "a"), ("3", "string", None), ("x", "string", None), ("[1]", "other", "[1]")])
+def test_coerced(spark, json, kind, out):
+    assert value(spark, json, lambda c: T.coerced(c, F.lit(kind))) == out

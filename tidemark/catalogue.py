@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from tidemark.plans import dialect_queries, extract_queries, inventory_queries, inventory_sql, selection_queries, text_queries
+from tidemark.plans import dialect_queries, extract_queries, inventory_queries, inventory_sql, profile_queries, selection_queries, text_queries
 
-QUERIES: dict = {**inventory_queries.QUERIES, **text_queries.QUERIES, **extract_queries.QUERIES, **dialect_queries.QUERIES, **selection_queries.QUERIES}
-SQL: dict = {**inventory_sql.SQL, **text_queries.SQL, **extract_queries.SQL, **dialect_queries.SQL, **selection_queries.SQL}
+PARTS = (inventory_queries, text_queries, extract_queries, dialect_queries, selection_queries, profile_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL: dict = {name: sql for part in (inventory_sql, *PARTS[1:]) for name, sql in part.SQL.items()}

@@ -1,270 +1,623 @@
-"""Declarations in source files (T0) and call sites (T1), as rows.
+"""Declarations in source files (T0) as rows.
 
-Line-shaped dialects are Column expressions over (repo, rel, text); Python files go through ``ast`` in a small grouped
-helper, as nothing in SQL can parse them. The cheap substring test stands before the Python step: Catalyst won't move a
-filter below it by itself.
+Each dialect reads one family of files and returns CANDIDATE rows: what is declared, where, the body's lines where there
+is one, and what the declaration itself tells: capabilities, effect, trigger, inputs. Matches of regular expressions come
+with their place from ``regexes.scan``; Python files go through ``ast`` in a small helper, as nothing in SQL can parse
+them. ``register`` adds a dialect of one's own.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.repos import basename
+from tidemark.functions import text as T
+from tidemark.functions.effects import dotted, effect_sites, python_calls  # noqa: F401 (the T1 side, also reached from here)
+from tidemark.functions.regexes import after, brace_ranges, group, scan, with_body
+from tidemark.sources.repos import basename, file_name, of, stem
 
-CANDIDATE = "repo string, rel string, line int, dialect string, op string, lo int, hi int, detail string"
-CALL = "repo string, rel string, line int, func string, verb string, arg0 string, scope string"
+CANDIDATE = ["repo", "rel", "line", "dialect", "kind", "op", "id", "name", "loc", "lo", "hi", "detail", "caps", "effect", "trigger", "inputs"]
+PYTHON = "repo string, rel string, line int, dialect string, kind string, op string, label string, name string, lo int, hi int, detail string, inputs array<string>"
 
 
-def line_rows(files: DataFrame) -> DataFrame:
-    rows = files.where("text is not null").select("repo", "rel", F.posexplode(F.split("text", "\n")).alias("i", "text_line"))
-    return rows.select("repo", "rel", (F.col("i") + 1).alias("line"), "text_line")
+def line_rows(files: DataFrame, *carried: str) -> DataFrame:
+    rows = files.where("text is not null").select("repo", "rel", *carried, F.posexplode(F.split("text", "\n")).alias("i", "text_line"))
+    return rows.select("repo", "rel", *carried, (F.col("i") + 1).alias("line"), "text_line")
 
 
-def found(rows: DataFrame, dialect: str, op: Column, detail: Column | None = None, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
-    null = F.lit(None).cast("int")
-    return rows.select("repo", "rel", "line", F.lit(dialect).alias("dialect"), op.alias("op"), (null if lo is None else lo).alias("lo"), (null if hi is None else hi).alias("hi"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+def strings(*values) -> Column:
+    """An array of text columns or texts, without nulls."""
+    return F.array_compact(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])) if values else F.array().cast("array<string>")
+
+
+def declared(rows: DataFrame, dialect: str, kind, op: Column, *, id: Column, name: Column, detail: Column, caps: Column | None = None, effect=None, trigger="manual", loc: Column | None = None, body: bool = False, inputs: Column | None = None) -> DataFrame:
+    """CANDIDATE rows from rows with repo, rel, line (and lo, hi where ``body``); ``id`` is slugified, ``effect`` 'local' or 'external'."""
+    column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    caps = strings() if caps is None else caps
+    effects = {None: F.lit(None).cast("string"), "local": F.lit("effectful-local"), "external": F.lit("effectful-external")}
+    told = {
+        "dialect": F.lit(dialect), "kind": column(kind), "op": op, "id": T.slugify(id), "name": name, "loc": F.concat_ws(":", "rel", F.col("line").cast("string")) if loc is None else loc,
+        "lo": F.col("lo") if body else F.lit(None).cast("int"), "hi": F.col("hi") if body else F.lit(None).cast("int"), "detail": detail, "caps": caps,
+        "effect": F.when(F.size(caps) > 0, effects[effect]) if effect else effects[None], "trigger": column(trigger), "inputs": strings() if inputs is None else inputs,
+    }
+    return rows.select("repo", "rel", F.col("line").cast("int").alias("line"), *[v.alias(k) for k, v in told.items()])
+
+
+def prefixed(prefix: str, c: Column) -> Column:
+    return F.concat(F.lit(prefix), c)
+
+
+# ---------------------------------------------------------------- workflow files
+
+MAKE_TARGET = r"(?m)^([A-Za-z0-9_][A-Za-z0-9_.\-/]*)\s*:(?!=)"
 
 
 def make_targets(files: DataFrame) -> DataFrame:
     """``name:`` at the start of a line of a makefile; no special, pattern or variable targets."""
-    rows = line_rows(files.where(basename(F.col("rel")).isin("makefile", "gnumakefile") | F.col("rel").endswith(".mk")))
-    name = F.regexp_extract("text_line", r"^([A-Za-z0-9][A-Za-z0-9_./-]*)\s*:(?!=)", 1)
-    return found(rows.withColumn("op", name).where("op <> '' and instr(op, '%') = 0"), "make-target", F.col("op"))
+    made = of(files, "make").where(file_name(F.col("rel")).isin("Makefile", "makefile", "GNUmakefile") | F.col("rel").endswith(".mk"))
+    rows = scan(made, MAKE_TARGET).withColumn("t", group(MAKE_TARGET, 1))
+    t = F.col("t")
+    return declared(rows, "make-target", "make-target", t, id=prefixed("make-", t), name=T.humanize(t), detail=prefixed("Make target ", t), caps=strings("shell.exec"), effect="local")
 
 
 def package_scripts(files: DataFrame) -> DataFrame:
     """Keys of ``scripts`` in package.json."""
-    rows = files.where(basename(F.col("rel")) == "package.json").select("repo", "rel", F.lit(1).alias("line"), F.explode(F.json_object_keys(F.get_json_object("text", "$.scripts"))).alias("op"))
-    return found(rows, "package-scripts", F.col("op"))
+    rows = of(files, "json").where(file_name(F.col("rel")) == "package.json").select("repo", "rel", F.lit(1).alias("line"), F.explode(F.json_object_keys(F.get_json_object("text", "$.scripts"))).alias("s"))
+    s = F.col("s")
+    return declared(rows, "package-scripts", "npm-script", s, id=prefixed("script-", s), name=T.humanize(s), detail=prefixed("package.json script ", s), caps=strings("shell.exec"), effect="local", loc=F.concat("rel", F.lit(":scripts."), s))
 
 
 def cron_lines(files: DataFrame) -> DataFrame:
-    rows = line_rows(files.where(F.contains(basename(F.col("rel")), F.lit("cron"))))
-    command = F.regexp_extract("text_line", r"^\s*(?:(?:[-0-9*/,]+\s+){5}|@[a-z]+\s+)(\S.*)$", 1)
-    when = F.regexp_extract("text_line", r"^\s*((?:[-0-9*/,]+\s+){5}|@[a-z]+\s)", 1)
-    return found(rows.withColumn("command", command).where("command <> ''"), "crontab", F.substring_index(F.substring_index("command", " ", 1), "/", -1), F.trim(when))
-
+    """Entries of crontabs: five fields or a named time, then a command, named by its first word."""
+    name = basename(F.col("rel"))
+    rows = line_rows(of(files, "cron", "other", "document").where(name.startswith("crontab") | name.endswith(".cron") | F.contains("rel", F.lit("/cron.d/"))))
+    entry = r"^\s*(?:@(?:reboot|yearly|annually|monthly|weekly|daily|hourly|midnight)\b|(?:\S+\s+){4}\S+)\s+(\S+)"
+    rows = rows.where(~F.col("text_line").rlike(r"^\s*(#|$)")).withColumn("c", F.regexp_extract("text_line", entry, 1)).where("c <> ''")
+    c, slug = F.col("c"), T.slugify(prefixed("cron-", F.col("c")))
+    id = F.when(slug == "", F.concat(F.lit("cron-entry-"), F.col("line"))).otherwise(slug)
+    return declared(rows, "crontab", "crontab-entry", c, id=id, name=T.humanize(prefixed("cron ", c)), detail=prefixed("scheduled command ", c), caps=strings("shell.exec"), effect="local", trigger="scheduled")
 
-def terraform_blocks(files: DataFrame) -> DataFrame:
-    rows = line_rows(files.where(F.col("rel").endswith(".tf")))
-    kind = F.regexp_extract("text_line", r'^\s*(resource|module|data)\s+"([^"]+)"', 1)
-    name = F.regexp_extract("text_line", r'^\s*(?:resource|module|data)\s+"([^"]+)"(?:\s+"([^"]+)")?', 1)
-    return found(rows.withColumn("kind", kind).where("kind <> ''"), "terraform", F.concat_ws(".", "kind", name))
 
+def yaml_children(files: DataFrame, key: str, *carried: str) -> DataFrame:
+    """Names one level below a top-level key: repo, rel, carried, line, op; and all lines of the block with the name above them.
 
-def proto_calls(files: DataFrame) -> DataFrame:
-    """``rpc X(`` with the nearest service above it: an as-of window by line."""
-    rows = line_rows(files.where(F.col("rel").endswith(".proto")))
-    service, call = (F.regexp_extract("text_line", p, 1) for p in (r"^\s*service\s+(\w+)", r"^\s*rpc\s+(\w+)\s*\("))
+    A child is a line indented like the first line under the key, up to the next top-level key. ``own`` tells children from
+    the lines inside them.
+    """
+    rows = line_rows(files, *carried).where(~F.col("text_line").rlike(r"^\s*(#|$)"))
     above = Window.partitionBy("repo", "rel").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("repo", "rel", "line", F.last(F.when(service != "", service), ignorenulls=True).over(above).alias("service"), call.alias("call"))
-    return found(rows.where("call <> ''"), "proto-service", F.concat_ws(".", "service", "call"))
+    top = F.regexp_extract("text_line", r"^[\"']?([A-Za-z0-9_.-]+)[\"']?\s*:", 1)
+    rows = rows.withColumn("top", F.last(F.when(top != "", top), ignorenulls=True).over(above)).withColumn("indent", F.length(F.regexp_extract("text_line", r"^([ \t]*)", 1)))
+    child = rows.where((F.col("top") == key) & (F.col("indent") > 0))
+    least = child.groupBy("repo", "rel").agg(F.min_by("indent", "line").alias("least"))
+    name = F.regexp_extract("text_line", r"^[ \t]+[\"']?([^\"':#\s][^\"':#]*?)[\"']?\s*:(?:\s|$)", 1)
+    child = child.join(least, ["repo", "rel"]).withColumn("own", (F.col("indent") == F.col("least")) & (name != ""))
+    return child.withColumn("op", name).withColumn("op_line", F.last(F.when(F.col("own"), F.col("line")), ignorenulls=True).over(above))
+
+
+YAML = r"[.]ya?ml$"
+
+
+def github_jobs(files: DataFrame) -> DataFrame:
+    flows = of(files, "yaml").where(F.col("rel").startswith(".github/workflows/") & F.col("rel").rlike(YAML) & F.contains("text", F.lit("jobs:")))
+    rows = yaml_children(flows.withColumn("timed", F.col("text").rlike(r"(?m)^\s+schedule\s*:")), "jobs", "timed").where("own")
+    op = F.col("op")
+    caps = strings("shell.exec", F.when(F.lower(op).rlike("deploy|release|ship|publish"), "deploy.op"))
+    return declared(rows, "github-actions", "github-job", op, id=prefixed("job-", op), name=T.humanize(op), detail=prefixed("GitHub Actions job ", op), caps=caps, effect="local", trigger=F.when(F.col("timed"), "scheduled").otherwise("event"))
+
+
+# What a service's image tells, and which capability a resource's type or kind declares (the first that fits).
+IMAGE_CAPABILITIES = {
+    "postgres": "data.write", "mysql": "data.write", "mariadb": "data.write", "mongo": "data.write", "redis": "cache.write", "memcached": "cache.write", "minio": "storage.object",
+    "rabbitmq": "queue.publish", "kafka": "queue.publish", "nats": "queue.publish", "elasticsearch": "search.index", "opensearch": "search.index",
+}
+TERRAFORM_CAPABILITIES = {
+    "s3": "storage.object", "bucket": "storage.object", "storage": "storage.object", "gcs": "storage.object", "blob": "storage.object", "filestore": "storage.object", "db_instance": "data.write",
+    "rds": "data.write", "dynamodb": "data.write", "_sql": "data.write", "postgres": "data.write", "mysql": "data.write", "database": "data.write", "bigquery": "data.write", "spanner": "data.write",
+    "redis": "cache.write", "elasticache": "cache.write", "memcache": "cache.write", "sqs": "queue.publish", "kinesis": "queue.publish", "pubsub": "queue.publish", "eventhub": "queue.publish",
+    "sns": "notify.message", "ses": "notify.message", "lambda": "code.exec", "cloudfunctions": "code.exec", "cloudfunction": "code.exec", "batch": "code.exec", "instance": "code.exec",
+    "kms": "secret.apikey", "secret": "secret.apikey", "vault": "secret.apikey", "ssm": "secret.apikey", "ecs": "container.op", "eks": "container.op", "container": "container.op",
+    "docker": "container.op", "ecr": "container.op", "scheduler": "schedule.cron", "cron": "schedule.cron", "eventbridge": "schedule.cron", "cloudfront": "deploy.op", "cdn": "deploy.op",
+    "api_gateway": "deploy.op", "apigateway": "deploy.op", "load_balancer": "deploy.op", "elasticsearch": "search.index", "opensearch": "search.index", "search": "search.index",
+}
+KUBERNETES_CAPABILITIES = {
+    "deployment": "deploy.op", "statefulset": "deploy.op", "daemonset": "deploy.op", "replicaset": "deploy.op", "job": "deploy.op", "cronjob": "schedule.cron", "service": "deploy.op", "ingress": "deploy.op",
+    "horizontalpodautoscaler": "deploy.op", "secret": "secret.apikey", "persistentvolumeclaim": "storage.object", "persistentvolume": "storage.object",
+}
+COMPOSE_NAMES = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
+
+
+def compose_services(files: DataFrame) -> DataFrame:
+    """Services with what the markers in their image tell."""
+    block = yaml_children(of(files, "yaml").where(basename(F.col("rel")).isin(*COMPOSE_NAMES)), "services")
+    value = F.lower(F.regexp_replace(F.trim(F.regexp_extract("text_line", r"^\s*image:\s*(.*)$", 1)), r"^[\"']+|[\"']+$", ""))
+    images = block.where(~F.col("own") & F.col("text_line").rlike(r"^\s*image:")).groupBy("repo", "rel", "op_line").agg(F.min_by(value, "line").alias("image"))
+    rows = block.where("own").join(images.withColumnRenamed("op_line", "line"), ["repo", "rel", "line"], "left").withColumn("image", F.coalesce("image", F.lit("")))
+    op, image = F.col("op"), F.col("image")
+    caps = strings("container.op", *[F.when(F.contains(image, F.lit(k)), c) for k, c in IMAGE_CAPABILITIES.items()])
+    detail = F.concat(F.lit("compose service "), op, F.when(image != "", F.concat(F.lit(" ("), image, F.lit(")"))).otherwise(""))
+    return declared(rows, "compose-services", "compose-service", op, id=prefixed("svc-", op), name=T.humanize(op), detail=detail, caps=caps, effect="local")
 
 
 def systemd_units(files: DataFrame) -> DataFrame:
-    rows = files.where(F.col("rel").rlike(r"[.](service|timer|socket)$") & F.contains("text", F.lit("[Unit]"))).withColumn("line", F.lit(1))
-    return found(rows, "systemd-unit", F.regexp_extract("rel", r"([^/]+)[.][a-z]+$", 1), F.regexp_extract("text", r"(?m)^Description=(.*)$", 1))
+    units = of(files, "unit").where(F.col("rel").rlike(r"[.](service|timer|socket)$") & F.contains("text", F.lit("[Unit]"))).withColumn("line", F.lit(1))
+    rows = units.withColumn("suffix", F.substring_index("rel", ".", -1)).withColumn("unit", stem(F.col("rel")))
+    unit, suffix = F.col("unit"), F.col("suffix")
+    starts = (suffix == "service") & F.contains("text", F.lit("ExecStart="))
+    caps = F.when(suffix == "timer", strings("schedule.cron")).when(starts, strings("shell.exec")).otherwise(strings())
+    detail = F.concat(F.lit("systemd "), suffix, F.lit(" unit "), unit)
+    return declared(rows, "systemd-unit", prefixed("systemd-", suffix), unit, id=prefixed("unit-", unit), name=T.humanize(unit), detail=detail, caps=caps, effect="local", trigger=F.when(suffix == "timer", "scheduled").otherwise("manual"))
 
 
-def tool_manifests(files: DataFrame) -> DataFrame:
-    """Distinct names of ``tools`` in a JSON manifest."""
-    rows = files.where(basename(F.col("rel")).rlike("tool|mcp|plugin|manifest") & F.col("rel").endswith(".json"))
-    tools = F.array_distinct(F.transform(F.from_json(F.get_json_object("text", "$.tools"), "array<struct<name:string>>"), lambda t: F.trim(t["name"])))
-    return found(rows.select("repo", "rel", F.lit(1).alias("line"), F.explode(F.filter(tools, lambda n: n != "")).alias("op")), "tool-manifest", F.col("op"))
+# ---------------------------------------------------------------- infrastructure files
 
+TERRAFORM = r'(?m)^\s*(resource|module|data)\s+(?:"([^"]+)"\s+)?"([^"]+)"'
 
-def openapi_operations(files: DataFrame) -> DataFrame:
-    """Path and method of each operation of a JSON OpenAPI document."""
-    rows = files.where(F.col("rel").endswith(".json") & F.contains("text", F.lit('"paths"')))
-    paths = F.from_json(F.get_json_object("text", "$.paths"), "map<string,map<string,string>>")
-    rows = rows.select("repo", "rel", F.explode(paths).alias("path", "methods")).select("repo", "rel", F.lit(1).alias("line"), "path", F.explode(F.map_keys("methods")).alias("method"))
-    return found(rows.where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options")), "openapi-spec", F.concat_ws(" ", F.upper("method"), "path"))
 
+def first_marker(told: Column, table: dict[str, str]) -> Column:
+    """The capability of the first marker in order that a lower-cased text holds, as an array of one or none."""
+    marker = reduce(lambda c, kv: c.when(F.contains(told, F.lit(kv[0])), kv[1]), list(table.items())[1:], F.when(F.contains(told, F.lit(next(iter(table)))), next(iter(table.values()))))
+    return strings(marker)
 
-def yaml_children(files: DataFrame, dialect: str, key: str, where: Column) -> DataFrame:
-    """Names one level below a top-level key: lines indented like the first line under it, until the next top-level key."""
-    rows = line_rows(files.where(where)).where(~F.col("text_line").rlike(r"^\s*(#|$)"))
-    above = Window.partitionBy("repo", "rel").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.regexp_extract("text_line", r"^([A-Za-z0-9_.-]+)\s*:", 1)
-    rows = rows.withColumn("top", F.last(F.when(top != "", top), ignorenulls=True).over(above)).withColumn("indent", F.length(F.regexp_extract("text_line", r"^( *)", 1)))
-    child = rows.where((F.col("top") == key) & (F.col("indent") > 0))
-    least = child.groupBy("repo", "rel").agg(F.min("indent").alias("least"))
-    name = F.regexp_extract("text_line", r"^ +[\"']?([A-Za-z0-9_.-]+)[\"']?\s*:", 1)
-    return found(child.join(least, ["repo", "rel"]).where("indent = least").withColumn("op", name).where("op <> ''"), dialect, F.col("op"))
 
+def terraform_blocks(files: DataFrame) -> DataFrame:
+    rows = scan(of(files, "terraform").where(F.col("rel").endswith(".tf")), TERRAFORM)
+    rows = rows.select("repo", "rel", "line", group(TERRAFORM, 1).alias("block"), group(TERRAFORM, 2).alias("type"), group(TERRAFORM, 3).alias("label"))
+    block, typed = F.col("block"), F.trim(F.concat_ws(" ", "type", "label"))
+    caps = F.when(block == "module", strings()).otherwise(first_marker(F.lower("type"), TERRAFORM_CAPABILITIES))
+    return declared(rows, "terraform", prefixed("terraform-", block), typed, id=prefixed("tf-", typed), name=T.humanize(typed), detail=F.concat(F.lit("Terraform "), block, F.lit(" "), typed), caps=caps, effect="external")
 
-def github_jobs(files: DataFrame) -> DataFrame:
-    return yaml_children(files, "github-actions", "jobs", F.contains("rel", F.lit(".github/workflows/")))
 
+def top_scalar(text: Column, key: str) -> Column:
+    """The value of the first top-level ``key:`` line of a YAML-like text: '' where it has none, null without such a line."""
+    line = rf"(?m)^[\"']?{key}[\"']?[ \t]*:(?=\s|$)[ \t]*(.*)$"
+    value = F.regexp_replace(F.trim(F.regexp_extract(text, line, 1)), r"^[\"']+|[\"']+$", "")
+    return F.when(text.rlike(line), F.when(value.startswith("#"), "").otherwise(value))
 
-def compose_services(files: DataFrame) -> DataFrame:
-    return yaml_children(files, "compose-services", "services", basename(F.col("rel")).rlike("^(docker-)?compose.*[.]ya?ml$"))
+
+def has_top_key(text: Column, key: str) -> Column:
+    return top_scalar(text, key).isNotNull()
 
 
 def kubernetes_objects(files: DataFrame) -> DataFrame:
-    rows = files.where(F.col("rel").rlike("[.]ya?ml$") & F.contains("text", F.lit("apiVersion:"))).select("repo", "rel", F.posexplode(F.split("text", r"(?m)^---\s*$")).alias("i", "doc"))
-    rows = rows.select("repo", "rel", (F.col("i") + 1).alias("line"), F.regexp_extract("doc", r"(?m)^kind:\s*(\w+)", 1).alias("kind"), F.regexp_extract("doc", r"(?m)^metadata:\s*\n(?:\s+.*\n)*?\s+name:\s*[\"']?([\w.-]+)", 1).alias("name"))
-    return found(rows.where("kind <> '' and name <> ''"), "kubernetes", F.concat_ws("/", "kind", "name"))
+    """One object a file: its first top-level kind, and the name under ``metadata`` or else the file's."""
+    rows = of(files, "yaml").where(F.col("rel").rlike(YAML) & F.contains("text", F.lit("kind"))).withColumn("k", top_scalar(F.col("text"), "kind")).where("k <> ''").withColumn("line", F.lit(1))
+    named = F.regexp_replace(F.trim(F.regexp_extract("text", r"(?m)^metadata:\n(?:(?:[ \t].*|#.*|)\n)*?[ \t]+name:[ \t]*(.*)$", 1)), r"^[\"']+|[\"']+$", "")
+    rows = rows.withColumn("object", F.when(named != "", named).otherwise(stem(F.col("rel"))))
+    k, o, low = F.col("k"), F.col("object"), F.lower("k")
+    caps = strings(F.create_map(*[F.lit(x) for kv in KUBERNETES_CAPABILITIES.items() for x in kv])[low])
+    return declared(rows, "kubernetes", prefixed("kubernetes-", low), F.concat_ws("/", k, o), id=F.concat_ws("-", F.lit("k8s"), k, o), name=T.humanize(F.concat_ws(" ", k, o)), detail=F.concat_ws(" ", F.lit("Kubernetes"), k, o), caps=caps, effect="external", trigger=F.when(low == "cronjob", "scheduled").otherwise("manual"))
 
 
 def ansible_plays(files: DataFrame) -> DataFrame:
-    """``hosts:`` plays, named by the ``name:`` right above where only comments come between."""
-    rows = line_rows(files.where(F.col("rel").rlike("[.]ya?ml$") & F.contains("text", F.lit("hosts:")))).where(~F.col("text_line").rlike(r"^\s*#"))
+    """``hosts:`` plays, named by the ``name:`` right above where only comments and blank lines come between; and task files."""
+    books = of(files, "yaml").where(F.col("rel").rlike(YAML) & ~F.coalesce(has_top_key(F.col("text"), "kind"), F.lit(False)))
+    hosts = r"(?m)^\s*-?\s*hosts\s*:\s*\S"
+    rows = line_rows(books.where(F.col("text").rlike(hosts))).where(~F.col("text_line").rlike(r"^\s*(#|$)"))
     before = F.lag("text_line").over(Window.partitionBy("repo", "rel").orderBy("line"))
-    rows = rows.withColumn("name", F.regexp_extract(before, r"^\s*-?\s*name:\s*(.+?)\s*$", 1)).where(F.col("text_line").rlike(r"^\s*-?\s*hosts:\s*\S"))
-    return found(rows, "ansible", F.when(F.col("name") != "", F.col("name")).otherwise(F.regexp_extract("text_line", r"hosts:\s*(\S+)", 1)))
+    named = F.regexp_replace(F.regexp_extract(before, r"^\s*-?\s*name\s*:\s*(\S.*?)\s*$", 1), r"^[\"']+|[\"']+$", "")
+    plays = rows.withColumn("label", named).where(F.col("text_line").rlike(hosts))
+    plays = plays.withColumn("label", F.when(F.col("label") != "", F.col("label")).otherwise(F.concat_ws("-", stem(F.col("rel")), F.col("line").cast("string")))).withColumn("play", F.lit("play"))
+    tasks = books.where(~F.col("text").rlike(hosts) & F.col("text").rlike(r"(?m)^\s*(?:- )?tasks\s*:") & F.contains("rel", F.lit("/tasks/")))
+    tasks = tasks.select("repo", "rel", F.lit(1).alias("line"), stem(F.col("rel")).alias("label"), F.lit("tasks").alias("play"))
+    rows = plays.select("repo", "rel", "line", "label", "play").unionByName(tasks)
+    label, play = F.col("label"), F.col("play")
+    return declared(rows, "ansible", prefixed("ansible-", play), label, id=prefixed("play-", label), name=T.humanize(label), detail=F.concat(F.lit("Ansible "), play, F.lit(" "), label), caps=strings("shell.exec"), effect="local")
 
 
-#: Line patterns of braced languages: dialect, path pattern, line pattern; group 1 names the operation, group 2 a path.
-BRACED = [
-    ("web-js", r"[.](js|ts|mjs|cjs)$", r"\b(?:app|router|server|api|fastify)\.(get|post|put|patch|delete)\(\s*[\"'`]([^\"'`]+)"),
-    ("go", r"[.]go$", r"\.(Handle|HandleFunc|GET|POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)"),
-    ("go", r"[.]go$", r"^func\s+(main)\s*(\()"),
-    ("jvm", r"[.](java|kt)$", r"@(Get|Post|Put|Patch|Delete|Request)Mapping\(?\s*(?:value\s*=\s*|path\s*=\s*)?\{?\s*\"?([^\")]*)"),
-    ("jvm", r"[.](java|kt)$", r"@(Scheduled|KafkaListener|JmsListener|EventListener)(\b)"),
-    ("rust", r"[.]rs$", r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]+)"),
-    ("rust", r"[.]rs$", r"^(?:pub\s+)?(?:async\s+)?fn\s+(main)\s*(\()"),
-]
+# ---------------------------------------------------------------- documents that describe services
 
+METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
+SERVICE = r"(?m)^\s*service\s+(\w+)\s*\{"
+RPC = r"(?m)^\s*rpc\s+(\w+)\s*\("
 
-def braced(files: DataFrame) -> DataFrame:
-    """Routes, listeners and main functions of JavaScript, Go, JVM and Rust files, with the range of the braces after them.
 
-    The depth of braces is a running sum by line (strings and comments blanked first); a body ends at the first later line
-    whose depth is back at that of the line before the declaration.
-    """
-    every = "(" + "|".join(sorted({path for _, path, _ in BRACED})) + ")"
-    bare = F.regexp_replace(F.regexp_replace("text_line", r'"(?:\\.|[^"\\])*"|`[^`]*`|\'(?:\\.|[^\'\\])*\'', ""), r"//.*$", "")
-    step = F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))
-    hits = F.array_compact(F.array(*[F.when(F.col("rel").rlike(path) & (F.regexp_extract("text_line", pattern, 1) != ""), F.struct(F.lit(dialect).alias("dialect"), F.regexp_extract("text_line", pattern, 1).alias("verb"), F.regexp_extract("text_line", pattern, 2).alias("path"))) for dialect, path, pattern in BRACED]))
-    w = Window.partitionBy("repo", "rel").orderBy("line")
-    depth = line_rows(files.where(F.col("rel").rlike(every))).withColumn("step", step).withColumn("depth", F.sum("step").over(w))
-    hit = depth.select("repo", "rel", "line", (F.col("depth") - F.col("step")).alias("base"), F.explode(hits).alias("h")).select("repo", "rel", "line", "base", "h.*")
-    opens = depth.where("step > 0").select("repo", "rel", F.col("line").alias("open_line"), (F.col("depth") - F.col("step")).alias("at"))
-    key = ["repo", "rel", "line"]
-    first = hit.select(*key, "base").distinct().join(opens, ["repo", "rel"]).where("open_line between line and line + 5 and at = base").groupBy(*key, "base").agg(F.min("open_line").alias("lo"))
-    ends = depth.where("step < 0").select("repo", "rel", F.col("line").alias("end_line"), F.col("depth").alias("back"))
-    body = first.join(ends, ["repo", "rel"]).where("end_line >= lo and back <= base").groupBy(*key).agg(F.min("lo").alias("lo"), F.min("end_line").alias("hi"))
-    name = F.when(F.col("path").isin("", "("), F.col("verb")).otherwise(F.concat_ws(" ", F.upper("verb"), "path"))
-    rows = hit.join(body, key, "left")
-    return rows.select("repo", "rel", "line", "dialect", name.alias("op"), "lo", "hi", F.lit(None).cast("string").alias("detail"))
-
-
-def dotted(node: ast.AST) -> str:
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *reversed(parts)] if isinstance(node, ast.Name) else [*reversed(parts)])
-
-
-#: Decorator names that declare an operation, by dialect.
-DECORATORS = {
-    "cli-python": ("command", "task", "job", "flow"),
-    "agent-tools": ("tool", "function_tool", "register_tool"),
-    "orchestrator-dag": ("dag", "op", "asset"),
-    "web-python": ("get", "post", "put", "patch", "delete", "route", "websocket"),
-}
-GROUPS = ("group", "cli", "app", "add_typer")
+def proto_calls(files: DataFrame) -> DataFrame:
+    """``rpc X(`` with the nearest service above it: an as-of window by line."""
+    rows = line_rows(of(files, "proto").where(F.col("rel").endswith(".proto") & F.contains("text", F.lit("rpc"))))
+    service, call = (F.regexp_extract("text_line", p, 1) for p in (SERVICE, RPC))
+    above = Window.partitionBy("repo", "rel").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("repo", "rel", "line", F.last(F.when(service != "", service), ignorenulls=True).over(above).alias("service"), call.alias("call")).where("call <> ''")
+    dots, words = F.concat_ws(".", "service", "call"), F.concat_ws(" ", "service", "call")
+    return declared(rows, "proto-service", "proto-rpc", dots, id=F.concat_ws("-", F.coalesce("service", F.lit("rpc")), "call"), name=T.humanize(words), detail=prefixed("gRPC method ", dots))
+
+
+def route(rows: DataFrame, dialect: str, kind, method: Column, path: Column, detail: Column | None = None, body: bool = False, id: Column | None = None, inputs: Column | None = None) -> DataFrame:
+    """A method and path as an operation named by both."""
+    op = F.concat_ws(" ", method, path)
+    return declared(rows, dialect, kind, op, id=F.concat_ws("-", method, path) if id is None else id, name=op, detail=F.concat_ws(" ", method, F.lit("route"), path) if detail is None else detail, body=body, inputs=inputs)
+
+
+def openapi_operations(files: DataFrame) -> DataFrame:
+    """Path and method of each operation of an OpenAPI document, JSON or YAML."""
+    name = basename(F.col("rel"))
+    specs = of(files, "json", "yaml").where(name.rlike(r"(openapi|swagger).*[.](json|ya?ml)$"))
+    paths = F.from_json(F.get_json_object("text", "$.paths"), "map<string,map<string,string>>")
+    listed = specs.where(name.endswith(".json")).select("repo", "rel", F.split("text", "\n").alias("lines"), F.explode(paths).alias("path", "methods"))
+    at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.concat(F.lit('"'), F.col("path"), F.lit('"')))), F.lit(True))
+    listed = listed.select("repo", "rel", F.greatest(at, F.lit(1)).cast("int").alias("line"), "path", F.explode(F.map_keys("methods")).alias("method"))
+
+    head = F.col("text_line").rlike(r"^\s*/.*:\s*$")
+    rows = line_rows(specs.where(~name.endswith(".json") & (has_top_key(F.col("text"), "openapi") | has_top_key(F.col("text"), "swagger")))).where(~F.col("text_line").rlike(r"^\s*(#|$)"))
+    rows = rows.withColumn("indent", F.length(F.regexp_extract("text_line", r"^( *)", 1))).withColumn("is_path", head).withColumn("bare", F.trim("text_line"))
+    file = Window.partitionBy("repo", "rel")
+    start = F.min(F.when(F.col("bare").startswith("paths:"), F.col("line"))).over(file)
+    rows = rows.withColumn("start", start).where("line > start")
+    rows = rows.withColumn("first", F.min(F.when(F.col("is_path"), F.struct("line", "indent"))).over(file)).where("line >= first.line").withColumn("deep", F.col("first.indent"))
+    rows = rows.withColumn("stop", F.min(F.when((F.col("indent") <= F.col("deep")) & ~F.col("is_path"), F.col("line"))).over(file)).where("stop is null or line < stop")
+    above = file.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("p", F.last(F.when(F.col("is_path") & (F.col("indent") <= F.col("deep")), F.struct("line", "bare")), ignorenulls=True).over(above)).where("line > p.line")
+    inner = F.min(F.struct("line", "indent")).over(Window.partitionBy("repo", "rel", "p.line"))
+    rows = rows.withColumn("inner", inner).where("indent = inner.indent and bare like '%:'")
+    drawn = rows.select("repo", "rel", "line", F.expr("substring(p.bare, 1, length(p.bare) - 1)").alias("path"), F.expr("substring(bare, 1, length(bare) - 1)").alias("method"))
+    both = listed.unionByName(drawn).where(F.lower("method").isin(*METHODS))
+    method = F.upper("method")
+    return route(both, "openapi-spec", "openapi-operation", method, F.col("path"), detail=F.concat_ws(" ", F.lit("OpenAPI operation"), method, "path"))
+
+
+def tool_manifests(files: DataFrame) -> DataFrame:
+    """Distinct names of ``tools`` (or of the top-level list) in a JSON manifest."""
+    name = basename(F.col("rel"))
+    rows = of(files, "json").where(name.rlike("tool|mcp|manifest|capabilities|schema|registry") & name.endswith(".json") & F.contains("text", F.lit("tools")))
+    rows = rows.select("repo", "rel", F.lit(1).alias("line"), F.explode(T.tool_names(F.col("text"))).alias("t"))
+    t = F.col("t")
+    return declared(rows, "tool-manifest", "tool-manifest", t, id=prefixed("tool-", t), name=T.humanize(t), detail=F.concat(F.lit("tool "), t, F.lit(" declared in a manifest")), loc=F.concat("rel", F.lit(":tools."), t))
+
+
+# ---------------------------------------------------------------- braced languages
+
+# Names of objects that carry routes.
+ROUTE_OBJECTS = "app application router routes api bp blueprint server web public admin fastapi flask".split()
+GO_ROUTE_OBJECTS = "r router e app api g group mux srv server engine fiber public admin v1 routes".split()
+JS_ROUTE = r"\b([A-Za-z_$][\w$]*)\s*\.\s*(get|post|put|patch|delete|head|options|all)\s*\(\s*(['\"`])([^'\"`]+)\3"
+NEST_ROUTE = r"@(Get|Post|Put|Patch|Delete|Head|Options|All)\s*\(\s*(?:(['\"`])([^'\"`]*)\2)?"
+GO_FUNC = r"(?m)^func\s+([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\(([^)]*)\)\s*([^{]{0,120})"
+GO_HANDLE = r'([A-Za-z_]\w*)\.Handle(?:Func)?\(\s*"([^"]*)"'
+GO_ROUTE = r'([A-Za-z_]\w*)\.(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|TRACE|CONNECT|Any|Get|Post|Put|Patch|Delete|Head|Options|All)\s*\(\s*"([^"]+)"'
+COBRA = r"&cobra\.Command\s*\{"
+
+
+def web_js(files: DataFrame) -> DataFrame:
+    """Routes of Express and Fastify (of known receivers) and Nest decorators, with the braces after them."""
+    code = of(files, "javascript").where(F.col("rel").rlike(r"[.](js|mjs|cjs|jsx|ts|tsx)$") & F.col("text").rlike(r"[.]get\(|[.]post\(|@Get|@Post|@Put"))
+    place = ["repo", "rel", "text", "start", "end", "line"]
+    calls = scan(code, JS_ROUTE).where(group(JS_ROUTE, 1).isin(*ROUTE_OBJECTS)).select(*place, group(JS_ROUTE, 2).alias("method"), group(JS_ROUTE, 4).alias("path"), F.lit("route-call").alias("kind"))
+    nest = scan(code, NEST_ROUTE).select(*place, group(NEST_ROUTE, 1).alias("method"), F.when(group(NEST_ROUTE, 3) == "", "/").otherwise(group(NEST_ROUTE, 3)).alias("path"), F.lit("nest-decorator").alias("kind"))
+    rows = with_body(calls.unionByName(nest), "js", F.col("end"))
+    return route(rows, "web-js", F.col("kind"), F.upper("method"), F.col("path"), body=True)
+
+
+def go_declarations(files: DataFrame) -> DataFrame:
+    """main, exported command functions, cobra commands, net/http handlers and router calls."""
+    code = of(files, "go").where(F.col("rel").endswith(".go"))
+    name, params = group(GO_FUNC, 1), F.trim(group(GO_FUNC, 2))
+    command = name.rlike("^[A-Z]") & ~F.contains(group(GO_FUNC, 3), F.lit("*cobra.Command")) & ((params == "") | params.startswith("cmd *cobra.Command"))
+    funcs = scan(code, GO_FUNC).withColumn("f", name).where((F.col("f") == "main") | command)
+    funcs = with_body(funcs, "go", F.col("start"))
+    f, is_main = F.col("f"), F.col("f") == "main"
+    out = declared(funcs, "go", F.when(is_main, "go-main").otherwise("go-func"), f, id=f, name=T.humanize(f), detail=F.when(is_main, "main entry point").otherwise(F.concat(F.lit("exported command function "), f, F.lit("()"))), caps=strings("shell.exec"), effect="local", body=True)
+
+    cobra = with_body(scan(code, COBRA), "go", F.col("start")).where("lo is not null")
+    inside = F.array_join(F.slice(F.split("text", "\n"), F.col("lo"), F.col("hi") - F.col("lo") + 1), "\n")
+    cobra = cobra.withColumn("use", F.regexp_extract(inside, r'\bUse\s*:\s*"\s*([^"\s]+)', 1)).withColumn("short", F.regexp_extract(inside, r'\bShort\s*:\s*"([^"]*)"', 1)).where("use <> ''")
+    use = F.col("use")
+    detail = F.concat(F.lit("cobra command "), use, F.when(F.col("short") != "", F.concat(F.lit(" — "), "short")).otherwise(""))
+    out = out.unionByName(declared(cobra, "go", "cobra-command", use, id=use, name=T.humanize(use), detail=detail, caps=strings("shell.exec"), effect="local", body=True))
+
+    handles = scan(code, GO_HANDLE).select("repo", "rel", "line", group(GO_HANDLE, 1).alias("object"), group(GO_HANDLE, 2).alias("path"))
+    path = F.col("path")
+    id = F.when(T.slugify(path) == "", prefixed("http-", F.col("object"))).otherwise(prefixed("http-", path))
+    out = out.unionByName(declared(handles, "go", "http-handle", prefixed("HTTP ", path), id=id, name=prefixed("HTTP ", path), detail=prefixed("net/http handler for ", F.when(path == "", "/").otherwise(path))))
+    routes = scan(code, GO_ROUTE).where(group(GO_ROUTE, 1).isin(*GO_ROUTE_OBJECTS) & group(GO_ROUTE, 3).startswith("/"))
+    return out.unionByName(route(routes, "go", "router-route", F.upper(group(GO_ROUTE, 2)), group(GO_ROUTE, 3)))
+
+
+MAPPING = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b[ \t]*(?:\(([^)]*)\))?"
+LIFECYCLE = r"@(Scheduled|KafkaListener|JmsListener|EventListener)\b[ \t]*(?:\(([^)]*)\))?"
+CLASS = r"\b(?:class|interface|enum|record|object)\s+([A-Za-z_]\w*)"
+JAVA_MAIN = r"\bstatic\s+void\s+main\s*\(\s*String\s*(?:\[\s*\]|\.\.\.)\s*[A-Za-z_]\w*\s*\)"
+KOTLIN_MAIN = r"(?m)^[ \t]*fun\s+main\s*\("
+
+
+def annotation_path(args: Column) -> Column:
+    """The first string of an annotation's arguments, with a slash before it."""
+    path = F.regexp_extract(F.coalesce(args, F.lit("")), r'"([^"]*)"', 1)
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """Annotations that stand before a method: its name, and whether a body opens there."""
+    rest = after(1400)
+    head = F.regexp_extract(rest, r"^([^{};]*)", 1)
+    stop = F.substring(rest, F.length(head) + 1, F.lit(1))
+    rows = rows.withColumn("head", head).withColumn("has_body", stop == "{").where(stop.isin("{", ";", "}") & ((stop != "{") | (F.length("head") <= 400)))
+    rows = rows.where(~F.col("head").rlike(CLASS)).withColumn("member", F.try_element_at(F.regexp_extract_all("head", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), F.lit(-1)))
+    return rows.where("member is not null")
+
+
+def jvm_declarations(files: DataFrame) -> DataFrame:
+    """Spring mappings under their class's path, schedules, listeners and main functions of Java and Kotlin."""
+    code = of(files, "jvm").where(F.col("rel").rlike(r"[.](java|kt)$"))
+    # The class above an annotation, with the annotations right before the class.
+    classes = scan(code, CLASS)
+    near = F.greatest(F.col("start") - 400, F.lit(0))
+    before = F.regexp_extract(F.substring(F.col("text"), near + 1, F.col("start") - near), r"([^{};]*)$", 1)
+    last = F.try_element_at(F.regexp_extract_all("before", F.lit(MAPPING), F.lit(0)), F.lit(-1))
+    classes = classes.withColumn("before", before).withColumn("last", last)
+    base = F.when(F.col("last").startswith("@Request"), annotation_path(F.regexp_extract("last", MAPPING, 2))).otherwise("")
+    context = classes.select("repo", "rel", "start", F.struct(F.col("before").rlike(r"@(?:RestController|Controller)\b").alias("controller"), base.alias("base")).alias("context"), F.lit(0).alias("order"))
+
+    routes = members(scan(code, MAPPING).withColumn("ann", group(MAPPING, 1)).withColumn("args", group(MAPPING, 2)))
+    both = routes.select("repo", "rel", "start", F.lit(None).cast("struct<controller:boolean,base:string>").alias("context"), F.lit(1).alias("order")).unionByName(context)
+    above = Window.partitionBy("repo", "rel").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
+    near_class = both.withColumn("context", F.last("context", ignorenulls=True).over(above)).where("order = 1").drop("order").distinct()
+    routes = with_body(routes.join(near_class, ["repo", "rel", "start"]), "jvm", F.when(F.col("has_body"), F.col("start")))
+    base, own = F.coalesce("context.base", F.lit("")), annotation_path(F.col("args"))
+    path = F.when(base.isin("", "/"), own).when(own == "/", base).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(own, F.lit("/"))))
+    asked = F.regexp_extract("args", r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)", 1)
+    method = F.when(F.col("ann") != "Request", F.upper("ann")).when(asked != "", asked).otherwise("ANY")
+    controller = F.coalesce("context.controller", F.lit(False))
+    detail = F.concat_ws(" ", F.when(controller, "Spring controller").otherwise("Spring"), method, F.lit("route"), path)
+    out = route(routes, "jvm", F.when(controller, "spring-controller-route").otherwise("spring-route"), method, path, detail=detail, body=True)
+
+    told = with_body(members(scan(code, LIFECYCLE).withColumn("ann", group(LIFECYCLE, 1))), "jvm", F.when(F.col("has_body"), F.col("start")))
+    ann, label = F.col("ann"), T.split_camel(F.col("member"))
+    short = F.lower(F.regexp_replace(ann, "Listener$", ""))
+    caps = F.when(ann == "Scheduled", strings("schedule.cron")).when(ann == "EventListener", strings()).otherwise(strings("queue.consume"))
+    kind = F.when(ann == "Scheduled", "spring-scheduled").otherwise(F.concat(F.lit("spring-"), short, F.lit("-listener")))
+    detail = F.concat(F.lit("@"), ann, F.lit(" on "), F.col("member"), F.lit("()"))
+    out = out.unionByName(declared(told, "jvm", kind, F.concat_ws(" ", short, label), id=F.concat_ws("-", short, label), name=T.humanize(label), detail=detail, caps=caps, effect="external", trigger=F.when(ann == "Scheduled", "scheduled").otherwise("manual"), body=True))
+    for pattern, kind, detail in ((JAVA_MAIN, "java-main", "public static void main entry point"), (KOTLIN_MAIN, "kotlin-main", "Kotlin main entry point")):
+        mains = with_body(scan(code, pattern), "jvm", F.col("start"))
+        out = out.unionByName(declared(mains, "jvm", kind, F.lit("main"), id=F.lit("main"), name=F.lit("Main"), detail=F.lit(detail), caps=strings("shell.exec"), effect="local", body=True))
+    return out
+
+
+DERIVE = r"#\[\s*derive\s*\(([^)]*)\)\s*\]"
+RUST_ITEM = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(struct|enum)\s+([A-Za-z_]\w*)"
+COMMAND_ATTR = r"#\[\s*command\s*\(([^\]]*)\)\s*\]"
+RUST_ROUTE = r"#\[\s*(get|post|put|patch|delete|head|options)\s*\(\s*([\"'])([^\"']*)\2"
+RUST_FN = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:const\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+([A-Za-z_]\w*)"
+AXUM_ROUTE = r"\.route\(\s*([\"'])([^\"']+)\1\s*,\s*([^;\n]{0,300})"
+AXUM_SERVICE = r"\.service\(\s*([A-Za-z_]\w*)\s*\)"
+RUST_MAIN = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+main\s*\("
+VARIANT = r"^([A-Z]\w*)\s*(?:[({,]|$)"
+
+
+def command_name(attributes: Column) -> Column:
+    """The name that the last #[command(...)] of a stretch gives; '' without one."""
+    last = F.try_element_at(F.regexp_extract_all(attributes, F.lit(COMMAND_ATTR), F.lit(1)), F.lit(-1))
+    return F.coalesce(F.regexp_extract(last, r'\bname\s*=\s*"([^"]*)"', 1), F.lit(""))
+
+
+def rust_declarations(files: DataFrame) -> DataFrame:
+    """clap parsers and subcommands, route attributes, axum routes and services, main functions, Cargo bins and members."""
+    code = of(files, "rust").where(F.col("rel").endswith(".rs"))
+    words = lambda c: T.humanize(T.split_camel(c))
+    shell = {"caps": strings("shell.exec"), "effect": "local"}
+
+    rest = after(4000)
+    item = F.regexp_extract(rest, RUST_ITEM, 0)
+    derived = scan(code, DERIVE).withColumn("item", item).withColumn("gap", F.instr(rest, F.col("item")) - 1).where("item <> '' and gap <= 400")
+    derived = derived.withColumn("names", F.transform(F.split(group(DERIVE, 1), ","), lambda x: F.trim(x))).withColumn("what", F.regexp_extract("item", RUST_ITEM, 1)).withColumn("item_name", F.regexp_extract("item", RUST_ITEM, 2))
+    between = F.substring(F.col("text"), F.col("end") + 1, F.col("gap"))
+    near = F.greatest(F.col("start") - 400, F.lit(0))
+    ahead = F.substring(F.col("text"), near + 1, F.col("start") - near)
+    given = F.when(between.rlike(COMMAND_ATTR), command_name(between)).otherwise(command_name(ahead))
+    parsers = derived.where((F.col("what") == "struct") & F.array_contains("names", "Parser")).withColumn("label", F.when(given != "", given).otherwise(F.col("item_name")))
+    label = F.col("label")
+    out = declared(parsers, "rust", "clap-parser", label, id=label, name=words(label), detail=prefixed("clap Parser ", F.col("item_name")), **shell)
+
+    enums = with_body(derived.where((F.col("what") == "enum") & F.array_contains("names", "Subcommand")), "rust", F.col("end") + F.col("gap")).where("lo is not null")
+    bodies = enums.select("repo", "rel", F.col("lo").alias("enum"), F.posexplode(F.slice(F.split("text", "\n"), F.col("lo"), F.col("hi") - F.col("lo") + 1)).alias("i", "raw")).distinct()
+    bodies = bodies.withColumn("line", F.col("enum") + F.col("i")).withColumn("bare", F.trim("raw")).where("bare <> '' and not startswith(bare, '//')")
+    told = F.regexp_extract("bare", r"^((?:#\[[^\]]*\]\s*)*)", 1)
+    bodies = bodies.withColumn("told", told).withColumn("variant", F.regexp_extract(F.regexp_replace("bare", r"^(?:#\[[^\]]*\]\s*)+", ""), VARIANT, 1))
+    upto = Window.partitionBy("repo", "rel", "enum").orderBy("line")
+    bodies = bodies.withColumn("turn", F.count(F.when(F.col("variant") != "", 1)).over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    attr = lambda key: F.regexp_extract("told", rf'#\[command[^\]]*\b{key}\s*=\s*"([^"]*)"', 1)
+    by_turn = bodies.groupBy("repo", "rel", "enum", "turn").agg(
+        F.max(F.when(F.col("variant") != "", F.struct("line", "variant"))).alias("v"), F.max(F.when(attr("name") != "", F.struct("line", attr("name").alias("x"))))["x"].alias("given"), F.max(F.when(attr("about") != "", F.struct("line", attr("about").alias("x"))))["x"].alias("about"),
+    )
+    variants = by_turn.where("v is not null").select("repo", "rel", "v.line", F.coalesce("given", "v.variant").alias("label"), "about")
+    detail = F.concat(F.lit("clap subcommand "), label, F.coalesce(F.concat(F.lit(" — "), "about"), F.lit("")))
+    out = out.unionByName(declared(variants, "rust", "clap-subcommand", label, id=label, name=words(label), detail=detail, **shell))
+
+    handler = F.regexp_extract(rest, RUST_FN, 0)
+    marked = scan(code, RUST_ROUTE).withColumn("fn", handler).withColumn("gap", F.instr(rest, F.col("fn")) - 1).where("fn <> '' and gap <= 2000").withColumn("handler", F.regexp_extract("fn", RUST_FN, 1))
+    marked = marked.withColumn("method", F.upper(group(RUST_ROUTE, 1))).withColumn("path", F.when(group(RUST_ROUTE, 3) == "", "/").otherwise(group(RUST_ROUTE, 3)))
+    marked = with_body(marked, "rust", F.col("end") + F.col("gap"))
+    method, path = F.col("method"), F.col("path")
+    out = out.unionByName(route(marked, "rust", "route-attribute", method, path, detail=F.concat(method, F.lit(" route "), path, F.lit(" handled by "), F.col("handler"), F.lit("()")), body=True))
+    routed = scan(code, AXUM_ROUTE).withColumn("path", group(AXUM_ROUTE, 2))
+    routed = routed.withColumn("method", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(group(AXUM_ROUTE, 3), F.lit(r"\b(get|post|put|patch|delete|head|options|trace)\s*\("), F.lit(1)), F.upper))))
+    out = out.unionByName(route(routed, "rust", "axum-route", method, path))
+    served = scan(code, AXUM_SERVICE).withColumn("s", group(AXUM_SERVICE, 1))
+    s = F.col("s")
+    out = out.unionByName(declared(served, "rust", "axum-service", s, id=prefixed("service-", s), name=words(s), detail=prefixed("axum service ", s)))
+
+    mains = with_body(scan(code, RUST_MAIN), "rust", F.col("start"))
+    is_async = F.substring(F.col("text"), F.greatest(F.col("start") - 200, F.lit(0)) + 1, F.least(F.col("start"), F.lit(200))).rlike(r"#\[\s*tokio::main\s*\]")
+    own, crate = stem(F.col("rel")), F.regexp_extract("rel", r"(?:^|/)([^/]+)/src/", 1)
+    id = F.when(own != "main", F.concat_ws("-", F.lit("main"), own)).when(crate != "", F.concat_ws("-", crate, F.lit("main"))).otherwise("main")
+    out = out.unionByName(declared(mains, "rust", F.when(is_async, "rust-async-main").otherwise("rust-main"), F.lit("main"), id=id, name=F.lit("Main"), detail=F.when(is_async, "async main entry point").otherwise("main entry point"), body=True, **shell))
+
+    cargo = of(files, "toml").where(file_name(F.col("rel")) == "Cargo.toml").withColumn("line", F.lit(1))
+    bins = cargo.select("repo", "rel", "line", F.explode(F.filter(F.transform(F.slice(F.split("text", r"(?m)^\[\[bin\]\]\s*$"), 2, 1000), lambda b: F.regexp_extract(F.regexp_extract(b, r"(?s)^(.*?)(?:\n\[|\z)", 1), r'(?m)^\s*name\s*=\s*"([^"]+)"', 1)), lambda n: n != "")).alias("n"))
+    n = F.col("n")
+    out = out.unionByName(declared(bins, "rust", "cargo-bin", n, id=prefixed("bin-", n), name=words(n), detail=prefixed("Cargo bin target ", n), **shell))
+    listed = F.regexp_extract(F.regexp_extract("text", r"(?ms)^\[workspace\]\s*$(.*?)(?=^\[|\z)", 1), r"members\s*=\s*\[([^\]]*)\]", 1)
+    parts = cargo.select("repo", "rel", "line", F.explode(F.regexp_extract_all(listed, F.lit('"([^"]+)"'), F.lit(1))).alias("member"))
+    leaf = F.substring_index(F.rtrim("member", F.lit("/")), "/", -1)
+    return out.unionByName(declared(parts, "rust", "cargo-workspace-member", leaf, id=prefixed("member-", leaf), name=words(leaf), detail=prefixed("Cargo workspace member ", F.col("member"))))
+
+
+# ---------------------------------------------------------------- Python
+
+# Decorators that declare an operation, decorators of containers, and calls that name one.
+COMMANDS, CONTAINERS = ("command", "task", "job", "flow"), ("group", "cli", "app", "add_typer")
+TOOLS = ("tool", "function_tool", "register_tool")
+PIPELINES = ("dag", "op", "asset", "schedule", "sensor", "graph", "materialize")
+ROUTES = (*METHODS, "route", "websocket")
+
+
+def literal(node: ast.AST) -> str | None:
+    """A text constant's value."""
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def first_text(call: ast.AST) -> str | None:
+    return next((x for x in map(literal, call.args) if x is not None), None) if isinstance(call, ast.Call) else None
+
+
+def last_name(node: ast.AST) -> str:
+    node = node.func if isinstance(node, ast.Call) else node
+    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
+
+
+def python_function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[tuple]:
+    """What a function's decorators declare: dialect, kind, op, label of the id, name, detail."""
+    names = [last_name(d) for d in node.decorator_list]
+    if not set(names) & set(CONTAINERS):
+        for d, name in zip(node.decorator_list, names, strict=True):
+            if name in COMMANDS and (isinstance(d, (ast.Call, ast.Attribute))):
+                label = first_text(d) or node.name
+                yield "cli-python", f"{name}-decorator", label, label, label, f"@{name} on {node.name}()"
+                break
+    for dialect, known, prefix in (("agent-tools", TOOLS, "tool"), ("orchestrator-dag", PIPELINES, None)):
+        if hit := next((n for n in names if n in known), None):
+            yield dialect, f"{hit}-decorator", node.name, f"{prefix or hit}-{node.name}", node.name, f"@{hit} on {node.name}()"
+    for d, name in zip(node.decorator_list, names, strict=True):
+        target = d.func if isinstance(d, ast.Call) else d
+        if isinstance(target, ast.Attribute) and name in ROUTES and (not isinstance(target.value, ast.Name) or target.value.id in ROUTE_OBJECTS):
+            path, method = first_text(d) or "/", name.upper()
+            if name == "route":
+                listed = next((k.value.elts for k in getattr(d, "keywords", []) if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))), [])
+                method = "|".join(sorted(x.upper() for x in map(literal, listed) if x)) or "ANY"
+            op = f"{method} {path}"
+            yield "web-python", "route-decorator", op, op, None, f"{method} route {path} handled by {node.name}()"
+            break
+
+
+def python_call(node: ast.Call) -> Iterator[tuple]:
+    """What a call declares: subparsers, DAG("x") and Flow("x"), entries of a Django urlconf."""
+    first = first_text(node)
+    if isinstance(node.func, ast.Attribute) and node.func.attr == "add_parser" and first:
+        yield "cli-python", "argparse-subparser", first, first, first, "argparse subparser"
+    if isinstance(node.func, ast.Name) and node.func.id in ("DAG", "Flow") and first:
+        yield "orchestrator-dag", "dag-constructor", first, f"dag-{first}", first, f"{node.func.id} {first}"
+    if isinstance(node.func, ast.Name) and node.func.id in ("path", "re_path", "url") and len(node.args) > 1 and literal(node.args[0]) is not None:
+        target = node.args[1]
+        view = target.func.attr if isinstance(target, ast.Call) and isinstance(target.func, ast.Attribute) else "" if isinstance(target, ast.Call) else last_name(target)
+        if view and view not in ("include", "static"):
+            label = next((literal(k.value) for k in node.keywords if k.arg == "name"), None) or view
+            yield "web-python", "django-urlconf", label, f"url-{label}", label, f"Django urlconf entry for {view}"
 
 
 def python_declarations(text: str) -> Iterator[tuple]:
-    """(line, dialect, op, lo, hi, detail) of decorated functions and subparsers; none where the file doesn't parse."""
+    """(line, dialect, kind, op, label, name, lo, hi, detail, inputs) of a file; none where it doesn't parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            for d in node.decorator_list:
-                name = dotted(d.func if isinstance(d, ast.Call) else d)
-                owner, _, last = name.rpartition(".")
-                for dialect, names in DECORATORS.items():
-                    if last in names and not (dialect == "web-python" and not owner) and last not in GROUPS:
-                        arg = d.args[0].value if isinstance(d, ast.Call) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str) else None
-                        op = f"{last.upper()} {arg}" if dialect == "web-python" and arg else arg or node.name.replace("_", "-")
-                        yield node.lineno, dialect, op, node.lineno, node.end_lineno, f"@{last} on {node.name}()"
-                        break
-        elif isinstance(node, ast.Call) and dotted(node.func).endswith("add_parser") and node.args and isinstance(node.args[0], ast.Constant):
-            yield node.lineno, "cli-python", str(node.args[0].value), None, None, "add_parser"
-
-
-def python_candidates(files: DataFrame) -> DataFrame:
+            a = node.args
+            inputs = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs) if x.arg not in ("self", "cls")]
+            for dialect, kind, op, label, name, detail in python_function(node):
+                yield node.lineno, dialect, kind, op, label, name, node.lineno, node.end_lineno, detail, inputs
+        elif isinstance(node, ast.Call):
+            for dialect, kind, op, label, name, detail in python_call(node):
+                inputs = [x for x in map(literal, node.args) if x is not None] if kind == "argparse-subparser" else []
+                yield node.lineno, dialect, kind, op, label, name, None, None, detail, inputs
+
+
+def python_candidates(files: DataFrame, *dialects: str) -> DataFrame:
+    """Declarations of Python files, of the given dialects or all four."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(repo, rel, *x) for repo, rel, text in zip(b.repo, b.rel, b.text, strict=True) for x in python_declarations(text)]
-            out = pd.DataFrame(rows, columns=["repo", "rel", "line", "dialect", "op", "lo", "hi", "detail"])
+            out = pd.DataFrame(rows, columns=["repo", "rel", "line", "dialect", "kind", "op", "label", "name", "lo", "hi", "detail", "inputs"])
             yield out.astype({c: "Int32" for c in ("line", "lo", "hi")})
 
-    maybe = F.col("text").rlike("@|add_parser")
-    return files.where(F.col("rel").endswith(".py") & maybe).select("repo", "rel", "text").mapInPandas(run, CANDIDATE)
+    maybe = F.col("text").rlike(r"@|add_parser|DAG\(|Flow\(|path\(|url\(")
+    rows = of(files, "python").where(F.col("rel").endswith(".py") & maybe).select("repo", "rel", "text").mapInPandas(run, PYTHON)
+    rows = rows.where(F.col("dialect").isin(*dialects)) if dialects else rows
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "repo", "rel", "line", "dialect", "kind", "op", T.slugify(F.col("label")).alias("id"), F.when(F.col("name").isNull(), F.col("op")).otherwise(T.humanize(F.col("name"))).alias("name"),
+        F.concat_ws(":", "rel", F.col("line").cast("string")).alias("loc"), "lo", "hi", "detail", strings().alias("caps"), none.alias("effect"), F.lit("manual").alias("trigger"), "inputs",
+    )
 
 
-def python_call_rows(text: str) -> Iterator[tuple]:
-    """(line, dotted name, last part, first string argument or null, enclosing function) of every call."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
-    stack: list[tuple[ast.AST, str]] = [(tree, "")]
-    while stack:
-        node, scope = stack.pop()
-        if isinstance(node, ast.Call) and (name := dotted(node.func)):
-            first = node.args[0].value if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else None
-            yield node.lineno, name, name.rpartition(".")[2], first, scope
-        inner = node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else scope
-        stack += [(c, inner) for c in ast.iter_child_nodes(node)]
+def one(dialect: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda files: python_candidates(files, dialect)
 
 
-def python_calls(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(repo, rel, *x) for repo, rel, text in zip(b.repo, b.rel, b.text, strict=True) for x in python_call_rows(text)]
-            yield pd.DataFrame(rows, columns=["repo", "rel", "line", "func", "verb", "arg0", "scope"]).astype({"line": "Int32"})
-
-    return files.where(F.col("rel").endswith(".py") & F.contains("text", F.lit("("))).select("repo", "rel", "text").mapInPandas(run, CALL)
-
-
-#: Ordered effect patterns: id, last name or dotted name, module beginning, capability, effect.
-EFFECTS = [
-    ("subprocess-exec", ("subprocess.run", "subprocess.Popen", "subprocess.check_output", "os.system"), (), "shell.exec", "effectful-local"),
-    ("http-mutating", ("requests.post", "requests.put", "requests.patch", "requests.delete", "httpx.post", "httpx.put"), (), "http.request", "effectful-external"),
-    ("http-reading", ("requests.get", "httpx.get", "urlopen"), (), "http.request", "read-external"),
-    ("db-session-write", ("session.add", "session.commit", "session.merge", "executemany"), (), "data.write", "effectful-external"),
-    ("queue-send", ("send_message", "publish", "basic_publish", "send_task"), (), "queue.publish", "effectful-external"),
-    ("payment", (), ("stripe",), "payment.charge", "effectful-external"),
-    ("object-storage", ("upload_file", "download_file", "put_object", "get_object"), (), "storage.object", "effectful-external"),
-    ("pathlib-write", ("write_text", "write_bytes"), (), "file.write", "effectful-local"),
-    ("pathlib-read", ("read_text", "read_bytes"), (), "file.read", "read-local"),
-    ("file-read-open", ("open",), (), "file.read", "read-local"),
-    ("env-secret", ("os.getenv",), (), "secret.read", "read-local"),
-    ("git-op", (), ("git",), "git.op", "effectful-local"),
-]
-
-
-def effect_sites(calls: DataFrame) -> DataFrame:
-    """One site for each line: the first pattern in order that a call matches; of several calls on a line the first wins."""
-    spark = calls.sparkSession
-    none = F.array().cast("array<string>")
-    rows = [F.struct(F.lit(i).alias("ord"), F.lit(k).alias("pattern"), F.array(*map(F.lit, f)) if f else none, F.array(*map(F.lit, m)) if m else none, F.lit(c).alias("capability"), F.lit(e).alias("effect")) for i, (k, f, m, c, e) in enumerate(EFFECTS)]
-    table = spark.range(1).select(F.explode(F.array(*[r.cast("struct<ord:int,pattern:string,funcs:array<string>,modules:array<string>,capability:string,effect:string>") for r in rows])).alias("x")).select("x.*")
-    keys = table.select("ord", "pattern", "capability", "effect", F.explode(F.concat("funcs", F.transform("modules", lambda m: F.concat(m, F.lit(".*"))))).alias("key"))
-    asked = calls.select("repo", "rel", "line", F.explode(F.array_distinct(F.array("verb", "func", F.concat(F.substring_index("func", ".", 1), F.lit(".*"))))).alias("key"))
-    hit = asked.join(F.broadcast(keys), "key")  # one row for each of the fixed patterns' names
-    return hit.groupBy("repo", "rel", "line").agg(F.min_by(F.struct("capability", "effect", "pattern"), "ord").alias("x")).select("repo", "rel", "line", "x.*")
-
-
-def candidates(files: DataFrame) -> DataFrame:
-    """All dialects together; the first declaration of an operation in a file by dialect and line stays."""
+# ---------------------------------------------------------------- the registry
+
+# The classes of repositories that each dialect fits; none: all.
+CLASSES = {
+    "agent-tools": "agent-system library service-app unknown", "ansible": "infra-config unknown", "cli-python": "cli-tool library agent-system service-app unknown",
+    "compose-services": "infra-config service-app unknown", "crontab": "infra-config unknown", "github-actions": "infra-config service-app library unknown",
+    "go": "cli-tool service-app library infra-config agent-system unknown", "jvm": "cli-tool service-app library infra-config agent-system unknown", "kubernetes": "infra-config service-app unknown",
+    "make-target": "infra-config library service-app cli-tool unknown", "openapi-spec": "service-app infra-config library unknown",
+    "orchestrator-dag": "agent-system service-app library infra-config unknown", "package-scripts": "service-app library cli-tool agent-system unknown", "proto-service": "",
+    "rust": "cli-tool service-app library infra-config agent-system unknown", "systemd-unit": "infra-config service-app unknown", "terraform": "infra-config library unknown",
+    "tool-manifest": "agent-system library infra-config unknown", "web-js": "service-app library unknown", "web-python": "service-app library unknown agent-system",
+}
+#: Reader of each dialect. The four Python dialects share one reading of the files.
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "ansible": ansible_plays, "compose-services": compose_services, "crontab": cron_lines, "github-actions": github_jobs, "go": go_declarations, "jvm": jvm_declarations, "kubernetes": kubernetes_objects,
+    "make-target": make_targets, "openapi-spec": openapi_operations, "package-scripts": package_scripts, "proto-service": proto_calls, "python": python_candidates, "rust": rust_declarations,
+    "systemd-unit": systemd_units, "terraform": terraform_blocks, "tool-manifest": tool_manifests, "web-js": web_js,
+}
+
+
+#: The families of files that each reader looks at; a reader that isn't listed looks at all.
+FAMILIES = {
+    "ansible": ("yaml",), "compose-services": ("yaml",), "crontab": ("cron", "other", "document"), "github-actions": ("yaml",), "go": ("go",), "jvm": ("jvm",), "kubernetes": ("yaml",), "make-target": ("make",),
+    "openapi-spec": ("json", "yaml"), "package-scripts": ("json",), "proto-service": ("proto",), "python": ("python",), "rust": ("rust", "toml"), "systemd-unit": ("unit",), "terraform": ("terraform",),
+    "tool-manifest": ("json",), "web-js": ("javascript",),
+}
+
+
+def register(dialect: str, reader: Callable[[DataFrame], DataFrame], classes: tuple[str, ...] = ()) -> None:
+    """Add a dialect: ``reader`` takes files and returns CANDIDATE rows (``declared`` makes them)."""
+    if dialect in READERS or dialect in CLASSES:
+        raise ValueError(f"dialect {dialect!r} is registered already")
+    READERS[dialect], CLASSES[dialect] = reader, " ".join(classes)
+
+
+def fitting(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates whose dialect fits the class of their repository; ``classes``: repo, repo_class."""
+    known = F.create_map(*[F.lit(x) for d, c in CLASSES.items() for x in (d, c)])
+    allowed = F.split(F.coalesce(known[F.col("dialect")], F.lit("")), " ")
+    return rows.join(classes.select("repo", "repo_class"), "repo").where((allowed == F.array(F.lit(""))) | F.array_contains(allowed, F.col("repo_class"))).drop("repo_class")
+
+
+def candidates(files: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """All dialects together; of equal ids in a repository the first by dialect, path and line stays. ``ord`` is its place."""
     from tidemark.operators.fusion import first_by
 
-    parts = [f(files) for f in (make_targets, package_scripts, cron_lines, terraform_blocks, proto_calls, systemd_units, tool_manifests, openapi_operations, github_jobs, compose_services, kubernetes_objects, ansible_plays, braced, python_candidates)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return first_by(every.select("repo", "op", "dialect", "rel", "line", "lo", "hi", "detail"), ["repo", "op"], ["dialect", "rel", "line"])
+    readers = READERS
+    if "family" in files.columns:  # readers of families that no file belongs to have nothing to do; the families are folder names
+        there = {r["family"] for r in files.select("family").distinct().collect()}
+        readers = {d: r for d, r in READERS.items() if d not in FAMILIES or there & set(FAMILIES[d])} or {"python": python_candidates}
+    parts = [reader(files).select(*CANDIDATE) for reader in readers.values()]
+    every = reduce(DataFrame.unionByName, parts).where("id <> ''")
+    if classes is not None:
+        every = fitting(every, classes)
+    return first_by(every, ["repo", "id"], ["dialect", "rel", "line", "op"]).select(*CANDIDATE)
+
+
+def order_hints(rows: DataFrame) -> DataFrame:
+    """Add order_hint, the 0-based place of a candidate in its repository and dialect."""
+    place = F.row_number().over(Window.partitionBy("repo", "dialect").orderBy("rel", "line", "op"))
+    return rows.withColumn("order_hint", place - 1)

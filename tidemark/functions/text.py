@@ -26,6 +26,8 @@ SECRET_KINDS = {
     "github": r"\bgh[pousr]_[A-Za-z0-9]{20,}",
     "slack": r"\bxox[baprs]-[A-Za-z0-9\-]{10,}",
     "google": r"\bAIza[0-9A-Za-z_\-]{30,}",
+    "sendgrid": r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}",
+    "twilio": r"\b(?:AC|SK)[0-9a-f]{32}\b",
     "jwt": r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "assignment": r"(?i)\b(bearer|token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*\S{8,}",
@@ -53,7 +55,7 @@ OPTIONAL_WORDS = ("optional", "if ", "skipped", "nice to", "not required")
 GH, ASSIGNED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("bearer", "token", "secret", "passw", "apikey", "api_key", "api-key")
 SECRET_WORDS = [("sk-", "pk-", "rk-"), ("sk_live_",), ("akia",), GH, ("xox",), ("aiza",), ("eyj",), ASSIGNED]
 KIND_WORDS = {
-    "openai": ("sk-",), "stripe": ("k_live_",), "aws": ("akia",), "github": GH, "slack": ("xox",), "google": ("aiza",), "jwt": ("eyj",), "pem": ("-----begin",),
+    "openai": ("sk-",), "stripe": ("k_live_",), "aws": ("akia",), "github": GH, "slack": ("xox",), "google": ("aiza",), "sendgrid": ("sg.",), "twilio": ("ac", "sk"), "jwt": ("eyj",), "pem": ("-----begin",),
     "assignment": ASSIGNED,
 }
 CLAIM_WORDS = {"study": ("stud", "research", "scientist", "expert"), "attribution": ("according",), "superlative": ("est", "most", "worst", "leading", "world"), "absolute": ("al", "never", "every", "no")}
@@ -210,6 +212,58 @@ def srt_timestamp(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), part(60000, 60), part(1000, 60), ms % 1000)
 
 
+def srt_seconds(seconds: Column) -> Column:
+    """HH:MM:SS,mmm of seconds, rounded to milliseconds half to even."""
+    return srt_timestamp(F.bround(seconds * 1000).cast("long"))
+
+
+def wrap(text: Column, limit: int) -> Column:
+    """Lines of at most ``limit`` characters, filled word by word; a longer word has a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def step(acc: Column, word: Column) -> Column:
+        longer = F.when(acc["line"] == "", word).otherwise(F.concat_ws(" ", acc["line"], word))
+        full = (acc["line"] != "") & (F.length(longer) > limit)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]).alias("done"), F.when(full, word).otherwise(longer).alias("line"))
+
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["line"])))
+
+
+def clip(text: Column, most: int = 4000) -> Column:
+    """Credentials redacted, then cut to ``most`` characters with a note of how many are missing; null is empty."""
+    clean = redact(text)
+    note = F.concat(F.left(clean, F.lit(most)), F.lit("\n[... "), F.length(clean) - most, F.lit(" chars truncated]"))
+    return F.when(text.isNull(), "").otherwise(F.when(F.length(clean) > most, note).otherwise(clean))
+
+
+def tool_names(json: Column) -> Column:
+    """Distinct sorted names of the tools of a JSON manifest: its ``tools``, or the list that it is."""
+    listed = F.coalesce(F.get_json_object(json, "$.tools"), F.when(json.rlike(r"^\s*\["), json))
+    names = F.transform(F.from_json(listed, "array<struct<name:string>>"), lambda t: F.trim(t["name"]))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
+
+
+def with_note(notes: Column, note: Column) -> Column:
+    """Notes with one more at the end, parted by '; '."""
+    return F.concat_ws("; ", F.when(notes != "", notes), note)
+
+
+def coerced(value: Column, kind: Column) -> Column:
+    """A JSON value as its declared kind: the text of a string, a number as a double's text, a whole number; null where it is none.
+
+    true and false are no numbers; values of undeclared kinds pass as they are.
+    """
+    from tidemark.operators.checks import is_kind
+
+    fits = is_kind(value, kind)
+    parsed = F.try_parse_json(value)
+    return (
+        F.when(~kind.isin("string", "number", "integer") | kind.isNull(), value).when(~fits, None).when(kind == "string", F.try_variant_get(parsed, "$", "string"))
+        .when(kind == "number", F.try_variant_get(parsed, "$", "double").cast("string")).otherwise(F.try_variant_get(parsed, "$", "bigint").cast("string"))
+    )
+
+
 def skill_name(url: Column, profile: Column) -> Column:
     """Name of a package: stem of the address (40 characters at most), then the profile (16), 64 in all."""
     stem = F.regexp_replace(F.substring_index(F.rtrim(url, F.lit("/")), "/", -1), r"\.git$", "")

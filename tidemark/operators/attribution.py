@@ -51,7 +51,8 @@ def associate_gates(signals: DataFrame, operations: DataFrame, line: str, order:
     """Gate signals with the operations that own them, and the signals that name no operation.
 
     An operation is named by a line with a word that begins with one of its identity tokens. Owners are the named
-    operations whose name hints at the gate, or else all named ones; each operation and gate keeps its first signal.
+    operations whose name hints at the gate, or else all named ones; each operation and gate keeps its first signal. (A limit of
+    six signals an operation, as a report may set, can't bind: there are five gates.)
     Lines are cut into word beginnings of the tokens' lengths, which turns the prefix match into an equi-join. ``scope``
     (a repository, say) is shared by signals and operations; ``order`` names a signal within it.
     """

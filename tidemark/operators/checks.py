@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import PHASE_VERBS, token_estimate
-from tidemark.operators.fusion import CONFIDENCE, EFFECTS
+from tidemark.operators.fusion import CONFIDENCE, EFFECTS, SOURCES
 
 KEBAB = "^[a-z0-9]+(-[a-z0-9]+)*$"
 GATES = ("publish", "spend", "irreversible", "legal", "privacy")
+# Closed lists of an inventory and its catalogues.
+REPO_CLASSES = ("library", "cli-tool", "service-app", "agent-system", "infra-config", "unknown")
+STATUSES = ("draft", "reviewed", "accepted-unreviewed")
+TRIGGERS = ("manual", "scheduled", "event")
+CREDENTIAL_KINDS = ("apikey", "oauth", "token", "password", "other")
+STANDIN_TYPES = ("reducing", "deferred", "no-op")
+INPUT_KINDS = ("string", "number", "integer")
+FRONT_KEYS = ("name", "description", "license", "compatibility", "metadata", "allowed-tools")
+TOP_ENTRIES = ("SKILL.md", "references", "scripts", "assets")
 #: Budgets of an emitted package.
-MOST_LINES, MOST_TOKENS, MOST_NAME, MOST_DESCRIPTION = 500, 5000, 64, 1024
+MOST_LINES, MOST_TOKENS, MOST_NAME, MOST_DESCRIPTION, MOST_COMPATIBILITY = 500, 5000, 64, 1024, 500
 
 
 def broken(tests: dict[str, Column]) -> Column:
@@ -19,29 +28,128 @@ def broken(tests: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(k)) for k, t in tests.items()]))
 
 
-def validate_operations(operations: DataFrame, scope: list[str]) -> DataFrame:
-    """Violations (scope, id, rule) of the closed lists, the id's form, requirements and uniqueness within the scope."""
-    known = lambda c, values: ~F.col(c).isin(*values)
+def closed(c: str, values: tuple[str, ...]) -> Column:
+    """The value isn't one of a closed list; null isn't either."""
+    return ~F.col(c).isin(*values)
+
+
+def validate_operations(operations: DataFrame, scope: list[str], vocabulary: DataFrame | None = None, standins: DataFrame | None = None) -> DataFrame:
+    """Violations (scope, id, rule) of an inventory's operations.
+
+    Rules on columns that ``operations`` doesn't have are left out, but for the required ones. vocabulary: capability;
+    standins: stand_in.
+    """
+    have = set(operations.columns)
+    absent = lambda c: F.col(c).isNull() if c in have else F.lit(True)
     twice = operations.groupBy(*scope, "id").count().where("count > 1").select(*scope, "id", F.lit("duplicate-id").alias("rule"))
     tests = {
-        "id-form": ~F.col("id").rlike(KEBAB), "stage": known("stage", tuple(PHASE_VERBS)), "effect": known("effect", EFFECTS), "confidence": known("confidence", CONFIDENCE),
+        "id-form": ~F.col("id").rlike(KEBAB), "stage": closed("stage", tuple(PHASE_VERBS)), "effect": closed("effect", EFFECTS), "confidence": closed("confidence", CONFIDENCE),
         "requires-empty": F.size("requires") == 0, "gate": F.size(F.array_except("gate", F.array(*map(F.lit, GATES)))) > 0,
     }
-    return operations.select(*scope, "id", F.explode(broken(tests)).alias("rule")).unionByName(twice)
+    if "name" in have:
+        tests["name-missing"] = absent("name")
+    if "gate_confidence" in have:
+        tests |= {"gate-confidence-missing": (F.size("gate") > 0) & absent("gate_confidence"), "gate-confidence": ~absent("gate_confidence") & F.coalesce(closed("gate_confidence", CONFIDENCE), F.lit(False))}
+    if "evidence" in have:
+        tests |= {
+            "evidence-empty": F.size("evidence") == 0, "evidence-source": F.exists("evidence", lambda e: ~F.coalesce(e["source"].isin(*SOURCES), F.lit(False))),
+            "evidence-loc": F.exists("evidence", lambda e: F.coalesce(e["loc"], F.lit("")) == ""),
+        }
+    if "trigger" in have:
+        tests["trigger"] = ~absent("trigger") & F.coalesce(closed("trigger", TRIGGERS), F.lit(False))
+    for c in ("optional", "deterministic"):
+        if c in have:
+            tests[f"{c}-missing"] = absent(c)
+    out = operations.select(*scope, "id", F.explode(broken(tests)).alias("rule")).unionByName(twice)
+    if vocabulary is not None:
+        used = operations.select(*scope, "id", F.explode("requires").alias("capability"))
+        out = out.unionByName(used.join(vocabulary.select("capability"), "capability", "left_anti").select(*scope, "id", F.lit("unknown-capability").alias("rule")).distinct())
+    if standins is not None and "stand_in" in have:
+        named = operations.where("stand_in is not null")
+        out = out.unionByName(named.join(standins.select("stand_in"), "stand_in", "left_anti").select(*scope, "id", F.lit("unknown-stand-in").alias("rule")))
+    return out
+
+
+def validate_inventories(inventories: DataFrame) -> DataFrame:
+    """Violations of the fields around the operations: repo, repo_class, inventory_status, schema_version."""
+    tests = {"repo-class": closed("repo_class", REPO_CLASSES), "status": closed("inventory_status", STATUSES), "schema-version": F.col("schema_version").isNull()}
+    return inventories.select("repo", F.explode(broken(tests)).alias("rule"))
+
+
+def repeats(c: str) -> Column:
+    return F.size(F.array_distinct(c)) < F.size(c)
 
 
 def validate_profiles(profiles: DataFrame, vocabulary: DataFrame, today: Column) -> DataFrame:
-    """Violations of profiles (profile, native, mcp, expiry): unknown capabilities, one in both channels, expired, duplicates."""
+    """Violations of profiles (profile, native, mcp, expiry): form, unknown capabilities, repeats, one in both channels, expired."""
     offered = profiles.select("profile", F.explode(F.array_union("native", "mcp")).alias("capability"))
     unknown = offered.join(vocabulary, "capability", "left_anti").select("profile", F.lit("unknown-capability").alias("rule")).distinct()
-    tests = {"both-channels": F.arrays_overlap("native", "mcp"), "expired": F.coalesce(F.to_date("expiry") < today, F.lit(False))}
+    tests = {
+        "id-form": ~F.col("profile").rlike(KEBAB), "both-channels": F.arrays_overlap("native", "mcp"), "native-repeats": repeats("native"), "mcp-repeats": repeats("mcp"),
+        "expired": F.coalesce(F.to_date("expiry") < today, F.lit(False)),
+    }
     twice = profiles.groupBy("profile").count().where("count > 1").select("profile", F.lit("duplicate-id").alias("rule"))
     return profiles.select("profile", F.explode(broken(tests)).alias("rule")).unionByName(unknown).unionByName(twice)
 
 
-def validate_standins(standins: DataFrame) -> DataFrame:
-    tests = {"fidelity": (F.col("fidelity") < 0) | (F.col("fidelity") >= 1), "type": ~F.col("type").isin("reducing", "deferred", "no-op")}
-    return standins.select("stand_in", F.explode(broken(tests)).alias("rule"))
+def validate_catalogue(providers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Violations of a provider catalogue: provider, rule.
+
+    providers: provider, packages (map of ecosystem to names), caps, effect, gates, credentials (name, kind), ambiguous, note.
+    """
+    named = F.coalesce("provider", F.lit(""))
+    tests = {
+        "id-missing": named == "", "no-packages": F.coalesce(F.size("packages") <= 0, F.lit(True)), "empty-packages": F.exists(F.map_values("packages"), lambda n: F.coalesce(F.size(n) <= 0, F.lit(True))),
+        "effect": F.col("effect").isNotNull() & F.coalesce(closed("effect", EFFECTS), F.lit(False)), "gate": F.size(F.array_except("gates", F.array(*map(F.lit, GATES)))) > 0,
+        "credential-name": F.exists("credentials", lambda c: F.coalesce(c["name"], F.lit("")) == ""), "credential-kind": F.exists("credentials", lambda c: ~F.coalesce(c["kind"].isin(*CREDENTIAL_KINDS), F.lit(False))),
+        "ambiguous-without-note": F.coalesce("ambiguous", F.lit(False)) & (F.coalesce("note", F.lit("")) == ""),
+    }
+    twice = providers.where(named != "").groupBy("provider").count().where("count > 1").select("provider", F.lit("duplicate-id").alias("rule"))
+    used = providers.select("provider", F.explode("caps").alias("capability"))
+    unknown = used.join(vocabulary.select("capability"), "capability", "left_anti").select("provider", F.lit("unknown-capability").alias("rule")).distinct()
+    return providers.select("provider", F.explode(broken(tests)).alias("rule")).unionByName(twice).unionByName(unknown)
+
+
+def validate_standins(standins: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Violations of stand-ins: stand_in, rule. ``desc``, ``capability`` are checked where the table has them."""
+    have = set(standins.columns)
+    tests = {"fidelity": (F.col("fidelity") < 0) | (F.col("fidelity") >= 1), "type": closed("type", STANDIN_TYPES)}
+    if "desc" in have:
+        tests["desc-missing"] = F.coalesce("desc", F.lit("")) == ""
+    out = standins.select("stand_in", F.explode(broken(tests)).alias("rule"))
+    out = out.unionByName(standins.groupBy("stand_in").count().where("count > 1").select("stand_in", F.lit("duplicate-id").alias("rule")))
+    if vocabulary is not None and "capability" in have:
+        unknown = standins.where("capability is not null").join(vocabulary.select("capability"), "capability", "left_anti")
+        out = out.unionByName(unknown.select("stand_in", F.lit("unknown-capability").alias("rule")))
+    return out
+
+
+def validate_execution(standins: DataFrame, shipped: DataFrame) -> DataFrame:
+    """Violations of how stand-ins run: stand_in, rule.
+
+    standins: stand_in, script, unavailable (why it can't run), tools, inputs (name, type, default as JSON); shipped: script.
+    """
+    runs, excused = F.coalesce("script", F.lit("")) != "", F.trim(F.coalesce("unavailable", F.lit(""))) != ""
+    wrong = lambda i: ~F.coalesce(i["type"].isin(*INPUT_KINDS), F.lit(False))
+    tests = {
+        "neither-runs-nor-says-why": ~runs & ~excused, "runs-and-says-why-not": runs & excused, "tool-empty": runs & F.exists("tools", lambda t: F.trim(F.coalesce(t, F.lit(""))) == ""),
+        "input-type": runs & F.exists("inputs", wrong), "input-default": runs & F.exists("inputs", lambda i: ~wrong(i) & i["default"].isNotNull() & ~is_kind(i["default"], i["type"])),
+    }
+    missing = standins.where(runs).join(shipped.select("script"), "script", "left_anti").select("stand_in", F.lit("script-not-shipped").alias("rule"))
+    return standins.select("stand_in", F.explode(broken(tests)).alias("rule")).unionByName(missing)
+
+
+def is_kind(value: Column, kind: Column) -> Column:
+    """A JSON value is of the kind string, number or integer; true and false are no numbers."""
+    what = F.schema_of_variant(F.try_parse_json(value))
+    number = what.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    whole = (what == "BIGINT") | what.rlike(r"^DECIMAL\(\d+,0\)")
+    return F.coalesce(F.when(kind == "string", what == "STRING").when(kind == "number", number).when(kind == "integer", whole & ~F.contains(value, F.lit("."))).otherwise(True), F.lit(False))
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text; the empty one has none, a last newline opens none."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text.endswith("\n"), 0).otherwise(1))
 
 
 def validate_package(files: DataFrame, name: str, text: str) -> DataFrame:
@@ -51,6 +159,43 @@ def validate_package(files: DataFrame, name: str, text: str) -> DataFrame:
     return files.select(name, F.explode(broken(tests)).alias("rule"))
 
 
+def validate_packages(files: DataFrame) -> DataFrame:
+    """Violations of packages (package, rel, text), each with a SKILL.md: front matter, budgets, depth of references, entries.
+
+    Result: package, rule. Faults of the front matter come with their own names and stop the other tests of the file.
+    """
+    from tidemark.sources.catalogues import front_matter
+
+    main = files.where("rel = 'SKILL.md'").select("package", "text")
+    absent = files.select("package").distinct().join(main, "package", "left_anti").select("package", F.lit("no-skill-file").alias("rule"))
+    entries, faults = front_matter(main, "package")
+    read = main.join(faults.select("package"), "package", "left_anti")
+    top = entries.where("parent is null").groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("front"))
+    told = read.join(top, "package", "left").withColumn("front", F.coalesce("front", F.create_map().cast("map<string,string>")))
+    body = F.trim(F.regexp_replace("text", r"(?s)^---.*?\n[ \t]*---[ \t]*(?:\n|\z)", ""), F.lit(" \n\t\r"))
+    value = lambda k: F.coalesce(F.try_element_at("front", F.lit(k)), F.lit(""))
+    told = told.withColumn("body", body)
+    name, lines = value("name"), line_count(F.col("body"))
+    tests = {
+        "name-empty": name == "", "name-form": (name != "") & ~name.rlike(KEBAB), "name-length": F.length(name) > MOST_NAME, "name-folder": (name != "") & (name != F.col("package")), "description-empty": value("description") == "",
+        "description-length": F.length(value("description")) > MOST_DESCRIPTION, "compatibility-length": F.length(value("compatibility")) > MOST_COMPATIBILITY, "unknown-key": F.size(F.array_except(F.map_keys("front"), F.array(*map(F.lit, FRONT_KEYS)))) > 0,
+        "lines": lines > MOST_LINES, "tokens": token_estimate(F.col("body")) > MOST_TOKENS,
+    }
+    out = told.select("package", F.explode(broken(tests)).alias("rule")).unionByName(absent).unionByName(faults.select("package", F.concat(F.lit("front-matter-"), "fault").alias("rule")))
+    deep = files.where("rel like 'references/%' and size(split(rel, '/')) > 2").select("package", F.lit("reference-depth").alias("rule"))
+    odd = files.where(~F.substring_index("rel", "/", 1).isin(*TOP_ENTRIES)).select("package", F.lit("unexpected-entry").alias("rule"))
+    return out.unionByName(deep.distinct()).unionByName(odd.distinct())
+
+
+def validate_declaration(bodies: DataFrame, key: str, text: str) -> DataFrame:
+    """Bodies that don't say which profile they were made for, or what it offers: key, rule."""
+    low = F.lower(text)
+    says = F.contains(low, F.lit("profile"))
+    offers = F.contains(low, F.lit("native")) | F.contains(low, F.lit("mcp"))
+    rule = F.when(~says, "no-profile").when(~offers, "no-channels")
+    return bodies.select(key, rule.alias("rule")).where("rule is not null")
+
+
 def report_json(summary: DataFrame, key: list[str]) -> DataFrame:
     """A JSON document for each summary row, fields in alphabetical order."""
     return summary.select(*key, F.to_json(F.struct(*sorted(c for c in summary.columns if c not in key))).alias("report"))
@@ -65,3 +210,56 @@ def review_line() -> Column:
     """One line of a review list: confidence, id, requirements, gates."""
     gated = F.when(F.size("gate") > 0, F.concat(F.lit(" [gates: "), F.concat_ws(", ", "gate"), F.lit("]"))).otherwise("")
     return F.concat(F.lit("- ("), "confidence", F.lit(") `"), "id", F.lit("` needs "), F.concat_ws(", ", "requires"), gated)
+
+
+def review_lines(operations: DataFrame, scope: list[str]) -> DataFrame:
+    """A review of each scope as numbered lines: what needs attention, then a table of the operations, most uncertain first.
+
+    Lines are rows (scope, section, place, line), so a long review is never gathered; order by section and place to print it.
+    """
+    from pyspark.sql import Window
+
+    from tidemark.operators.fusion import attention_order
+
+    counts = operations.groupBy(*scope).agg(
+        F.count("*").alias("n"), F.count_if(F.col("confidence") == "low").alias("low"), F.count_if(F.size("gate") > 0).alias("gated"), F.count_if(F.col("requires") == F.array(F.lit("external.call"))).alias("open"),
+    )
+    text = [
+        F.concat(F.lit("Operations: **"), "n", F.lit("**")), F.concat(F.lit("- **"), "low", F.lit("** operation(s) at low confidence")), F.concat(F.lit("- **"), "gated", F.lit("** operation(s) carry gates")),
+        F.concat(F.lit("- **"), "open", F.lit("** operation(s) hold `external.call` as a placeholder")),
+    ]
+    heads = counts.select(*scope, F.lit(1).alias("section"), F.posexplode(F.array(*text)).alias("place", "line"))
+    cells = [F.concat(F.lit("`"), "id", F.lit("`")), "stage", "effect", F.array_join("requires", ", "), F.when(F.size("gate") > 0, F.array_join("gate", ", ")).otherwise("-"), "confidence"]
+    table = operations.select(*scope, F.lit(2).alias("section"), F.row_number().over(Window.partitionBy(*scope).orderBy(*attention_order())).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return heads.unionByName(table)
+
+
+def needs_attention() -> Column:
+    """Low confidence, a gate, or nothing known but the placeholder."""
+    return (F.col("confidence") == "low") | (F.size("gate") > 0) | (F.col("requires") == F.array(F.lit("external.call")))
+
+
+def report_note() -> Column:
+    """What a report says beside a resolved operation."""
+    asked = F.when(F.size("missing") > 0, F.array_join("missing", ", ")).otherwise("human")
+    script = F.concat(F.lit("stand-in "), "stand_in", F.lit(" f="), F.col("fidelity").cast("string"))
+    return F.when(F.col("binding") == "script", script).when(F.col("binding") == "ask-user", F.concat(F.lit("needs "), asked)).when(F.col("binding") == "drop", "optional, lost").otherwise("")
+
+
+def summary_lines(summary: DataFrame, key: list[str]) -> DataFrame:
+    """The summary block of a report as rows (key, place, line), from routing.summarise."""
+    lines = [
+        F.concat(F.lit("operations "), "operations", F.lit("   required "), "required", F.lit("   optional "), "optional"),
+        F.concat(F.lit("native "), "n_native", F.lit("   mcp "), "n_mcp", F.lit("   script "), "n_script", F.lit("   ask-user "), "n_ask_user", F.lit("   drop "), "n_drop"),
+        F.concat(F.lit("all required operations executable: "), F.when(F.col("executable"), "yes").otherwise("no")),
+        F.concat(F.lit("gates enforced: "), F.when(F.size("gates") > 0, F.array_join("gates", ", ")).otherwise("-"), F.lit("  ("), "gate_count", F.lit(" total)")),
+        F.concat(F.lit("gates deferred: "), F.when(F.size("deferred_gates") > 0, F.array_join("deferred_gates", ", ")).otherwise("-")),
+    ]
+    return summary.select(*key, F.posexplode(F.array(*lines)).alias("place", "line"))
+
+
+def eval_layers(results: DataFrame) -> DataFrame:
+    """Checks by layer (layer, status): passed, failed, skipped, and ok, which needs a pass and no failure: a skip is no pass."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    out = results.groupBy("layer").agg(count("pass").alias("passed"), count("fail").alias("failed"), count("skip").alias("skipped"))
+    return out.withColumn("ok", (F.col("failed") == 0) & (F.col("passed") > 0))

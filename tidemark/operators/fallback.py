@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.dialects import effect_sites, python_calls
+from tidemark.functions.effects import effect_sites, python_calls
 from tidemark.operators import fusion
 from tidemark.operators.inventory import build_inventory, match_providers
 from tidemark.sources.tables import materialise
@@ -40,9 +40,9 @@ def from_sites(sites: DataFrame) -> DataFrame:
 
 def from_providers(known: DataFrame) -> DataFrame:
     """One operation for each provider among a repository's dependencies; the first dependency by name stands for it."""
-    rows = fusion.first_by(known.select("repo", "provider", "ecosystem", "name", "caps", "hint", "ambiguous"), ["repo", "provider"], ["ecosystem", "name"]).where(F.size("caps") > 0)
+    rows = fusion.first_by(known.select("repo", "provider", "ecosystem", "name", "caps", "gates", "ambiguous"), ["repo", "provider"], ["ecosystem", "name"]).where(F.size("caps") > 0)
     return shaped(
-        rows, F.array_sort(F.array_distinct("caps")), F.array_compact(F.array("hint")), id=T.slugify(F.concat(F.lit("use-"), "provider")), name=F.concat(F.lit("Use "), "provider"), told_by=F.col("provider"),
+        rows, F.array_sort(F.array_distinct("caps")), F.array_sort(F.array_distinct("gates")), id=T.slugify(F.concat(F.lit("use-"), "provider")), name=F.concat(F.lit("Use "), "provider"), told_by=F.col("provider"),
         effect=F.lit("effectful-external"), optional=F.lit(False), confidence=F.when(F.col("ambiguous"), "low").otherwise("medium"), loc=F.lit("manifest"), summary=F.concat(F.lit("dependency "), "name", F.lit(" ("), "ecosystem", F.lit(")")),
     )
 
@@ -74,7 +74,7 @@ def ladder(declared: DataFrame, sites: DataFrame, providers: DataFrame) -> DataF
 
 def draft_inventory(files: DataFrame, deps: DataFrame) -> DataFrame:
     """Every repository's operations by the ladder, and one for its unknown dependencies."""
-    declared = materialise(build_inventory(files, deps).withColumn("summary", F.lit(None).cast("string")).select(*COLUMNS), "declared")
+    declared = materialise(build_inventory(files, deps).select(*COLUMNS), "declared")
     known, unknown = match_providers(deps)
     rows = ladder(declared, from_sites(effect_sites(python_calls(files))), from_providers(known))
     return rows.unionByName(unresolved(unknown).select(*COLUMNS).withColumn("way", F.lit("unresolved")))

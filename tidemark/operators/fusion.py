@@ -51,13 +51,17 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def merge_operations(operations: DataFrame, scope: list[str]) -> DataFrame:
     """Operations of equal stage, effect, requirements, gates and optional flag become one: the first, with all ids.
 
-    The first by ``ord`` gives id, name and confidence, not the best; the summary is the first that isn't empty.
+    The first by ``ord`` gives id, name and confidence, not the best; the summary is the first that isn't empty. Where there
+    is evidence, the lists follow each other in that order.
     """
     keys = [*scope, "stage", "effect", "requires_key", "gate_key", "optional"]
     keyed = operations.withColumn("requires_key", F.array_sort("requires")).withColumn("gate_key", F.array_sort("gate"))
     told = F.when(F.coalesce("summary", F.lit("")) != "", F.col("ord"))
+    more = []
+    if "evidence" in operations.columns:
+        more.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "evidence")), lambda a, b: F.when(F.struct(a["ord"], a["id"]) < F.struct(b["ord"], b["id"]), -1).otherwise(1)), lambda x: x["evidence"])).alias("evidence"))
     return keyed.groupBy(*keys).agg(
-        F.min_by("id", "ord").alias("id"), F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"),
+        *more, F.min_by("id", "ord").alias("id"), F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"),
         F.min_by("summary", told).alias("summary"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("merged_ids"),
     ).withColumnRenamed("requires_key", "requires").withColumnRenamed("gate_key", "gate")
 

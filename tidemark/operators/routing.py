@@ -30,6 +30,12 @@ def check_vocabulary(operations: DataFrame, vocabulary: DataFrame) -> None:
         raise ValueError(f"unknown capabilities: {sorted(r['capability'] for r in unknown)}")
 
 
+def unknown_capabilities(profiles: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Capabilities that a profile offers and the vocabulary (capability) doesn't have: profile, capability."""
+    offered = profiles.select("profile", F.explode(F.array_union("native", "mcp")).alias("capability")).distinct()
+    return offered.join(vocabulary.select("capability"), "capability", "left_anti").select("profile", "capability")
+
+
 def missing_of(requires: Column, native: Column, mcp: Column) -> Column:
     """Capabilities that no channel offers, in the order of requires, repeats kept."""
     return F.filter(requires, lambda c: ~(F.array_contains(native, c) | F.array_contains(mcp, c)))
@@ -46,6 +52,14 @@ def binding_of() -> Column:
     )
 
 
+def check_standins(operations: DataFrame, standins: DataFrame) -> None:
+    """Raise if an operation declares a stand-in that the catalogue doesn't have; eager, as check_vocabulary is."""
+    named = operations.where("stand_in is not null and stand_in <> ''").select("stand_in")
+    unknown = named.join(standins.select("stand_in"), "stand_in", "left_anti").distinct().limit(10).collect()
+    if unknown:
+        raise ValueError(f"unknown stand-ins: {sorted(r['stand_in'] for r in unknown)}")
+
+
 def with_profiles(operations: DataFrame, profiles: DataFrame, most: int = MOST_PROFILES) -> DataFrame:
     """Every operation with every profile. Profiles are a catalogue of a few rows: their number is checked, then broadcast."""
     if profiles.limit(most + 1).count() > most:
@@ -67,20 +81,28 @@ def resolve(operations: DataFrame, profiles: DataFrame, standins: DataFrame) ->
 
 
 def summarise(rows: DataFrame, by: tuple[str, ...] = ("profile",)) -> DataFrame:
-    """Roll-up of resolved rows; coverage is over required operations only, unrounded, 0 where there are none.
+    """Roll-up of resolved rows in numbers and gates; coverage is over required operations only, unrounded, 0 where there are none.
 
-    Lists of ids are sorted. They grow with the operations of a group, as the reports ask for them; use
-    ``binding_counts`` where only numbers are needed.
+    One row for a group, whatever its size: gates are a closed list. The ids behind the numbers are rows of ``outcomes``.
     """
-    required, listed = ~F.col("optional"), lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
-    bound = lambda b: F.col("binding") == b
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    return rows.groupBy(*by).agg(
-        *binding_columns(),
-        flat("gates").alias("gates"), F.sum(F.size("gates")).alias("gate_count"), flat("deferred_gates").alias("deferred_gates"),
-        listed(required & bound("ask-user")).alias("halted"), listed(~required & bound("ask-user")).alias("halted_optional"),
-        listed(required & bound("drop")).alias("lost"), listed(~required & bound("drop")).alias("lost_optional"), listed(bound("script")).alias("degraded"),
-    )
+    told = [F.count_if(cond).alias(f"n_{name}") for name, cond in outcome_tests().items()]
+    return rows.groupBy(*by).agg(*binding_columns(), flat("gates").alias("gates"), F.sum(F.size("gates")).alias("gate_count"), flat("deferred_gates").alias("deferred_gates"), *told)
+
+
+def outcome_tests() -> dict[str, Column]:
+    required, bound = ~F.col("optional"), lambda b: F.col("binding") == b
+    return {
+        "halted": required & bound("ask-user"), "halted_optional": ~required & bound("ask-user"), "lost": required & bound("drop"), "lost_optional": ~required & bound("drop"), "degraded": bound("script"),
+    }
+
+
+def outcomes(rows: DataFrame, by: tuple[str, ...] = ("profile",)) -> DataFrame:
+    """The operations that halt, are lost or run degraded, one row each: group, outcome, id, stand_in, fidelity."""
+    tests = outcome_tests()
+    name = F.coalesce(*[F.when(cond, F.lit(k)) for k, cond in tests.items()])
+    script = F.col("binding") == "script"
+    return rows.select(*by, name.alias("outcome"), "id", F.when(script, F.col("stand_in")).alias("stand_in"), F.when(script, F.col("fidelity")).alias("fidelity")).where("outcome is not null")
 
 
 def binding_columns() -> list[Column]:
@@ -123,10 +145,23 @@ def violations(rows: DataFrame, reported: DataFrame | None = None) -> DataFrame:
     return found
 
 
+#: What happens when nobody answers, by gate; the first of an operation's gates in this order decides.
+SAFE_DEFAULTS = {
+    "publish": "keep it unpublished", "irreversible": "change nothing", "spend": "spend nothing", "legal": "hold it back until the rights are settled", "privacy": "share nothing personal",
+}
+
+
+def safe_default(gates: Column) -> Column:
+    out = F.lit("do not proceed")
+    for gate, text in reversed(SAFE_DEFAULTS.items()):
+        out = F.when(F.array_contains(gates, gate), text).otherwise(out)
+    return out
+
+
 def question(name: Column, missing: Column, gates: Column) -> Column:
-    """What is asked where an operation can't run by itself: what is missing, and every deferred gate by name."""
+    """What is asked where an operation can't run by itself: what is missing, every deferred gate by name, the safe default."""
     gated = F.when(F.size(gates) > 0, F.concat(F.lit(" Gates: "), F.upper(F.concat_ws(", ", gates)), F.lit("."))).otherwise("")
-    return F.concat(F.lit("Cannot run '"), name, F.lit("': missing "), F.concat_ws(", ", missing), F.lit("."), gated, F.lit(" Default: do not proceed."))
+    return F.concat(F.lit("Cannot run '"), name, F.lit("': missing "), F.concat_ws(", ", missing), F.lit("."), gated, F.lit(" Default: "), safe_default(gates), F.lit("."))
 
 
 def unsurfaced_gates(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def numbered(operations: DataFrame, scope: list[str]) -> DataFrame:
     return operations.withColumn("number", F.row_number().over(Window.partitionBy(*scope).orderBy("stage", "id")))
 
 
+def by_id(operations: DataFrame, scope: list[str]) -> DataFrame:
+    """The final order of an inventory: operations of a scope by id, with their place."""
+    return operations.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy("id")))
+
+
 def first_files(files: DataFrame, scope: list[str], order: str, most: int, first: Column | None = None) -> DataFrame:
     """The first ``most`` files of each scope, those with ``first`` before all others: a limit of the feature."""
     lead = F.lit(1) if first is None else F.when(first, 0).otherwise(1)

@@ -1,4 +1,4 @@
-"""Queries of the remaining dialects over source files that Spark derives from ``part``, with their SQL."""
+"""Queries of the dialects over source files that Spark derives from ``part``, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,87 +7,237 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dialects as D
 from tidemark.plans.extract_queries import ROWS, N, REL, files, named, python_files
-from tidemark.plans.inventory_queries import pick
+from tidemark.plans.inventory_queries import joined, pick
+from tidemark.sources.tables import read
 
-METHODS = ("get", "post", "put", "trace")
-KINDS = ("Service", "Job", "Deployment")
+METHODS = ("get", "post", "put", "zap")
+KINDS = ("Service", "CronJob", "Secret", "Widget")
+TYPES = ("aws_s3_bucket", "aws_sqs_queue", "gcp_spanner", "own_thing")
+BLOCKS = ("resource", "data", "module", "locals")
+IMAGES = ("redis:7", "Postgres", "busybox")
+KEY = F.col("p_partkey")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    return rows.select("repo", "rel", F.col("line").cast("long").alias("line"), "op")
+def told(rows: DataFrame, *more: str) -> DataFrame:
+    """What a dialect tells, as comparable columns."""
+    return rows.select("repo", "rel", F.col("line").cast("long").alias("line"), "kind", "op", "id", joined(F.array_sort("caps")).alias("caps"), "effect", "trigger", *[F.col(c).cast("long").alias(c) if c in ("lo", "hi") else joined(c).alias(c) if c == "inputs" else c for c in more])
+
+
+def dl_make_target(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.when(F.col("p_size") % 5 == 0, F.concat(named(), F.lit(" := x"))).when(F.col("p_size") % 7 == 0, F.concat(F.lit(".hidden"), named(), F.lit(": x"))).otherwise(F.concat(named(), F.lit(": deps")))
+    return told(D.make_targets(files(spark, sf, "Makefile", line)), "detail")
+
+
+def dl_package_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.lit('"'), named(), F.lit('": "run"'))
+    return told(D.package_scripts(files(spark, sf, "package.json", line, '{"name": "x", "scripts": {', "}}", ", ")), "loc")
+
+
+def dl_terraform(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(pick(BLOCKS, F.col("p_size") % 4 + 1), F.lit(' "'), pick(TYPES, KEY % 4 + 1), F.lit('" "'), named(), F.lit('" {}'))
+    return told(D.terraform_blocks(files(spark, sf, "main.tf", line)), "detail")
+
+
+def dl_proto_service(spark: SparkSession, sf: str) -> DataFrame:
+    """jn_enclosing_service over lines: every sixth part names a service, others calls."""
+    line = F.when(KEY % 6 == 0, F.concat(F.lit("service S"), KEY, F.lit(" {"))).otherwise(F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);")))
+    return told(D.proto_calls(files(spark, sf, "api.proto", line)))
+
+
+def dl_crontab(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries by field and by name, among comments and odd lines."""
+    entry = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("5 "), F.col("p_size") % 24, F.lit(" * * *"))).otherwise("@daily"), F.lit(" /usr/bin/"), named(), F.lit(" --all"))
+    return told(D.cron_lines(files(spark, sf, "crontab", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("# "), named())).otherwise(entry))), "detail")
 
 
 def dl_systemd_unit(spark: SparkSession, sf: str) -> DataFrame:
-    """One unit a folder, told by its first part; a file without a unit section is none."""
-    head = F.concat(F.lit("Description="), named())
-    units = files(spark, sf, "backup.service", head, "[Unit]\n").unionByName(files(spark, sf, "notes.service", head))
-    return D.systemd_units(units).select("repo", "rel", "op", F.col("detail").alias("description"))
+    """A service and a timer a folder; a file without a unit section is none."""
+    head = F.concat(F.lit("ExecStart=/bin/"), named())
+    units = files(spark, sf, "backup.service", head, "[Unit]\n").unionByName(files(spark, sf, "notes.service", head)).unionByName(files(spark, sf, "night.timer", head, "[Unit]\n"))
+    return told(D.systemd_units(units), "detail")
 
 
 def dl_tool_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.lit('{"name": "'), F.when(F.col("p_size") % 3 == 0, " ").otherwise(""), F.lower(F.translate("p_type", " ", "_")), F.lit('"}'))
-    return D.tool_manifests(files(spark, sf, "tools.json", line, '{"tools": [', "]}", ", ")).select("repo", "rel", "op")
+    return told(D.tool_manifests(tool_files(spark, sf)))
+
+
+def tool_files(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.lit('{"name": "'), F.when(F.col("p_size") % 3 == 0, " ").otherwise(""), F.translate("p_name", " ", "_"), F.lit('"}'))
+    return files(spark, sf, "tools.json", line, '{"tools": [', "]}", ", ")
+
+
+def fn_tool_names(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.functions.text import tool_names
+
+    return tool_files(spark, sf).select("repo", "rel", joined(tool_names(F.col("text"))).alias("names"))
 
 
 def dl_openapi_spec(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit('"/'), named(), F.lit('": {"'), pick(METHODS, F.col("p_size") % 4 + 1), F.lit('": {"summary": "x"}, "delete": {}}'))
-    return D.openapi_operations(files(spark, sf, "api.json", line, '{"paths": {', "}}", ", ")).select("repo", "rel", "op")
+    return told(D.openapi_operations(files(spark, sf, "openapi.json", line, '{"paths": {\n', "\n}}", ",\n")))
+
+
+def dl_openapi_yaml(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as YAML: methods are the lines indented like the first one under a path."""
+    line = F.concat(F.lit("  /"), named(), F.lit(":\n    "), pick(METHODS, F.col("p_size") % 4 + 1), F.lit(":\n      get:\n    # why\n    delete:"))
+    return told(D.openapi_operations(files(spark, sf, "swagger.yml", line, "swagger: '2.0'\npaths:\n", "\ndefinitions:\n  /no:\n    get:\n")))
 
 
 def dl_github_actions(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.when(F.col("p_size") % 4 == 0, F.lit("#")).otherwise("")
-    line = F.concat(mark, F.lit("  j"), F.col("p_partkey"), F.lit(":\n"), mark, F.lit("    runs-on: x"))
-    return placed(D.github_jobs(files(spark, sf, ".github/workflows/ci.yml", line, "on: push\njobs:\n", "\nenv:\n  A: b")))
+    line = F.concat(mark, F.lit("  "), F.when(F.col("p_size") % 5 == 0, "ship").otherwise("j"), KEY, F.lit(":\n"), mark, F.lit("    runs-on: x"))
+    flows = files(spark, sf, "ci.yml", line, "on: push\njobs:\n", "\nenv:\n  A: b")
+    timed = F.substring("rel", 2, 1).isin("1", "2")
+    text = F.when(timed, F.concat(F.lit("on:\n  schedule:\n  - cron: x\n"), F.expr("substring(text, 10)"))).otherwise(F.col("text"))
+    rows = flows.select("repo", F.concat(F.lit(".github/workflows/"), F.translate("rel", "/", "-")).alias("rel"), text.alias("text"))
+    return told(D.github_jobs(rows))
 
 
 def dl_compose_services(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.lit("  s"), F.col("p_partkey"), F.lit(":\n    image: redis"))
-    return placed(D.compose_services(files(spark, sf, "docker-compose.yml", line, "services:\n", "\nvolumes:\n  v: {}")))
+    line = F.concat(F.lit("  s"), KEY, F.lit(':\n    image: "'), pick(IMAGES, F.col("p_size") % 3 + 1), F.lit('"'))
+    return told(D.compose_services(files(spark, sf, "docker-compose.yml", line, "services:\n", "\nvolumes:\n  v: {}")), "detail")
+
+
+def part_files(spark: SparkSession, sf: str, name: str, text: F.Column) -> DataFrame:
+    """A file for each part."""
+    return read(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("p"), KEY, F.lit("/" + name)).alias("rel"), text.alias("text"))
 
 
 def dl_kubernetes(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.lit("kind: "), pick(KINDS, F.col("p_size") % 3 + 1), F.lit("\n")))
-    line = F.concat(F.lit("apiVersion: v1\n"), kind, F.lit("metadata:\n  labels: {}\n  name: p"), F.col("p_partkey"), F.lit("\n"))
-    return placed(D.kubernetes_objects(files(spark, sf, "all.yaml", line, sep="---\n")))
+    """One object a file, named by its metadata or else by the file; later documents of the file don't count."""
+    kind = F.when(F.col("p_size") % 5 == 0, "# no ").otherwise(F.concat(F.lit("kind: "), pick(KINDS, F.col("p_size") % 4 + 1), F.lit(" ")))
+    named_ = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("\n  labels: {}\n  name: 'p"), KEY, F.lit("'")))
+    text = F.concat(F.lit("apiVersion: v1\n"), kind, F.lit("\nmetadata:"), named_, F.lit("\nspec:\n  name: q\n---\nkind: Job\n"))
+    rows = part_files(spark, sf, "all.yaml", text).where(F.contains("text", F.lit("# no ")) == F.lit(False))
+    return told(D.kubernetes_objects(rows))
 
 
 def dl_ansible(spark: SparkSession, sf: str) -> DataFrame:
     """Plays, every third without a name right above."""
     between = F.when(F.col("p_size") % 3 == 0, "  gather_facts: no\n").otherwise("  # why\n")
-    line = F.concat(F.lit("- name: Play "), F.col("p_partkey"), F.lit("\n"), between, F.lit("  hosts: h"), F.col("p_partkey"))
-    return placed(D.ansible_plays(files(spark, sf, "site.yml", line)))
+    line = F.concat(F.lit("- name: Play "), KEY, F.lit("\n"), between, F.lit("  hosts: h"), KEY)
+    return told(D.ansible_plays(files(spark, sf, "site.yml", line)))
 
 
 def dl_web_js(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes with the range of their bodies; braces in strings and comments don't count."""
-    line = F.concat(F.lit("app."), pick(METHODS, F.col("p_size") % 4 + 1), F.lit("('/p"), F.col("p_partkey"), F.lit("', (q) => {\n  const s = '}'; // }\n  if (q) { y() }\n});"))
-    rows = D.braced(files(spark, sf, "index.js", line))
-    return rows.select("repo", "rel", *[F.col(c).cast("long").alias(c) for c in ("line", "lo", "hi")], "op")
+    """Routes with the range of their bodies; braces in strings and comments don't count, nor do calls of other objects.
+
+    A file without a call of get or post and without such decorators isn't read.
+    """
+    owner = F.when(F.col("p_size") % 7 == 0, "client").otherwise("app")
+    line = F.concat(owner, F.lit("."), pick(METHODS, F.col("p_size") % 4 + 1), F.lit("('/p"), KEY, F.lit("', (q) => {\n  const s = '}'; // }\n  if (q) { y() }\n});"))
+    return told(D.web_js(files(spark, sf, "index.js", line)), "lo", "hi")
 
 
 def dl_go(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.lit("func init"), F.col("p_partkey"), F.lit("(r *gin.Engine) {\n\tr."), F.upper(pick(METHODS, F.col("p_size") % 4 + 1)), F.lit('("/p'), F.col("p_partkey"), F.lit('", f)\n}'))
-    return placed(D.braced(files(spark, sf, "main.go", line, "package main\n")))
+    """Router calls inside exported and unexported functions; the exported ones without parameters are commands."""
+    head = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("func Run"), KEY, F.lit("() {"))).otherwise(F.concat(F.lit("func init"), KEY, F.lit("(r *gin.Engine) {")))
+    line = F.concat(head, F.lit("\n\tr."), F.upper(pick(METHODS, F.col("p_size") % 4 + 1)), F.lit('("/p'), KEY, F.lit('", f) // }\n}'))
+    return told(D.go_declarations(files(spark, sf, "main.go", line, "package main\n")), "lo", "hi")
+
+
+def dl_jvm(spark: SparkSession, sf: str) -> DataFrame:
+    """Mappings under their class's path, and schedules; a string with a brace doesn't end a body."""
+    mark = F.when(F.col("p_size") % 3 == 0, '  @Scheduled(cron = "0")\n').otherwise(F.concat(F.lit('  @GetMapping("/p'), KEY, F.lit('")\n')))
+    line = F.concat(mark, F.lit("  public String runJob"), KEY, F.lit('() {\n    return "}";\n  }'))
+    return told(D.jvm_declarations(files(spark, sf, "Api.java", line, '@RestController\n@RequestMapping("/api")\npublic class Api {\n', "\n}")), "lo", "hi")
+
+
+def dl_rust(spark: SparkSession, sf: str) -> DataFrame:
+    """Route attributes; braces in raw strings and lifetimes don't disturb the range."""
+    line = F.concat(F.lit("#["), pick(METHODS, F.col("p_size") % 4 + 1), F.lit('("/p'), KEY, F.lit("\")]\nasync fn f"), KEY, F.lit("<'a>(x: &'a str) {\n    g(r#\"{\"#);\n}"))
+    return told(D.rust_declarations(files(spark, sf, "api.rs", line)), "lo", "hi")
 
 
 def dl_cli_python(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.python_candidates(python_files(spark, sf))
-    return rows.select("repo", "rel", "dialect", "op", *[F.col(c).cast("long").alias(c) for c in ("line", "lo", "hi")])
+    return told(D.python_candidates(python_files(spark, sf), "cli-python"), "lo", "hi")
+
+
+def dl_agent_tools(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.when(F.col("p_size") % 2 == 0, "@tool").otherwise("@agent.function_tool()"), F.lit("\ndef t"), KEY, F.lit("(self, query):\n    pass"))
+    return told(D.python_candidates(files(spark, sf, "tools.py", line), "agent-tools"), "inputs")
+
+
+def dl_orchestrator_dag(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("@asset\ndef a"), KEY, F.lit("():\n    pass"))).otherwise(F.concat(F.lit('d = DAG("flow '), KEY, F.lit('")\n\n')))
+    return told(D.python_candidates(files(spark, sf, "dags.py", line), "orchestrator-dag"), "detail")
+
+
+def dl_web_python(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes of known receivers, routes with methods, and entries of a urlconf."""
+    route = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("@app.get('/p"), KEY, F.lit("')"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("@bp.route('/p"), KEY, F.lit("', methods=['PUT', 'GET'])"))).otherwise(F.concat(F.lit("@client.get('/p"), KEY, F.lit("')")))
+    line = F.when(F.col("p_size") % 4 == 3, F.concat(F.lit("x = path('p/', views.show"), KEY, F.lit(")\n\n"))).otherwise(F.concat(route, F.lit("\ndef f"), KEY, F.lit("(q):\n    pass")))
+    return told(D.python_candidates(files(spark, sf, "web.py", line), "web-python"))
+
+
+def win_order_hint(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.order_hints(D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);")))))
+    return rows.select("repo", "rel", "op", F.col("order_hint").cast("long").alias("order_hint"))
+
+
+def flt_class_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Make targets, plays and calls of repositories whose class is told by the brand's number."""
+    made = D.make_targets(files(spark, sf, "Makefile", F.concat(named(), F.lit(": deps"))))
+    plays = D.ansible_plays(files(spark, sf, "site.yml", F.concat(F.lit("- hosts: h"), KEY)))
+    calls = D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);"))))
+    classes = read(spark, sf, "part").select(F.col("p_brand").alias("repo")).distinct()
+    classes = classes.withColumn("repo_class", pick(("library", "agent-system", "infra-config"), F.length("repo") % 3 + 1))
+    return D.fitting(made.unionByName(plays).unionByName(calls), classes).groupBy("repo", "dialect").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (dl_systemd_unit, dl_tool_manifest, dl_openapi_spec, dl_github_actions, dl_compose_services, dl_kubernetes, dl_ansible, dl_web_js, dl_go, dl_cli_python)}
+QUERIES = {f.__name__: f for f in (
+    dl_make_target, dl_package_scripts, dl_terraform, dl_proto_service, dl_crontab, dl_systemd_unit, dl_tool_manifest, fn_tool_names, dl_openapi_spec, dl_openapi_yaml, dl_github_actions, dl_compose_services, dl_kubernetes,
+    dl_ansible, dl_web_js, dl_go, dl_jvm, dl_rust, dl_cli_python, dl_agent_tools, dl_orchestrator_dag, dl_web_python, win_order_hint, flt_class_fit,
+)}
 
 rel = lambda name: f"{REL.format(name)} AS rel"
-METHOD = "['get', 'post', 'put', 'trace'][p_size % 4 + 1]"
+M = "['get', 'post', 'put', 'zap'][p_size % 4 + 1]"
+K = "p_partkey"
+LOCAL, EXTERNAL = "'effectful-local'", "'effectful-external'"
+
+
+def row(name: str, line: str, kind: str, op: str, id: str, caps: str = "''", effect: str = "NULL", trigger: str = "'manual'", more: str = "", where: str = "true", source: str = "x", path: str | None = None) -> str:
+    """SELECT of the columns of told()."""
+    return f"SELECT repo, {path or REL.format(name)} AS rel, CAST({line} AS BIGINT) AS line, {kind} AS kind, {op} AS op, {id} AS id, {caps} AS caps, {effect} AS effect, {trigger} AS trigger{more} FROM {source} WHERE {where}"
+
+
+HEAD = f"WITH {ROWS} "
+TF_TYPE = "['aws_s3_bucket', 'aws_sqs_queue', 'gcp_spanner', 'own_thing'][p_partkey % 4 + 1]"
+TF_BLOCK = "['resource', 'data', 'module'][p_size % 4 + 1]"
+TF_CAPS = "CASE WHEN p_size % 4 = 2 THEN '' ELSE ['storage.object', 'queue.publish', 'data.write', ''][p_partkey % 4 + 1] END"
+SERVICES = HEAD.rstrip() + ", y AS (SELECT *, last_value(CASE WHEN p_partkey % 6 = 0 THEN 'S' || p_partkey END IGNORE NULLS) OVER (PARTITION BY repo, d ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM x) "
+K8S = "CASE WHEN p_size % 3 = 0 THEN 'all' ELSE 'p' || p_partkey END"
+KIND = "['Service', 'CronJob', 'Secret', 'Widget'][p_size % 4 + 1]"
+K8S_CAPS = "['deploy.op', 'schedule.cron', 'secret.apikey', ''][p_size % 4 + 1]"
+JOB = "CASE WHEN p_size % 5 = 0 THEN 'ship' ELSE 'j' END || p_partkey"
+TIMED = "left(CAST(p_partkey // 50 AS VARCHAR), 1) IN ('1', '2')"
+IMAGE = "['redis:7', 'postgres', 'busybox'][p_size % 3 + 1]"
+PLAY = "CASE WHEN p_size % 3 = 0 THEN 'site-' || (line * 3) ELSE 'Play ' || p_partkey END"
+BODY = ", CAST({} AS BIGINT) AS lo, CAST({} AS BIGINT) AS hi"
 SQL = {
-    "dl_systemd_unit": f"WITH {ROWS} SELECT repo, {rel('backup.service')}, 'backup' AS op, {N} AS description FROM x WHERE line = 1",
-    "dl_tool_manifest": f"SELECT DISTINCT p_brand AS repo, {rel('tools.json')}, lower(replace(p_type, ' ', '_')) AS op FROM part",
-    "dl_openapi_spec": f"SELECT p_brand AS repo, {rel('api.json')}, upper({METHOD}) || ' /' || {N} AS op FROM part WHERE p_size % 4 < 3 UNION ALL SELECT p_brand, {rel('api.json')}, 'DELETE /' || {N} FROM part",
-    "dl_github_actions": f"WITH {ROWS} SELECT repo, {rel('.github/workflows/ci.yml')}, line * 2 + 1 AS line, 'j' || p_partkey AS op FROM x WHERE p_size % 4 <> 0",
-    "dl_compose_services": f"WITH {ROWS} SELECT repo, {rel('docker-compose.yml')}, line * 2 AS line, 's' || p_partkey AS op FROM x",
-    "dl_kubernetes": f"WITH {ROWS} SELECT repo, {rel('all.yaml')}, line, ['Service', 'Job', 'Deployment'][p_size % 3 + 1] || '/p' || p_partkey AS op FROM x WHERE p_size % 5 <> 0",
-    "dl_ansible": f"WITH {ROWS} SELECT repo, {rel('site.yml')}, line * 3 AS line, CASE WHEN p_size % 3 = 0 THEN 'h' || p_partkey ELSE 'Play ' || p_partkey END AS op FROM x",
-    "dl_web_js": f"WITH {ROWS} SELECT repo, {rel('index.js')}, line * 4 - 3 AS line, line * 4 - 3 AS lo, line * 4 AS hi, upper({METHOD}) || ' /p' || p_partkey AS op FROM x WHERE p_size % 4 < 3",
-    "dl_go": f"WITH {ROWS} SELECT repo, {rel('main.go')}, line * 3 AS line, upper({METHOD}) || ' /p' || p_partkey AS op FROM x WHERE p_size % 4 < 3",
-    "dl_cli_python": f"WITH {ROWS} SELECT repo, {rel('cli.py')}, 'cli-python' AS dialect, replace(p_name, ' ', '-') || '-' || p_partkey AS op, line * 3 - 1 AS line, line * 3 - 1 AS lo, line * 3 AS hi FROM x",
+    "dl_make_target": HEAD + row("Makefile", "line", "'make-target'", N, f"'make-' || {N}", "'shell.exec'", LOCAL, more=f", 'Make target ' || {N} AS detail", where="p_size % 5 <> 0 AND p_size % 7 <> 0"),
+    "dl_package_scripts": HEAD + row("package.json", "1", "'npm-script'", N, f"'script-' || {N}", "'shell.exec'", LOCAL, more=f", {REL.format('package.json')} || ':scripts.' || {N} AS loc"),
+    "dl_terraform": HEAD + row("main.tf", "line", f"'terraform-' || {TF_BLOCK}", f"{TF_TYPE} || ' ' || {N}", f"'tf-' || replace({TF_TYPE}, '_', '-') || '-' || {N}", TF_CAPS, f"CASE WHEN {TF_CAPS} <> '' THEN {EXTERNAL} END", more=f", 'Terraform ' || {TF_BLOCK} || ' ' || {TF_TYPE} || ' ' || {N} AS detail", where="p_size % 4 < 3"),
+    "dl_proto_service": SERVICES + row("api.proto", "line", "'proto-rpc'", f"concat_ws('.', s, 'C' || {K})", f"lower(coalesce(s, 'rpc')) || '-c' || {K}", where="p_partkey % 6 <> 0", source="y"),
+    "dl_crontab": HEAD + row("crontab", "line", "'crontab-entry'", f"'/usr/bin/' || {N}", f"'cron-usr-bin-' || {N}", "'shell.exec'", LOCAL, "'scheduled'", more=f", 'scheduled command /usr/bin/' || {N} AS detail", where="p_size % 3 <> 0"),
+    "dl_systemd_unit": HEAD + row("backup.service", "1", "'systemd-service'", "'backup'", "'unit-backup'", "'shell.exec'", LOCAL, more=", 'systemd service unit backup' AS detail", where="line = 1") + " UNION ALL " + row("night.timer", "1", "'systemd-timer'", "'night'", "'unit-night'", "'schedule.cron'", LOCAL, "'scheduled'", more=", 'systemd timer unit night' AS detail", where="line = 1"),
+    "dl_tool_manifest": HEAD + "SELECT DISTINCT * FROM (" + row("tools.json", "1", "'tool-manifest'", "replace(p_name, ' ', '_')", "'tool-' || replace(p_name, ' ', '-')") + ")",
+    "fn_tool_names": HEAD + f"SELECT repo, {rel('tools.json')}, string_agg(DISTINCT replace(p_name, ' ', '_'), ',' ORDER BY replace(p_name, ' ', '_')) AS names FROM x GROUP BY ALL",
+    "dl_openapi_spec": HEAD + row("openapi.json", "line + 1", "'openapi-operation'", f"upper({M}) || ' /' || {N}", f"{M} || '-' || {N}", where="p_size % 4 < 3") + " UNION ALL " + row("openapi.json", "line + 1", "'openapi-operation'", f"'DELETE /' || {N}", f"'delete-' || {N}"),
+    "dl_openapi_yaml": HEAD + row("swagger.yml", "line * 5 - 1", "'openapi-operation'", f"upper({M}) || ' /' || {N}", f"{M} || '-' || {N}", where="p_size % 4 < 3") + " UNION ALL " + row("swagger.yml", "line * 5 + 2", "'openapi-operation'", f"'DELETE /' || {N}", f"'delete-' || {N}"),
+    "dl_github_actions": HEAD + row("", f"line * 2 + 1 + CASE WHEN {TIMED} THEN 2 ELSE 0 END", "'github-job'", JOB, f"'job-' || {JOB}", "CASE WHEN p_size % 5 = 0 THEN 'deploy.op,shell.exec' ELSE 'shell.exec' END", LOCAL, f"CASE WHEN {TIMED} THEN 'scheduled' ELSE 'event' END", where="p_size % 4 <> 0", path="'.github/workflows/d' || (p_partkey // 50) || '-ci.yml'"),
+    "dl_compose_services": HEAD + row("docker-compose.yml", "line * 2", "'compose-service'", f"'s' || {K}", f"'svc-s' || {K}", "['cache.write,container.op', 'container.op,data.write', 'container.op'][p_size % 3 + 1]", LOCAL, more=f", 'compose service s' || {K} || ' (' || {IMAGE} || ')' AS detail"),
+    "dl_kubernetes": HEAD + row("", "1", f"'kubernetes-' || lower({KIND})", f"{KIND} || '/' || {K8S}", f"'k8s-' || lower({KIND}) || '-' || {K8S}", K8S_CAPS, f"CASE WHEN {K8S_CAPS} <> '' THEN {EXTERNAL} END", "CASE WHEN p_size % 4 = 1 THEN 'scheduled' ELSE 'manual' END", where="p_size % 5 <> 0", path="'p' || p_partkey || '/all.yaml'"),
+    "dl_ansible": HEAD + row("site.yml", "line * 3", "'ansible-play'", PLAY, f"'play-' || replace(lower({PLAY}), ' ', '-')", "'shell.exec'", LOCAL),
+    "dl_web_js": HEAD.rstrip() + ", y AS (SELECT *, max(CASE WHEN p_size % 4 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, d) AS read FROM x) " + row("index.js", "line * 4 - 3", "'route-call'", f"upper({M}) || ' /p' || {K}", f"{M} || '-p' || {K}", more=BODY.format("line * 4 - 3", "line * 4"), where="p_size % 4 < 3 AND p_size % 7 <> 0 AND read = 1", source="y"),
+    "dl_go": HEAD + row("main.go", "line * 3", "'router-route'", f"upper({M}) || ' /p' || {K}", f"{M} || '-p' || {K}", more=BODY.format("NULL", "NULL"), where="p_size % 4 < 3") + " UNION ALL " + row("main.go", "line * 3 - 1", "'go-func'", f"'Run' || {K}", f"'run' || {K}", "'shell.exec'", LOCAL, more=BODY.format("line * 3 - 1", "line * 3 + 1"), where="p_size % 3 = 0"),
+    "dl_jvm": HEAD + row("Api.java", "line * 4", "'spring-controller-route'", f"'GET /api/p' || {K}", f"'get-api-p' || {K}", more=BODY.format("line * 4", "line * 4 + 3"), where="p_size % 3 <> 0") + " UNION ALL " + row("Api.java", "line * 4", "'spring-scheduled'", f"'scheduled run Job' || {K}", f"'scheduled-run-job' || {K}", "'schedule.cron'", EXTERNAL, "'scheduled'", more=BODY.format("line * 4", "line * 4 + 3"), where="p_size % 3 = 0"),
+    "dl_rust": HEAD + row("api.rs", "line * 4 - 3", "'route-attribute'", f"upper({M}) || ' /p' || {K}", f"{M} || '-p' || {K}", more=BODY.format("line * 4 - 2", "line * 4"), where="p_size % 4 < 3"),
+    "dl_cli_python": HEAD + row("cli.py", "line * 3 - 1", "'command-decorator'", f"replace(p_name, ' ', '_') || '_' || {K}", N, more=BODY.format("line * 3 - 1", "line * 3")),
+    "dl_agent_tools": HEAD + row("tools.py", "line * 3 - 1", "CASE WHEN p_size % 2 = 0 THEN 'tool-decorator' ELSE 'function_tool-decorator' END", f"'t' || {K}", f"'tool-t' || {K}", more=", 'query' AS inputs"),
+    "dl_orchestrator_dag": HEAD + row("dags.py", "line * 3 - 1", "'asset-decorator'", f"'a' || {K}", f"'asset-a' || {K}", more=f", '@asset on a' || {K} || '()' AS detail", where="p_size % 2 = 0") + " UNION ALL " + row("dags.py", "line * 3 - 2", "'dag-constructor'", f"'flow ' || {K}", f"'dag-flow-' || {K}", more=f", 'DAG flow ' || {K} AS detail", where="p_size % 2 = 1"),
+    "dl_web_python": HEAD + row("web.py", "line * 3 - 1", "'route-decorator'", f"'GET /p' || {K}", f"'get-p' || {K}", where="p_size % 4 = 0") + " UNION ALL " + row("web.py", "line * 3 - 1", "'route-decorator'", f"'GET|PUT /p' || {K}", f"'get-put-p' || {K}", where="p_size % 4 = 1") + " UNION ALL " + row("web.py", "line * 3 - 2", "'django-urlconf'", f"'show' || {K}", f"'url-show' || {K}", where="p_size % 4 = 3"),
+    "win_order_hint": f"WITH {ROWS} SELECT repo, {rel('api.proto')}, 'C' || p_partkey AS op, row_number() OVER (PARTITION BY repo ORDER BY {REL.format('api.proto')}, line) - 1 AS order_hint FROM x",
+    "flt_class_fit": """WITH c AS (SELECT p_brand AS repo, count(*) AS n, ['library', 'agent-system', 'infra-config'][length(p_brand) % 3 + 1] AS cls FROM part GROUP BY p_brand)
+SELECT repo, 'make-target' AS dialect, n FROM c WHERE cls <> 'agent-system' UNION ALL SELECT repo, 'ansible', n FROM c WHERE cls = 'infra-config' UNION ALL SELECT repo, 'proto-service', n FROM c""",
 }

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, checks, fusion, revisions, routing
-from tidemark.sources.tables import read
+from tidemark.operators import attribution, checks, fusion, inventory, revisions, routing
+from tidemark.sources.tables import materialise, read
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 KINDS = {"click": "deterministic", "error": "access", "purchase": "human", "signup": "generative", "view": "access"}
@@ -41,12 +41,6 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return one_row(spark, [F.struct(F.lit(c).alias("capability"), F.lit(k).alias("kind")) for c, k in KINDS.items()])
 
 
-def default_stand_in(requires) -> F.Column:
-    """The stand-in of the first required capability that has a default one."""
-    table = F.create_map(*[F.lit(x) for kv in DEFAULTS.items() for x in kv])
-    return F.try_element_at(F.filter(F.transform(requires, lambda c: table[c]), lambda s: s.isNotNull()), F.lit(1))
-
-
 def operations(events: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
     rows = events.groupBy("user_id", day.alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("requires"), F.count("*").alias("n"), F.min("event_id").alias("ord"))
@@ -55,7 +49,7 @@ def operations(events: DataFrame) -> DataFrame:
     return rows.select(
         F.concat_ws("/", F.col("user_id").cast("string"), "day").alias("id"), "user_id", "day", "requires", gate.alias("gate"), (F.col("user_id") % 3 == 0).alias("optional"),
         pick(STAGES, F.col("user_id") % 6 + 1).alias("stage"), pick(fusion.EFFECTS, F.col("n") % 4 + 1).alias("effect"), pick(fusion.CONFIDENCE, F.col("ord") % 3 + 1).alias("confidence"),
-        default_stand_in(F.col("requires")).alias("stand_in"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("n="), F.col("n"))).otherwise("").alias("summary"), "n", "ord",
+        inventory.default_stand_in(F.col("requires"), DEFAULTS).alias("stand_in"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("n="), F.col("n"))).otherwise("").alias("summary"), "n", "ord",
     )
 
 
@@ -82,12 +76,14 @@ def op_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op_summarise(spark: SparkSession, sf: str) -> DataFrame:
-    rows = resolved(spark, sf)
-    lists = ("halted", "halted_optional", "lost", "lost_optional", "degraded")
+    rows = materialise(resolved(spark, sf), "resolved")
     out = routing.summarise(rows, ("profile", "stage")).drop("coverage")
     covered = rows.groupBy("profile", "stage").agg(F.sum(F.when(~F.col("optional"), F.round(F.col("coverage") * 1000).cast("long")).otherwise(0)).alias("covered_milli"))
-    out = out.join(covered, ["profile", "stage"]).withColumns({c: joined(c) for c in ("gates", "deferred_gates")})
-    return out.withColumns({c: F.md5(joined(c)) for c in lists})
+    return out.join(covered, ["profile", "stage"]).withColumns({c: joined(c) for c in ("gates", "deferred_gates")})
+
+
+def agg_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.outcomes(resolved(spark, sf), ("profile", "stage"))
 
 
 def agg_binding_hist(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,29 +106,21 @@ def op_questions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("profile", "id", F.md5("question").alias("question_md5"))
 
 
-def set_unknown_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """What each profile offers beyond the capabilities that an operation knows."""
-    rows = routing.with_profiles(ops(spark, sf).select("id", "requires"), profiles(spark))
-    return rows.select("id", "profile", F.explode(F.array_except(F.array_union("native", "mcp"), "requires")).alias("capability"))
+def prd_deterministic(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.deterministic(ops(spark, sf), vocabulary(spark))
 
 
-def prd_deterministic(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = ops(spark, sf).select("id", "effect", F.explode("requires").alias("capability")).join(F.broadcast(vocabulary(spark)), "capability")
-    return kinds.groupBy("id").agg((~F.bool_or(F.col("kind") == "generative") & F.first("effect").isin("read-local", "effectful-local")).alias("deterministic"))
+def jn_provider_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """Providers whose capabilities meet those of an operation."""
+    table = {"shop": (["purchase", "click"], "spend", False), "crm": (["signup"], "privacy", False), "web": (["view", "click"], "publish", True)}
+    p = one_row(spark, [F.struct(F.lit(k).alias("provider"), strings(c).alias("caps"), strings([g]).alias("gates"), F.lit(a).alias("ambiguous")) for k, (c, g, a) in table.items()])
+    return inventory.provider_hits(ops(spark, sf), p).withColumn("gate_hints", joined("gate_hints"))
 
 
 def jn_standin_default(spark: SparkSession, sf: str) -> DataFrame:
     return ops(spark, sf).select("id", "stand_in").join(F.broadcast(standins(spark)), "stand_in", "left").select("id", "stand_in", "fidelity")
 
 
-def jn_provider_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """Providers whose capabilities meet those of an operation: exploded, so an equi-join; with credentials and gates united."""
-    catalogue = {"shop": (["purchase", "click"], "spend", False), "crm": (["signup"], "privacy", False), "web": (["view", "click"], "publish", True)}
-    p = one_row(spark, [F.struct(F.lit(k).alias("provider"), strings(c).alias("caps"), F.lit(g).alias("hint"), F.lit(a).alias("ambiguous")) for k, (c, g, a) in catalogue.items()])
-    met = ops(spark, sf).select("id", F.explode("requires").alias("c")).join(F.broadcast(p.withColumn("c", F.explode("caps"))), "c").select("id", "provider", "hint", "ambiguous").distinct()
-    return met.groupBy("id").agg(F.count_distinct("provider").alias("corroboration"), F.bool_or("ambiguous").alias("ambiguous"), joined(F.array_sort(F.collect_set("hint"))).alias("gate_hints"))
-
-
 def versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     events = read(spark, sf, "events")
     return operations(events.where("event_id % 9 <> 0")), operations(events.where("event_id % 11 <> 0"))
@@ -254,25 +242,6 @@ def src_caps(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("running <= 200000").select("source", "doc_id", "running")
 
 
-def agg_tracing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("traceable"), F.count_if(F.col("lang") != "en").alias("untraceable"), joined(F.array_sort(F.collect_set("lang"))).alias("langs"))
-    return rows.withColumn("fidelity", F.when(F.col("untraceable") == 0, "full").when(F.col("traceable") >= F.col("untraceable"), "partial").otherwise("low"))
-
-
-def op_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """Class and suitability of a source, by what its documents hold: ordered rules, first match wins."""
-    doc = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("token ="))).alias("secrets"), F.count_if(F.contains("text", F.lit("icensed under"))).alias("licences"), F.count_if(F.col("n_chars") > 20000).alias("long"))
-    cls = F.when(F.col("secrets") >= 3, "service-app").when(F.col("licences") >= 2, "library").when(F.col("long") > 0, "infra-config").otherwise("unknown")
-    fit = F.when(F.col("secrets") + F.col("licences") > 0, "suitable").when((F.col("n") >= 10) & (cls != "unknown"), "knowledge-only").otherwise("not-suitable")
-    return doc.select("source", cls.alias("repo_class"), fit.alias("status"))
-
-
-def fn_tool_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct sorted keys and values of JSON properties, by event type."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return read(spark, sf, "events").groupBy("event_type").agg(joined(F.array_sort(F.collect_set(F.concat_ws("", F.json_object_keys("props"))))).alias("keys"), F.count_distinct(k).alias("n_values"), F.sum(k).cast("long").alias("total"))
-
-
 def prd_expiry(spark: SparkSession, sf: str) -> DataFrame:
     old = F.to_date("o_orderdate") < F.lit("1997-01-01").cast("date")
     return read(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count_if(old).alias("expired"), F.count("*").alias("n"))
@@ -314,7 +283,7 @@ def snk_review_md(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op_validate_inventory, op_validate_package, snk_report_json, snk_report_text, snk_review_md,
-    op_route, op_gates, op_resolve, op_summarise, agg_binding_hist, op_invariants, op_questions, set_unknown_ids, prd_deterministic, jn_standin_default, jn_provider_caps, jn_diff, jn_merge_reviewed,
+    op_route, op_gates, op_resolve, op_summarise, agg_outcomes, agg_binding_hist, op_invariants, op_questions, prd_deterministic, jn_standin_default, jn_provider_caps, jn_diff, jn_merge_reviewed,
     jn_apply_proposals, snk_digest, agg_merge_ops, topk_class_cap, sort_attention, agg_dominant_effect, agg_first_opid, agg_evidence_dedupe, fn_confidence_fuse, jn_interval_innermost, jn_leftover,
-    jn_enclosing_service, jn_class_context, jn_play_name, jn_catalog_lookup, src_caps, agg_tracing, op_classify, fn_tool_names, prd_expiry, lim_locations,
+    jn_enclosing_service, jn_class_context, jn_play_name, jn_catalog_lookup, src_caps, prd_expiry, lim_locations,
 )}

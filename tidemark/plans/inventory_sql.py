@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators import fusion
+from tidemark.operators.routing import SAFE_DEFAULTS
 from tidemark.plans.inventory_queries import DEFAULTS, KINDS, PROFILES, STAGES, STANDINS, TYPES
 
 lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]" if xs else "CAST([] AS VARCHAR[])"
@@ -27,13 +28,14 @@ res AS (SELECT b.* EXCLUDE (stand_in), b.stand_in AS declared, CASE WHEN binding
  CASE WHEN binding IN ('native', 'mcp', 'script') THEN gate ELSE [] END AS gates, CASE WHEN binding = 'ask-user' THEN gate ELSE [] END AS deferred_gates, list_filter(requires, lambda c: NOT list_contains(native, c) AND NOT list_contains(mcp, c)) AS missing,
  CASE binding WHEN 'native' THEN 1.0 WHEN 'mcp' THEN 0.9 WHEN 'script' THEN coalesce(fidelity, 0.5) WHEN 'ask-user' THEN 0.5 ELSE 0.0 END AS coverage FROM bound b LEFT JOIN fid f ON f.stand_in = b.stand_in)"""
 COUNTS = "count(*) AS operations, count(*) FILTER (NOT optional) AS required, count(*) FILTER (optional) AS optional, " + ", ".join(f"count(*) FILTER (binding = '{b}') AS n_{b.replace('-', '_')}" for b in ("native", "mcp", "script", "ask-user", "drop")) + ", count(*) FILTER (NOT optional AND binding IN ('ask-user', 'drop')) = 0 AS executable"
-ids = lambda cond: f"md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER ({cond}), ''))"
+ids = lambda cond: f"count(*) FILTER ({cond})"
 names = lambda c: f"array_to_string(list_sort(list_distinct(flatten(list({c})))), ',')"
 EFFECT_OF = case("event_type", dict(zip(TYPES, (*fusion.EFFECTS, "read-local"), strict=True)))
 SOURCE_OF = case("event_type", dict(zip(TYPES, ("inferred", "documented", "proposed", "declared", "traced"), strict=True)))
 EV = f"ev AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS id, {SOURCE_OF} AS source, strftime(ts, '%H') AS loc, event_type AS detail, event_id AS ord FROM events)"
 ATTENTION = "CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, CASE WHEN len(gate) > 0 THEN 0 ELSE 1 END, id"
 BOTH = ops("(SELECT * FROM events WHERE event_id % 9 <> 0)", "old") + ", " + ops("(SELECT * FROM events WHERE event_id % 11 <> 0)", "new")
+DEFAULT_OF = " ".join(f"WHEN list_contains(deferred_gates, '{g}') THEN '{t}'" for g, t in SAFE_DEFAULTS.items())
 FIELDS = {"stage": "{}.stage", "effect": "{}.effect", "requires": "array_to_string({}.requires, ',')", "gate": "array_to_string({}.gate, ',')", "optional": "CAST({}.optional AS VARCHAR)", "confidence": "{}.confidence", "stand_in": "{}.stand_in"}
 CHANGES = " UNION ALL ".join(f"SELECT o.id, 'changed' AS change, '{f}' AS field, {x.format('o')} AS old, {x.format('n')} AS new FROM old o JOIN new n USING (id) WHERE {x.format('o')} IS DISTINCT FROM {x.format('n')}" for f, x in FIELDS.items())
 MONTH = "m AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m') AS month FROM events)"
@@ -53,7 +55,8 @@ UNION ALL SELECT day, id, 'gate' FROM dbl WHERE list_contains(gate, 'other') UNI
     "op_route": f"WITH {RES} SELECT profile, id, binding FROM res",
     "op_gates": f"WITH {RES} SELECT profile, id, {text('gates')} AS gates, {text('deferred_gates')} AS deferred_gates FROM res",
     "op_resolve": f"WITH {RES} SELECT profile, id, binding, stand_in, CAST(coverage AS DOUBLE) AS coverage, {text('missing')} AS missing FROM res",
-    "op_summarise": f"WITH {RES} SELECT profile, stage, {COUNTS}, {names('gates')} AS gates, CAST(sum(len(gates)) AS BIGINT) AS gate_count, {names('deferred_gates')} AS deferred_gates, {ids('NOT optional AND binding = ' + chr(39) + 'ask-user' + chr(39))} AS halted, {ids('optional AND binding = ' + chr(39) + 'ask-user' + chr(39))} AS halted_optional, {ids('NOT optional AND binding = ' + chr(39) + 'drop' + chr(39))} AS lost, {ids('optional AND binding = ' + chr(39) + 'drop' + chr(39))} AS lost_optional, {ids('binding = ' + chr(39) + 'script' + chr(39))} AS degraded, CAST(coalesce(sum(CAST(round(coverage * 1000) AS BIGINT)) FILTER (NOT optional), 0) AS BIGINT) AS covered_milli FROM res GROUP BY profile, stage",
+    "op_summarise": f"WITH {RES} SELECT profile, stage, {COUNTS}, {names('gates')} AS gates, CAST(sum(len(gates)) AS BIGINT) AS gate_count, {names('deferred_gates')} AS deferred_gates, {ids('NOT optional AND binding = ' + chr(39) + 'ask-user' + chr(39))} AS n_halted, {ids('optional AND binding = ' + chr(39) + 'ask-user' + chr(39))} AS n_halted_optional, {ids('NOT optional AND binding = ' + chr(39) + 'drop' + chr(39))} AS n_lost, {ids('optional AND binding = ' + chr(39) + 'drop' + chr(39))} AS n_lost_optional, {ids('binding = ' + chr(39) + 'script' + chr(39))} AS n_degraded, CAST(coalesce(sum(CAST(round(coverage * 1000) AS BIGINT)) FILTER (NOT optional), 0) AS BIGINT) AS covered_milli FROM res GROUP BY profile, stage",
+    "agg_outcomes": f"WITH {RES} SELECT profile, stage, CASE WHEN binding = 'ask-user' THEN CASE WHEN optional THEN 'halted_optional' ELSE 'halted' END WHEN binding = 'drop' THEN CASE WHEN optional THEN 'lost_optional' ELSE 'lost' END ELSE 'degraded' END AS outcome, id, stand_in, fidelity FROM res WHERE binding IN ('ask-user', 'drop', 'script')",
     "agg_binding_hist": f"WITH {RES} SELECT profile, day, {COUNTS} FROM res GROUP BY profile, day",
     "op_invariants": f"""WITH {RES}, bad AS (SELECT profile, id, user_id, optional, gate, declared, missing, CASE WHEN user_id % 10 = 1 THEN [] ELSE gates END AS gates, CASE WHEN user_id % 10 = 4 THEN [] ELSE deferred_gates END AS deferred, CASE WHEN user_id % 10 = 2 THEN 'drop' ELSE binding END AS binding, CASE WHEN user_id % 10 = 3 THEN 1.5 ELSE fidelity END AS fidelity, binding AS was FROM res)
 SELECT profile, id, 'I1' AS invariant FROM bad WHERE binding IN ('native', 'mcp', 'script') AND NOT list_has_all(gates, gate)
@@ -63,8 +66,7 @@ UNION ALL SELECT profile, id, 'I4' FROM bad WHERE declared IS NOT NULL AND bindi
 UNION ALL SELECT profile, id, 'I5' FROM bad WHERE binding = 'drop' AND NOT (was = 'drop' AND user_id % 10 <> 5)
 UNION ALL SELECT profile, id, 'I6' FROM bad WHERE binding IN ('native', 'mcp', 'script') AND list_has_any(gate, ['publish', 'irreversible']) AND NOT list_has_any(gate, gates)
 UNION ALL SELECT profile, id, 'I7' FROM bad WHERE len(gate) > 0 AND binding = 'ask-user' AND NOT list_has_all(deferred, gate)""",
-    "op_questions": f"WITH {RES} SELECT profile, id, md5('Cannot run ''' || id || ''': missing ' || array_to_string(missing, ', ') || '.' || CASE WHEN len(deferred_gates) > 0 THEN ' Gates: ' || upper(array_to_string(deferred_gates, ', ')) || '.' ELSE '' END || ' Default: do not proceed.') AS question_md5 FROM res WHERE binding = 'ask-user'",
-    "set_unknown_ids": f"WITH {ops()}, {PROF}, offered AS (SELECT profile, unnest(list_distinct(list_concat(native, mcp))) AS capability FROM prof) SELECT id, profile, capability FROM ops, offered WHERE NOT list_contains(requires, capability)",
+    "op_questions": f"WITH {RES} SELECT profile, id, md5('Cannot run ''' || id || ''': missing ' || array_to_string(missing, ', ') || '.' || CASE WHEN len(deferred_gates) > 0 THEN ' Gates: ' || upper(array_to_string(deferred_gates, ', ')) || '.' ELSE '' END || ' Default: ' || CASE {DEFAULT_OF} ELSE 'do not proceed' END || '.') AS question_md5 FROM res WHERE binding = 'ask-user'",
     "prd_deterministic": f"WITH {ops()}, {VOC}, k AS (SELECT id, effect, unnest(requires) AS capability FROM ops) SELECT id, NOT bool_or(kind = 'generative') AND any_value(effect) IN ('read-local', 'effectful-local') AS deterministic FROM k JOIN voc USING (capability) GROUP BY id",
     "jn_standin_default": f"WITH {ops()}, {FID} SELECT id, stand_in, fidelity FROM ops LEFT JOIN fid USING (stand_in)",
     "jn_provider_caps": f"WITH {ops()}, p(provider, caps, hint, ambiguous) AS (VALUES ('shop', ['purchase', 'click'], 'spend', false), ('crm', ['signup'], 'privacy', false), ('web', ['view', 'click'], 'publish', true)) SELECT id, count(DISTINCT provider) AS corroboration, bool_or(ambiguous) AS ambiguous, string_agg(DISTINCT hint, ',' ORDER BY hint) AS gate_hints FROM ops JOIN p ON list_has_any(requires, caps) GROUP BY id",
@@ -87,9 +89,6 @@ SELECT id, CASE WHEN len(list_filter(s, lambda x: x <> 'proposed')) = 0 THEN 'lo
     "jn_play_name": "WITH x AS (SELECT *, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER w AS t, last_value(CASE WHEN event_type <> 'view' THEN event_id END IGNORE NULLS) OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, CASE WHEN t = 'signup' THEN i END AS name_id FROM x WHERE event_type = 'purchase'",
     "jn_catalog_lookup": "WITH c(p_type, name, provider) AS (VALUES ('ECONOMY', 'brand#1', 'acme'), ('SMALL', 'brand#2', 'beta'), ('PROMO', 'brand#11', 'acme'), ('LARGE', 'brand#25', 'core')) SELECT p_partkey, provider FROM part p LEFT JOIN c ON c.p_type = p.p_type AND c.name = lower(p_brand) WHERE lower(p_brand) NOT IN ('brand#3', 'brand#7', 'brand#9')",
     "src_caps": "WITH x AS (SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM documents) SELECT * FROM x WHERE running <= 200000",
-    "agg_tracing": "WITH x AS (SELECT source, count(*) FILTER (lang = 'en') AS traceable, count(*) FILTER (lang <> 'en') AS untraceable, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source) SELECT *, CASE WHEN untraceable = 0 THEN 'full' WHEN traceable >= untraceable THEN 'partial' ELSE 'low' END AS fidelity FROM x",
-    "op_classify": "WITH x AS (SELECT source, count(*) AS n, count(*) FILTER (contains(text, 'token =')) AS s, count(*) FILTER (contains(text, 'icensed under')) AS l, count(*) FILTER (n_chars > 20000) AS g FROM documents GROUP BY source), y AS (SELECT *, CASE WHEN s >= 3 THEN 'service-app' WHEN l >= 2 THEN 'library' WHEN g > 0 THEN 'infra-config' ELSE 'unknown' END AS repo_class FROM x) SELECT source, repo_class, CASE WHEN s + l > 0 THEN 'suitable' WHEN n >= 10 AND repo_class <> 'unknown' THEN 'knowledge-only' ELSE 'not-suitable' END AS status FROM y",
-    "fn_tool_names": "WITH x AS (SELECT event_type, array_to_string(json_keys(props), '') AS ks, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) SELECT event_type, string_agg(DISTINCT ks, ',' ORDER BY ks) AS keys, count(DISTINCT k) AS n_values, CAST(sum(k) AS BIGINT) AS total FROM x GROUP BY event_type",
     "prd_expiry": "SELECT o_orderpriority, o_orderstatus, count(*) FILTER (CAST(o_orderdate AS DATE) < DATE '1997-01-01') AS expired, count(*) AS n FROM orders GROUP BY ALL",
     "lim_locations": "WITH x AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS p FROM events) SELECT user_id, event_type, string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY event_id) FILTER (p <= 5) || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' more' ELSE '' END AS locations FROM x GROUP BY user_id, event_type",
 }

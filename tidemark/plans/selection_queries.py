@@ -11,6 +11,7 @@ from tidemark.plans import extract_queries as X
 from tidemark.plans.inventory_queries import TYPES, joined, one_row, ops, pick, strings, versions
 from tidemark.plans.inventory_sql import BOTH, lst
 from tidemark.plans.inventory_sql import ops as ops_sql
+from tidemark.sources.catalogues import SHIPPED
 from tidemark.sources.entrypoints import entrypoints
 from tidemark.sources.tables import read
 
@@ -152,11 +153,11 @@ QUERIES = {f.__name__: f for f in (
 
 SITES = "sites AS (SELECT 'u' || user_id AS repo, strftime(ts, '%Y-%m') AS stem, event_id, event_type AS cap, event_id % 4 + 1 AS rank FROM events)"
 DEPS = f"deps AS (SELECT DISTINCT 'c' || o_custkey AS repo, CASE o_orderkey % 7 WHEN 6 THEN 'own-tools-' || o_orderkey ELSE {lst(PACKAGES)}[o_orderkey % 7 + 1] END AS name FROM orders)"
-CATALOGUE = "cat(name, provider, caps, hint, ambiguous) AS (VALUES " + ", ".join(f"('{n}', '{p}', {lst(sorted(set(c)))}, {'NULL' if g is None else repr(g)}, {a})" for e, n, p, c, g, a in inventory.PROVIDERS if e == "pypi") + ")"
-USES = f"{DEPS}, {CATALOGUE}, uses AS (SELECT repo, 'use-' || provider AS id, caps, hint, ambiguous, name FROM deps JOIN cat USING (name))"
+CATALOGUE = "cat(name, provider, caps, gates, ambiguous) AS (VALUES " + ", ".join(f"('{x[5:]}', '{p}', {lst(sorted(set(c.split())))}, '{','.join(sorted(set(g.split())))}', {a})" for p, n, c, g, _, a in SHIPPED for x in n.split() if x.startswith("pypi:")) + ")"
+USES = f"{DEPS}, {CATALOGUE}, uses AS (SELECT repo, 'use-' || provider AS id, caps, gates, ambiguous, name FROM deps JOIN cat USING (name))"
 SQL = {
     "agg_sites_by_file_cap": f"WITH {SITES} SELECT repo, cap || '-' || stem AS id, {lst(fusion.EFFECTS)}[max(rank)] AS effect, cap AS requires, stem || '.py:' || min(event_id) AS loc, 'derived from ' || count(*) || ' traced effect sites' AS summary FROM sites GROUP BY repo, stem, cap",
-    "op_from_providers": f"WITH {USES} SELECT repo, id, array_to_string(caps, ',') AS requires, coalesce(hint, '') AS gate, CASE WHEN ambiguous THEN 'low' ELSE 'medium' END AS confidence, 'dependency ' || name || ' (pypi)' AS summary FROM uses",
+    "op_from_providers": f"WITH {USES} SELECT repo, id, array_to_string(caps, ',') AS requires, gates AS gate, CASE WHEN ambiguous THEN 'low' ELSE 'medium' END AS confidence, 'dependency ' || name || ' (pypi)' AS summary FROM uses",
     "op_unresolved": f"WITH {DEPS}, {CATALOGUE}, u AS (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS place FROM deps ANTI JOIN cat USING (name)) SELECT repo, 'unresolved-external-calls' AS id, true AS optional, count(*) || ' dependencies outside the catalogue' AS summary, string_agg('pypi:' || name, ',' ORDER BY place) FILTER (place <= 20) AS evidence FROM u GROUP BY repo",
     "op_ladder": f"""WITH {SITES}, {USES}, a AS (SELECT DISTINCT repo, cap || '-' || stem AS id FROM sites WHERE cap = 'signup'), b AS (SELECT DISTINCT repo, cap || '-' || stem AS id FROM sites WHERE cap <> 'view'), c AS (SELECT repo, id FROM uses UNION ALL SELECT 'u' || repo[2:], id FROM uses)
 SELECT repo, id, 'declared' AS way FROM a UNION ALL SELECT repo, id, 'sites' FROM b WHERE repo NOT IN (SELECT repo FROM a) UNION ALL SELECT repo, id, 'providers' FROM c WHERE repo NOT IN (SELECT repo FROM a UNION ALL SELECT repo FROM b)""",
