@@ -78,7 +78,7 @@ def test_candidates(files):
 
 
 def test_declarations_tell_capabilities_and_triggers(files):
-    rows = {r["id"]: r for r in dialects.candidates(files).collect()}
+    rows = {r["id"]: r for r in dialects.candidates(repos.stored(files)).collect()}
     told = {i: (rows[i]["caps"], rows[i]["effect"], rows[i]["trigger"]) for i in ("job-deploy", "cron-usr-bin-backup", "tf-aws-s3-bucket-logs", "k8s-service-web", "fetch")}
     assert told == {
         "job-deploy": (["shell.exec", "deploy.op"], "effectful-local", "event"), "cron-usr-bin-backup": (["shell.exec"], "effectful-local", "scheduled"),
@@ -92,6 +92,7 @@ def test_own_dialects(files, spark):
         return dialects.declared(rows, "notes", "note", F.lit("read me"), id=F.lit("read me"), name=F.lit("Read me"), detail=F.lit("a note"))
 
     dialects.register("notes", notes, ("library",))
+    files = repos.stored(files)
     try:
         with pytest.raises(ValueError, match="registered already"):
             dialects.register("notes", notes)
@@ -147,7 +148,7 @@ JVM = {
 )
 def test_declarations_of_braced_languages(spark, tree, expected):
     df = spark.createDataFrame([("r", k, v) for k, v in tree.items()], "repo string, rel string, text string")
-    rows = {r["id"]: r for r in dialects.candidates(df).collect()}
+    rows = {r["id"]: r for r in dialects.candidates(repos.stored(df)).collect()}
     assert set(rows) == expected
     if tree is JVM:
         assert (rows["get-api"]["lo"], rows["get-api"]["hi"]) == (4, 7) and rows["put-api-x"]["lo"] is None
