@@ -15,7 +15,7 @@ KINDS = ("Service", "CronJob", "Secret", "Widget")
 TYPES = ("aws_s3_bucket", "aws_sqs_queue", "gcp_spanner", "own_thing")
 BLOCKS = ("resource", "data", "module", "locals")
 IMAGES = ("redis:7", "Postgres", "busybox")
-KEY = F.col("p_partkey")
+key = lambda: F.col("p_partkey")
 
 
 def told(rows: DataFrame, *more: str) -> DataFrame:
@@ -34,13 +34,13 @@ def dl_package_scripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dl_terraform(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(pick(BLOCKS, F.col("p_size") % 4 + 1), F.lit(' "'), pick(TYPES, KEY % 4 + 1), F.lit('" "'), named(), F.lit('" {}'))
+    line = F.concat(pick(BLOCKS, F.col("p_size") % 4 + 1), F.lit(' "'), pick(TYPES, key() % 4 + 1), F.lit('" "'), named(), F.lit('" {}'))
     return told(D.terraform_blocks(files(spark, sf, "main.tf", line)), "detail")
 
 
 def dl_proto_service(spark: SparkSession, sf: str) -> DataFrame:
     """jn_enclosing_service over lines: every sixth part names a service, others calls."""
-    line = F.when(KEY % 6 == 0, F.concat(F.lit("service S"), KEY, F.lit(" {"))).otherwise(F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);")))
+    line = F.when(key() % 6 == 0, F.concat(F.lit("service S"), key(), F.lit(" {"))).otherwise(F.concat(F.lit("  rpc C"), key(), F.lit("(X) returns (Y);")))
     return told(D.proto_calls(files(spark, sf, "api.proto", line)))
 
 
@@ -85,7 +85,7 @@ def dl_openapi_yaml(spark: SparkSession, sf: str) -> DataFrame:
 
 def dl_github_actions(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.when(F.col("p_size") % 4 == 0, F.lit("#")).otherwise("")
-    line = F.concat(mark, F.lit("  "), F.when(F.col("p_size") % 5 == 0, "ship").otherwise("j"), KEY, F.lit(":\n"), mark, F.lit("    runs-on: x"))
+    line = F.concat(mark, F.lit("  "), F.when(F.col("p_size") % 5 == 0, "ship").otherwise("j"), key(), F.lit(":\n"), mark, F.lit("    runs-on: x"))
     flows = files(spark, sf, "ci.yml", line, "on: push\njobs:\n", "\nenv:\n  A: b")
     timed = F.substring("rel", 2, 1).isin("1", "2")
     text = F.when(timed, F.concat(F.lit("on:\n  schedule:\n  - cron: x\n"), F.expr("substring(text, 10)"))).otherwise(F.col("text"))
@@ -94,19 +94,19 @@ def dl_github_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dl_compose_services(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.lit("  s"), KEY, F.lit(':\n    image: "'), pick(IMAGES, F.col("p_size") % 3 + 1), F.lit('"'))
+    line = F.concat(F.lit("  s"), key(), F.lit(':\n    image: "'), pick(IMAGES, F.col("p_size") % 3 + 1), F.lit('"'))
     return told(D.compose_services(files(spark, sf, "docker-compose.yml", line, "services:\n", "\nvolumes:\n  v: {}")), "detail")
 
 
 def part_files(spark: SparkSession, sf: str, name: str, text: F.Column) -> DataFrame:
     """A file for each part."""
-    return read(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("p"), KEY, F.lit("/" + name)).alias("rel"), text.alias("text"))
+    return read(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("p"), key(), F.lit("/" + name)).alias("rel"), text.alias("text"))
 
 
 def dl_kubernetes(spark: SparkSession, sf: str) -> DataFrame:
     """One object a file, named by its metadata or else by the file; later documents of the file don't count."""
     kind = F.when(F.col("p_size") % 5 == 0, "# no ").otherwise(F.concat(F.lit("kind: "), pick(KINDS, F.col("p_size") % 4 + 1), F.lit(" ")))
-    named_ = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("\n  labels: {}\n  name: 'p"), KEY, F.lit("'")))
+    named_ = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("\n  labels: {}\n  name: 'p"), key(), F.lit("'")))
     text = F.concat(F.lit("apiVersion: v1\n"), kind, F.lit("\nmetadata:"), named_, F.lit("\nspec:\n  name: q\n---\nkind: Job\n"))
     rows = part_files(spark, sf, "all.yaml", text).where(F.contains("text", F.lit("# no ")) == F.lit(False))
     return told(D.kubernetes_objects(rows))
@@ -115,7 +115,7 @@ def dl_kubernetes(spark: SparkSession, sf: str) -> DataFrame:
 def dl_ansible(spark: SparkSession, sf: str) -> DataFrame:
     """Plays, every third without a name right above."""
     between = F.when(F.col("p_size") % 3 == 0, "  gather_facts: no\n").otherwise("  # why\n")
-    line = F.concat(F.lit("- name: Play "), KEY, F.lit("\n"), between, F.lit("  hosts: h"), KEY)
+    line = F.concat(F.lit("- name: Play "), key(), F.lit("\n"), between, F.lit("  hosts: h"), key())
     return told(D.ansible_plays(files(spark, sf, "site.yml", line)))
 
 
@@ -125,27 +125,27 @@ def dl_web_js(spark: SparkSession, sf: str) -> DataFrame:
     A file without a call of get or post and without such decorators isn't read.
     """
     owner = F.when(F.col("p_size") % 7 == 0, "client").otherwise("app")
-    line = F.concat(owner, F.lit("."), pick(METHODS, F.col("p_size") % 4 + 1), F.lit("('/p"), KEY, F.lit("', (q) => {\n  const s = '}'; // }\n  if (q) { y() }\n});"))
+    line = F.concat(owner, F.lit("."), pick(METHODS, F.col("p_size") % 4 + 1), F.lit("('/p"), key(), F.lit("', (q) => {\n  const s = '}'; // }\n  if (q) { y() }\n});"))
     return told(D.web_js(files(spark, sf, "index.js", line)), "lo", "hi")
 
 
 def dl_go(spark: SparkSession, sf: str) -> DataFrame:
     """Router calls inside exported and unexported functions; the exported ones without parameters are commands."""
-    head = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("func Run"), KEY, F.lit("() {"))).otherwise(F.concat(F.lit("func init"), KEY, F.lit("(r *gin.Engine) {")))
-    line = F.concat(head, F.lit("\n\tr."), F.upper(pick(METHODS, F.col("p_size") % 4 + 1)), F.lit('("/p'), KEY, F.lit('", f) // }\n}'))
+    head = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("func Run"), key(), F.lit("() {"))).otherwise(F.concat(F.lit("func init"), key(), F.lit("(r *gin.Engine) {")))
+    line = F.concat(head, F.lit("\n\tr."), F.upper(pick(METHODS, F.col("p_size") % 4 + 1)), F.lit('("/p'), key(), F.lit('", f) // }\n}'))
     return told(D.go_declarations(files(spark, sf, "main.go", line, "package main\n")), "lo", "hi")
 
 
 def dl_jvm(spark: SparkSession, sf: str) -> DataFrame:
     """Mappings under their class's path, and schedules; a string with a brace doesn't end a body."""
-    mark = F.when(F.col("p_size") % 3 == 0, '  @Scheduled(cron = "0")\n').otherwise(F.concat(F.lit('  @GetMapping("/p'), KEY, F.lit('")\n')))
-    line = F.concat(mark, F.lit("  public String runJob"), KEY, F.lit('() {\n    return "}";\n  }'))
+    mark = F.when(F.col("p_size") % 3 == 0, '  @Scheduled(cron = "0")\n').otherwise(F.concat(F.lit('  @GetMapping("/p'), key(), F.lit('")\n')))
+    line = F.concat(mark, F.lit("  public String runJob"), key(), F.lit('() {\n    return "}";\n  }'))
     return told(D.jvm_declarations(files(spark, sf, "Api.java", line, '@RestController\n@RequestMapping("/api")\npublic class Api {\n', "\n}")), "lo", "hi")
 
 
 def dl_rust(spark: SparkSession, sf: str) -> DataFrame:
     """Route attributes; braces in raw strings and lifetimes don't disturb the range."""
-    line = F.concat(F.lit("#["), pick(METHODS, F.col("p_size") % 4 + 1), F.lit('("/p'), KEY, F.lit("\")]\nasync fn f"), KEY, F.lit("<'a>(x: &'a str) {\n    g(r#\"{\"#);\n}"))
+    line = F.concat(F.lit("#["), pick(METHODS, F.col("p_size") % 4 + 1), F.lit('("/p'), key(), F.lit("\")]\nasync fn f"), key(), F.lit("<'a>(x: &'a str) {\n    g(r#\"{\"#);\n}"))
     return told(D.rust_declarations(files(spark, sf, "api.rs", line)), "lo", "hi")
 
 
@@ -154,32 +154,32 @@ def dl_cli_python(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dl_agent_tools(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.when(F.col("p_size") % 2 == 0, "@tool").otherwise("@agent.function_tool()"), F.lit("\ndef t"), KEY, F.lit("(self, query):\n    pass"))
+    line = F.concat(F.when(F.col("p_size") % 2 == 0, "@tool").otherwise("@agent.function_tool()"), F.lit("\ndef t"), key(), F.lit("(self, query):\n    pass"))
     return told(D.python_candidates(files(spark, sf, "tools.py", line), "agent-tools"), "inputs")
 
 
 def dl_orchestrator_dag(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("@asset\ndef a"), KEY, F.lit("():\n    pass"))).otherwise(F.concat(F.lit('d = DAG("flow '), KEY, F.lit('")\n\n')))
+    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("@asset\ndef a"), key(), F.lit("():\n    pass"))).otherwise(F.concat(F.lit('d = DAG("flow '), key(), F.lit('")\n\n')))
     return told(D.python_candidates(files(spark, sf, "dags.py", line), "orchestrator-dag"), "detail")
 
 
 def dl_web_python(spark: SparkSession, sf: str) -> DataFrame:
     """Routes of known receivers, routes with methods, and entries of a urlconf."""
-    route = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("@app.get('/p"), KEY, F.lit("')"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("@bp.route('/p"), KEY, F.lit("', methods=['PUT', 'GET'])"))).otherwise(F.concat(F.lit("@client.get('/p"), KEY, F.lit("')")))
-    line = F.when(F.col("p_size") % 4 == 3, F.concat(F.lit("x = path('p/', views.show"), KEY, F.lit(")\n\n"))).otherwise(F.concat(route, F.lit("\ndef f"), KEY, F.lit("(q):\n    pass")))
+    route = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("@app.get('/p"), key(), F.lit("')"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("@bp.route('/p"), key(), F.lit("', methods=['PUT', 'GET'])"))).otherwise(F.concat(F.lit("@client.get('/p"), key(), F.lit("')")))
+    line = F.when(F.col("p_size") % 4 == 3, F.concat(F.lit("x = path('p/', views.show"), key(), F.lit(")\n\n"))).otherwise(F.concat(route, F.lit("\ndef f"), key(), F.lit("(q):\n    pass")))
     return told(D.python_candidates(files(spark, sf, "web.py", line), "web-python"))
 
 
 def win_order_hint(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.order_hints(D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);")))))
+    rows = D.order_hints(D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), key(), F.lit("(X) returns (Y);")))))
     return rows.select("repo", "rel", "op", F.col("order_hint").cast("long").alias("order_hint"))
 
 
 def flt_class_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Make targets, plays and calls of repositories whose class is told by the brand's number."""
     made = D.make_targets(files(spark, sf, "Makefile", F.concat(named(), F.lit(": deps"))))
-    plays = D.ansible_plays(files(spark, sf, "site.yml", F.concat(F.lit("- hosts: h"), KEY)))
-    calls = D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), KEY, F.lit("(X) returns (Y);"))))
+    plays = D.ansible_plays(files(spark, sf, "site.yml", F.concat(F.lit("- hosts: h"), key())))
+    calls = D.proto_calls(files(spark, sf, "api.proto", F.concat(F.lit("  rpc C"), key(), F.lit("(X) returns (Y);"))))
     classes = read(spark, sf, "part").select(F.col("p_brand").alias("repo")).distinct()
     classes = classes.withColumn("repo_class", pick(("library", "agent-system", "infra-config"), F.length("repo") % 3 + 1))
     return D.fitting(made.unionByName(plays).unionByName(calls), classes).groupBy("repo", "dialect").agg(F.count("*").alias("n"))
