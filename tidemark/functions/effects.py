@@ -118,56 +118,49 @@ def python_calls(files: DataFrame) -> DataFrame:
 
 
 def pattern_table(spark) -> DataFrame:
-    """One row for each pattern and function name: key, place, id, modules, test, capability, effect."""
+    """The patterns that a function's name may match, in order: key, patterns (id, modules, test, capability, effect)."""
     words = lambda x: F.array(*map(F.lit, x.split())) if x else F.array().cast("array<string>")
     rows = [
         F.struct(F.lit(i).alias("place"), F.lit(p).alias("pattern"), words(f).alias("funcs"), words(m).alias("modules"), F.lit(t).alias("test"), F.lit(c).alias("capability"), F.lit(e).alias("effect"))
         for i, (p, f, m, t, c, e) in enumerate(PATTERNS)
     ]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*").select("*", F.explode("funcs").alias("key")).drop("funcs")
+    table = spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x", F.explode("x.funcs").alias("key"))
+    return table.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("x.place", "x.pattern", "x.modules", "x.test", "x.capability", "x.effect"))).alias("patterns"))
 
 
 def matched(calls: DataFrame) -> DataFrame:
-    """Calls with capability, effect and pattern of the first pattern they match; null where they match none."""
+    """Calls with capability, effect and pattern of the first pattern they match; null where they match none. Moves no row."""
     module = F.regexp_extract("func", r"^(.*)\.[^.]*$", 1)
-    asked = calls.where(~(F.col("verb").isin(*PLUMBING) & (module == ""))).withColumn("module", module)
-    met = asked.join(F.broadcast(pattern_table(calls.sparkSession)), F.col("verb") == F.col("key"))  # a few rows a pattern
-    of_module = (F.size("modules") == 0) | F.exists("modules", lambda m: (F.col("module") == m) | F.col("module").startswith(F.concat(m, F.lit("."))))
+    asked = calls.withColumn("_module", module).join(F.broadcast(pattern_table(calls.sparkSession)), F.col("verb") == F.col("key"), "left")  # a row a name
     writes = F.coalesce(F.col("mode").isin(*WRITE_MODES), F.lit(False))
-    holds = F.when(F.col("test") == "write-mode", writes).when(F.col("test") == "no-write-mode", ~writes).when(F.col("test") == "arg0-read", F.col("arg0_read")).otherwise(True)
-    key = ["repo", "rel", "ord"]
-    best = met.where(of_module & holds).groupBy(*key).agg(F.min_by(F.struct("capability", "effect", "pattern"), "place").alias("hit"))
-    return calls.join(best, key, "left").select(*calls.columns, "hit.capability", "hit.effect", "hit.pattern")
 
+    def holds(p):
+        of_module = (F.size(p["modules"]) == 0) | F.exists(p["modules"], lambda m: (F.col("_module") == m) | F.col("_module").startswith(F.concat(m, F.lit("."))))
+        test = F.when(p["test"] == "write-mode", writes).when(p["test"] == "no-write-mode", ~writes).when(p["test"] == "arg0-read", F.col("arg0_read")).otherwise(True)
+        return of_module & test
 
-def reached(calls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Scopes (repo, rel, scope) that a file's module level reaches by calls of its own functions, at most ``depth`` deep.
-
-    Calls that match a pattern end a path. A function counts from its shortest path; the module itself is scope ''.
-    """
-    steps = calls.where("local and capability is null and instr(func, '.') = 0").select("repo", "rel", "scope", F.col("func").alias("next")).distinct()
-    level = steps.where("scope = ''").select("repo", "rel", F.col("next").alias("scope"))
-    seen = level
-    for _ in range(depth - 1):
-        level = level.join(steps, ["repo", "rel", "scope"]).select("repo", "rel", F.col("next").alias("scope")).distinct()
-        seen = seen.unionByName(level)
-    return seen.distinct()
+    bare = F.col("verb").isin(*PLUMBING) & (F.col("_module") == "")
+    hit = F.when(~bare, F.try_element_at(F.filter("patterns", holds), F.lit(1)))
+    return asked.withColumn("_hit", hit).select(*calls.columns, "_hit.capability", "_hit.effect", "_hit.pattern")
 
 
 def effect_sites(calls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One site a line: repo, rel, line, capability, effect, pattern, detail.
 
-    Calls that the module level reaches count; in a file where none of those matches, all calls in its top-level functions
-    do. Of several matches on a line the first of the walk stays.
+    Calls that the module level reaches through the file's own functions, at most ``depth`` deep, count; a call that matches
+    a pattern ends its path, and a function counts from its shortest one. In a file where none of the reached calls
+    matches, all calls in its top-level functions do. Of several matches on a line the first of the walk stays. Calls are
+    gathered by file, whose size is bounded, in one shuffle.
     """
-    from tidemark.sources.tables import materialise
-
-    calls = materialise(matched(calls), "calls")
-    hits = calls.where("capability is not null")
-    inside = reached(calls, depth).withColumn("reached", F.lit(True))
-    hits = hits.join(inside, ["repo", "rel", "scope"], "left").withColumn("reached", F.coalesce("reached", F.col("scope") == ""))
-    some = hits.where("reached").select("repo", "rel").distinct().withColumn("traced", F.lit(True))
-    hits = hits.join(some, ["repo", "rel"], "left").where("reached or traced is null")
+    step = F.when(F.col("capability").isNull(), F.struct("scope", F.col("func").alias("next")))
+    hit = F.when(F.col("capability").isNotNull(), F.struct("ord", "line", "capability", "effect", "pattern", "func", "scope"))
+    told = matched(calls).where("capability is not null or (local and instr(func, '.') = 0)")
+    files = told.groupBy("repo", "rel").agg(F.collect_set(step).alias("steps"), F.collect_list(hit).alias("hits")).where("size(hits) > 0")
+    files = files.withColumn("level", F.array(F.lit(""))).withColumn("seen", F.array(F.lit("")))
+    for _ in range(depth):
+        files = files.withColumn("level", F.array_distinct(F.transform(F.filter("steps", lambda s: F.array_contains("level", s["scope"])), lambda s: s["next"]))).withColumn("seen", F.array_union("seen", "level"))
+    files = files.withColumn("reached", F.filter("hits", lambda h: F.array_contains("seen", h["scope"])))
+    hits = files.select("repo", "rel", F.explode(F.when(F.size("reached") > 0, F.col("reached")).otherwise(F.col("hits"))).alias("h")).select("repo", "rel", "h.*")
     origin = F.when(F.col("scope") == "", "module").otherwise(F.col("scope"))
     detail = F.concat(F.col("func"), F.lit(" matched "), F.col("pattern"), F.lit(" (via "), origin, F.lit(")"))
     best = F.min_by(F.struct("capability", "effect", "pattern", detail.alias("detail")), "ord")

@@ -17,6 +17,7 @@ LANGUAGES = {
     "pyproject.toml": "python", "setup.py": "python", "setup.cfg": "python", "requirements.txt": "python", "package.json": "javascript", "go.mod": "go", "Cargo.toml": "rust", "composer.json": "php",
     "Gemfile": "ruby", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java",
 }
+TONGUES = sorted(set(LANGUAGES.values()))
 CODE = ("py", "js", "ts", "go", "rs", "rb", "java")
 # Suffixes of code files for the tracing report; only the first is traced.
 TRACED, UNTRACED = "py", tuple("js mjs cjs jsx ts tsx go rs rb java kt cs php swift c cc cpp h hpp scala ex exs".split())
@@ -27,40 +28,62 @@ def suffix(rel) -> Column:
     return F.regexp_extract(rel, r"[.]([^./]+)$", 1)
 
 
+def bits(value: Column, values: list[str]) -> Column:
+    """Aggregate: which of a closed list of values occur, as bits of a whole number, so that a group's state is one long."""
+    table = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(1 << i).cast("long"))])
+    return F.coalesce(F.bit_or(table[value]), F.lit(0).cast("long"))
+
+
+def named_bits(mask: str, values: list[str]) -> Column:
+    """The values that bits() found, sorted."""
+    return F.array_compact(F.array(*[F.when(F.col(mask).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(v)) for i, v in sorted(enumerate(values), key=lambda x: x[1])]))
+
+
+def flags() -> list[Column]:
+    """Aggregates over the paths of a repository's files."""
+    name, table = file_name(F.col("rel")), F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return [
+        bits(table[name], TONGUES).alias("languages"), F.count_if(suffix("rel").isin(*CODE)).alias("n_code"), some(name == "Makefile").alias("has_make"),
+        some(name.isin("Dockerfile", "docker-compose.yml", "compose.yml")).alias("has_docker"), some(F.col("rel").startswith(".github/workflows/")).alias("has_ci"), some(F.col("rel").endswith(".tf")).alias("has_terraform"),
+    ]
+
+
 def manifest_flags(files: DataFrame) -> DataFrame:
     """repo, languages, n_code, has_make, has_docker, has_ci, has_terraform, by the files' paths alone."""
-    name, table = file_name(F.col("rel")), F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return files.groupBy("repo").agg(
-        F.array_sort(F.collect_set(table[name])).alias("languages"), F.count_if(suffix("rel").isin(*CODE)).alias("n_code"), F.bool_or(name == "Makefile").alias("has_make"),
-        F.bool_or(name.isin("Dockerfile", "docker-compose.yml", "compose.yml")).alias("has_docker"), F.bool_or(F.col("rel").startswith(".github/workflows/")).alias("has_ci"),
-        F.bool_or(F.col("rel").endswith(".tf")).alias("has_terraform"),
-    )
+    return files.groupBy("repo").agg(*flags()).withColumn("languages", named_bits("languages", TONGUES))
 
 
 def classify(files: DataFrame, deps: DataFrame, entries: DataFrame) -> DataFrame:
     """repo, repo_class, class_confidence, signals of every repository; the first rule that holds decides.
 
     deps: repo, ecosystem, name; entries: repo, kind, loc, name, source. ``signals`` holds what told the class, sorted: at most
-    the markers themselves and as many names of entry points.
+    the markers themselves and one name or place of an entry point. All three tables meet in one aggregate.
     """
-    marked = lambda names: F.array_sort(F.collect_set(F.when(F.col("name").isin(*names), F.col("name"))))
-    told = deps.groupBy("repo").agg(*[marked(v).alias(k) for k, v in (("agent", AGENT_MARKERS), ("web", WEB_MARKERS), ("cli", CLI_MARKERS), ("infra", INFRA_MARKERS))])
+    none = F.lit(None).cast("string")
+    parts = {"rel": none, "package": none, "kind": none, "loc": none, "entry": none, "source": none}
+    row = lambda df, **told: df.select("repo", *[told.get(k, v).alias(k) for k, v in parts.items()])
+    every = row(files, rel=F.col("rel")).unionByName(row(deps.where(F.col("name").isin(*AGENT_MARKERS, *WEB_MARKERS, *CLI_MARKERS, *INFRA_MARKERS)), package=F.col("name")))
+    every = every.unionByName(row(entries, kind=F.col("kind"), loc=F.col("loc"), entry=F.col("name"), source=F.col("source")))
+    markers = {"agent": AGENT_MARKERS, "web": WEB_MARKERS, "cli": CLI_MARKERS, "infra": INFRA_MARKERS}
     own = (F.col("source") == "declared") & F.col("kind").isin("console-script", "cli")
-    ways = entries.groupBy("repo").agg(F.min(F.when(F.col("kind") == "server", F.col("loc"))).alias("server"), F.min(F.when(own, F.col("name"))).alias("command"))
-    none = F.array().cast("array<string>")
-    rows = manifest_flags(files).join(told, "repo", "left").join(ways, "repo", "left")
-    rows = rows.withColumns({k: F.coalesce(k, none) for k in ("agent", "web", "cli", "infra")})
-    some = lambda c: F.size(c) > 0
+    rows = every.groupBy("repo").agg(
+        F.count("rel").alias("n_files"), *flags(), *[bits(F.col("package"), v).alias(k) for k, v in markers.items()],
+        F.min(F.when(F.col("kind") == "server", F.col("loc"))).alias("server"), F.min(F.when(own, F.col("entry"))).alias("command"),
+    ).where("n_files > 0")
+    nothing = F.array().cast("array<string>")
+    some = lambda c: F.col(c) != 0
+    names = lambda c: named_bits(c, (markers | {"languages": TONGUES})[c])
     web, command, library = some("web") | F.col("server").isNotNull(), F.col("command").isNotNull(), some("languages") & (F.col("n_code") > 0)
     infra = some("infra") & (F.col("n_code") < FEW_CODE_FILES)
     automated = F.col("has_make") | F.col("has_docker") | F.col("has_ci")
     rules = [
-        (some("agent"), "agent-system", F.lit("high"), F.col("agent")),
-        (web, "service-app", F.when(some("web"), "high").otherwise("medium"), F.when(some("web"), F.col("web")).otherwise(F.array("server"))),
-        (command | some("cli"), "cli-tool", F.when(command, "high").otherwise("medium"), F.when(command, F.array("command")).otherwise(F.col("cli"))),
-        (infra, "infra-config", F.lit("medium"), F.col("infra")),
-        (library, "library", F.lit("medium"), F.col("languages")),
-        (automated, "infra-config", F.lit("low"), none),
+        (some("agent"), "agent-system", F.lit("high"), names("agent")),
+        (web, "service-app", F.when(some("web"), "high").otherwise("medium"), F.when(some("web"), names("web")).otherwise(F.array("server"))),
+        (command | some("cli"), "cli-tool", F.when(command, "high").otherwise("medium"), F.when(command, F.array("command")).otherwise(names("cli"))),
+        (infra, "infra-config", F.lit("medium"), names("infra")),
+        (library, "library", F.lit("medium"), names("languages")),
+        (automated, "infra-config", F.lit("low"), nothing),
     ]
 
     def first(value) -> Column:
@@ -70,7 +93,7 @@ def classify(files: DataFrame, deps: DataFrame, entries: DataFrame) -> DataFrame
         return out
 
     return rows.select(
-        "repo", first(lambda r: F.lit(r[1])).otherwise("unknown").alias("repo_class"), first(lambda r: r[2]).otherwise("low").alias("class_confidence"), first(lambda r: r[3]).otherwise(none).alias("signals"),
+        "repo", first(lambda r: F.lit(r[1])).otherwise("unknown").alias("repo_class"), first(lambda r: r[2]).otherwise("low").alias("class_confidence"), first(lambda r: r[3]).otherwise(nothing).alias("signals"),
     )
 
 

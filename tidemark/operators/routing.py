@@ -80,14 +80,15 @@ def resolve(operations: DataFrame, profiles: DataFrame, standins: DataFrame) ->
     return rows.withColumn("coverage", kept)
 
 
-def summarise(rows: DataFrame, by: tuple[str, ...] = ("profile",)) -> DataFrame:
+def summarise(rows: DataFrame, by: tuple[str, ...] = ("profile",), *more: Column) -> DataFrame:
     """Roll-up of resolved rows in numbers and gates; coverage is over required operations only, unrounded, 0 where there are none.
 
     One row for a group, whatever its size: gates are a closed list. The ids behind the numbers are rows of ``outcomes``.
+    ``more`` are aggregates of one's own, so that the resolved rows are made once.
     """
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     told = [F.count_if(cond).alias(f"n_{name}") for name, cond in outcome_tests().items()]
-    return rows.groupBy(*by).agg(*binding_columns(), flat("gates").alias("gates"), F.sum(F.size("gates")).alias("gate_count"), flat("deferred_gates").alias("deferred_gates"), *told)
+    return rows.groupBy(*by).agg(*binding_columns(), flat("gates").alias("gates"), F.sum(F.size("gates")).alias("gate_count"), flat("deferred_gates").alias("deferred_gates"), *told, *more)
 
 
 def outcome_tests() -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution, checks, fusion, inventory, revisions, routing
-from tidemark.sources.tables import materialise, read
+from tidemark.sources.tables import read
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 KINDS = {"click": "deterministic", "error": "access", "purchase": "human", "signup": "generative", "view": "access"}
@@ -76,10 +76,9 @@ def op_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op_summarise(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialise(resolved(spark, sf), "resolved")
-    out = routing.summarise(rows, ("profile", "stage")).drop("coverage")
-    covered = rows.groupBy("profile", "stage").agg(F.sum(F.when(~F.col("optional"), F.round(F.col("coverage") * 1000).cast("long")).otherwise(0)).alias("covered_milli"))
-    return out.join(covered, ["profile", "stage"]).withColumns({c: joined(c) for c in ("gates", "deferred_gates")})
+    covered = F.sum(F.when(~F.col("optional"), F.round(F.col("coverage") * 1000).cast("long")).otherwise(0)).alias("covered_milli")
+    out = routing.summarise(resolved(spark, sf), ("profile", "stage"), covered).drop("coverage")
+    return out.withColumns({c: joined(c) for c in ("gates", "deferred_gates")})
 
 
 def agg_outcomes(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemark.plans.inventory_queries import TYPES, joined, one_row, ops, pick,
 from tidemark.plans.inventory_sql import RES
 from tidemark.plans.inventory_sql import ops as ops_sql
 from tidemark.sources import catalogues
-from tidemark.sources.tables import materialise, new_path, read
+from tidemark.sources.tables import new_path, read
 
 PATHS = ("a.py", "b.rs", "readme.md", "package.json", "c.kt", "Makefile")
 PACKAGES = ("langchain", "flask", "click", "terraform")
@@ -26,7 +26,7 @@ def repo_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def repo_deps(spark: SparkSession, sf: str) -> DataFrame:
     name = F.coalesce(F.when(F.col("o_orderkey") % 40 < 4, pick(PACKAGES, F.least(F.col("o_orderkey") % 40, F.lit(3)) + 1)), F.lit("zz"))
-    return read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("repo"), F.lit("pypi").alias("ecosystem"), name.alias("name")).distinct()
+    return read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("repo"), F.lit("pypi").alias("ecosystem"), name.alias("name"))
 
 
 def op_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,8 +198,7 @@ def snk_review_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snk_report_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialise(resolved(spark, sf), "resolved")
-    return checks.summary_lines(routing.summarise(rows, ("profile", "day")), ["profile", "day"]).select("profile", "day", F.col("place").cast("long").alias("place"), "line")
+    return checks.summary_lines(routing.summarise(resolved(spark, sf), ("profile", "day")), ["profile", "day"]).select("profile", "day", F.col("place").cast("long").alias("place"), "line")
 
 
 def snk_report_notes(spark: SparkSession, sf: str) -> DataFrame:
