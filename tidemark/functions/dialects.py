@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.effects import dotted, effect_sites, python_calls  # noqa: F401 (the T1 side, also reached from here)
-from tidemark.functions.regexes import after, brace_ranges, group, scan, with_body
+from tidemark.functions.regexes import after, group, scan, with_body
 from tidemark.sources.repos import basename, file_name, of, stem
 
 CANDIDATE = ["repo", "rel", "line", "dialect", "kind", "op", "id", "name", "loc", "lo", "hi", "detail", "caps", "effect", "trigger", "inputs"]

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dialects as D
 from tidemark.functions import text as T
-from tidemark.operators import checks, inventory, profile, routing, selection
+from tidemark.operators import checks, profile, routing, selection
 from tidemark.plans.extract_queries import named
-from tidemark.plans.inventory_queries import TYPES, joined, one_row, ops, pick, resolved, strings, vocabulary
+from tidemark.plans.inventory_queries import joined, one_row, ops, pick, resolved, strings, vocabulary
 from tidemark.plans.inventory_sql import RES
 from tidemark.plans.inventory_sql import ops as ops_sql
 from tidemark.sources import catalogues

@@ -119,6 +119,8 @@ def family_of(rel: Column) -> Column:
 
 def stored(files: DataFrame) -> DataFrame:
     """The files, written once to the shared folder by family: each dialect then reads the folder of its own family alone."""
+    if "family" in files.columns:
+        return files
     path = new_path(files.sparkSession, "files")
     files.withColumn("family", family_of(F.col("rel"))).write.partitionBy("family").parquet(path)
     schema = files.select("*", F.lit("").alias("family")).schema
