@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,11 +120,50 @@ def test_brace_range(language, text, expected):
     assert regexes.brace_range(text, 0, language) == expected
 
 
-def test_scan_gives_places(spark):
+@pytest.mark.parametrize("language", ["js", "go", "jvm", "rust"])
+def test_braces_from_every_start(language):
+    """One matching of all braces gives what a scan from each start gives, inside literals and after broken ones too."""
+    r = random.Random(5)
+    for _ in range(400):
+        text = "".join(r.choice(["{", "}", "{", "}", '"', "'", "`", "/*", "*/", "//", "\n", "a", "\\", 'r#"', '"#']) for _ in range(r.randint(0, 40)))
+        braces = regexes.Braces(text, language)
+        for start in range(len(text) + 1):
+            depth, at, expected = 0, start, None
+            while p := braces.piece(at):
+                if p[0] == "!":
+                    break
+                if p[0] == "{":
+                    depth += 1
+                elif p[0] == "}" and depth:
+                    depth -= 1
+                    if not depth:
+                        expected = p[1]
+                        break
+                at = p[2]
+            assert braces.end(start) == expected, (text, start)
+
+
+def test_find_gives_places(spark):
     text = "ab\nxx ab\n\nab"
-    rows = regexes.scan(spark.createDataFrame([("r", "f", text), ("r", "g", None), ("r", "h", "")], "repo string, rel string, text string"), "a(b)").collect()
-    assert [(r["line"], r["start"], r["end"]) for r in rows] == [(1, 0, 2), (2, 6, 8), (4, 10, 12)]
-    assert all(text[r["start"] : r["end"]] == r["m"] for r in rows)
+    rows = regexes.find(spark.createDataFrame([("r", "f", text), ("r", "g", None), ("r", "h", "")], "repo string, rel string, text string"), {"x": regexes.Rule("a(b)", before=3)}).collect()
+    assert [(r["rel"], r["line"], r["start"], r["g"], r["ahead"]) for r in rows] == [("f", 1, 0, ["ab", "b"], ""), ("f", 2, 6, ["ab", "b"], "xx "), ("f", 4, 10, ["ab", "b"], "b\n\n"[-3:])]
+
+
+def test_a_text_of_many_matches_is_looked_at_in_linear_time(spark):
+    """20,000 routes in one text of nested and unclosed braces; time grows in proportion, and no text leaves the function."""
+    def seconds(n):
+        text = "{" * 50 + "app.get('/p', (q) => {\n  if (q) { y('}') }\n});\n" * n
+        rules = {k: (r, re.compile(r.pattern), None, []) for k, r in dialects.JS_RULES.items()}
+        began = time.process_time()
+        rows = list(regexes.looked(text, rules, "js"))
+        assert len(rows) == n and all(r[9] - r[8] == 2 for r in rows)
+        return time.process_time() - began
+
+    small, large = min(seconds(2_000) for _ in range(3)), seconds(20_000)
+    assert large < 30 * small
+    files = spark.createDataFrame([("r", "a.js", "app.get('/p', (q) => {})\n" * 20_000)], "repo string, rel string, text string")
+    rows = dialects.web_js(files)
+    assert rows.count() == 20_000 and "text#" not in rows._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
 
 
 RUST = {

@@ -2,13 +2,14 @@
 
 Each dialect reads one family of files and returns CANDIDATE rows: what is declared, where, the body's lines where there
 is one, and what the declaration itself tells: capabilities, effect, trigger, inputs. Matches of regular expressions come
-with their place from ``regexes.scan``; Python files go through ``ast`` in a small helper, as nothing in SQL can parse
+with their place and body from ``regexes.find``, which looks at each text once for all that a language declares; Python files go through ``ast`` in a small helper, as nothing in SQL can parse
 them. ``register`` adds a dialect of one's own.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.regexes import after, group, scan, with_body
+from tidemark.functions.regexes import Rule, find, group
 from tidemark.sources.repos import basename, file_name, of, stem
 
 CANDIDATE = ["repo", "rel", "line", "dialect", "kind", "op", "id", "name", "loc", "lo", "hi", "detail", "caps", "effect", "trigger", "inputs"]
@@ -34,8 +35,8 @@ def strings(*values) -> Column:
     return F.array_compact(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])) if values else F.array().cast("array<string>")
 
 
-def declared(rows: DataFrame, dialect: str, kind, op: Column, *, id: Column, name: Column, detail: Column, caps: Column | None = None, effect=None, trigger="manual", loc: Column | None = None, body: bool = False, inputs: Column | None = None) -> DataFrame:
-    """CANDIDATE rows from rows with repo, rel, line (and lo, hi where ``body``); ``id`` is slugified, ``effect`` 'local' or 'external'."""
+def declaration(dialect: str, kind, op: Column, *, id: Column, name: Column, detail: Column, caps: Column | None = None, effect=None, trigger="manual", loc: Column | None = None, body: bool = False, inputs: Column | None = None) -> Column:
+    """What a row with rel, line (and lo, hi where ``body``) declares, as a struct; ``id`` is slugified, ``effect`` 'local' or 'external'."""
     column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     caps = strings() if caps is None else caps
     effects = {None: F.lit(None).cast("string"), "local": F.lit("effectful-local"), "external": F.lit("effectful-external")}
@@ -44,7 +45,19 @@ def declared(rows: DataFrame, dialect: str, kind, op: Column, *, id: Column, nam
         "lo": F.col("lo") if body else F.lit(None).cast("int"), "hi": F.col("hi") if body else F.lit(None).cast("int"), "detail": detail, "caps": caps,
         "effect": F.when(F.size(caps) > 0, effects[effect]) if effect else effects[None], "trigger": column(trigger), "inputs": strings() if inputs is None else inputs,
     }
-    return rows.select("repo", "rel", F.col("line").cast("int").alias("line"), *[v.alias(k) for k, v in told.items()])
+    return F.struct(*[v.alias(k) for k, v in told.items()])
+
+
+def declared(rows: DataFrame, dialect: str, kind, op: Column, **told) -> DataFrame:
+    """CANDIDATE rows: every row declares the same kind of thing."""
+    return rows.select("repo", "rel", F.col("line").cast("int").alias("line"), declaration(dialect, kind, op, **told).alias("d")).select("repo", "rel", "line", "d.*")
+
+
+def by_rule(rows: DataFrame, told: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """CANDIDATE rows from matches: for each rule what it declares, with a condition where it doesn't always."""
+    pairs = [(name, *(x if isinstance(x, tuple) else (F.lit(True), x))) for name, x in told.items()]
+    chosen = reduce(lambda c, p: c.when((F.col("rule") == p[0]) & p[1], p[2]), pairs[1:], F.when((F.col("rule") == pairs[0][0]) & pairs[0][1], pairs[0][2]))
+    return rows.withColumn("d", chosen).where("d is not null").select("repo", "rel", "line", "d.*")
 
 
 def prefixed(prefix: str, c: Column) -> Column:
@@ -59,7 +72,7 @@ MAKE_TARGET = r"(?m)^([A-Za-z0-9_][A-Za-z0-9_.\-/]*)\s*:(?!=)"
 def make_targets(files: DataFrame) -> DataFrame:
     """``name:`` at the start of a line of a makefile; no special, pattern or variable targets."""
     made = of(files, "make").where(file_name(F.col("rel")).isin("Makefile", "makefile", "GNUmakefile") | F.col("rel").endswith(".mk"))
-    rows = scan(made, MAKE_TARGET).withColumn("t", group(MAKE_TARGET, 1))
+    rows = find(made, {"target": Rule(MAKE_TARGET)}).withColumn("t", group(1))
     t = F.col("t")
     return declared(rows, "make-target", "make-target", t, id=prefixed("make-", t), name=T.humanize(t), detail=prefixed("Make target ", t), caps=strings("shell.exec"), effect="local")
 
@@ -165,8 +178,8 @@ def first_marker(told: Column, table: dict[str, str]) -> Column:
 
 
 def terraform_blocks(files: DataFrame) -> DataFrame:
-    rows = scan(of(files, "terraform").where(F.col("rel").endswith(".tf")), TERRAFORM)
-    rows = rows.select("repo", "rel", "line", group(TERRAFORM, 1).alias("block"), group(TERRAFORM, 2).alias("type"), group(TERRAFORM, 3).alias("label"))
+    rows = find(of(files, "terraform").where(F.col("rel").endswith(".tf")), {"block": Rule(TERRAFORM)})
+    rows = rows.select("repo", "rel", "line", group(1).alias("block"), group(2).alias("type"), group(3).alias("label"))
     block, typed = F.col("block"), F.trim(F.concat_ws(" ", "type", "label"))
     caps = F.when(block == "module", strings()).otherwise(first_marker(F.lower("type"), TERRAFORM_CAPABILITIES))
     return declared(rows, "terraform", prefixed("terraform-", block), typed, id=prefixed("tf-", typed), name=T.humanize(typed), detail=F.concat(F.lit("Terraform "), block, F.lit(" "), typed), caps=caps, effect="external")
@@ -226,10 +239,10 @@ def proto_calls(files: DataFrame) -> DataFrame:
     return declared(rows, "proto-service", "proto-rpc", dots, id=F.concat_ws("-", F.coalesce("service", F.lit("rpc")), "call"), name=T.humanize(words), detail=prefixed("gRPC method ", dots))
 
 
-def route(rows: DataFrame, dialect: str, kind, method: Column, path: Column, detail: Column | None = None, body: bool = False, id: Column | None = None, inputs: Column | None = None) -> DataFrame:
+def routed(dialect: str, kind, method: Column, path: Column, detail: Column | None = None, body: bool = False) -> Column:
     """A method and path as an operation named by both."""
     op = F.concat_ws(" ", method, path)
-    return declared(rows, dialect, kind, op, id=F.concat_ws("-", method, path) if id is None else id, name=op, detail=F.concat_ws(" ", method, F.lit("route"), path) if detail is None else detail, body=body, inputs=inputs)
+    return declaration(dialect, kind, op, id=F.concat_ws("-", method, path), name=op, detail=F.concat_ws(" ", method, F.lit("route"), path) if detail is None else detail, body=body)
 
 
 def openapi_operations(files: DataFrame) -> DataFrame:
@@ -256,7 +269,8 @@ def openapi_operations(files: DataFrame) -> DataFrame:
     drawn = rows.select("repo", "rel", "line", F.expr("substring(p.bare, 1, length(p.bare) - 1)").alias("path"), F.expr("substring(bare, 1, length(bare) - 1)").alias("method"))
     both = listed.unionByName(drawn).where(F.lower("method").isin(*METHODS))
     method = F.upper("method")
-    return route(both, "openapi-spec", "openapi-operation", method, F.col("path"), detail=F.concat_ws(" ", F.lit("OpenAPI operation"), method, "path"))
+    told = routed("openapi-spec", "openapi-operation", method, F.col("path"), detail=F.concat_ws(" ", F.lit("OpenAPI operation"), method, "path"))
+    return both.select("repo", "rel", F.col("line").cast("int").alias("line"), told.alias("d")).select("repo", "rel", "line", "d.*")
 
 
 def tool_manifests(files: DataFrame) -> DataFrame:
@@ -281,39 +295,68 @@ GO_ROUTE = r'([A-Za-z_]\w*)\.(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|TRACE|CONNE
 COBRA = r"&cobra\.Command\s*\{"
 
 
+# What declarations of these languages are told as; {} stands for what is declared.
+TOLD = {
+    "go-main": "main entry point",
+    "go-func": "exported command function {}()",
+    "go-http": "net/http handler for {}",
+    "java-main": "public static void main entry point",
+    "kotlin-main": "Kotlin main entry point",
+    "rust-main": "main entry point",
+    "rust-async-main": "async main entry point",
+}
+
+
+def tell(kind: str, what: Column | None = None) -> Column:
+    ahead, _, behind = TOLD[kind].partition("{}")
+    return F.lit(ahead) if what is None else F.concat(F.lit(ahead), what, F.lit(behind))
+
+
+def shell() -> dict:
+    return {"caps": strings("shell.exec"), "effect": "local"}
+
+
+def titled(c: Column) -> Column:
+    return T.humanize(T.split_camel(c))
+
+
+JS_RULES = {"call": Rule(JS_ROUTE, body="end"), "nest": Rule(NEST_ROUTE, body="end")}
+
+
 def web_js(files: DataFrame) -> DataFrame:
     """Routes of Express and Fastify (of known receivers) and Nest decorators, with the braces after them."""
     code = of(files, "javascript").where(F.col("rel").rlike(r"[.](js|mjs|cjs|jsx|ts|tsx)$") & F.col("text").rlike(r"[.]get\(|[.]post\(|@Get|@Post|@Put"))
-    place = ["repo", "rel", "text", "start", "end", "line"]
-    calls = scan(code, JS_ROUTE).where(group(JS_ROUTE, 1).isin(*ROUTE_OBJECTS)).select(*place, group(JS_ROUTE, 2).alias("method"), group(JS_ROUTE, 4).alias("path"), F.lit("route-call").alias("kind"))
-    nest = scan(code, NEST_ROUTE).select(*place, group(NEST_ROUTE, 1).alias("method"), F.when(group(NEST_ROUTE, 3) == "", "/").otherwise(group(NEST_ROUTE, 3)).alias("path"), F.lit("nest-decorator").alias("kind"))
-    rows = with_body(calls.unionByName(nest), "js", F.col("end"))
-    return route(rows, "web-js", F.col("kind"), F.upper("method"), F.col("path"), body=True)
+    path = F.when(group(3) == "", "/").otherwise(group(3))
+    return by_rule(find(code, JS_RULES, "js"), {
+        "call": (group(1).isin(*ROUTE_OBJECTS), routed("web-js", "route-call", F.upper(group(2)), group(4), body=True)),
+        "nest": routed("web-js", "nest-decorator", F.upper(group(1)), path, body=True),
+    })
+
+
+GO_RULES = {
+    "func": Rule(GO_FUNC, body="start"),
+    "cobra": Rule(COBRA, body="start", inside=(r'\bUse\s*:\s*"\s*([^"\s]+)', r'\bShort\s*:\s*"([^"]*)"')),
+    "handle": Rule(GO_HANDLE),
+    "route": Rule(GO_ROUTE),
+}
 
 
 def go_declarations(files: DataFrame) -> DataFrame:
     """main, exported command functions, cobra commands, net/http handlers and router calls."""
     code = of(files, "go").where(F.col("rel").endswith(".go"))
-    name, params = group(GO_FUNC, 1), F.trim(group(GO_FUNC, 2))
-    command = name.rlike("^[A-Z]") & ~F.contains(group(GO_FUNC, 3), F.lit("*cobra.Command")) & ((params == "") | params.startswith("cmd *cobra.Command"))
-    funcs = scan(code, GO_FUNC).withColumn("f", name).where((F.col("f") == "main") | command)
-    funcs = with_body(funcs, "go", F.col("start"))
-    f, is_main = F.col("f"), F.col("f") == "main"
-    out = declared(funcs, "go", F.when(is_main, "go-main").otherwise("go-func"), f, id=f, name=T.humanize(f), detail=F.when(is_main, "main entry point").otherwise(F.concat(F.lit("exported command function "), f, F.lit("()"))), caps=strings("shell.exec"), effect="local", body=True)
-
-    cobra = with_body(scan(code, COBRA), "go", F.col("start")).where("lo is not null")
-    inside = F.array_join(F.slice(F.split("text", "\n"), F.col("lo"), F.col("hi") - F.col("lo") + 1), "\n")
-    cobra = cobra.withColumn("use", F.regexp_extract(inside, r'\bUse\s*:\s*"\s*([^"\s]+)', 1)).withColumn("short", F.regexp_extract(inside, r'\bShort\s*:\s*"([^"]*)"', 1)).where("use <> ''")
-    use = F.col("use")
-    detail = F.concat(F.lit("cobra command "), use, F.when(F.col("short") != "", F.concat(F.lit(" — "), "short")).otherwise(""))
-    out = out.unionByName(declared(cobra, "go", "cobra-command", use, id=use, name=T.humanize(use), detail=detail, caps=strings("shell.exec"), effect="local", body=True))
-
-    handles = scan(code, GO_HANDLE).select("repo", "rel", "line", group(GO_HANDLE, 1).alias("object"), group(GO_HANDLE, 2).alias("path"))
-    path = F.col("path")
-    id = F.when(T.slugify(path) == "", prefixed("http-", F.col("object"))).otherwise(prefixed("http-", path))
-    out = out.unionByName(declared(handles, "go", "http-handle", prefixed("HTTP ", path), id=id, name=prefixed("HTTP ", path), detail=prefixed("net/http handler for ", F.when(path == "", "/").otherwise(path))))
-    routes = scan(code, GO_ROUTE).where(group(GO_ROUTE, 1).isin(*GO_ROUTE_OBJECTS) & group(GO_ROUTE, 3).startswith("/"))
-    return out.unionByName(route(routes, "go", "router-route", F.upper(group(GO_ROUTE, 2)), group(GO_ROUTE, 3)))
+    f, params = group(1), F.trim(group(2))
+    is_main = f == "main"
+    command = f.rlike("^[A-Z]") & ~F.contains(group(3), F.lit("*cobra.Command")) & ((params == "") | params.startswith("cmd *cobra.Command"))
+    use, short = F.coalesce(group(0, "inner"), F.lit("")), group(1, "inner")
+    path, at = group(2), F.when(group(2) == "", "/").otherwise(group(2))
+    http = F.when(T.slugify(path) == "", prefixed("http-", group(1))).otherwise(prefixed("http-", path))
+    summary = F.concat(F.lit("cobra command "), use, F.when(short != "", F.concat(F.lit(" — "), short)).otherwise(""))
+    return by_rule(find(code, GO_RULES, "go"), {
+        "func": (is_main | command, declaration("go", F.when(is_main, "go-main").otherwise("go-func"), f, id=f, name=T.humanize(f), detail=F.when(is_main, tell("go-main")).otherwise(tell("go-func", f)), body=True, **shell())),
+        "cobra": (use != "", declaration("go", "cobra-command", use, id=use, name=T.humanize(use), detail=summary, body=True, **shell())),
+        "handle": declaration("go", "http-handle", prefixed("HTTP ", path), id=http, name=prefixed("HTTP ", path), detail=tell("go-http", at)),
+        "route": (group(1).isin(*GO_ROUTE_OBJECTS) & group(3).startswith("/"), routed("go", "router-route", F.upper(group(2)), group(3))),
+    })
 
 
 MAPPING = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b[ \t]*(?:\(([^)]*)\))?"
@@ -321,6 +364,15 @@ LIFECYCLE = r"@(Scheduled|KafkaListener|JmsListener|EventListener)\b[ \t]*(?:\((
 CLASS = r"\b(?:class|interface|enum|record|object)\s+([A-Za-z_]\w*)"
 JAVA_MAIN = r"\bstatic\s+void\s+main\s*\(\s*String\s*(?:\[\s*\]|\.\.\.)\s*[A-Za-z_]\w*\s*\)"
 KOTLIN_MAIN = r"(?m)^[ \t]*fun\s+main\s*\("
+#: What stands between an annotation and the end of the head it belongs to.
+HEAD = r"\A([^{};]*)([{};])"
+JVM_RULES = {
+    "class": Rule(CLASS, before=400),
+    "mapping": Rule(MAPPING, then=HEAD, window=1400, body="start"),
+    "lifecycle": Rule(LIFECYCLE, then=HEAD, window=1400, body="start"),
+    "java-main": Rule(JAVA_MAIN, body="start"),
+    "kotlin-main": Rule(KOTLIN_MAIN, body="start"),
+}
 
 
 def annotation_path(args: Column) -> Column:
@@ -329,52 +381,44 @@ def annotation_path(args: Column) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """Annotations that stand before a method: its name, and whether a body opens there."""
-    rest = after(1400)
-    head = F.regexp_extract(rest, r"^([^{};]*)", 1)
-    stop = F.substring(rest, F.length(head) + 1, F.lit(1))
-    rows = rows.withColumn("head", head).withColumn("has_body", stop == "{").where(stop.isin("{", ";", "}") & ((stop != "{") | (F.length("head") <= 400)))
-    rows = rows.where(~F.col("head").rlike(CLASS)).withColumn("member", F.try_element_at(F.regexp_extract_all("head", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), F.lit(-1)))
-    return rows.where("member is not null")
-
-
 def jvm_declarations(files: DataFrame) -> DataFrame:
-    """Spring mappings under their class's path, schedules, listeners and main functions of Java and Kotlin."""
-    code = of(files, "jvm").where(F.col("rel").rlike(r"[.](java|kt)$"))
-    # The class above an annotation, with the annotations right before the class.
-    classes = scan(code, CLASS)
-    near = F.greatest(F.col("start") - 400, F.lit(0))
-    before = F.regexp_extract(F.substring(F.col("text"), near + 1, F.col("start") - near), r"([^{};]*)$", 1)
-    last = F.try_element_at(F.regexp_extract_all("before", F.lit(MAPPING), F.lit(0)), F.lit(-1))
-    classes = classes.withColumn("before", before).withColumn("last", last)
-    base = F.when(F.col("last").startswith("@Request"), annotation_path(F.regexp_extract("last", MAPPING, 2))).otherwise("")
-    context = classes.select("repo", "rel", "start", F.struct(F.col("before").rlike(r"@(?:RestController|Controller)\b").alias("controller"), base.alias("base")).alias("context"), F.lit(0).alias("order"))
-
-    routes = members(scan(code, MAPPING).withColumn("ann", group(MAPPING, 1)).withColumn("args", group(MAPPING, 2)))
-    both = routes.select("repo", "rel", "start", F.lit(None).cast("struct<controller:boolean,base:string>").alias("context"), F.lit(1).alias("order")).unionByName(context)
-    above = Window.partitionBy("repo", "rel").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
-    near_class = both.withColumn("context", F.last("context", ignorenulls=True).over(above)).where("order = 1").drop("order").distinct()
-    routes = with_body(routes.join(near_class, ["repo", "rel", "start"]), "jvm", F.when(F.col("has_body"), F.col("start")))
-    base, own = F.coalesce("context.base", F.lit("")), annotation_path(F.col("args"))
+    """Spring mappings under their class's path, schedules, listeners and main functions of Java and Kotlin.
+
+    An annotation belongs to the method whose head follows it, and to the class above it, with the annotations right before that
+    class: one window over the matches of a file.
+    """
+    rows = find(of(files, "jvm").where(F.col("rel").rlike(r"[.](java|kt)$")), JVM_RULES, "jvm")
+    before = F.regexp_extract("ahead", r"([^{};]*)$", 1)
+    last = F.try_element_at(F.regexp_extract_all(before, F.lit(MAPPING), F.lit(0)), F.lit(-1))
+    base = F.when(last.startswith("@Request"), annotation_path(F.regexp_extract(last, MAPPING, 2))).otherwise("")
+    context = F.when(F.col("rule") == "class", F.struct(before.rlike(r"@(?:RestController|Controller)\b").alias("controller"), base.alias("base")))
+    above = Window.partitionBy("repo", "rel").orderBy("start", F.col("rule") != "class").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("context", F.last(context, ignorenulls=True).over(above)).where("rule <> 'class'")
+
+    head, stop = group(1, "t"), group(2, "t")
+    member = F.try_element_at(F.regexp_extract_all(head, F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), F.lit(-1))
+    is_member = F.col("t").isNotNull() & ((stop != "{") | (F.length(head) <= 400)) & ~head.rlike(CLASS) & member.isNotNull()
+    opens = F.col("rule").isin("mapping", "lifecycle") & (F.coalesce(stop, F.lit("")) != "{")
+    rows = rows.withColumns({"member": member, "is_member": is_member}).withColumns({c: F.when(~opens, F.col(c)) for c in ("lo", "hi")})
+
+    ann, args, member = group(1), group(2), F.col("member")
+    base, own = F.coalesce("context.base", F.lit("")), annotation_path(args)
     path = F.when(base.isin("", "/"), own).when(own == "/", base).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(own, F.lit("/"))))
-    asked = F.regexp_extract("args", r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)", 1)
-    method = F.when(F.col("ann") != "Request", F.upper("ann")).when(asked != "", asked).otherwise("ANY")
+    asked = F.regexp_extract(args, r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)", 1)
+    method = F.when(ann != "Request", F.upper(ann)).when(asked != "", asked).otherwise("ANY")
     controller = F.coalesce("context.controller", F.lit(False))
     detail = F.concat_ws(" ", F.when(controller, "Spring controller").otherwise("Spring"), method, F.lit("route"), path)
-    out = route(routes, "jvm", F.when(controller, "spring-controller-route").otherwise("spring-route"), method, path, detail=detail, body=True)
-
-    told = with_body(members(scan(code, LIFECYCLE).withColumn("ann", group(LIFECYCLE, 1))), "jvm", F.when(F.col("has_body"), F.col("start")))
-    ann, label = F.col("ann"), T.split_camel(F.col("member"))
-    short = F.lower(F.regexp_replace(ann, "Listener$", ""))
-    caps = F.when(ann == "Scheduled", strings("schedule.cron")).when(ann == "EventListener", strings()).otherwise(strings("queue.consume"))
-    kind = F.when(ann == "Scheduled", "spring-scheduled").otherwise(F.concat(F.lit("spring-"), short, F.lit("-listener")))
-    detail = F.concat(F.lit("@"), ann, F.lit(" on "), F.col("member"), F.lit("()"))
-    out = out.unionByName(declared(told, "jvm", kind, F.concat_ws(" ", short, label), id=F.concat_ws("-", short, label), name=T.humanize(label), detail=detail, caps=caps, effect="external", trigger=F.when(ann == "Scheduled", "scheduled").otherwise("manual"), body=True))
-    for pattern, kind, detail in ((JAVA_MAIN, "java-main", "public static void main entry point"), (KOTLIN_MAIN, "kotlin-main", "Kotlin main entry point")):
-        mains = with_body(scan(code, pattern), "jvm", F.col("start"))
-        out = out.unionByName(declared(mains, "jvm", kind, F.lit("main"), id=F.lit("main"), name=F.lit("Main"), detail=F.lit(detail), caps=strings("shell.exec"), effect="local", body=True))
-    return out
+    label, short = T.split_camel(member), F.lower(F.regexp_replace(ann, "Listener$", ""))
+    timed = ann == "Scheduled"
+    caps = F.when(timed, strings("schedule.cron")).when(ann == "EventListener", strings()).otherwise(strings("queue.consume"))
+    kind = F.when(timed, "spring-scheduled").otherwise(F.concat(F.lit("spring-"), short, F.lit("-listener")))
+    main = lambda kind: declaration("jvm", kind, F.lit("main"), id=F.lit("main"), name=F.lit("Main"), detail=tell(kind), body=True, **shell())
+    return by_rule(rows, {
+        "mapping": (F.col("is_member"), routed("jvm", F.when(controller, "spring-controller-route").otherwise("spring-route"), method, path, detail=detail, body=True)),
+        "lifecycle": (F.col("is_member"), declaration("jvm", kind, F.concat_ws(" ", short, label), id=F.concat_ws("-", short, label), name=T.humanize(label), detail=F.concat(F.lit("@"), ann, F.lit(" on "), member, F.lit("()")), caps=caps, effect="external", trigger=F.when(timed, "scheduled").otherwise("manual"), body=True)),
+        "java-main": main("java-main"),
+        "kotlin-main": main("kotlin-main"),
+    })
 
 
 DERIVE = r"#\[\s*derive\s*\(([^)]*)\)\s*\]"
@@ -385,7 +429,31 @@ RUST_FN = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:const\s+)?(?:uns
 AXUM_ROUTE = r"\.route\(\s*([\"'])([^\"']+)\1\s*,\s*([^;\n]{0,300})"
 AXUM_SERVICE = r"\.service\(\s*([A-Za-z_]\w*)\s*\)"
 RUST_MAIN = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+main\s*\("
-VARIANT = r"^([A-Z]\w*)\s*(?:[({,]|$)"
+
+
+def enum_variants(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Variants in the lines of an enum's body: place of the line, name, summary; attributes since the variant before count."""
+    given = {"name": "", "about": ""}
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if not bare or bare.startswith("//"):
+            continue
+        told = re.match(r"(?:#\[[^\]]*\]\s*)*", bare)[0]
+        for key in given:
+            if m := re.search(rf'#\[command[^\]]*\b{key}\s*=\s*"([^"]*)"', told):
+                given[key] = m[1] or given[key]
+        if m := re.match(r"([A-Z]\w*)\s*(?:[({,]|$)", bare[len(told) :]):
+            yield i, [m[1], given["name"] or m[1], given["about"]]
+            given = dict.fromkeys(given, "")
+
+
+RUST_RULES = {
+    "derive": Rule(DERIVE, then=RUST_ITEM, window=4000, before=400, body="then", each=enum_variants),
+    "marked": Rule(RUST_ROUTE, then=RUST_FN, window=4000, body="then"),
+    "axum": Rule(AXUM_ROUTE),
+    "service": Rule(AXUM_SERVICE),
+    "main": Rule(RUST_MAIN, before=200, body="start"),
+}
 
 
 def command_name(attributes: Column) -> Column:
@@ -396,64 +464,36 @@ def command_name(attributes: Column) -> Column:
 
 def rust_declarations(files: DataFrame) -> DataFrame:
     """clap parsers and subcommands, route attributes, axum routes and services, main functions, Cargo bins and members."""
-    code = of(files, "rust").where(F.col("rel").endswith(".rs"))
-    words = lambda c: T.humanize(T.split_camel(c))
-    shell = {"caps": strings("shell.exec"), "effect": "local"}
-
-    rest = after(4000)
-    item = F.regexp_extract(rest, RUST_ITEM, 0)
-    derived = scan(code, DERIVE).withColumn("item", item).withColumn("gap", F.instr(rest, F.col("item")) - 1).where("item <> '' and gap <= 400")
-    derived = derived.withColumn("names", F.transform(F.split(group(DERIVE, 1), ","), lambda x: F.trim(x))).withColumn("what", F.regexp_extract("item", RUST_ITEM, 1)).withColumn("item_name", F.regexp_extract("item", RUST_ITEM, 2))
-    between = F.substring(F.col("text"), F.col("end") + 1, F.col("gap"))
-    near = F.greatest(F.col("start") - 400, F.lit(0))
-    ahead = F.substring(F.col("text"), near + 1, F.col("start") - near)
-    given = F.when(between.rlike(COMMAND_ATTR), command_name(between)).otherwise(command_name(ahead))
-    parsers = derived.where((F.col("what") == "struct") & F.array_contains("names", "Parser")).withColumn("label", F.when(given != "", given).otherwise(F.col("item_name")))
-    label = F.col("label")
-    out = declared(parsers, "rust", "clap-parser", label, id=label, name=words(label), detail=prefixed("clap Parser ", F.col("item_name")), **shell)
-
-    enums = with_body(derived.where((F.col("what") == "enum") & F.array_contains("names", "Subcommand")), "rust", F.col("end") + F.col("gap")).where("lo is not null")
-    bodies = enums.select("repo", "rel", F.col("lo").alias("enum"), F.posexplode(F.slice(F.split("text", "\n"), F.col("lo"), F.col("hi") - F.col("lo") + 1)).alias("i", "raw")).distinct()
-    bodies = bodies.withColumn("line", F.col("enum") + F.col("i")).withColumn("bare", F.trim("raw")).where("bare <> '' and not startswith(bare, '//')")
-    told = F.regexp_extract("bare", r"^((?:#\[[^\]]*\]\s*)*)", 1)
-    bodies = bodies.withColumn("told", told).withColumn("variant", F.regexp_extract(F.regexp_replace("bare", r"^(?:#\[[^\]]*\]\s*)+", ""), VARIANT, 1))
-    upto = Window.partitionBy("repo", "rel", "enum").orderBy("line")
-    bodies = bodies.withColumn("turn", F.count(F.when(F.col("variant") != "", 1)).over(upto.rowsBetween(Window.unboundedPreceding, -1)))
-    attr = lambda key: F.regexp_extract("told", rf'#\[command[^\]]*\b{key}\s*=\s*"([^"]*)"', 1)
-    by_turn = bodies.groupBy("repo", "rel", "enum", "turn").agg(
-        F.max(F.when(F.col("variant") != "", F.struct("line", "variant"))).alias("v"), F.max(F.when(attr("name") != "", F.struct("line", attr("name").alias("x"))))["x"].alias("given"), F.max(F.when(attr("about") != "", F.struct("line", attr("about").alias("x"))))["x"].alias("about"),
-    )
-    variants = by_turn.where("v is not null").select("repo", "rel", "v.line", F.coalesce("given", "v.variant").alias("label"), "about")
-    detail = F.concat(F.lit("clap subcommand "), label, F.coalesce(F.concat(F.lit(" — "), "about"), F.lit("")))
-    out = out.unionByName(declared(variants, "rust", "clap-subcommand", label, id=label, name=words(label), detail=detail, **shell))
-
-    handler = F.regexp_extract(rest, RUST_FN, 0)
-    marked = scan(code, RUST_ROUTE).withColumn("fn", handler).withColumn("gap", F.instr(rest, F.col("fn")) - 1).where("fn <> '' and gap <= 2000").withColumn("handler", F.regexp_extract("fn", RUST_FN, 1))
-    marked = marked.withColumn("method", F.upper(group(RUST_ROUTE, 1))).withColumn("path", F.when(group(RUST_ROUTE, 3) == "", "/").otherwise(group(RUST_ROUTE, 3)))
-    marked = with_body(marked, "rust", F.col("end") + F.col("gap"))
-    method, path = F.col("method"), F.col("path")
-    out = out.unionByName(route(marked, "rust", "route-attribute", method, path, detail=F.concat(method, F.lit(" route "), path, F.lit(" handled by "), F.col("handler"), F.lit("()")), body=True))
-    routed = scan(code, AXUM_ROUTE).withColumn("path", group(AXUM_ROUTE, 2))
-    routed = routed.withColumn("method", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(group(AXUM_ROUTE, 3), F.lit(r"\b(get|post|put|patch|delete|head|options|trace)\s*\("), F.lit(1)), F.upper))))
-    out = out.unionByName(route(routed, "rust", "axum-route", method, path))
-    served = scan(code, AXUM_SERVICE).withColumn("s", group(AXUM_SERVICE, 1))
-    s = F.col("s")
-    out = out.unionByName(declared(served, "rust", "axum-service", s, id=prefixed("service-", s), name=words(s), detail=prefixed("axum service ", s)))
-
-    mains = with_body(scan(code, RUST_MAIN), "rust", F.col("start"))
-    is_async = F.substring(F.col("text"), F.greatest(F.col("start") - 200, F.lit(0)) + 1, F.least(F.col("start"), F.lit(200))).rlike(r"#\[\s*tokio::main\s*\]")
+    rows = find(of(files, "rust").where(F.col("rel").endswith(".rs")), RUST_RULES, "rust")
+    derives = lambda what, name, of="g": F.coalesce(F.col("gap") <= 400, F.lit(False)) & (group(1, "t") == what) & F.array_contains(F.transform(F.split(group(1, of), ","), lambda x: F.trim(x)), name)
+    given = F.when(F.col("between").rlike(COMMAND_ATTR), command_name(F.col("between"))).otherwise(command_name(F.col("ahead")))
+    label = F.when(given != "", given).otherwise(group(2, "t"))
+    variant, about = group(1), group(2)
+    sub = declaration("rust", "clap-subcommand", variant, id=variant, name=titled(variant), detail=F.concat(F.lit("clap subcommand "), variant, F.when(about != "", F.concat(F.lit(" — "), about)).otherwise("")), **shell())
+    method, path = F.upper(group(1)), F.when(group(3) == "", "/").otherwise(group(3))
+    handled = F.concat(method, F.lit(" route "), path, F.lit(" handled by "), group(1, "t"), F.lit("()"))
+    asked = F.array_distinct(F.transform(F.regexp_extract_all(group(3), F.lit(r"\b(get|post|put|patch|delete|head|options|trace)\s*\("), F.lit(1)), F.upper))
+    rows = rows.withColumn("asked", F.explode(F.when(F.col("rule") == "axum", asked).otherwise(strings(""))))
+    is_async = F.col("ahead").rlike(r"#\[\s*tokio::main\s*\]")
     own, crate = stem(F.col("rel")), F.regexp_extract("rel", r"(?:^|/)([^/]+)/src/", 1)
     id = F.when(own != "main", F.concat_ws("-", F.lit("main"), own)).when(crate != "", F.concat_ws("-", crate, F.lit("main"))).otherwise("main")
-    out = out.unionByName(declared(mains, "rust", F.when(is_async, "rust-async-main").otherwise("rust-main"), F.lit("main"), id=id, name=F.lit("Main"), detail=F.when(is_async, "async main entry point").otherwise("main entry point"), body=True, **shell))
+    out = by_rule(rows, {
+        "derive": (derives("struct", "Parser"), declaration("rust", "clap-parser", label, id=label, name=titled(label), detail=prefixed("clap Parser ", group(2, "t")), **shell())),
+        "derive.each": (derives("enum", "Subcommand", "inner"), sub),
+        "marked": (F.col("gap") <= 2000, routed("rust", "route-attribute", method, path, detail=handled, body=True)),
+        "axum": routed("rust", "axum-route", F.col("asked"), group(2)),
+        "service": declaration("rust", "axum-service", group(1), id=prefixed("service-", group(1)), name=titled(group(1)), detail=prefixed("axum service ", group(1))),
+        "main": declaration("rust", F.when(is_async, "rust-async-main").otherwise("rust-main"), F.lit("main"), id=id, name=F.lit("Main"), detail=F.when(is_async, tell("rust-async-main")).otherwise(tell("rust-main")), body=True, **shell()),
+    })
 
     cargo = of(files, "toml").where(file_name(F.col("rel")) == "Cargo.toml").withColumn("line", F.lit(1))
     bins = cargo.select("repo", "rel", "line", F.explode(F.filter(F.transform(F.slice(F.split("text", r"(?m)^\[\[bin\]\]\s*$"), 2, 1000), lambda b: F.regexp_extract(F.regexp_extract(b, r"(?s)^(.*?)(?:\n\[|\z)", 1), r'(?m)^\s*name\s*=\s*"([^"]+)"', 1)), lambda n: n != "")).alias("n"))
     n = F.col("n")
-    out = out.unionByName(declared(bins, "rust", "cargo-bin", n, id=prefixed("bin-", n), name=words(n), detail=prefixed("Cargo bin target ", n), **shell))
+    out = out.unionByName(declared(bins, "rust", "cargo-bin", n, id=prefixed("bin-", n), name=titled(n), detail=prefixed("Cargo bin target ", n), **shell()))
     listed = F.regexp_extract(F.regexp_extract("text", r"(?ms)^\[workspace\]\s*$(.*?)(?=^\[|\z)", 1), r"members\s*=\s*\[([^\]]*)\]", 1)
     parts = cargo.select("repo", "rel", "line", F.explode(F.regexp_extract_all(listed, F.lit('"([^"]+)"'), F.lit(1))).alias("member"))
     leaf = F.substring_index(F.rtrim("member", F.lit("/")), "/", -1)
-    return out.unionByName(declared(parts, "rust", "cargo-workspace-member", leaf, id=prefixed("member-", leaf), name=words(leaf), detail=prefixed("Cargo workspace member ", F.col("member"))))
+    return out.unionByName(declared(parts, "rust", "cargo-workspace-member", leaf, id=prefixed("member-", leaf), name=titled(leaf), detail=prefixed("Cargo workspace member ", F.col("member"))))
 
 
 # ---------------------------------------------------------------- Python
