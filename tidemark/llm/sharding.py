@@ -73,9 +73,9 @@ def shard_records(docs: DataFrame, weights: Sequence[float], more: Sequence[floa
     keys = list(keys)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keys, (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = rows.groupBy(*keys, "size", "text_crc32").agg(F.count("*").alias("copies"))
     grown = rendezvous(keys, [*weights, *more]) if more else F.lit(None).cast("int")
     rows = rows.select("*", rendezvous(keys, weights).alias("shard"), grown.alias("grown_shard"), digest(*[F.col(c) for c in (*keys, "size", "text_crc32")]).alias("position"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))  # draws are made where the texts are read
     rows = materialise(rows, "sharded")
     rows = numbered(rows, ["shard"], [*keys, "size", "text_crc32"], "copies", "position", bucket_rows=bucket_rows)
     return each_copy(rows).select(*keys, "size", "text_crc32", "shard", "slot", "grown_shard")
