@@ -166,6 +166,36 @@ def test_a_text_of_many_matches_is_looked_at_in_linear_time(spark):
     assert rows.count() == 20_000 and "text#" not in rows._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
 
 
+def sites_by_hand(graph, module, acting, depth=3):
+    """Names of functions whose effect a depth-first walk finds; all of them where it finds none."""
+    seen, found = set(), set()
+
+    def walk(calls, level):
+        for name in calls:
+            if name in graph and name not in seen and level < depth:
+                seen.add(name)
+                if name in acting:
+                    found.add(name)
+                walk(graph[name], level + 1)
+
+    walk(module, 0)
+    return found or set(acting)
+
+
+def test_trace_walks_depth_first(spark):
+    r, rows, expected = random.Random(3), [], set()
+    for i in range(60):
+        names = [f"f{j}" for j in range(r.randint(1, 9))]
+        graph = {n: [r.choice([*names, "other"]) for _ in range(r.randint(0, 4))] for n in names}
+        module, acting = [r.choice(names) for _ in range(r.randint(0, 3))], {n for n in names if r.random() < 0.4}
+        body = lambda n, graph=graph, acting=acting: [*(f"{c}()" for c in graph[n]), *(["requests.post('u')"] if n in acting else []), "pass"]
+        text = "\n".join(f"def {n}():\n" + "\n".join(f"    {x}" for x in body(n)) for n in names) + "\n" + "\n".join(f"{m}()" for m in module)
+        rows.append(("r", f"{i}.py", text))
+        expected |= {(f"{i}.py", n) for n in sites_by_hand(graph, module, acting)}
+    sites = effects.effect_sites(effects.python_calls(spark.createDataFrame(rows, "repo string, rel string, text string")))
+    assert {(x["rel"], x["detail"].rpartition(" ")[2].rstrip(")")) for x in sites.collect()} == expected
+
+
 RUST = {
     "Cargo.toml": '[workspace]\nmembers = ["crates/tool"]\n',
     "crates/tool/Cargo.toml": '[package]\nname = "t"\n[[bin]]\nname = "tool-main"\npath = "x"\n[dependencies]\nredis = "1"\n',

@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.repos import of
@@ -144,22 +144,34 @@ def matched(calls: DataFrame) -> DataFrame:
     return asked.withColumn("_hit", hit).select(*calls.columns, "_hit.capability", "_hit.effect", "_hit.pattern")
 
 
+def visited(depth: int) -> Column:
+    """Names that a depth-first walk from the module level ('') visits, over the column ``steps`` (scope, next, in the calls' order).
+
+    A function is walked once, where it is met first; from ``depth`` functions deep no further one is entered. So a function met
+    first on a long path can hide what it calls from a shorter one. One fold in another for each level.
+    """
+
+    def visit(seen: Column, name: Column, level: int) -> Column:
+        grown = F.concat(seen, F.array(name))
+        if level < depth:
+            grown = F.aggregate(F.filter("steps", lambda s: s["scope"] == name), grown, lambda a, s: visit(a, s["next"], level + 1))
+        return F.when(F.array_contains(seen, name), seen).otherwise(grown)
+
+    return F.aggregate(F.filter("steps", lambda s: s["scope"] == ""), F.array(F.lit("")), lambda a, s: visit(a, s["next"], 1))
+
+
 def effect_sites(calls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One site a line: repo, rel, line, capability, effect, pattern, detail.
 
-    Calls that the module level reaches through the file's own functions, at most ``depth`` deep, count; a call that matches
-    a pattern ends its path, and a function counts from its shortest one. In a file where none of the reached calls
-    matches, all calls in its top-level functions do. Of several matches on a line the first of the walk stays. Calls are
-    gathered by file, whose size is bounded, in one shuffle.
+    Calls of the module level and of the functions that a depth-first walk from it visits count; a call that matches a pattern ends
+    its path. In a file where none of these calls matches, all calls in its top-level functions do. Of several matches on a line
+    the first of the walk stays. Calls are gathered by file, whose size is bounded, in one shuffle.
     """
-    step = F.when(F.col("capability").isNull(), F.struct("scope", F.col("func").alias("next")))
+    step = F.when(F.col("capability").isNull(), F.struct("ord", "scope", F.col("func").alias("next")))
     hit = F.when(F.col("capability").isNotNull(), F.struct("ord", "line", "capability", "effect", "pattern", "func", "scope"))
     told = matched(calls).where("capability is not null or (local and instr(func, '.') = 0)")
-    files = told.groupBy("repo", "rel").agg(F.collect_set(step).alias("steps"), F.collect_list(hit).alias("hits")).where("size(hits) > 0")
-    files = files.withColumn("level", F.array(F.lit(""))).withColumn("seen", F.array(F.lit("")))
-    for _ in range(depth):
-        files = files.withColumn("level", F.array_distinct(F.transform(F.filter("steps", lambda s: F.array_contains("level", s["scope"])), lambda s: s["next"]))).withColumn("seen", F.array_union("seen", "level"))
-    files = files.withColumn("reached", F.filter("hits", lambda h: F.array_contains("seen", h["scope"])))
+    files = told.groupBy("repo", "rel").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.collect_list(hit).alias("hits")).where("size(hits) > 0")
+    files = files.withColumn("seen", visited(depth)).withColumn("reached", F.filter("hits", lambda h: F.array_contains("seen", h["scope"])))
     hits = files.select("repo", "rel", F.explode(F.when(F.size("reached") > 0, F.col("reached")).otherwise(F.col("hits"))).alias("h")).select("repo", "rel", "h.*")
     origin = F.when(F.col("scope") == "", "module").otherwise(F.col("scope"))
     detail = F.concat(F.col("func"), F.lit(" matched "), F.col("pattern"), F.lit(" (via "), origin, F.lit(")"))

@@ -101,6 +101,15 @@ def udf_t1_graph(spark: SparkSession, sf: str) -> DataFrame:
     return site_rows(E.effect_sites(E.python_calls(made)))
 
 
+def udf_t1_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of four functions entered twice: where the long way to the third comes first, the fourth stays hidden."""
+    call = F.element_at(F.array(*map(F.lit, CALLS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    chain = F.format_string("def a%1$d():\n    b%1$d()\ndef b%1$d():\n    c%1$d()\ndef c%1$d():\n    d%1$d()\ndef d%1$d():\n    %2$s", F.col("p_partkey"), call)
+    entered = F.format_string("a%1$d()\nc%1$d()", F.col("p_partkey")), F.format_string("c%1$d()\na%1$d()", F.col("p_partkey"))
+    line = F.concat(chain, F.lit("\n"), F.when(F.col("p_size") % 2 == 0, entered[0]).otherwise(entered[1]))
+    return site_rows(E.effect_sites(E.python_calls(files(spark, sf, "walk.py", line, "open('z')\n"))))
+
+
 MODES = ("open('f', 'w')", "open('f', mode='rb')", "cur.execute('SELECT 1')", "db.execute(select(x))", "db.execute('delete')", "os.environ.get('X')", "os.getenv('X')", "shutil.get('u')", "requests.request('GET')", "add(1)")
 
 
@@ -134,7 +143,7 @@ def prd_optional(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.optional_operations(lines, p.select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("id"), F.translate("p_name", " ", "-").alias("name")))
 
 
-QUERIES = {f.__name__: f for f in (src_manifest_deps, src_toml, src_xml, agg_deps_union, src_secret_exclude, src_walk, udf_t1_trace, udf_t1_graph, udf_mode, op_build_operation, set_union_evidence, prd_optional)}
+QUERIES = {f.__name__: f for f in (src_manifest_deps, src_toml, src_xml, agg_deps_union, src_secret_exclude, src_walk, udf_t1_trace, udf_t1_graph, udf_t1_depth, udf_mode, op_build_operation, set_union_evidence, prd_optional)}
 
 N = "replace(p_name, ' ', '-') || '-' || p_partkey"
 REL = "'d' || (p_partkey // 50) || '/{}'"
@@ -154,6 +163,7 @@ SELECT repo, ecosystem, string_agg(DISTINCT n, ',' ORDER BY n) AS names FROM e G
 SELECT repo, folder || name AS rel, row_number() OVER (PARTITION BY repo ORDER BY string_split(folder, '/')[1], CASE WHEN folder LIKE '%/a/' THEN 1 ELSE 0 END, name) AS walk_ord FROM f""",
     "udf_t1_trace": f"WITH {ROWS} SELECT repo, {REL.format('cli.py')} AS rel, line * 3 AS line, {CAPABILITY} AS capability, {EFFECT} AS effect, {PATTERN} AS pattern, {CALL} || ' matched ' || {PATTERN} || ' (via ' || {F_NAME} || ')' AS detail FROM x WHERE p_size % 4 < 3",
     "udf_t1_graph": f"WITH {ROWS}, h AS (SELECT *, max(CASE WHEN line <= 3 AND p_size % 4 < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, d) AS n_some FROM x) SELECT repo, {REL.format('run.py')} AS rel, line * 3 - 1 AS line, {CAPABILITY} AS capability, {EFFECT} AS effect, {PATTERN} AS pattern, {CALL} || ' matched ' || {PATTERN} || ' (via f_' || line || ')' AS detail FROM h WHERE p_size % 4 < 3 AND (line <= 3 OR n_some = 0)",
+    "udf_t1_depth": f"WITH {ROWS} SELECT repo, {REL.format('walk.py')} AS rel, line * 10 - 1 AS line, {CAPABILITY.replace('p_size', 'p_partkey')} AS capability, {EFFECT.replace('p_size', 'p_partkey')} AS effect, {PATTERN.replace('p_size', 'p_partkey')} AS pattern, {CALL.replace('p_size', 'p_partkey')} || ' matched ' || {PATTERN.replace('p_size', 'p_partkey')} || ' (via d' || p_partkey || ')' AS detail FROM x WHERE p_size % 2 = 1 AND p_partkey % 4 < 3 UNION ALL SELECT DISTINCT repo, {REL.format('walk.py')}, 1, 'file.read', 'read-local', 'file-read-open', 'open matched file-read-open (via module)' FROM x",
     "udf_mode": f"WITH {ROWS} SELECT repo, {REL.format('m.py')} AS rel, line, ['file-write-open', 'file-read-open', '', 'db-execute-read,sql-select', '', '', 'env-secret', '', 'http-request-generic', ''][p_size % 10 + 1] AS patterns, CAST(NULL AS VARCHAR) AS method FROM x",
     "op_build_operation": f"WITH {ROWS} SELECT repo, {N} AS id, coalesce({EFFECT}, 'effectful-external') AS effect, coalesce({CAPABILITY}, 'external.call') AS requires, CASE WHEN p_size % 4 = 3 THEN 'low' ELSE 'high' END AS confidence, {REL.format('cli.py')} || ':' || (line * 3 - 1) AS loc, 'manual' AS trigger, p_size % 4 = 2 AS deterministic, false AS optional, '@command on ' || {F_NAME} || '()' AS summary FROM x",
     "set_union_evidence": f"""WITH {ROWS}, {OPS}, k AS (SELECT p_brand AS repo, bool_or(p_size % 2 = 0) AS req, bool_or(p_size % 2 = 1) AS sqla FROM part WHERE length(p_brand) = 8 GROUP BY p_brand)

@@ -2,7 +2,8 @@
 
 Each task writes its packages into a folder of its own under a staging folder of the root, which driver and executors share; a
 retried or speculative task has another one. The commit moves whole packages into place, first making sure that none of their
-folders holds anything; if a move fails, those already moved are taken back. An abort removes the staging folder.
+folders holds anything; if a move fails, those already moved are taken back. An abort renames the staging folder before it
+deletes it, so tasks that are still running find no place to write and leave nothing behind.
 """
 
 from __future__ import annotations
@@ -38,6 +39,15 @@ def inside(root: str, *parts: str) -> str:
     return path
 
 
+def make_folders(top: str, path: str) -> None:
+    """Make the folders of a path below ``top``, which must be there."""
+    at = top
+    for part in os.path.relpath(path, top).split(os.sep):
+        at = os.path.join(at, part)
+        if not os.path.isdir(at):
+            os.mkdir(at)
+
+
 def occupied(path: str) -> bool:
     return os.path.lexists(path) and not (os.path.isdir(path) and not os.listdir(path))
 
@@ -63,7 +73,7 @@ class PackageWriter(DataSourceWriter):
                         out.close()
                     last = (r["package"], r["rel"])
                     path = inside(os.path.join(folder, r["package"]), r["rel"])
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    make_folders(self.staging, os.path.dirname(path))
                     out = open(path, "x", encoding="utf-8", newline="\n")  # noqa: SIM115
                 out.write(r["line"] + "\n")
         finally:
@@ -89,10 +99,13 @@ class PackageWriter(DataSourceWriter):
                 os.rename(target, source)
             raise
         finally:
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        gone = f"{self.staging}-gone"
+        if os.path.isdir(self.staging):
+            os.rename(self.staging, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class PackageSink(DataSource):
@@ -104,7 +117,9 @@ class PackageSink(DataSource):
         return "package string, rel string, section int, at string, place long, line string"
 
     def writer(self, schema, overwrite: bool) -> PackageWriter:
-        return PackageWriter(self.options["path"])
+        writer = PackageWriter(self.options["path"])
+        os.makedirs(writer.staging)
+        return writer
 
 
 def write_packages(lines: DataFrame, root: str, refused: DataFrame | None = None, parts: int | None = None) -> None:
