@@ -147,6 +147,55 @@ def test_jaccard_join_with_all_thresholds_lowered(spark, monkeypatch):
     assert kept == sorted(set(want))
 
 
+def full_sketch(monkeypatch):
+    """Every slot holds a million shingles more, as on a corpus of terabytes."""
+    true = jaccard_join.slot_counts
+    monkeypatch.setattr(jaccard_join, "slot_counts", lambda rows: true(rows) + 2**20)
+
+
+def kept_postings(docs):
+    return jaccard_join.meet(jaccard_join.postings(docs, jaccard_join.sketch(jaccard_join.digests(docs, 5)), 5, 75), 75)
+
+
+def test_a_full_sketch_keeps_common_passages_out_of_prefixes(spark, monkeypatch):
+    """600 unlike documents with a passage of 64 words, and ten pairs of near copies: only the pairs meet, however full the sketch is."""
+    r = random.Random(31)
+    passage = words(r, 64)
+    texts = [" ".join([*words(r, 150), *passage, *words(r, 150)]) for _ in range(600)]
+    texts += [noisy(r, t.split(), 2) for t in texts[:10]]
+    docs = table(spark, texts).repartition(4)
+    with monkeypatch.context() as m:
+        full_sketch(m)
+        met = kept_postings(docs).cache()
+        assert met.where("large").count() == 0
+        assert jaccard_join.counted(jaccard_join.small_pairs(met, 75)).count() == 10
+        got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(docs).collect()}
+        kept = met.count()
+    assert got == {i: i if i < 600 else i - 600 for i in range(610)}
+    assert kept <= 2 * kept_postings(docs).count()
+
+
+def test_a_full_sketch_changes_no_result(spark, data, monkeypatch):
+    from tidemark.llm.common import read
+
+    docs = read(spark, data, "documents").repartition(4)
+    true, kept = sorted(jaccard_join.near_duplicates(docs).collect()), kept_postings(docs).count()
+    full_sketch(monkeypatch)
+    assert sorted(jaccard_join.near_duplicates(docs).collect()) == true
+    assert kept_postings(docs).count() <= 2 * kept
+
+
+def test_frequent_shingles_are_counted_and_bounded(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GATHERED", 1000)
+    monkeypatch.setattr(jaccard_join, "LISTED", 5)
+    f, r = jaccard_join.Frequent(), np.random.default_rng(1)
+    common = np.arange(1, 21, dtype=np.uint64)
+    for i in range(500):
+        f.add(np.unique(np.concatenate([common[: 20 - i % 20], r.integers(100, 1 << 60, 30).astype(np.uint64)])))
+    f.settle()
+    assert f.token.tolist() == [1, 2, 3, 4, 5] and f.count[0] == 500 and (np.diff(f.count) <= 0).all()
+
+
 def test_bands_hold_what_can_be_similar(spark):
     n = spark.range(1, 400).select(F.col("id").cast("int").alias("n"))
     pairs = n.crossJoin(n.withColumnRenamed("n", "m")).where("n <= m").where(jaccard_join.fits(75))
@@ -168,19 +217,19 @@ def test_copies_meet_once(spark, monkeypatch):
     r = random.Random(13)
     texts = [t for _ in range(3) for t in [" ".join(words(r, 30))] * 40] + [" ".join(words(r, 30))]
     docs = table(spark, texts).repartition(4)
-    rank = jaccard_join.sketch(jaccard_join.digests(docs, 5))
+    known = jaccard_join.sketch(jaccard_join.digests(docs, 5))
     for hot in (3, 100_000):
         monkeypatch.setattr(jaccard_join, "HOT", hot)
-        once = jaccard_join.postings(docs.coalesce(1), rank, 5, 75)
+        once = jaccard_join.postings(docs.coalesce(1), known, 5, 75)
         assert once.count() == once.select("token", "node").distinct().count()
-        met = jaccard_join.meet(jaccard_join.postings(docs, rank, 5, 75), 75)
+        met = jaccard_join.meet(jaccard_join.postings(docs, known, 5, 75), 75)
         assert met.count() == met.select("token", "node").distinct().count()
         assert met.isEmpty() == (hot > 3)
 
 
 def test_prefixes_share_enough(spark):
     r = np.random.default_rng(3)
-    rank = r.integers(0, 255, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    known = jaccard_join.Order(r.integers(0, 5000, 1 << jaccard_join.SKETCH_BITS), np.zeros(0, np.uint64), np.zeros(0))
     for _ in range(200):
         n = int(r.integers(1, 120))
         a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
@@ -188,7 +237,9 @@ def test_prefixes_share_enough(spark):
         inter = len(np.intersect1d(a, b))
         if not inter or not jaccard_join.similar(inter, len(a), len(b), 75):
             continue
-        (ta, la, ka, _), (tb, lb, kb, _) = (jaccard_join.prefix(s, rank, 10.0, 75) for s in (a, b))
+        some = np.union1d(a, b)[r.random(len(np.union1d(a, b))) < 0.2]  # frequent shingles, counted by themselves
+        known.token, known.seen = some, r.integers(1, 10_000, len(some)).astype(float)
+        (ta, la, ka, _), (tb, lb, kb, _) = (jaccard_join.prefix(s, known, 75) for s in (a, b))
         least = min(ka, kb)
         assert len(np.intersect1d(ta[la <= least], tb[lb <= least])) >= least
 

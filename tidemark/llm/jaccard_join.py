@@ -41,6 +41,8 @@ from tidemark.llm.components import connected_components
 
 SKETCH_BITS, SLICE = 20, 1 << 12
 SMALL, BLOCK, HOT = 16, 512, 100_000
+#: Shingles gathered before those that occur OFTEN among them are counted by themselves; how many of them a task and the order keep.
+GATHERED, OFTEN, LISTED = 1 << 22, 4, 1 << 16
 MOST_MATCHES, RECENT = 16, 1 << 16
 U = np.uint64
 
@@ -77,32 +79,61 @@ def similar(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
+class Frequent:
+    """Shingles that occur often in a task, with their counts: those of OFTEN or more among GATHERED ones, the LISTED most frequent."""
+
+    def __init__(self):
+        self.held, self.size, self.token, self.count = [], 0, np.zeros(0, U), np.zeros(0, np.int64)
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(s)
+        self.size += len(s)
+        if self.size >= GATHERED:
+            self.settle()
+
+    def settle(self) -> None:
+        token, count = np.unique(np.concatenate([*self.held, np.zeros(0, U)]), return_counts=True)
+        often = count >= OFTEN
+        token, place = np.unique(np.concatenate([self.token, token[often]]), return_inverse=True)
+        count = np.bincount(place, np.concatenate([self.count, count[often]]), len(token)).astype(np.int64)
+        if len(token) > LISTED:
+            most = np.sort(np.argpartition(count, -LISTED)[-LISTED:])
+            token, count = token[most], count[most]
+        self.held, self.size, self.token, self.count = [], 0, token, count
+
+
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """For every document doc_id, n, node; and each task's shingle counts by sketch slot, in slices of bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("task", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """For every document doc_id, n, node; each task's shingle counts by sketch slot, in slices of bytes; its frequent shingles."""
+    names = ["doc_id", "n", "node", "task", "slice", "counts", "token", "seen"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def rows(**columns) -> pa.RecordBatch:
+        k = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(k, t) for c, t in zip(names, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH_BITS, np.uint64)
+        count, frequent = np.zeros(1 << SKETCH_BITS, np.uint64), Frequent()
         for batch in batches:
-            ids, n, node = batch.column("doc_id"), [], []
+            n, node = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, size)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 np.add.at(count, (s & U((1 << SKETCH_BITS) - 1)).astype(np.int64), U(1))
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                frequent.add(s)
+            yield rows(doc_id=batch.column("doc_id"), n=n, node=node)
         if count.any():
             parts = np.minimum(count, U(0xFFFFFFFF)).astype("<u4").reshape(-1, SLICE)
-            k, none = len(parts), pa.nulls(len(parts), pa.int64())
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([task] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            yield rows(task=[TaskContext.get().partitionId()] * len(parts), slice=range(len(parts)), counts=[p.tobytes() for p in parts])
+            frequent.settle()
+            if len(frequent.token):
+                yield rows(token=frequent.token.view(np.int64), seen=frequent.count)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, task long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, task long, slice int, counts binary, token long, seen long")
 
 
-def sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counts, as a byte of 8 * log2: summed in groups of 512 tasks, then over the groups."""
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """Sum of all tasks' counts by slot: summed in groups of 512 tasks, then over the groups."""
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c.as_py(), c_type).astype(np.uint64) for c in table.column("counts"))
@@ -118,31 +149,59 @@ def sketch(rows: DataFrame) -> np.ndarray:
     count = np.zeros(1 << SKETCH_BITS)
     for r in some.groupBy("slice").applyInArrow(add_wide, "slice int, counts binary").collect():  # of a fixed size
         count[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u8")
-    return np.minimum(255, np.round(8 * np.log2(np.maximum(1, count)))).astype(np.uint8)
+    return count
+
 
+class Order:
+    """How often shingles occur, as far as that stands out: by slot, what is over the usual slot; by itself for the LISTED most frequent.
+
+    Of a fixed size, whatever the corpus. Any order gives the same links; this one keeps frequent shingles out of prefixes.
+    """
 
-def prefix(s: np.ndarray, rank: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """The set's prefix: shingles in the global order, the least l that each belongs to, the chosen l, their counts."""
-    r = rank[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+    def __init__(self, count: np.ndarray, token: np.ndarray, seen: np.ndarray):
+        self.usual = max(1.0, float(np.median(count)))
+        over = np.maximum(1, count - 1.25 * self.usual)
+        self.rank = np.minimum(255, np.round(8 * np.log2(over))).astype(np.uint8)
+        order = np.argsort(token)
+        self.token, self.seen = token[order], seen[order].astype(float)
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For shingles: how often they occur over the usual, and how many meetings each is expected to bring."""
+        over = 2.0 ** (self.rank[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)] / 8.0)
+        meetings = np.maximum(0, over - 2.75 * self.usual) + 0.02
+        if len(self.token):
+            place = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
+            seen = np.where(self.token[place] == s, self.seen[place], 0)
+            over, meetings = np.maximum(over, seen), np.maximum(meetings, seen)
+        return over, meetings
+
+
+def sketch(rows: DataFrame) -> Order:
+    most = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(LISTED)
+    found = most.toArrow()  # LISTED rows at most
+    return Order(slot_counts(rows), found.column("token").to_numpy().view(U), found.column("seen").to_numpy())
+
+
+def prefix(s: np.ndarray, known: Order, percent: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """The set's prefix: shingles in the global order, the least l that each belongs to, the chosen l, how often they occur."""
+    over, meetings = known.of(s)
     n = len(s)
     o = int(need(n, percent))
     most = min(MOST_MATCHES, o)
-    order = np.argsort((r.astype(U) << U(56)) | (s >> U(8)), kind="stable")[: n - o + most]
-    seen = 2.0 ** (r[order] / 8.0)
-    meetings = np.cumsum(np.maximum(0, seen - 4 * usual) + 0.02)[n - o :]
+    order = np.lexsort((s, np.round(8 * np.log2(over))))[: n - o + most]
+    cost = np.cumsum(meetings[order])[n - o :]
     l = np.arange(1, most + 1)
-    best = int(np.argmin(n - o + l + 20 * meetings / l)) + 1
+    best = int(np.argmin(n - o + l + 20 * cost / l)) + 1
     k = n - o + best
-    return s[order[:k]], np.maximum(1, np.arange(k) - (n - o) + 1), best, seen[:k]
+    return s[order[:k]], np.maximum(1, np.arange(k) - (n - o) + 1), best, over[order[:k]]
 
 
-def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, known: Order, size: int, percent: int) -> DataFrame:
     """token, node, n, level (the least l that the token belongs to), l, salt (spreads tokens that HOT documents hold, from 1; 0: whole).
 
     A task leaves out copies of the last RECENT nodes or fewer; meet() leaves out the rest.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
-    usual = float(2.0 ** (np.median(rank) / 8.0))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # of a fixed size
     names = ["token", "node", "n", "level", "l", "salt"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int32()]
 
@@ -158,7 +217,7 @@ def postings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
                     if len(recent) == RECENT:
                         recent.clear()
                     recent.add(node)
-                    token, level, l, seen = prefix(s, table, usual, percent)
+                    token, level, l, seen = prefix(s, table, percent)
                     k = len(token)
                     salt = np.where(seen > HOT, 1 + node % np.maximum(1, (seen / (HOT / 2)).astype(np.int64)), 0)
                     for c, v in zip(cols, (token.view(np.int64), np.full(k, node), np.full(k, len(s)), level, np.full(k, l), salt), strict=True):
@@ -341,9 +400,9 @@ def clustered(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     component_id is the smallest id in it.
     """
     rows = materialise(digests(docs, size), "digests")
-    rank = sketch(rows)
-    ids = rows.where("counts is null").select("doc_id", "n", "node")
-    met = materialise(meet(postings(docs, rank, size, percent), percent), "met")
+    known = sketch(rows)
+    ids = rows.where("n is not null").select("doc_id", "n", "node")
+    met = materialise(meet(postings(docs, known, size, percent), percent), "met")
 
     chains = met.where("large").select("node", "n", F.explode("before").alias("x")).select("node", "n", F.col("x.node").alias("other"), F.col("x.n").alias("m"))
     chains = chains.where((F.col("node") != F.col("other")) & fits(percent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.lit(1).alias("hits"), F.lit(1).alias("enough"))
