@@ -60,10 +60,24 @@ def test_damage_is_found(spark, change, expected):
     assert {(r["id"], r["invariant"]) for r in routing.violations(rows).collect()} == expected
 
 
-def test_unknown_capability_is_an_error_even_if_unread(spark):
+def test_unknown_capability_is_an_error_in_the_plan(spark):
     ops = spark.createDataFrame([("r", "x", ["no.such"], False, [], None)], OPS)
-    with pytest.raises(ValueError, match="no.such"):
-        routing.check_vocabulary(ops, spark.createDataFrame([("file.read", "deterministic")], "capability string, kind string"))
+    profiles = spark.createDataFrame([("p", [], [])], "profile string, native array<string>, mcp array<string>")
+    words = spark.createDataFrame([("file.read",)], "capability string")
+    rows = routing.resolve(ops, profiles, spark.createDataFrame([("card", 0.1)], "stand_in string, fidelity double"), words)
+    for column in ("binding", "gates", "coverage", "deferred_gates"):
+        with pytest.raises(Exception, match="unknown capabilities: no.such"):
+            rows.select(column).collect()
+    with pytest.raises(Exception, match="no.such"):
+        routing.summarise(rows).collect()
+
+
+def test_more_profiles_than_allowed_are_an_error(spark):
+    ops = spark.createDataFrame([("r", "x", ["a"], False, [], None)], OPS)
+    profiles = spark.range(5).select(F.concat(F.lit("p"), "id").alias("profile"), F.array(F.lit("a")).alias("native"), F.array().cast("array<string>").alias("mcp"))
+    assert routing.with_profiles(ops, profiles, 5).count() == 5
+    with pytest.raises(Exception, match="more than 4 profiles"):
+        routing.with_profiles(ops, profiles, 4).select(routing.binding_of().alias("b")).collect()
 
 
 def test_question_names_every_deferred_gate(spark):
@@ -72,10 +86,14 @@ def test_question_names_every_deferred_gate(spark):
     assert routing.unsurfaced_gates(rows.withColumn("question", F.lit("?"))).count() == 2
 
 
-def test_unknown_stand_in_is_an_error(spark):
-    ops = spark.createDataFrame([("r", "x", ["a"], False, [], "nothing")], OPS)
-    with pytest.raises(ValueError, match="nothing"):
-        routing.check_standins(ops, spark.createDataFrame([("card", 0.1)], "stand_in string, fidelity double"))
+def test_unknown_stand_in_is_an_error_in_the_plan(spark):
+    """Whatever is read, and whether or not the operation needs its stand-in; an empty name is none."""
+    for requires in (["a"], ["text.generate"]):
+        rows = resolved(spark, [("r", "x", requires, False, ["spend"], "nothing")])
+        for column in ("binding", "gates", "coverage", "fidelity"):
+            with pytest.raises(Exception, match="unknown stand-in: nothing"):
+                rows.select(column).collect()
+    assert resolved(spark, [("r", "x", ["a"], False, [], "")]).first()["binding"] == "ask-user"
 
 
 def test_question_names_the_safe_default(spark):

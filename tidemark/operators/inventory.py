@@ -24,9 +24,9 @@ def match_providers(deps: DataFrame, ignored: DataFrame | None = None, providers
     Package names of tools and frameworks tell of no capability and are left out in every ecosystem: IGNORED_PACKAGES, or
     ``ignored`` (name). ``providers`` replaces the shipped catalogue.
     """
-    deps = deps.where(~F.col("name").isin(*IGNORED_PACKAGES)) if ignored is None else deps.join(F.broadcast(ignored), "name", "left_anti")
+    deps = deps.where(~F.col("name").isin(*IGNORED_PACKAGES)) if ignored is None else deps.join(ignored, "name", "left_anti")
     table = provider_table(deps.sparkSession) if providers is None else providers
-    met = deps.join(F.broadcast(table), ["ecosystem", "name"], "left")  # a catalogue: some hundred rows
+    met = deps.join(table, ["ecosystem", "name"], "left")  # broadcast if its size allows: Spark checks that
     return met.where("provider is not null"), met.where("provider is null").select("repo", "ecosystem", "name")
 
 
@@ -65,7 +65,7 @@ def is_deterministic(requires: Column, effect: Column) -> Column:
 
 def deterministic(operations: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, deterministic) by a vocabulary (capability, kind): is_deterministic where kinds are a catalogue's."""
-    kinds = operations.select("id", "effect", F.explode_outer("requires").alias("capability")).join(F.broadcast(vocabulary.select("capability", "kind")), "capability", "left")  # a catalogue
+    kinds = operations.select("id", "effect", F.explode_outer("requires").alias("capability")).join(vocabulary.select("capability", "kind"), "capability", "left")
     made = F.coalesce(F.bool_or(F.col("kind") == "generative"), F.lit(False))
     return kinds.groupBy("id").agg((~made & F.coalesce(F.first("effect").isin("read-local", "effectful-local"), F.lit(False))).alias("deterministic"))
 
@@ -76,7 +76,7 @@ def provider_hits(operations: DataFrame, providers: DataFrame) -> DataFrame:
     id, corroboration, ambiguous, gate_hints. Both sides are exploded, so the overlap is an equi-join.
     """
     by_cap = providers.select("provider", "gates", "ambiguous", F.explode("caps").alias("c"))
-    met = operations.select("id", F.explode("requires").alias("c")).join(F.broadcast(by_cap), "c").drop("c").distinct()  # a catalogue
+    met = operations.select("id", F.explode("requires").alias("c")).join(by_cap, "c").drop("c").distinct()
     hints = F.array_sort(F.array_distinct(F.flatten(F.collect_set("gates"))))
     return met.groupBy("id").agg(F.count_distinct("provider").alias("corroboration"), F.bool_or("ambiguous").alias("ambiguous"), hints.alias("gate_hints"))
 

@@ -19,17 +19,6 @@ KEEPS = {"native": 1.0, "mcp": 0.9, "ask-user": 0.5, "drop": 0.0}
 MOST_PROFILES = 10_000
 
 
-def check_vocabulary(operations: DataFrame, vocabulary: DataFrame) -> None:
-    """Raise if an operation requires a capability that the vocabulary (capability, kind) doesn't have.
-
-    An eager action: an assertion in a column that nobody reads would be pruned away.
-    """
-    used = operations.select("id", F.explode("requires").alias("capability"))
-    unknown = used.join(vocabulary, "capability", "left_anti").select("capability").distinct().limit(10).collect()
-    if unknown:
-        raise ValueError(f"unknown capabilities: {sorted(r['capability'] for r in unknown)}")
-
-
 def unknown_capabilities(profiles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Capabilities that a profile offers and the vocabulary (capability) doesn't have: profile, capability."""
     offered = profiles.select("profile", F.explode(F.array_union("native", "mcp")).alias("capability")).distinct()
@@ -52,30 +41,43 @@ def binding_of() -> Column:
     )
 
 
-def check_standins(operations: DataFrame, standins: DataFrame) -> None:
-    """Raise if an operation declares a stand-in that the catalogue doesn't have; eager, as check_vocabulary is."""
-    named = operations.where("stand_in is not null and stand_in <> ''").select("stand_in")
-    unknown = named.join(standins.select("stand_in"), "stand_in", "left_anti").distinct().limit(10).collect()
-    if unknown:
-        raise ValueError(f"unknown stand-ins: {sorted(r['stand_in'] for r in unknown)}")
+def failing(test: Column, message: Column, value: Column) -> Column:
+    """``value``, or an error where ``test`` holds: an assertion that runs with the plan, in a column that is used."""
+    return F.when(test, F.raise_error(message)).otherwise(value)
 
 
 def with_profiles(operations: DataFrame, profiles: DataFrame, most: int = MOST_PROFILES) -> DataFrame:
-    """Every operation with every profile. Profiles are a catalogue of a few rows: their number is checked, then broadcast."""
-    if profiles.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} profiles")
-    return operations.crossJoin(F.broadcast(profiles))
+    """Every operation with every profile. Profiles are a catalogue of a few rows: no more than ``most`` are broadcast, and more are an error.
+
+    The error stands in what profiles offer and are called, so the number is checked wherever a profile is used.
+    """
+    few = profiles.limit(most + 1)
+    counted = few.crossJoin(F.broadcast(few.agg(F.count("*").alias("_profiles"))))
+    checked = {c: failing(F.col("_profiles") > most, F.lit(f"more than {most} profiles"), F.col(c)) for c in profiles.columns}
+    return operations.crossJoin(F.broadcast(counted.withColumns(checked).drop("_profiles")))
 
 
-def resolve(operations: DataFrame, profiles: DataFrame, standins: DataFrame) -> DataFrame:
-    """One row for each operation and profile: binding, enforced and deferred gates, stand-in, coverage, missing."""
-    rows = with_profiles(operations, profiles).withColumn("binding", binding_of())
+def resolve(operations: DataFrame, profiles: DataFrame, standins: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """One row for each operation and profile: binding, enforced and deferred gates, stand-in, coverage, missing.
+
+    A stand-in that the catalogue doesn't have is an error, and so is a capability outside the ``vocabulary`` (capability), where one
+    is given. Both stand in the binding, from which everything else follows: no job runs ahead of the query.
+    """
+    known = standins.groupBy("stand_in").agg(F.first("fidelity").alias("fidelity"), F.lit(True).alias("_in_catalogue"))
+    rows = operations.join(known, "stand_in", "left")
+    named = F.col("stand_in").isNotNull() & (F.col("stand_in") != "")
+    binding = failing(named & F.col("_in_catalogue").isNull(), F.concat(F.lit("unknown stand-in: "), "stand_in"), binding_of())
+    if vocabulary is not None:
+        rows = rows.crossJoin(F.broadcast(vocabulary.agg(F.collect_set("capability").alias("_words"))))  # one row, of a closed list
+        odd = F.array_except("requires", "_words")
+        binding = failing(F.size(odd) > 0, F.concat(F.lit("unknown capabilities: "), F.array_join(odd, ", ")), binding)
+    rows = with_profiles(rows, profiles).withColumn("binding", binding).drop("_in_catalogue", "_words")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("gates", F.when(F.col("binding").isin(*EXECUTING), F.col("gate")).otherwise(none))
     rows = rows.withColumn("deferred_gates", F.when(F.col("binding") == "ask-user", F.col("gate")).otherwise(none))
     rows = rows.withColumn("stand_in", F.when(F.col("binding") == "script", F.col("stand_in")))
     rows = rows.withColumn("missing", missing_of(F.col("requires"), F.col("native"), F.col("mcp"))).drop("native", "mcp")
-    rows = rows.join(standins.select("stand_in", "fidelity"), "stand_in", "left")
+    rows = rows.withColumn("fidelity", F.when(F.col("binding") == "script", F.col("fidelity")))
     kept = reduce(lambda c, b: c.when(F.col("binding") == b, KEEPS[b]), list(KEEPS), F.when(F.col("binding") == "script", F.coalesce("fidelity", F.lit(0.5))))
     return rows.withColumn("coverage", kept)
 

@@ -66,7 +66,7 @@ def standin_status(operations: DataFrame, standins: DataFrame, tools: DataFrame)
     lacking = standins.select("stand_in", F.explode("tools").alias("tool")).join(tools, "tool", "left_anti").groupBy("stand_in").agg(F.array_sort(F.collect_set("tool")).alias("lacks"))
     known = standins.join(lacking, "stand_in", "left")
     status = F.when(F.col("script").isNull(), "not-runnable").when(F.col("lacks").isNotNull(), "blocked").otherwise("runnable")
-    return operations.join(F.broadcast(known), "stand_in", "left").withColumn("status", status)
+    return operations.join(known, "stand_in", "left").withColumn("status", status)
 
 
 def catalogue_gaps(known: DataFrame, unknown: DataFrame, scope: list[str]) -> DataFrame:

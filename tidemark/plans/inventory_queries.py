@@ -59,8 +59,7 @@ def ops(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
     rows = ops(spark, sf).withColumn("declared_stand_in", F.col("stand_in"))
-    routing.check_vocabulary(rows, vocabulary(spark))
-    return routing.resolve(rows, profiles(spark), standins(spark))
+    return routing.resolve(rows, profiles(spark), standins(spark), vocabulary(spark))
 
 
 def op_route(spark: SparkSession, sf: str) -> DataFrame:

@@ -74,14 +74,32 @@ def listable(files: DataFrame) -> DataFrame:
     return files.where(~(in_ignored_dir(F.col("rel")) | is_generated(F.col("rel")) | is_secret_file(F.col("rel"))))
 
 
-def capped(files: DataFrame, scope: list[str], order: str, files_most: int = MAX_FILES, bytes_most: int = MAX_TOTAL_BYTES, one_most: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files of a scope in walk order until its caps: a file over ``one_most`` is left out; the one that crosses the total ends the walk.
+def under_caps(files: DataFrame, scope: list[str], order: str, files_most: int, bytes_most: int, one_most: int) -> DataFrame:
+    """Files with ``_kept`` and ``_crossed``: the cap that ends the walk at this file, if one does there.
 
-    ``order`` is an integer; sums run in two levels, so a large scope is never one task.
+    A file over ``one_most`` is passed over, but there being one more file after the last allowed one ends the walk like any other.
+    Running counts and sizes of what is kept go in two levels, so a large scope is never one task.
     """
-    small = files.where(F.col("size") <= one_most).withColumn("_one", F.lit(1))
-    placed = running_total(running_total(small, scope, order, "size").withColumnRenamed("running", "_bytes"), scope, order, "_one").withColumnRenamed("running", "_files")
-    return placed.where((F.col("_bytes") <= bytes_most) & (F.col("_files") <= files_most)).drop("_bytes", "_files", "_one")
+    small = F.coalesce(F.col("size") <= one_most, F.lit(False))
+    rows = files.withColumn("_small", small).withColumn("_one", small.cast("long")).withColumn("_size", F.when(small, F.col("size")).otherwise(0))
+    placed = running_total(running_total(rows, scope, order, "_size").withColumnRenamed("running", "_bytes"), scope, order, "_one").withColumnRenamed("running", "_files")
+    crossed = F.when(F.col("_files") - F.col("_one") >= files_most, "files").when(F.col("_small") & (F.col("_bytes") > bytes_most), "bytes")
+    kept = F.col("_small") & (F.col("_bytes") <= bytes_most) & (F.col("_files") <= files_most)
+    return placed.withColumn("_kept", kept).withColumn("_crossed", crossed).drop("_bytes", "_files", "_one", "_size", "_small")
+
+
+def capped(files: DataFrame, scope: list[str], order: str, files_most: int = MAX_FILES, bytes_most: int = MAX_TOTAL_BYTES, one_most: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files of a scope in walk order (an integer) until its caps: a file over ``one_most`` is left out; the one that crosses the total ends the walk."""
+    return under_caps(files, scope, order, files_most, bytes_most, one_most).where("_kept").drop("_kept", "_crossed")
+
+
+def scans(files: DataFrame, scope: list[str], order: str, files_most: int = MAX_FILES, bytes_most: int = MAX_TOTAL_BYTES, one_most: int = MAX_FILE_BYTES) -> DataFrame:
+    """How the scan of each scope went: scope, n_files and n_bytes kept, truncated, reason (the cap that was crossed first), at (where)."""
+    rows = under_caps(files, scope, order, files_most, bytes_most, one_most)
+    first = F.min(F.when(F.col("_crossed").isNotNull(), F.struct(F.col(order).alias("at"), F.col("_crossed").alias("reason"))))
+    out = rows.groupBy(*scope).agg(F.count_if("_kept").alias("n_files"), F.coalesce(F.sum(F.when(F.col("_kept"), F.col("size"))), F.lit(0)).alias("n_bytes"), first.alias("x"))
+    told = F.when(F.col("x.reason") == "files", f"more than {files_most} files").when(F.col("x.reason") == "bytes", f"more than {bytes_most} bytes")
+    return out.select(*scope, "n_files", "n_bytes", F.col("x").isNotNull().alias("truncated"), told.alias("reason"), "x.at")
 
 
 def find(files: DataFrame, name: str) -> DataFrame:
