@@ -42,7 +42,9 @@ from tidemark.llm.components import connected_components
 SKETCH_BITS, SLICE = 20, 1 << 12
 SMALL, BLOCK, HOT = 16, 512, 100_000
 #: Shingles gathered before those that occur OFTEN among them are counted by themselves; how many of them a task and the order keep.
-GATHERED, OFTEN, LISTED = 1 << 22, 4, 1 << 16
+GATHERED, OFTEN, LISTED = 1 << 22, 2, 1 << 16
+#: Counts of slots up to which a shingle that is counted by itself is weighed like those of its slot.
+NOISE = 300
 MOST_MATCHES, RECENT = 16, 1 << 16
 U = np.uint64
 
@@ -152,28 +154,38 @@ def slot_counts(rows: DataFrame) -> np.ndarray:
     return count
 
 
+def ranked(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eight steps for each doubling, in a byte."""
+    return np.minimum(255, np.round(8 * np.log2(np.maximum(1, count)))).astype(np.uint8)
+
+
 class Order:
-    """How often shingles occur, as far as that stands out: by slot, what is over the usual slot; by itself for the LISTED most frequent.
+    """How often shingles occur: by how far their slot is over the usual one, or by themselves for the LISTED most frequent.
 
-    Of a fixed size, whatever the corpus. Any order gives the same links; this one keeps frequent shingles out of prefixes.
+    Shingles of slots that don't stand out come in the order of their slots' counts, which tells something as long as slots hold
+    few shingles. Of a fixed size, whatever the corpus. Any order gives the same links; this one keeps frequent shingles out of
+    prefixes.
     """
 
     def __init__(self, count: np.ndarray, token: np.ndarray, seen: np.ndarray):
         self.usual = max(1.0, float(np.median(count)))
-        over = np.maximum(1, count - 1.25 * self.usual)
-        self.rank = np.minimum(255, np.round(8 * np.log2(over))).astype(np.uint8)
+        self.over, self.slot = ranked(count - 1.25 * self.usual), ranked(count)
         order = np.argsort(token)
         self.token, self.seen = token[order], seen[order].astype(float)
 
-    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For shingles: how often they occur over the usual, and how many meetings each is expected to bring."""
-        over = 2.0 ** (self.rank[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)] / 8.0)
-        meetings = np.maximum(0, over - 2.75 * self.usual) + 0.02
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For shingles: their place in the order, how often they occur over the usual, how many meetings each is expected to bring."""
+        slot = (s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)
+        rank = self.over[slot]
+        over = 2.0 ** (rank / 8.0)
+        meetings = np.maximum(0, over - 2.75 * self.usual)
         if len(self.token):
             place = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
-            seen = np.where(self.token[place] == s, self.seen[place], 0)
-            over, meetings = np.maximum(over, seen), np.maximum(meetings, seen)
-        return over, meetings
+            at = np.flatnonzero(self.token[place] == s)
+            seen = self.seen[place[at]]
+            rank[at], over[at] = np.maximum(rank[at], ranked(seen)), np.maximum(over[at], seen)
+            meetings[at] = np.maximum(meetings[at], seen - 4 * min(self.usual, NOISE))
+        return rank.astype(U) << U(56) | self.slot[slot].astype(U) << U(48) | s >> U(16), over, meetings + 0.02
 
 
 def sketch(rows: DataFrame) -> Order:
@@ -184,11 +196,11 @@ def sketch(rows: DataFrame) -> Order:
 
 def prefix(s: np.ndarray, known: Order, percent: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """The set's prefix: shingles in the global order, the least l that each belongs to, the chosen l, how often they occur."""
-    over, meetings = known.of(s)
+    place, over, meetings = known.of(s)
     n = len(s)
     o = int(need(n, percent))
     most = min(MOST_MATCHES, o)
-    order = np.lexsort((s, np.round(8 * np.log2(over))))[: n - o + most]
+    order = np.argsort(place, kind="stable")[: n - o + most]
     cost = np.cumsum(meetings[order])[n - o :]
     l = np.arange(1, most + 1)
     best = int(np.argmin(n - o + l + 20 * cost / l)) + 1
