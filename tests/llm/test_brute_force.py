@@ -608,7 +608,12 @@ def test_redaction_by_columns(spark):
 
 def test_grammar_scopes():
     m = toxicity.Machine({"idio": 2.0})
-    got = lambda t: {k: round(float(np.expm1(v)), 3) for k, v in zip(toxicity.OUTPUTS, m.features(t), strict=False) if v}
+
+
+    def got(text):
+        (events,) = [e for *_, e in m.clauses(toxicity.TOKEN.findall(text.lower()))[0]] or [{}]
+        return events
+
     assert got("what an idiot") == {"plain": 2.0}
     assert got("you are an idiot") == {"targeted": 4.0}
     assert got("idiot, you") == {"plain": 2.0, "targeted_after": 2.0}
@@ -616,13 +621,36 @@ def test_grammar_scopes():
     assert got("they said that was idiotic") == got("he said you are an idiot") == {"reported": 1.0}
     assert got("he said nothing but you are an idiot") == {"targeted": 4.0}
     assert got("not here. an idiot") == {"plain": 2.0}
-    assert got("i will kill you") == {"threat": 1.0, "threat_targeted_after": 1.0}
-    assert got("i never will kill you") == {"threat_muted": 0.25}
-    assert got("the bees kill") == {"violent": 0.5}
+    assert got("i will kill you") == {"threat": 2.0, "threat_targeted_after": 2.0}
+    assert got("i never will kill you") == {"threat_muted": 0.5}
+    assert got("the bees kill") == {"violent": 1.0}
     assert got("stupid idiot") == {"plain": 3.0}
     assert got("nothing of that kind") == {}
 
 
+def test_scores_follow_the_grammar(spark, data):
+    """Sentences of one insult or threat in different scopes are ordered by the learned score; more clauses around weigh less."""
+    from tidemark.llm.common import read
+
+    model = toxicity.toxicity_model(read(spark, data, "documents"), read(spark, data, "labels"))
+    scale, level = model["weights"]
+    assert scale > 0
+    orders = [
+        ["you are an idiot", "I read a book about an idiot", "he said you are an idiot", "you are not an idiot", "you are a friend"],
+        ["I will kill you", "I will kill that bug", "they said I will kill", "I will not kill you", "I will call you"],
+        ["you are a stupid idiot. he is here.", "you are a stupid idiot. he is here. and we are there. so it is."],
+    ]
+    for sentences in orders:
+        rows = table(spark, sentences).select("doc_id", toxicity.scorer(model)("text").alias("p")).orderBy("doc_id").collect()
+        p = [r["p"] for r in rows]
+        assert all(a > b for a, b in zip(p, p[1:])), list(zip(sentences, p))
+    slow = toxicity.Machine(model["stems"])
+    for t in sum(orders, []):
+        found, n = slow.clauses(toxicity.TOKEN.findall(t.lower()))
+        by_hand = sum(w for *_, e in found for w in e.values()) / n**0.25
+        assert slow.load(t) == pytest.approx(by_hand)
+
+
 def test_composition_equals_the_transducers_in_turn():
     r = random.Random(15)
     parts, (arcs, begin) = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported(), toxicity.target()], toxicity.grammar()
@@ -640,7 +668,7 @@ def test_composition_equals_the_transducers_in_turn():
 
 
 def test_toxic_clauses_are_located(spark):
-    model = {"stems": {"idio": 2.0}, "weights": np.ones(len(toxicity.FEATURES) + 1), "share": 0.1}
+    model = {"stems": {"idio": 2.0}, "weights": np.array([1.0, -1.0]), "share": 0.1}
     text = "Fine words here. You idiots!  More"
     row = toxicity.find_toxic_clauses(table(spark, [text, None, ""]).withColumn("toxicity", F.lit("clash")), model).orderBy("doc_id").collect()
     assert [text[s:e] for s, e in zip(row[0]["clause_starts"], row[0]["clause_ends"])] == ["You idiots"]

@@ -8,13 +8,16 @@ word ends negation and reported speech, a clause's end ends all. They are compos
 whose arcs are products of the parts'. It reads each clause with an insult or violent verb in it and writes events: plain,
 targeted, negated, reported and so on, each with the weight of its arc and of its word's stem.
 
-A matched clause counts once for each kind of event, by its heaviest one. A document's score is a logistic function of
-these sums over its clauses, of its heaviest clause and of the share of its clauses that matched; words as such count
-for nothing. ``find_toxic_clauses`` gives the clauses themselves.
+A matched clause counts once for each kind of event, by its heaviest one; its weight is their sum. A document's load is the
+weight of its matched clauses over the fourth root of the number of all its clauses, and its score a logistic function of
+the load with one learned scale, never below zero, and one learned level. So the arcs' weights are the score: of two texts
+that differ in scope alone, the one that the grammar weighs more scores more. Words as such count for nothing.
+``find_toxic_clauses`` gives the clauses themselves.
 
 The insult lexicon is an acceptor of word beginnings: a fixed seed and the stems whose share among toxic documents is
 ``ratio`` times that among others, counted on at most ``per_class`` labelled documents of each value (the smallest
-hashes of the id). The weights of the events are fitted on the same documents.
+hashes of the id). Seed words that aren't among the stems, and violent verbs, weigh like the middle one of the stems. Scale and
+level are fitted on the same documents.
 
 Defined results: null, empty and wordless texts match nothing and get the score of such texts; whole texts are read, clause
 by clause, in memory that grows with the one text; repeated rows and ties get equal scores; an empty table gives no rows;
@@ -55,7 +58,8 @@ EVENTS = {
     "K": "threat", "V": "violent", "T": "threat_targeted", "t": "threat_targeted_after", "M": "threat_muted",
 }
 OUTPUTS = list(EVENTS.values())
-FEATURES = [*OUTPUTS, "heaviest", "share"]
+#: How much the number of clauses weakens what matched among them.
+LENGTH_POWER = 0.25
 
 Arcs = dict[tuple[str, str], tuple[str, str, float]]
 
@@ -144,15 +148,16 @@ class Lexicon(dict):
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
+        self.seed = float(np.median(list(stems.values()))) if stems else 1.0
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.fixed = {}
         for words, symbol in ((INSULTS, "i"), (VIOLENT, "k"), (INTENTIONS, "m"), (TARGETS, "y"), (NEGATIONS, "n"), (REPORTED, "r"), (CONTRASTS, "b"), (STOP, ".")):
             self.fixed.update(dict.fromkeys(words, symbol))
 
     def weight(self, word: str) -> float:
-        """Of the longest stem that the word begins with; 1 for the seed."""
+        """Of the longest stem that the word begins with, else of a seed word."""
         found = next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), None)
-        return 1.0 if found is None and self.fixed.get(word) == "i" else found or 0.0
+        return self.seed if found is None and self.fixed.get(word) == "i" else found or 0.0
 
     def __missing__(self, word: str) -> str:
         if len(self) > 400_000:
@@ -169,15 +174,15 @@ class Machine:
         self.arcs, self.begin = grammar()
 
     def clause(self, symbols: str, words: list[str]) -> dict[str, float]:
-        """Events of a clause, each with its heaviest weight: of the arc, times that of the word's stem for insults."""
-        state, out, last = self.begin, {}, 1.0
+        """Events of a clause, each with its heaviest weight: of the arc, times that of the word's stem or of a seed word."""
+        state, out, last = self.begin, {}, self.lexicon.seed
         for s, word in zip(symbols, words, strict=True):
             state, event, weight = self.arcs[state, s]
             if name := EVENTS.get(event):
                 if s == "i":
                     last = self.lexicon.weight(word)
                 elif s == "k":
-                    last = 1.0
+                    last = self.lexicon.seed
                 out[name] = max(out.get(name, 0.0), weight * last)
         return out
 
@@ -192,14 +197,10 @@ class Machine:
                 at += len(part) + 1
         return out, sum(map(bool, parts))
 
-    def features(self, text: str | None) -> list[float]:
+    def load(self, text: str | None) -> float:
+        """Weight of the matched clauses over a root of the number of clauses."""
         found, n = self.clauses(TOKEN.findall(text.lower()) if text else [])
-        sums = dict.fromkeys(OUTPUTS, 0.0)
-        for _, _, events in found:
-            for name, w in events.items():
-                sums[name] += w
-        heaviest = max((sum(e.values()) for _, _, e in found), default=0.0)
-        return [*(float(np.log1p(v)) for v in sums.values()), float(np.log1p(heaviest)), len(found) / max(1, n)]
+        return sum(sum(events.values()) for *_, events in found) / max(1, n) ** LENGTH_POWER
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:
@@ -219,15 +220,18 @@ def stem_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("label").cast("long").alias("label")).mapInArrow(run, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_stems(sample: DataFrame, ratio: float = 5.0, most: int = 2000) -> dict[str, float]:
-    """Stems and their weights (log of the ratio of shares), the most telling first, none an extension of another."""
+def learn_stems(sample: DataFrame, ratio: float = 10.0, least: float = 0.01, most: int = 2000) -> dict[str, float]:
+    """Stems and their weights (log of the ratio of shares), the most telling first, none an extension of another.
+
+    A stem stands in ``least`` of the toxic documents at least, ``ratio`` times its share of the others: rarer ones are chance.
+    """
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return {}
     p, q = F.col("toxic") / toxic, (F.col("clean") + 0.5) / clean
     told = F.col("toxic") * F.log(p / q)
-    rows = stem_counts(sample).where((F.col("toxic") >= max(4, toxic / 200)) & (p >= ratio * q)).select("stem", F.log(p / q).alias("weight"), told.alias("told"))
+    rows = stem_counts(sample).where((F.col("toxic") >= max(4, least * toxic)) & (p >= ratio * q)).select("stem", F.log(p / q).alias("weight"), told.alias("told"))
     out: dict[str, float] = {}
     for r in rows.orderBy(F.desc("told"), F.desc(F.length("stem")), "stem").limit(most).collect():
         s = r["stem"]
@@ -236,28 +240,29 @@ def learn_stems(sample: DataFrame, ratio: float = 5.0, most: int = 2000) -> dict
     return out
 
 
-def feature_udf(stems: dict[str, float]):
+def load_udf(stems: dict[str, float]):
     def make():
         machine = Machine(stems)
-        return lambda texts: [list(c) for c in zip(*map(machine.features, texts), strict=True)] if texts else [[] for _ in FEATURES]
+        return lambda texts: [[machine.load(t) for t in texts]]
 
-    return text_udf(dict.fromkeys(FEATURES, "double"), make)
+    return text_udf({"load": "double"}, make)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> dict:
-    """Stems and weights; documents whose crc32 of the id leaves 1 on division by 3 are never learned from."""
+    """Stems, scale and level; documents whose crc32 of the id leaves 1 on division by 3 are never learned from."""
     keep = crc_mod("doc_id", 3) != 1
     shares = {r["toxic"]: r["count"] for r in labels.where(keep & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     if len(shares) < 2:
         return {"stems": {}, "weights": None, "share": float(shares.get(1, 0) > 0)}
     sample = labelled_sample(docs, labels, "toxic", keep, per_class)
     stems = learn_stems(sample)
-    rows = in_order(sample.select("doc_id", "label", feature_udf(stems)("text").alias("f")).select("doc_id", "label", "f.*").collect())
+    rows = in_order(sample.select("doc_id", "label", load_udf(stems)("text").alias("f")).select("doc_id", "label", "f.*").collect())
     if len({r["label"] for r in rows}) < 2:
         return {"stems": {}, "weights": None, "share": shares[1] / sum(shares.values())}
-    x, y = np.array([[r[c] for c in FEATURES] for r in rows]), np.array([r["label"] for r in rows])
+    x, y = np.array([[r["load"]] for r in rows]), np.array([r["label"] for r in rows])
     weight = np.array([shares[v] / max(1, (y == v).sum()) for v in (0, 1)])[y.astype(int)] * len(y) / sum(shares.values())
-    return {"stems": stems, "weights": logistic(x, y, weight, ridge=0.01), "share": shares[1] / sum(shares.values())}
+    scale, level = logistic(x, y, weight, ridge=0.01)
+    return {"stems": stems, "weights": np.array([max(0.0, scale), level]), "share": shares[1] / sum(shares.values())}
 
 
 def score_of(model: dict):
@@ -266,8 +271,8 @@ def score_of(model: dict):
     def score(machine: Machine, texts: list[str | None]) -> np.ndarray:
         if model["weights"] is None or not texts:
             return np.full(len(texts), model["share"])
-        x = np.array([machine.features(t) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
+        scale, level = model["weights"]
+        return 1 / (1 + np.exp(-np.clip(scale * np.array([machine.load(t) for t in texts]) + level, -30, 30)))
 
     return score
 
