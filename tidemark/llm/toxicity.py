@@ -9,7 +9,7 @@ whose arcs are products of the parts'. It reads each clause with an insult or vi
 targeted, negated, reported and so on, each with the weight of its arc and of its word's stem.
 
 A matched clause counts once for each kind of event, by its heaviest one; its weight is their sum. A document's load is the
-weight of its matched clauses over the fourth root of the number of all its clauses, and its score a logistic function of
+weight of its matched clauses over the square root of the number of all its clauses, and its score a logistic function of
 the load with one learned scale, never below zero, and one learned level. So the arcs' weights are the score: of two texts
 that differ in scope alone, the one that the grammar weighs more scores more. Words as such count for nothing.
 ``find_toxic_clauses`` gives the clauses themselves.
@@ -59,7 +59,7 @@ EVENTS = {
 }
 OUTPUTS = list(EVENTS.values())
 #: How much the number of clauses weakens what matched among them.
-LENGTH_POWER = 0.25
+LENGTH_POWER = 0.5
 
 Arcs = dict[tuple[str, str], tuple[str, str, float]]
 
@@ -220,7 +220,7 @@ def stem_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("label").cast("long").alias("label")).mapInArrow(run, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_stems(sample: DataFrame, ratio: float = 10.0, least: float = 0.01, most: int = 2000) -> dict[str, float]:
+def learn_stems(sample: DataFrame, ratio: float = 20.0, least: float = 0.01, most: int = 2000) -> dict[str, float]:
     """Stems and their weights (log of the ratio of shares), the most telling first, none an extension of another.
 
     A stem stands in ``least`` of the toxic documents at least, ``ratio`` times its share of the others: rarer ones are chance.
