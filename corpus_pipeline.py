@@ -41,10 +41,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents, with each secret in the text replaced by [secret] and n_chars counted anew."""
     model = secrets.secret_model(docs)
 
-    def redact(texts: list[str | None]) -> list[list]:
-        return [[None if t is None else without(t, secrets.scan(t, model)) for t in texts]]
+    def make():
+        field = secrets.Field(model)
+        return lambda texts: [[None if t is None else without(t, secrets.scan(t, field)) for t in texts]]
 
-    clean = text_udf({"text": "string"}, lambda: redact)("text")
+    clean = text_udf({"text": "string"}, make)("text")
     columns = docs.columns
     done = with_struct(docs, "_clean", clean, ["text"])
     if "n_chars" in columns:

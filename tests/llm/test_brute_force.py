@@ -413,14 +413,14 @@ def test_chains_of_documents_are_long_and_hold_inside_tags(spark):
 
     def loss(w, edge):
         node = np.array([w[f].sum(0) for f in tokens_])
-        z, _, _ = secrets.forward_backward(node, edge)
+        (z,), _, _ = secrets.forward_backward(node[None], edge)
         step, last, total = edge + secrets.ALLOWED, secrets.OUT, 0.0
         for i, t in enumerate(tags):
             total, last = total + node[i, t] + step[last, t], t
         return z - total
 
     node = np.array([w[f].sum(0) for f in tokens_])
-    _, p, pairs = secrets.forward_backward(node, edge)
+    _, (p,), pairs = secrets.forward_backward(node[None], edge)
     np.add.at(pairs, ([secrets.OUT, *tags[:-1]], tags), -1)
     for a, b in ((0, 0), (0, 1), (1, 2), (2, 2), (1, 0)):
         e = np.zeros((3, 3))
@@ -437,7 +437,7 @@ def test_chains_of_documents_are_long_and_hold_inside_tags(spark):
 def test_field_finds_secrets_planted_in_documents(spark):
     """Secrets outside the base patterns, in forms of this test's own, planted into documents the field never saw."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model, r = secrets.secret_model(docs.where("doc_id % 2 = 0")), random.Random(19)
+    model, r = secrets.Field(secrets.secret_model(docs.where("doc_id % 2 = 0"))), random.Random(19)
     hosts = [x["text"].split("\n") for x in docs.where("doc_id % 2 = 1 and length(text) between 300 and 3000").orderBy("doc_id").limit(80).collect()]
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     some = lambda lo, hi: "".join(r.choice(letters) for _ in range(r.randint(lo, hi)))
@@ -475,12 +475,48 @@ def test_field_gradient_and_decoding():
 
     paths = list(product(range(3), repeat=4))
     s = np.array([score(p) for p in paths])
-    z, p, _ = secrets.forward_backward(node, edge)
+    (z,), (p,), _ = secrets.forward_backward(node[None], edge)
     assert z == pytest.approx(np.logaddexp.reduce(s))
     assert p[2, 1] == pytest.approx(np.exp(s - z)[[q[2] == 1 for q in paths]].sum())
     assert tuple(secrets.viterbi(node, edge)) == paths[int(s.argmax())]
 
 
+def test_batches_of_chains_are_chains_by_themselves():
+    r = np.random.default_rng(4)
+    node, edge = r.normal(size=(5, 7, 3)), r.normal(size=(3, 3))
+    z, p, pairs = secrets.forward_backward(node, edge)
+    alone = [secrets.forward_backward(x[None], edge) for x in node]
+    assert np.allclose(z, [a[0][0] for a in alone]) and np.allclose(p, [a[1][0] for a in alone]) and np.allclose(pairs, sum(a[2] for a in alone))
+
+
+def test_kept_scores_and_skipped_lines_change_no_span(spark, data):
+    """Spans of whole documents against scoring every token from its features and decoding every line."""
+    model = secrets.train(secrets.synthetic(1500, seed=1), rounds=6)
+    field, n = secrets.Field(model, most=500), 0
+    texts = [x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if x["text"]]
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n))
+    texts += ["\n".join([t[:300], f"Authorization: Bearer {some(30)}", t[300:600], f'export API_KEY="{some(24)}"', f"pwd: {some(9)}"]) for t in texts[:40]]
+    texts += ["login: bob / hunter2", "pwd: ///", "key = - -- abcdef1234567890ABCDEF +/+", "password is: / . /"]
+    for text in texts:
+        slow, file = [], secrets.file_features(text)
+        for start, end in secrets.lines(text):
+            tokens_ = secrets.tokens_of(text, start, end)
+            if not tokens_:
+                continue
+            node = np.array([model["w"][f].astype(float).sum(0) for f in secrets.features(text, start, end, tokens_, file)])
+            node[[i for i, (s, e) in enumerate(tokens_) if not any(c.isalnum() for c in text[s:e])], secrets.BEGIN] = -1e9
+            for (s, e), tag in zip(tokens_, secrets.viterbi(node, model["edge"]), strict=True):
+                if tag == secrets.INSIDE and slow:
+                    slow[-1] = (slow[-1][0], e, "crf")
+                elif tag == secrets.BEGIN:
+                    slow.append((s, e, "crf"))
+        assert field.spans(text) == slow
+        assert all(any(c.isalnum() for c in text[s:e]) for s, e, _ in slow)
+        n += len(slow)
+    assert n > 20
+
+
 def test_field_on_held_out_lines():
     model = secrets.train(secrets.synthetic(1500, seed=1))
     right = [t == tag for tokens_, tags in secrets.synthetic(400, seed=2) for t, tag in zip(secrets.viterbi(np.array([model["w"][f].sum(0) for f in tokens_]), model["edge"]), tags, strict=True)]
@@ -490,7 +526,8 @@ def test_field_on_held_out_lines():
 def test_field_tags_whole_lines():
     """Secrets that are short or hold no digit are found by their company; prose with the same words isn't."""
     model = secrets.train(secrets.synthetic(3000, seed=1))
-    found = lambda t: [t[s:e] for s, e, _ in secrets.scan(t, model)]
+    field = secrets.Field(model)
+    found = lambda t: [t[s:e] for s, e, _ in secrets.scan(t, field)]
     assert found("a\npwd: Tr0ub4dor\nb") == ["Tr0ub4dor"]
     assert found("passphrase: correct-horse-battery-staple") == ["correct-horse-battery-staple"]
     assert found("Authorization: Basic dXNlcjpwYXNz") == ["dXNlcjpwYXNz"]
@@ -504,7 +541,7 @@ def test_field_on_held_out_names_and_several_tokens():
     tokens_ = secrets.tokens_of(line, 0, len(line))
     assert secrets.labels(tokens_, [(8, 18)]) == [secrets.OUT, secrets.BEGIN, secrets.INSIDE, secrets.INSIDE, secrets.OUT]
     assert any(secrets.INSIDE in tags for _, tags in secrets.synthetic(300))
-    model, r = secrets.train(secrets.synthetic(3000, seed=1)), random.Random(14)
+    model, r = secrets.Field(secrets.train(secrets.synthetic(3000, seed=1))), random.Random(14)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     some = lambda n: "".join(r.choice(letters) for _ in range(n))
     for lead, make in [("DB_PWD=", lambda: some(40)), ("passphrase: ", lambda: '"' + " ".join(words(r, 4)) + '"'), ("pwd: ", lambda: f"{some(5)}!{some(4)}@{some(4)}")]:
@@ -589,7 +626,7 @@ def test_long_texts_with_many_spans_end_soon():
     began = time.time()
     assert len(pii.scan(text, model)) > 40_000 and time.time() - began < 60
     line = " ".join(f"token=abcdef{i} 0123456789abcdef0123{i:06x}" for i in range(5_000))
-    field = secrets.train(secrets.synthetic(60), rounds=1)
+    field = secrets.Field(secrets.train(secrets.synthetic(60), rounds=1))
     assert len(secrets.scan(line, field)) >= 10_000 and time.time() - began < 120
 
 

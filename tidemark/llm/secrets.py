@@ -13,7 +13,7 @@ is fixed.
 
 Defined results: null and empty texts have no spans; whole texts are scanned, line by line, in time linear in their length;
 spans are in code points, end exclusive; a learned span that overlaps a base span is left out; where two taggings weigh the same
-the one with tags outside first wins; repeated rows give repeated results; an empty table gives no rows, and a field
+the one with tags outside first wins; a token without a letter or digit begins no secret; repeated rows give repeated results; an empty table gives no rows, and a field
 from made lines alone; of other columns of the input those that are added replace theirs, in any case, the rest stay.
 """
 
@@ -92,20 +92,36 @@ def slot(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % SLOTS
 
 
-def features(text: str, start: int, end: int, tokens: list[tuple[int, int]], file: list[str]) -> list[list[int]]:
-    """Hashed features of tokens of the line from start to end: shape, neighbours on the line, file."""
+#: What a token's features come from: itself ("own"), or a word or mark beside it, by side and distance.
+Key = tuple[str, int, str]
+
+
+def slots_of(key: Key) -> list[int]:
+    """Slots of the features that one key stands for."""
+    side, i, word = key
+    if side == "own":
+        return [slot(w) for w in shape(word)]
+    return [slot(f"before{i}{word}"), slot(f"any{word}")] if side == "before" else [slot(f"after{i}{word}")]
+
+
+def keys_of(text: str, start: int, end: int, tokens: list[tuple[int, int]]) -> list[list[Key]]:
+    """Keys of tokens of the line from start to end: the token, four words or marks before it and two after it."""
     near = [(m.start(), m.end(), m[0].lower()) for m in NEAR.finditer(text, start, end)]
     firsts, lasts = [x[0] for x in near], [x[1] for x in near]
     out = []
     for s, e in tokens:
         i, j = bisect_right(lasts, s), bisect_left(firsts, e)
-        before, after = [x[2] for x in near[max(0, i - 4) : i]], [x[2] for x in near[j : j + 2]]
-        words = shape(text[s:e]) + file
-        words += [f"before{i}{w}" for i, w in enumerate(reversed(before))] + [f"any{w}" for w in before] + [f"after{i}{w}" for i, w in enumerate(after)]
-        out.append([slot(w) for w in words])
+        before = [("before", n, x[2]) for n, x in enumerate(reversed(near[max(0, i - 4) : i]))]
+        out.append([("own", 0, text[s:e]), *before, *[("after", n, x[2]) for n, x in enumerate(near[j : j + 2])]])
     return out
 
 
+def features(text: str, start: int, end: int, tokens: list[tuple[int, int]], file: list[str]) -> list[list[int]]:
+    """Hashed features of tokens of the line from start to end: shape, neighbours on the line, file."""
+    whole = [slot(w) for w in file]
+    return [[x for key in keys for x in slots_of(key)] + whole for keys in keys_of(text, start, end, tokens)]
+
+
 def file_features(text: str) -> list[str]:
     n = len(text) + 1
     return [f"code{min(5, int(200 * sum(text.count(c) for c in '=;{}()') / n))}", f"long{min(4, len(text) // 1000)}", f"quotes{min(3, int(100 * text.count(chr(34)) / n))}"]
@@ -142,21 +158,23 @@ def labels(tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[
 ALLOWED = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])
 
 
-def forward_backward(node: np.ndarray, edge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log partition, tag probabilities at each place, expected transitions. A chain starts after 'outside'."""
-    n, step = len(node), edge + ALLOWED
-    a, b = np.zeros((n, TAGS)), np.zeros((n, TAGS))
-    a[0] = node[0] + step[OUT]
+def forward_backward(node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains of equal length (chain, place, tag): log partitions, tag probabilities, expected transitions of all together.
+
+    A chain starts after 'outside'.
+    """
+    n, step = node.shape[1], edge + ALLOWED
+    a, b = np.zeros(node.shape), np.zeros(node.shape)
+    a[:, 0] = node[:, 0] + step[OUT]
     for i in range(1, n):
-        a[i] = node[i] + np.logaddexp.reduce(a[i - 1][:, None] + step, axis=0)
+        a[:, i] = node[:, i] + np.logaddexp.reduce(a[:, i - 1, :, None] + step, axis=1)
     for i in range(n - 2, -1, -1):
-        b[i] = np.logaddexp.reduce(step + node[i + 1] + b[i + 1], axis=1)
-    z = np.logaddexp.reduce(a[-1])
-    pairs = np.zeros((TAGS, TAGS))
-    pairs[OUT] += np.exp(a[0] + b[0] - z)
-    for i in range(1, n):
-        pairs += np.exp(a[i - 1][:, None] + step + node[i] + b[i] - z)
-    return z, np.exp(a + b - z), pairs
+        b[:, i] = np.logaddexp.reduce(step + (node[:, i + 1] + b[:, i + 1])[:, None], axis=2)
+    z = np.logaddexp.reduce(a[:, -1], axis=1)
+    p = np.exp(a + b - z[:, None, None])
+    pairs = np.exp(a[:, :-1, :, None] + step + (node + b)[:, 1:, None] - z[:, None, None, None]).sum(axis=(0, 1))
+    pairs[OUT] += p[:, 0].sum(axis=0)
+    return z, p, pairs
 
 
 def viterbi(node: np.ndarray, edge: np.ndarray) -> list[int]:
@@ -172,24 +190,31 @@ def viterbi(node: np.ndarray, edge: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def train(chains: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """AdaGrad on the chains' conditional log-likelihood."""
+def train(chains: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-4, together: int = 16) -> dict[str, np.ndarray]:
+    """AdaGrad on the chains' conditional log-likelihood, by batches of ``together`` chains of equal length."""
     w, edge = np.zeros((SLOTS, TAGS)), np.zeros((TAGS, TAGS))
     gw, ge = np.full_like(w, 1e-2), np.full_like(edge, 1e-2)
-    order = random.Random(5)
-    chains = list(chains)
+    order = np.random.default_rng(5)
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for tokens, tags in chains:
+        by_length.setdefault(len(tags), []).append((np.array([len(f) for f in tokens]), np.concatenate(tokens), np.array(tags)))
     for _ in range(rounds):
-        order.shuffle(chains)
-        for tokens, tags in chains:
-            sizes = np.array([len(f) for f in tokens])
-            slots = np.concatenate(tokens)
+        batches = [(n, part) for n, own in sorted(by_length.items()) for part in np.array_split(order.permutation(len(own)), -(-len(own) // together))]
+        for k in order.permutation(len(batches)):
+            n, part = batches[k]
+            some = [by_length[n][i] for i in part]
+            sizes, slots = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
+            tags = np.stack([x[2] for x in some])
             node = np.add.reduceat(w[slots], np.cumsum(sizes) - sizes, axis=0)
-            _, p, pairs = forward_backward(node, edge)
+            _, p, pairs = forward_backward(node.reshape(len(some), n, TAGS), edge)
             grad = -pairs
-            np.add.at(grad, ([OUT, *tags[:-1]], tags), 1)
-            g = np.eye(TAGS)[tags] - p - decay * node / sizes[:, None]
-            np.add.at(gw, slots, np.repeat(g * g, sizes, axis=0))
-            np.add.at(w, slots, rate * np.repeat(g, sizes, axis=0) / np.sqrt(gw[slots]))
+            np.add.at(grad, (np.c_[np.full(len(some), OUT), tags[:, :-1]], tags), 1)
+            g = np.eye(TAGS)[tags.ravel()] - p.reshape(-1, TAGS) - decay * node / sizes[:, None]
+            here, place = np.unique(slots, return_inverse=True)
+            spread = np.repeat(g, sizes, axis=0)
+            sums = np.stack([np.bincount(place, spread[:, t], len(here)) for t in range(TAGS)], axis=1)
+            gw[here] += np.stack([np.bincount(place, spread[:, t] ** 2, len(here)) for t in range(TAGS)], axis=1)
+            w[here] += rate * sums / np.sqrt(gw[here])
             ge += grad * grad
             edge += rate * grad / np.sqrt(ge)
     return {"w": w.astype(np.float32), "edge": edge}
@@ -277,19 +302,19 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def examples(text: str | None) -> list[tuple[list[list[int]], list[int]]]:
-    """Chains of a text labelled by its base spans: of each line WINDOW tokens around the first secret or telling token."""
+def examples(text: str | None, window: int = WINDOW, most: int = MOST_TOKENS) -> list[tuple[list[list[int]], list[int]]]:
+    """Chains of a text labelled by its base spans: of each line ``window`` tokens around the first secret or telling token."""
     if not text:
         return []
-    parts, file, out, left = secret_parts(text), file_features(text), [], MOST_TOKENS
+    parts, file, out, left = secret_parts(text), file_features(text), [], most
     for start, end in sorted(lines(text), key=lambda x: (crc32(f"{x[0]}:{x[1]}:{len(text)}".encode()), x)):
         tokens = tokens_of(text, start, end)
         tags = labels(tokens, parts)
         telling = [i for i, (s, e) in enumerate(tokens) if tags[i]] or [i for i, (s, e) in enumerate(tokens) if TELLING.search(text, s, e)] or [0]
-        first = max(0, telling[0] - WINDOW // 2)
+        first = max(0, telling[0] - window // 2)
         while first and tags[first] == INSIDE:
             first -= 1
-        tokens, tags = tokens[first : first + WINDOW][:left], tags[first : first + WINDOW][:left]
+        tokens, tags = tokens[first : first + window][:left], tags[first : first + window][:left]
         if not tokens:
             continue
         out.append((features(text, start, end, tokens, file), tags))
@@ -299,10 +324,11 @@ def examples(text: str | None) -> list[tuple[list[list[int]], list[int]]]:
     return out
 
 
-def secret_model(docs: DataFrame, documents: int = 4000, made: int = 3000) -> dict[str, np.ndarray]:
-    """Fit the field on the chains of ``documents`` documents and ``made`` synthetic lines."""
+def secret_model(docs: DataFrame, documents: int = 4000, made: int = 3000, window: int = WINDOW, most: int = MOST_TOKENS) -> dict[str, np.ndarray]:
+    """Fit the field on the chains of ``documents`` documents, ``most`` tokens of each in windows of ``window``, and ``made`` synthetic lines."""
+
     def collect(texts: list[str | None]) -> list[list]:
-        got = [examples(t) for t in texts]
+        got = [examples(t, window, most) for t in texts]
         return [[[len(c) for _, tags in g for c in [tags]] for g in got], [[t for _, tags in g for t in tags] for g in got], [[len(f) for tokens, _ in g for f in tokens] for g in got], [[x for tokens, _ in g for f in tokens for x in f] for g in got]]
 
     fields = {"chains": "array<int>", "tags": "array<int>", "sizes": "array<int>", "slots": "array<int>"}
@@ -317,38 +343,86 @@ def secret_model(docs: DataFrame, documents: int = 4000, made: int = 3000) -> di
     return train(chains)
 
 
-def learned_spans(text: str, model: dict[str, np.ndarray], base: list[Span]) -> list[Span]:
+class Field:
+    """The trained field over texts. A token's score is the sum of its keys' scores, which are kept: most words come again."""
+
+    def __init__(self, model: dict[str, np.ndarray], most: int = 300_000):
+        self.w, self.edge, self.most = model["w"].astype(float), model["edge"], most
+        self.rows: dict[Key, int] = {}
+        self.table = np.zeros((1024, TAGS))
+        stay = self.edge[OUT, OUT]
+        leave = max(0.0, float((self.edge[:, OUT] - stay).max()))
+        #: More than a token can add to a path, beside its own score, where it isn't outside.
+        self.slack = np.array([float((self.edge[:, t] - stay)[ALLOWED[:, t] == 0].max()) + leave for t in (BEGIN, INSIDE)])
+
+    def row(self, key: Key) -> int:
+        r = self.rows.get(key)
+        if r is None:
+            r = self.rows[key] = len(self.rows)
+            if r == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[r] = self.w[slots_of(key)].sum(0)
+        return r
+
+    def spans(self, text: str) -> list[Span]:
+        """Spans that the field tags. A line is decoded only where some token could outweigh its being outside.
+
+        A token without a letter or a digit never begins a secret.
+        """
+        if len(self.rows) > self.most:
+            self.rows = {}
+        parts, ids, sizes = [], [], []
+        for start, end in lines(text):
+            tokens = tokens_of(text, start, end)
+            if tokens:
+                parts.append(tokens)
+                for keys in keys_of(text, start, end, tokens):
+                    sizes.append(len(keys))
+                    ids += [self.row(k) for k in keys]
+        if not parts:
+            return []
+        size = np.array(sizes)
+        node = np.add.reduceat(self.table[ids], np.cumsum(size) - size, axis=0) + self.w[[slot(w) for w in file_features(text)]].sum(0)
+        bare = [i for i, (s, e) in enumerate(t for tokens in parts for t in tokens) if not any(map(str.isalnum, text[s:e]))]
+        node[bare, BEGIN] = -1e9
+        could = (node[:, [BEGIN, INSIDE]] - node[:, [OUT]] + self.slack).max(axis=1) > 0
+        out: list[Span] = []
+        at = 0
+        for tokens in parts:
+            here = slice(at, at + len(tokens))
+            at += len(tokens)
+            if could[here].any():
+                for (s, e), tag in zip(tokens, viterbi(node[here], self.edge), strict=True):
+                    if tag == INSIDE and out:
+                        out[-1] = (out[-1][0], e, "crf")
+                    elif tag == BEGIN:
+                        out.append((s, e, "crf"))
+        return out
+
+
+def learned_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
     """Spans that the field tags, without those that overlap base spans."""
-    out: list[Span] = []
-    file: list[str] | None = None
-    for start, end in lines(text):
-        file = file or file_features(text)
-        if not (tokens := tokens_of(text, start, end)):
-            continue
-        node = np.array([model["w"][f].sum(0) for f in features(text, start, end, tokens, file)])
-        for (s, e), tag in zip(tokens, viterbi(node, model["edge"]), strict=True):
-            if tag == INSIDE and out:
-                out[-1] = (out[-1][0], e, "crf")
-            elif tag == BEGIN:
-                out.append((s, e, "crf"))
+    out = field.spans(text)
     starts, furthest = [s for s, _, _ in base], [0, *accumulate((e for _, e, _ in base), max)]
     return [x for x in out if furthest[bisect_left(starts, x[1])] <= x[0]]
 
 
-def scan(text: str | None, model: dict[str, np.ndarray]) -> list[Span]:
+def scan(text: str | None, field: Field) -> list[Span]:
     """All spans of a text by start, then kind."""
     if not text:
         return []
     base = base_spans(text)
-    return sorted(base + learned_spans(text, model, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(base + learned_spans(text, field, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def spans_of(model: dict[str, np.ndarray]):
     """An Arrow UDF: kinds, starts and ends of all spans of a text."""
 
     def make():
+        field = Field(model)
+
         def run(texts: list[str | None]) -> list[list]:
-            found = [scan(t, model) for t in texts]
+            found = [scan(t, field) for t in texts]
             return [[[s[i] for s in f] for f in found] for i in (2, 0, 1)]
 
         return run
