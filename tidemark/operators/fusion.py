@@ -48,24 +48,54 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
 
+def merge_keys(operations: DataFrame, scope: list[str]) -> tuple[DataFrame, list[str]]:
+    keyed = operations.withColumn("requires_key", F.array_sort("requires")).withColumn("gate_key", F.array_sort("gate"))
+    return keyed, [*scope, "stage", "effect", "requires_key", "gate_key", "optional"]
+
+
 def merge_operations(operations: DataFrame, scope: list[str]) -> DataFrame:
-    """Operations of equal stage, effect, requirements, gates and optional flag become one: the first, with all ids.
+    """Operations of equal stage, effect, requirements, gates and optional flag become one: the first, and how many they are.
 
-    The first by ``ord`` gives id, name and confidence, not the best; the summary is the first that isn't empty. Where there
-    is evidence, the lists follow each other in that order.
+    The first by ``ord`` gives id, name and confidence, not the best; the summary is the first that isn't empty. Which operations
+    became which are rows of ``merged_members``, and their evidence rows of ``merged_evidence``: no list grows with a group.
     """
-    keys = [*scope, "stage", "effect", "requires_key", "gate_key", "optional"]
-    keyed = operations.withColumn("requires_key", F.array_sort("requires")).withColumn("gate_key", F.array_sort("gate"))
+    keyed, keys = merge_keys(operations, scope)
     told = F.when(F.coalesce("summary", F.lit("")) != "", F.col("ord"))
-    more = []
-    if "evidence" in operations.columns:
-        more.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "evidence")), lambda a, b: F.when(F.struct(a["ord"], a["id"]) < F.struct(b["ord"], b["id"]), -1).otherwise(1)), lambda x: x["evidence"])).alias("evidence"))
     return keyed.groupBy(*keys).agg(
-        *more, F.min_by("id", "ord").alias("id"), F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"),
-        F.min_by("summary", told).alias("summary"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("merged_ids"),
+        F.min_by("id", "ord").alias("id"), F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"), F.min_by("summary", told).alias("summary"), F.count("*").alias("n_merged"),
     ).withColumnRenamed("requires_key", "requires").withColumnRenamed("gate_key", "gate")
 
 
+def merged_members(operations: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, merged_id, ord, id: every operation under the one that it became; order by ord."""
+    keyed, keys = merge_keys(operations, scope)
+    firsts = keyed.groupBy(*keys).agg(F.min_by("id", "ord").alias("merged_id")).select(*[F.col(k).alias(f"_{k}") for k in keys], "merged_id")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]  # stage, effect or the flag may be null: those are equal as well
+    return keyed.join(firsts, same).select(*scope, "merged_id", "ord", "id")
+
+
+def merged_evidence(operations: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, merged_id, ord, place, and the fields of ``evidence`` (an array in ``operations``) of all operations that became one.
+
+    Order by ord, then place: the lists follow each other as their operations do.
+    """
+    items = operations.select(*scope, "id", F.posexplode("evidence").alias("place", "e"))
+    return merged_members(operations, scope).join(items, [*scope, "id"]).select(*scope, "merged_id", "ord", "place", "e.*")
+
+
+def first_places(rows: DataFrame, scope: list[str], order: str, most: int) -> DataFrame:
+    """The first ``most`` values of ``order`` of each scope as text, and how many more there are: a limit of the feature.
+
+    Every task keeps ``most`` values of a scope, so a scope of any size is one short row for each task.
+    """
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
+    kept = rows.select(*scope, order).withColumn("_place", place).where(F.col("_place") <= most)
+    listed = kept.groupBy(*scope).agg(F.array_sort(F.collect_list(order)).alias("_first"))
+    n = rows.groupBy(*scope).agg(F.count("*").alias("_n")).join(listed, scope)
+    more = F.when(F.col("_n") > most, F.concat(F.lit(" and "), F.col("_n") - most, F.lit(" more"))).otherwise("")
+    return n.select(*scope, F.concat(F.concat_ws(", ", F.col("_first").cast("array<string>")), more).alias("locations"))
+
+
 def drop_plumbing(operations: DataFrame) -> DataFrame:
     return operations.where((F.size("requires") > 0) | (F.size("gate") > 0))
 

@@ -32,6 +32,13 @@ def first_files(files: DataFrame, scope: list[str], order: str, most: int, first
     return files.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(lead, order))).where(F.col("place") <= most)
 
 
+def cues(sentences: DataFrame, scope: list[str], order: str, text: str, least_ms: int = 4000, chars_a_second: int = 18) -> DataFrame:
+    """Sentences with span_ms and start_ms: how long each is shown, and when it begins after those before it in its scope."""
+    span = F.greatest(F.lit(least_ms), F.floor(F.length(text) * 1000 / chars_a_second)).cast("long")
+    before = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sentences.withColumn("span_ms", span).withColumn("start_ms", F.coalesce(F.sum("span_ms").over(before), F.lit(0)))
+
+
 def membership(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Each key with ``added``, ``removed`` or ``both``."""
     a, b = old.select(*key).distinct().withColumn("was", F.lit(True)), new.select(*key).distinct().withColumn("is", F.lit(True))

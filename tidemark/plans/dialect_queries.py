@@ -149,6 +149,51 @@ def dl_rust(spark: SparkSession, sf: str) -> DataFrame:
     return told(D.rust_declarations(files(spark, sf, "api.rs", line)), "lo", "hi")
 
 
+def dl_web_nest(spark: SparkSession, sf: str) -> DataFrame:
+    """Nest decorators, every fifth without a path; a brace in a text doesn't end the method."""
+    name = F.initcap(pick(METHODS, F.col("p_size") % 4 + 1))
+    path = F.when(F.col("p_size") % 5 == 0, "()").otherwise(F.concat(F.lit("('/n"), key(), F.lit("')")))
+    line = F.concat(F.lit("  @"), name, path, F.lit("\n  m"), key(), F.lit("() {\n    return '}';\n  }"))
+    return told(D.web_js(files(spark, sf, "app.controller.ts", line, "@Get\n")), "lo", "hi")
+
+
+def dl_go_cobra(spark: SparkSession, sf: str) -> DataFrame:
+    """cobra commands, every third without a use, and net/http handlers; braces in the summary don't count."""
+    use = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('\tUse: "run'), key(), F.lit(' all",')))
+    line = F.concat(F.lit("var c"), key(), F.lit(" = &cobra.Command{\n"), use, F.lit('\n\tShort: "does {'), key(), F.lit('",\n}\nhttp.HandleFunc("/h'), key(), F.lit('", h)'))
+    return told(D.go_declarations(files(spark, sf, "cmd.go", line)), "detail", "lo", "hi")
+
+
+def dl_jvm_listeners(spark: SparkSession, sf: str) -> DataFrame:
+    """Listeners of three kinds, one without a body, and a main function a file."""
+    kind = pick(("Kafka", "Jms", "Event"), F.col("p_size") % 3 + 1)
+    body = F.when(F.col("p_size") % 4 == 0, ";\n\n").otherwise(" {\n    x();\n  }")
+    line = F.concat(F.lit("  @"), kind, F.lit('Listener(topics = "t")\n  public void onMsg'), key(), F.lit("(String m)"), body)
+    return told(D.jvm_declarations(files(spark, sf, "Jobs.java", line, "class Jobs {\n  public static void main(String[] args) {\n  }\n", "\n}")), "detail", "lo", "hi")
+
+
+def dl_rust_clap(spark: SparkSession, sf: str) -> DataFrame:
+    """clap parsers, every third without a name of its own, a subcommand each, and axum routes of two methods with a service."""
+    name = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('#[command(name = "tool'), key(), F.lit('")]')))
+    clap = F.concat(F.lit("#[derive(Parser)]\n"), name, F.lit("\nstruct Cli"), key(), F.lit(" {}\n#[derive(Debug, Subcommand)]\nenum Todo"), key(), F.lit(' {\n    #[command(about = "do it")]\n    Run'), key(), F.lit(",\n}\n"))
+    axum = F.concat(F.lit('fn app() { Router::new().route("/a'), key(), F.lit('", get(h).post(h)).service(page'), key(), F.lit("); }"))
+    return told(D.rust_declarations(files(spark, sf, "cli.rs", F.concat(clap, axum))), "detail")
+
+
+def dl_cargo(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins and members of Cargo files."""
+    bins = files(spark, sf, "Cargo.toml", F.concat(F.lit('[[bin]]\nname = "b'), key(), F.lit('"')), '[package]\nname = "no"\n')
+    members = files(spark, sf, "Cargo.toml", F.concat(F.lit('"crates/m'), key(), F.lit('"')), "[workspace]\nmembers = [", "]\n", ", ").withColumn("rel", F.concat(F.lit("w/"), "rel"))
+    return told(D.rust_declarations(bins.unionByName(members)))
+
+
+def dl_ansible_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Task files below a folder of tasks; with hosts in them they are plays, elsewhere nothing."""
+    rows = part_files(spark, sf, "x", F.when(F.col("p_size") % 3 == 0, F.lit("- name: Go\n  hosts: all\n  tasks:\n")).otherwise("- tasks:\n  - debug: x\n"))
+    folder = F.when(F.length("rel") % 2 == 0, "roles/tasks/").otherwise("roles/")
+    return told(D.ansible_plays(rows.withColumn("rel", F.concat(folder, F.translate("rel", "/x", ""), F.lit(".yml")))))
+
+
 def dl_cli_python(spark: SparkSession, sf: str) -> DataFrame:
     return told(D.python_candidates(python_files(spark, sf), "cli-python"), "lo", "hi")
 
@@ -187,7 +232,7 @@ def flt_class_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dl_make_target, dl_package_scripts, dl_terraform, dl_proto_service, dl_crontab, dl_systemd_unit, dl_tool_manifest, fn_tool_names, dl_openapi_spec, dl_openapi_yaml, dl_github_actions, dl_compose_services, dl_kubernetes,
-    dl_ansible, dl_web_js, dl_go, dl_jvm, dl_rust, dl_cli_python, dl_agent_tools, dl_orchestrator_dag, dl_web_python, win_order_hint, flt_class_fit,
+    dl_ansible, dl_web_js, dl_web_nest, dl_go, dl_go_cobra, dl_jvm, dl_jvm_listeners, dl_rust, dl_rust_clap, dl_cargo, dl_ansible_tasks, dl_cli_python, dl_agent_tools, dl_orchestrator_dag, dl_web_python, win_order_hint, flt_class_fit,
 )}
 
 rel = lambda name: f"{REL.format(name)} AS rel"
@@ -233,6 +278,12 @@ SQL = {
     "dl_go": HEAD + row("main.go", "line * 3", "'router-route'", f"upper({M}) || ' /p' || {K}", f"{M} || '-p' || {K}", more=BODY.format("NULL", "NULL"), where="p_size % 4 < 3") + " UNION ALL " + row("main.go", "line * 3 - 1", "'go-func'", f"'Run' || {K}", f"'run' || {K}", "'shell.exec'", LOCAL, more=BODY.format("line * 3 - 1", "line * 3 + 1"), where="p_size % 3 = 0"),
     "dl_jvm": HEAD + row("Api.java", "line * 4", "'spring-controller-route'", f"'GET /api/p' || {K}", f"'get-api-p' || {K}", more=BODY.format("line * 4", "line * 4 + 3"), where="p_size % 3 <> 0") + " UNION ALL " + row("Api.java", "line * 4", "'spring-scheduled'", f"'scheduled run Job' || {K}", f"'scheduled-run-job' || {K}", "'schedule.cron'", EXTERNAL, "'scheduled'", more=BODY.format("line * 4", "line * 4 + 3"), where="p_size % 3 = 0"),
     "dl_rust": HEAD + row("api.rs", "line * 4 - 3", "'route-attribute'", f"upper({M}) || ' /p' || {K}", f"{M} || '-p' || {K}", more=BODY.format("line * 4 - 2", "line * 4"), where="p_size % 4 < 3"),
+    "dl_web_nest": HEAD.rstrip() + ", y AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN '/' ELSE '/n' || p_partkey END AS path FROM x) " + row("app.controller.ts", "line * 4 - 2", "'nest-decorator'", f"upper({M}) || ' ' || path", f"{M} || CASE WHEN path = '/' THEN '' ELSE '-n' || {K} END", effect="CAST(NULL AS VARCHAR)", more=BODY.format("line * 4 - 2", "line * 4 + 1"), where="p_size % 4 < 3", source="y"),
+    "dl_go_cobra": HEAD + row("cmd.go", "line * 5 - 4", "'cobra-command'", f"'run' || {K}", f"'run' || {K}", "'shell.exec'", LOCAL, more=f", 'cobra command run' || {K} || ' — does {{' || {K} AS detail" + BODY.format("line * 5 - 4", "line * 5 - 1"), where="p_size % 3 <> 0") + " UNION ALL " + row("cmd.go", "line * 5", "'http-handle'", f"'HTTP /h' || {K}", f"'http-h' || {K}", more=f", 'net/http handler for /h' || {K} AS detail" + BODY.format("NULL", "NULL")),
+    "dl_jvm_listeners": HEAD + row("Jobs.java", "line * 4", "'spring-' || ['kafka', 'jms', 'event'][p_size % 3 + 1] || '-listener'", f"['kafka', 'jms', 'event'][p_size % 3 + 1] || ' on Msg' || {K}", f"['kafka', 'jms', 'event'][p_size % 3 + 1] || '-on-msg' || {K}", "CASE WHEN p_size % 3 < 2 THEN 'queue.consume' ELSE '' END", f"CASE WHEN p_size % 3 < 2 THEN {EXTERNAL} END", more=f", '@' || ['Kafka', 'Jms', 'Event'][p_size % 3 + 1] || 'Listener on onMsg' || {K} || '()' AS detail" + BODY.format("CASE WHEN p_size % 4 <> 0 THEN line * 4 END", "CASE WHEN p_size % 4 <> 0 THEN line * 4 + 3 END")) + " UNION ALL " + row("Jobs.java", "2", "'java-main'", "'main'", "'main'", "'shell.exec'", LOCAL, more=", 'public static void main entry point' AS detail" + BODY.format("2", "3"), where="line = 1"),
+    "dl_rust_clap": HEAD.rstrip() + ", y AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN 'Cli' || p_partkey ELSE 'tool' || p_partkey END AS label FROM x) " + row("cli.rs", "line * 9 - 8", "'clap-parser'", "label", "lower(label)", "'shell.exec'", LOCAL, more=f", 'clap Parser Cli' || {K} AS detail", source="y") + " UNION ALL " + row("cli.rs", "line * 9 - 2", "'clap-subcommand'", f"'Run' || {K}", f"'run' || {K}", "'shell.exec'", LOCAL, more=f", 'clap subcommand Run' || {K} || ' — do it' AS detail", source="y") + "".join(" UNION ALL " + row("cli.rs", "line * 9", "'axum-route'", f"'{m} /a' || {K}", f"'{m.lower()}-a' || {K}", more=f", '{m} route /a' || {K} AS detail", source="y") for m in ("GET", "POST")) + " UNION ALL " + row("cli.rs", "line * 9", "'axum-service'", f"'page' || {K}", f"'service-page' || {K}", more=f", 'axum service page' || {K} AS detail", source="y"),
+    "dl_cargo": HEAD + row("Cargo.toml", "1", "'cargo-bin'", f"'b' || {K}", f"'bin-b' || {K}", "'shell.exec'", LOCAL) + " UNION ALL " + row("", "1", "'cargo-workspace-member'", f"'m' || {K}", f"'member-m' || {K}", path="'w/d' || (p_partkey // 50) || '/Cargo.toml'"),
+    "dl_ansible_tasks": HEAD.rstrip() + ", y AS (SELECT *, 'p' || p_partkey AS stem, (length('p' || p_partkey || '/x') % 2 = 0) AS deep FROM x) " + row("", "2", "'ansible-play'", "'Go'", "'play-go'", "'shell.exec'", LOCAL, where="p_size % 3 = 0", source="y", path="CASE WHEN deep THEN 'roles/tasks/' ELSE 'roles/' END || stem || '.yml'") + " UNION ALL " + row("", "1", "'ansible-tasks'", "stem", "'play-' || stem", "'shell.exec'", LOCAL, where="p_size % 3 <> 0 AND deep", source="y", path="'roles/tasks/' || stem || '.yml'"),
     "dl_cli_python": HEAD + row("cli.py", "line * 3 - 1", "'command-decorator'", f"replace(p_name, ' ', '_') || '_' || {K}", N, more=BODY.format("line * 3 - 1", "line * 3")),
     "dl_agent_tools": HEAD + row("tools.py", "line * 3 - 1", "CASE WHEN p_size % 2 = 0 THEN 'tool-decorator' ELSE 'function_tool-decorator' END", f"'t' || {K}", f"'tool-t' || {K}", more=", 'query' AS inputs"),
     "dl_orchestrator_dag": HEAD + row("dags.py", "line * 3 - 1", "'asset-decorator'", f"'a' || {K}", f"'asset-a' || {K}", more=f", '@asset on a' || {K} || '()' AS detail", where="p_size % 2 = 0") + " UNION ALL " + row("dags.py", "line * 3 - 2", "'dag-constructor'", f"'flow ' || {K}", f"'dag-flow-' || {K}", more=f", 'DAG flow ' || {K} AS detail", where="p_size % 2 = 1"),

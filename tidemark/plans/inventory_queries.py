@@ -148,10 +148,20 @@ def snk_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg_merge_ops(spark: SparkSession, sf: str) -> DataFrame:
-    m = fusion.merge_operations(fusion.drop_plumbing(ops(spark, sf)), ["day"])
+    """Merged operations; the ids of a group, which are rows, are listed here to be compared."""
+    rows = fusion.drop_plumbing(ops(spark, sf))
+    members = fusion.merged_members(rows, ["day"]).groupBy("day", F.col("merged_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("m"))
+    m = fusion.merge_operations(rows, ["day"]).join(members, ["day", "id"]).withColumn("merged_ids", F.transform("m", lambda x: x["id"])).drop("m", "n_merged")
     return m.withColumns({c: joined(c) for c in ("requires", "gate", "merged_ids")})
 
 
+def agg_merge_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of merged operations: two pieces an operation, in the order of the operations."""
+    piece = lambda source, loc: F.struct(F.lit(source).alias("source"), loc.cast("string").alias("loc"))
+    rows = fusion.drop_plumbing(ops(spark, sf)).withColumn("evidence", F.array(piece("traced", F.col("ord")), piece("declared", F.col("n"))))
+    return fusion.merged_evidence(rows, ["day"]).withColumn("place", F.col("place").cast("long"))
+
+
 def topk_class_cap(spark: SparkSession, sf: str) -> DataFrame:
     cls = pick(("library", "cli-tool", "service-app", "agent-system"), F.dayofmonth(F.to_date("day")) % 4 + 1)
     return fusion.cap_by_class(ops(spark, sf).withColumn("cls", cls), ["day"], "cls").select("day", "id", F.col("place").cast("long").alias("place"))
@@ -246,12 +256,17 @@ def prd_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lim_locations(spark: SparkSession, sf: str) -> DataFrame:
-    """First five places of an operation, and how many more; the list is cut per group by rank, never gathered whole."""
-    rows = read(spark, sf, "events").select("user_id", "event_type", "event_id")
-    place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    n = rows.withColumn("place", place).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("event_id")))).alias("first"), F.count("*").alias("n"))
-    more = F.when(F.col("n") > 5, F.concat(F.lit(" and "), F.col("n") - 5, F.lit(" more"))).otherwise("")
-    return n.select("user_id", "event_type", F.concat(F.concat_ws(", ", F.col("first").cast("array<string>")), more).alias("locations"))
+    """First five events of a user and type, and how many more."""
+    return fusion.first_places(read(spark, sf, "events"), ["user_id", "event_type"], "event_id", 5)
+
+
+def op_validate_inventory_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields around the operations, wrong by the user's number."""
+    r = F.col("user_id") % 7
+    rows = read(spark, sf, "events").select("user_id").distinct().select(
+        F.concat(F.lit("u"), "user_id").alias("repo"), F.when(r == 1, "other").when(r == 2, None).otherwise("library").alias("repo_class"), F.when(r == 3, "open").otherwise("draft").alias("inventory_status"), F.when(r != 4, "1").alias("schema_version"),
+    )
+    return checks.validate_inventories(rows)
 
 
 def op_validate_inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,8 +295,8 @@ def snk_review_md(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op_validate_inventory, op_validate_package, snk_report_json, snk_report_text, snk_review_md,
+    op_validate_inventory, op_validate_inventory_fields, op_validate_package, snk_report_json, snk_report_text, snk_review_md,
     op_route, op_gates, op_resolve, op_summarise, agg_outcomes, agg_binding_hist, op_invariants, op_questions, prd_deterministic, jn_standin_default, jn_provider_caps, jn_diff, jn_merge_reviewed,
-    jn_apply_proposals, snk_digest, agg_merge_ops, topk_class_cap, sort_attention, agg_dominant_effect, agg_first_opid, agg_evidence_dedupe, fn_confidence_fuse, jn_interval_innermost, jn_leftover,
+    jn_apply_proposals, snk_digest, agg_merge_ops, agg_merge_evidence, topk_class_cap, sort_attention, agg_dominant_effect, agg_first_opid, agg_evidence_dedupe, fn_confidence_fuse, jn_interval_innermost, jn_leftover,
     jn_enclosing_service, jn_class_context, jn_play_name, jn_catalog_lookup, src_caps, prd_expiry, lim_locations,
 )}

@@ -48,6 +48,7 @@ SQL = {
     "op_validate_inventory": f"""WITH {DAMAGED} SELECT day, id, 'id-form' AS rule FROM dbl WHERE NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$')
 UNION ALL SELECT day, id, 'stage' FROM dbl WHERE stage IS NULL OR stage NOT IN {STAGES} UNION ALL SELECT day, id, 'requires-empty' FROM dbl WHERE len(requires) = 0
 UNION ALL SELECT day, id, 'gate' FROM dbl WHERE list_contains(gate, 'other') UNION ALL SELECT day, id, 'duplicate-id' FROM dbl GROUP BY day, id HAVING count(*) > 1""",
+    "op_validate_inventory_fields": "WITH u AS (SELECT DISTINCT user_id, user_id % 7 AS r FROM events) SELECT 'u' || user_id AS repo, ['repo-class', 'repo-class', 'status', 'schema-version'][r] AS rule FROM u WHERE r BETWEEN 1 AND 4",
     "op_validate_package": "WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END || '-' || doc_id AS name, text FROM documents) SELECT name, 'lines' AS rule FROM f WHERE length(text) - length(replace(text, chr(10), '')) + 1 > 500 UNION ALL SELECT name, 'tokens' FROM f WHERE length(text) // 4 > 5000 UNION ALL SELECT name, 'name' FROM f WHERE NOT regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*$')",
     "snk_report_json": f"WITH {RES}, c AS (SELECT profile, day, {COUNTS} FROM res GROUP BY profile, day) SELECT profile, day, CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in ORDERED)})) AS VARCHAR) AS report FROM c",
     "snk_report_text": f"WITH {RES} SELECT profile, id, rpad(id, 24, ' ') || rpad(binding, 10, ' ') || printf('%5.2f', CAST(coverage AS DOUBLE)) || '  ' || {text('gates')} AS line FROM res",
@@ -75,6 +76,7 @@ UNION ALL SELECT profile, id, 'I7' FROM bad WHERE len(gate) > 0 AND binding = 'a
     "jn_apply_proposals": f"WITH {ops()} SELECT id, CASE WHEN ord % 14 = 0 THEN array_to_string(list_sort(list_distinct(list_append(requires, 'human.review'))), ',') ELSE {text('requires')} END AS requires, CASE WHEN ord % 14 = 0 AND n > 2 THEN array_to_string(list_sort(list_distinct(list_append(gate, 'legal'))), ',') ELSE {text('gate')} END AS gate, CASE WHEN ord % 14 = 0 THEN 'low' ELSE confidence END AS confidence FROM ops UNION ALL SELECT id || 'x', 'human.review', '', 'unknown' FROM ops WHERE ord % 7 = 0 AND ord % 2 <> 0",
     "snk_digest": f"WITH {ops()} SELECT id, stage, effect, {text('requires')} AS requires, {text('gate')} AS gate, confidence, array_to_string(list_sort(list_distinct(list_transform(requires, lambda c: CASE WHEN c = 'view' THEN 'traced' ELSE 'declared' END))), ',') AS sources FROM ops",
     "agg_merge_ops": f"WITH {ops()} SELECT day, stage, effect, {text('requires')} AS requires, {text('gate')} AS gate, optional, arg_min(id, ord) AS id, arg_min(confidence, ord) AS confidence, min(ord) AS ord, arg_min(summary, ord) FILTER (summary <> '') AS summary, string_agg(id, ',' ORDER BY ord) AS merged_ids FROM ops WHERE len(requires) > 0 OR len(gate) > 0 GROUP BY day, stage, effect, ops.requires, ops.gate, optional",
+    "agg_merge_evidence": f"WITH {ops()}, m AS (SELECT *, arg_min(id, ord) OVER (PARTITION BY day, stage, effect, requires, gate, optional) AS merged_id FROM ops WHERE len(requires) > 0 OR len(gate) > 0) SELECT day, merged_id, ord, CAST(0 AS BIGINT) AS place, 'traced' AS source, CAST(ord AS VARCHAR) AS loc FROM m UNION ALL SELECT day, merged_id, ord, 1, 'declared', CAST(n AS VARCHAR) FROM m",
     "topk_class_cap": f"WITH {ops()}, r AS (SELECT day, id, ['library', 'cli-tool', 'service-app', 'agent-system'][CAST(substr(day, 9, 2) AS INT) % 4 + 1] AS cls, row_number() OVER (PARTITION BY day ORDER BY CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, id) AS place FROM ops) SELECT day, id, place FROM r WHERE place <= CASE cls WHEN 'library' THEN 25 WHEN 'cli-tool' THEN 60 WHEN 'service-app' THEN 80 ELSE 40 END",
     "sort_attention": f"WITH {ops()} SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY {ATTENTION}) AS place FROM ops",
     "agg_dominant_effect": f"WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS hour, {EFFECT_OF} AS effect FROM events WHERE event_type <> 'signup' OR user_id % 2 = 0) SELECT user_id, hour, {lst(fusion.EFFECTS)}[max(list_position({lst(fusion.EFFECTS)}, effect))] AS effect FROM e GROUP BY user_id, hour",

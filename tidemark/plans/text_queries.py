@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import selection
 from tidemark.sources.tables import read, read_texts
 
 joined = lambda a: F.concat_ws(",", a)
@@ -54,9 +55,7 @@ def fn_flag_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def win_cue_cursor(spark: SparkSession, sf: str) -> DataFrame:
     """Subtitle cues in milliseconds: each at least 4 s and a second for each 18 characters; starts add up in a document."""
-    span = F.greatest(F.lit(4000), F.floor(F.length("sentence") * 1000 / 18)).cast("long")
-    before = Window.partitionBy("doc_id").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sentence_rows(spark, sf).withColumn("span_ms", span).withColumn("start_ms", F.coalesce(F.sum("span_ms").over(before), F.lit(0)))
+    rows = selection.cues(sentence_rows(spark, sf), ["doc_id"], "sentence_no", "sentence")
     return rows.select("doc_id", "sentence_no", "start_ms", T.srt_timestamp(F.col("start_ms")).alias("starts"), T.srt_timestamp(F.col("start_ms") + F.col("span_ms")).alias("ends"))
 
 
