@@ -489,6 +489,19 @@ def test_batches_of_chains_are_chains_by_themselves():
     assert np.allclose(z, [a[0][0] for a in alone]) and np.allclose(p, [a[1][0] for a in alone]) and np.allclose(pairs, sum(a[2] for a in alone))
 
 
+def test_telling_lines_are_those_that_match(spark, data):
+    r = random.Random(8)
+    texts = [x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if x["text"]]
+    texts += ["".join(r.choice(["a", "B", "7", "-", "_", " ", "\n", "pa", "ss", "PIN", "pin", "\u017f", "K\u0130", "é", "x" * 9, "key", ".", "="]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for text in texts:
+        want, at = [], 0
+        for line in text.split("\n"):
+            if secrets.TELLING.search(text, at, at + len(line)) and secrets.TELLING.search(line):
+                want.append((at, at + len(line)))
+            at += len(line) + 1
+        assert secrets.lines(text) == want, repr(text)
+
+
 def test_kept_scores_and_skipped_lines_change_no_span(spark, data):
     """Spans of whole documents against scoring every token from its features and decoding every line."""
     model = secrets.train(secrets.synthetic(1500, seed=1), rounds=6)

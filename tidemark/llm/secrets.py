@@ -127,13 +127,45 @@ def file_features(text: str) -> list[str]:
     return [f"code{min(5, int(200 * sum(text.count(c) for c in '=;{}()') / n))}", f"long{min(4, len(text) // 1000)}", f"quotes{min(3, int(100 * text.count(chr(34)) / n))}"]
 
 
-def lines(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the lines that hold a value-like token or a key word."""
-    at = 0
-    while m := TELLING.search(text, at):
-        at = text.find("\n", m.end())
-        at = at if at >= 0 else len(text)
-        yield text.rfind("\n", 0, m.start()) + 1, at
+#: The parts of TELLING one by one, each beginning with what is rare in prose.
+PARTS = [re.compile(p) for p in (
+    r"[0-9][+/_.~=-]*[A-Za-z]", r"[0-9](?<=[A-Za-z].)", r"[+/_.~=-](?<=[A-Za-z].)[+/_.~=-]*[0-9]", r"[A-Z](?<=[a-z].)", r"[^\w+/.~-][\w+/.~-]{20}",
+)]
+AT_START = re.compile(r"[\w+/.~-]{20}")
+WORDS, PIN = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login"), re.compile(r"(?i:\bpin\b)")
+ANY_WORD = re.compile(f"(?i:{'|'.join(WORDS)}|\\bpin\\b)")
+#: Letters that count as others where case doesn't, but have other small forms.
+ODD_LETTERS = "\u017f\u0130\u0131\u212a"
+
+
+def lines(text: str) -> list[tuple[int, int]]:
+    """Start and end of the lines that hold a value-like token or a key word, in order: those where TELLING matches."""
+    found: set[tuple[int, int]] = set()
+
+    def line_at(at: int) -> int:
+        end = text.find("\n", at)
+        end = end if end >= 0 else len(text)
+        found.add((text.rfind("\n", 0, at) + 1, end))
+        return end
+
+    if AT_START.match(text):
+        line_at(0)
+    low = text.lower()
+    patterns = PARTS
+    if len(low) != len(text) or any(c in text for c in ODD_LETTERS):
+        patterns = [*PARTS, ANY_WORD]
+    else:
+        for w in WORDS:
+            at = low.find(w)
+            while at >= 0:
+                at = low.find(w, line_at(at))
+        if "pin" in low:
+            patterns = [*PARTS, PIN]
+    for pattern in patterns:
+        at = 0
+        while m := pattern.search(text, at):
+            at = line_at(m.end() - 1)
+    return sorted(found)
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
