@@ -212,26 +212,49 @@ def review_line() -> Column:
     return F.concat(F.lit("- ("), "confidence", F.lit(") `"), "id", F.lit("` needs "), F.concat_ws(", ", "requires"), gated)
 
 
-def review_lines(operations: DataFrame, scope: list[str]) -> DataFrame:
-    """A review of each scope as numbered lines: what needs attention, then a table of the operations, most uncertain first.
+#: What a reviewer does with an inventory, as the end of a review.
+CONFIRM = ("Check each row against its places, most uncertain first.", "Put right stage, effect, requirements and gates where they are wrong.", "Replace `external.call` by what is really needed, or leave the operation out.", "Set the status to `reviewed`.")
 
-    Lines are rows (scope, section, place, line), so a long review is never gathered; order by section and place to print it.
+
+def review_lines(operations: DataFrame, scope: list[str], meta: DataFrame | None = None, warnings: DataFrame | None = None, unknown: DataFrame | None = None) -> DataFrame:
+    """A review of each scope as lines: where it comes from, warnings, what needs a look, a table of the operations, how to confirm.
+
+    Operations come most uncertain first, with the sources of their ``evidence`` and their ``notes`` where they have such columns.
+    meta: scope, url, sha, status, repo_class; warnings: scope, ord, warning; unknown: scope, name (dependencies outside the
+    catalogue). Lines are rows (scope, section, place, line), so a long review is never gathered; order by section and place.
     """
     from pyspark.sql import Window
 
-    from tidemark.operators.fusion import attention_order
+    from tidemark.operators.fusion import attention_order, first_places
 
+    lines = lambda rows, section, *text: rows.select(*scope, F.lit(section).alias("section"), F.posexplode(F.array_compact(F.array(*text))).alias("place", "line"))
     counts = operations.groupBy(*scope).agg(
         F.count("*").alias("n"), F.count_if(F.col("confidence") == "low").alias("low"), F.count_if(F.size("gate") > 0).alias("gated"), F.count_if(F.col("requires") == F.array(F.lit("external.call"))).alias("open"),
     )
-    text = [
-        F.concat(F.lit("Operations: **"), "n", F.lit("**")), F.concat(F.lit("- **"), "low", F.lit("** operation(s) at low confidence")), F.concat(F.lit("- **"), "gated", F.lit("** operation(s) carry gates")),
-        F.concat(F.lit("- **"), "open", F.lit("** operation(s) hold `external.call` as a placeholder")),
-    ]
-    heads = counts.select(*scope, F.lit(1).alias("section"), F.posexplode(F.array(*text)).alias("place", "line"))
-    cells = [F.concat(F.lit("`"), "id", F.lit("`")), "stage", "effect", F.array_join("requires", ", "), F.when(F.size("gate") > 0, F.array_join("gate", ", ")).otherwise("-"), "confidence"]
-    table = operations.select(*scope, F.lit(2).alias("section"), F.row_number().over(Window.partitionBy(*scope).orderBy(*attention_order())).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    return heads.unionByName(table)
+    say = lambda head, c, tail="": F.concat(F.lit(head), F.col(c).cast("string"), F.lit(tail))
+    parts = [lines(counts, 3, say("Operations: **", "n", "**"), say("- low confidence: **", "low", "**"), say("- with gates: **", "gated", "**"), say("- nothing known but `external.call`: **", "open", "**"))]
+    if meta is not None:
+        code = lambda head, c: F.concat(F.lit(head), F.lit("`"), F.col(c), F.lit("`"))
+        parts.append(lines(meta, 1, F.coalesce(code("Source: ", "url"), F.lit("Source: unknown")), code("Version: ", "sha"), code("Class: ", "repo_class"), code("Status: ", "status")))
+    if warnings is not None:
+        parts.append(warnings.select(*scope, F.lit(2).alias("section"), F.col("ord").cast("int").alias("place"), F.concat(F.lit("- "), "warning").alias("line")))
+    if unknown is not None:
+        told = first_places(unknown, scope, "name", 8)
+        parts.append(told.select(*scope, F.lit(4).alias("section"), F.lit(0).alias("place"), F.concat(F.lit("- dependencies outside the catalogue: "), "locations").alias("line")))
+    sources = F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["source"]))), ", ") if "evidence" in operations.columns else None
+    cells = [F.concat(F.lit("`"), "id", F.lit("`")), "stage", "effect", F.array_join("requires", ", "), F.when(F.size("gate") > 0, F.array_join("gate", ", ")).otherwise("-"), "confidence", *([sources] if sources is not None else [])]
+    names = ["operation", "stage", "effect", "requires", "gates", "confidence", *(["evidence"] if sources is not None else [])]
+    parts.append(lines(counts, 5, F.lit(f"| {' | '.join(names)} |"), F.lit("|" + "---|" * len(names))))
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy(*attention_order()))
+    parts.append(operations.select(*scope, F.lit(6).alias("section"), place.alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+    if "notes" in operations.columns:
+        noted = operations.where("notes <> ''")
+        parts.append(noted.select(*scope, F.lit(7).alias("section"), F.row_number().over(Window.partitionBy(*scope).orderBy(*attention_order())).alias("place"), F.concat(F.lit("- `"), "id", F.lit("`: "), "notes").alias("line")))
+    parts.append(lines(counts, 8, *[F.lit(f"{i}. {text}") for i, text in enumerate(CONFIRM, 1)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def needs_attention() -> Column:

@@ -108,6 +108,11 @@ def evidence_of(rows: DataFrame, source: str, loc: Column, detail: Column, ord:
     return rows.select("repo", "id", F.lit(source).alias("source"), loc.alias("loc"), detail.alias("detail"), F.lit(ord).alias("ord"))
 
 
+# What evidence and notes say.
+ASSERTS, UNTRACED, IN_DOCUMENTS = "declaration asserts: ", "no effect traced for this operation; requires external.call as a placeholder pending review", "gate language detected in documentation ("
+FROM_DECLARATIONS = "capabilities come from declaration sites, not traced effects"
+
+
 def build_inventory(files: DataFrame, deps: DataFrame | None = None, classes: DataFrame | None = None, stand_ins: dict[str, str] | None = None, providers: DataFrame | None = None) -> DataFrame:
     """Declared operations of every repository, with all that is known of them.
 
@@ -131,7 +136,7 @@ def build_inventory(files: DataFrame, deps: DataFrame | None = None, classes: Da
     at, proof = F.col("loc"), []
     proof.append(evidence_of(cands, "declared", at, F.when(F.col("detail") != "", F.col("detail")).otherwise(F.col("dialect")), 0))
     proof.append(evidence_of(owned, "traced", F.concat_ws(":", "rel", F.col("line").cast("string")), F.col("detail"), 1))
-    proof.append(evidence_of(cands.where(F.size("caps") > 0), "declared", at, F.concat(F.lit("declaration asserts: "), F.array_join(F.array_sort("caps"), ", ")), 2))
+    proof.append(evidence_of(cands.where(F.size("caps") > 0), "declared", at, F.concat(F.lit(ASSERTS), F.array_join(F.array_sort("caps"), ", ")), 2))
     hints, supports, open_use, creds = none, F.lit(0), F.lit(False), F.lit(None).cast("array<struct<name:string,kind:string,env:string>>")
     if deps is not None:
         known, _ = match_providers(deps, providers=providers)
@@ -148,8 +153,8 @@ def build_inventory(files: DataFrame, deps: DataFrame | None = None, classes: Da
     rows = rows.withColumn("found", found).withColumn("own_gates", F.coalesce("doc_gates", none))
     placeholder = F.size("found") == 0
     bare = cands.join(owned.select("repo", "id").distinct(), ["repo", "id"], "left_anti").where(F.size("caps") == 0)
-    proof.append(evidence_of(bare, "proposed", at, F.lit("no effect traced for this operation; requires external.call as a placeholder pending review"), 4))
-    proof.append(evidence_of(named.select("repo", "id", "rel", "line", "gate"), "documented", F.concat_ws(":", "rel", F.col("line").cast("string")), F.concat(F.lit("gate language detected in documentation ("), "gate", F.lit(")")), 5))
+    proof.append(evidence_of(bare, "proposed", at, F.lit(UNTRACED), 4))
+    proof.append(evidence_of(named.select("repo", "id", "rel", "line", "gate"), "documented", F.concat_ws(":", "rel", F.col("line").cast("string")), F.concat(F.lit(IN_DOCUMENTS), "gate", F.lit(")")), 5))
     every = proof[0]
     for p in proof[1:]:
         every = every.unionByName(p)
@@ -167,5 +172,5 @@ def build_inventory(files: DataFrame, deps: DataFrame | None = None, classes: Da
         F.when(F.size(hints) > 0, "medium").when(F.size(gate) > 0, "low").alias("gate_confidence"), F.coalesce("optional", F.lit(False)).alias("optional"), is_deterministic(requires, effect).alias("deterministic"),
         F.when(untraced, "medium").otherwise(fused).alias("confidence"), "evidence", F.col("detail").alias("summary"), F.coalesce(creds, F.array().cast("array<struct<name:string,kind:string,env:string>>")).alias("credentials"),
         default_stand_in(requires, stand_ins or {}).alias("stand_in"), "trigger", "kind", "loc", "inputs", "dialect",
-        F.when(untraced, "capabilities come from declaration sites, not traced effects").otherwise("").alias("notes"),
+        F.when(untraced, FROM_DECLARATIONS).otherwise("").alias("notes"),
     )

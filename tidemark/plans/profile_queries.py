@@ -194,7 +194,14 @@ def prd_needs_attention(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snk_review_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.review_lines(ops(spark, sf), ["day"]).select("day", "section", F.col("place").cast("long").alias("place"), "line")
+    """Reviews with all their sections: a scope a day."""
+    rows = ops(spark, sf).withColumn("evidence", F.array(F.struct(F.lit("traced").alias("source")), F.struct(F.lit("declared").alias("source")))).withColumn("notes", F.col("summary"))
+    n = F.dayofmonth(F.to_date("day"))
+    days = rows.select("day").distinct()
+    meta = days.select("day", F.when(n % 2 == 0, F.concat(F.lit("u/"), "day")).alias("url"), F.when(n % 3 == 0, "v1").alias("sha"), F.lit("draft").alias("status"), F.lit("library").alias("repo_class"))
+    warned = days.where(n % 5 == 0).select("day", F.lit(1).alias("ord"), F.lit("stopped at a cap").alias("warning"))
+    unknown = rows.where("n % 4 = 0").select("day", F.col("user_id").alias("name"))
+    return checks.review_lines(rows, ["day"], meta, warned, unknown).select("day", "section", F.col("place").cast("long").alias("place"), "line")
 
 
 def snk_report_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,9 +302,16 @@ SELECT p_partkey, list_reduce(w, lambda a, b: CASE WHEN length(string_split(a, '
     })}""",
     "set_unknown_ids": "SELECT DISTINCT 'u' || user_id AS profile, event_type AS capability FROM events WHERE event_type IN ('error', 'view')",
     "prd_needs_attention": f"WITH {ops_sql()} SELECT id, confidence = 'low' OR len(gate) > 0 OR n % 3 = 0 AS needs_attention FROM ops",
-    "snk_review_lines": f"""WITH {ops_sql()}, c AS (SELECT day, count(*) AS n, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (len(gate) > 0) AS gated FROM ops GROUP BY day),
-t AS (SELECT day, 1 AS section, CAST(i AS BIGINT) AS place, ['Operations: **' || n || '**', '- **' || low || '** operation(s) at low confidence', '- **' || gated || '** operation(s) carry gates', '- **0** operation(s) hold `external.call` as a placeholder'][i + 1] AS line FROM c, range(4) AS r(i))
-SELECT * FROM t UNION ALL SELECT day, 2, row_number() OVER (PARTITION BY day ORDER BY CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, len(gate) = 0, id), '| `' || id || '` | ' || stage || ' | ' || effect || ' | ' || array_to_string(requires, ', ') || ' | ' || CASE WHEN len(gate) > 0 THEN array_to_string(gate, ', ') ELSE '-' END || ' | ' || confidence || ' |' FROM ops""",
+    "snk_review_lines": f"""WITH {ops_sql()}, c AS (SELECT day, count(*) AS n, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (len(gate) > 0) AS gated, CAST(substr(day, 9, 2) AS INT) AS d FROM ops GROUP BY day),
+h AS (SELECT day, 3 AS section, unnest(['Operations: **' || n || '**', '- low confidence: **' || low || '**', '- with gates: **' || gated || '**', '- nothing known but `external.call`: **0**']) AS line, unnest(range(4)) AS place FROM c
+ UNION ALL SELECT day, 1, unnest(l), unnest(range(len(l))) FROM (SELECT day, list_filter([CASE WHEN d % 2 = 0 THEN 'Source: `u/' || day || '`' ELSE 'Source: unknown' END, CASE WHEN d % 3 = 0 THEN 'Version: `v1`' END, 'Class: `library`', 'Status: `draft`'], lambda x: x IS NOT NULL) AS l FROM c)
+ UNION ALL SELECT day, 2, '- stopped at a cap', 1 FROM c WHERE d % 5 = 0
+ UNION ALL SELECT day, 4, '- dependencies outside the catalogue: ' || array_to_string(u[1:8], ', ') || CASE WHEN len(u) > 8 THEN ' and ' || (len(u) - 8) || ' more' ELSE '' END, 0 FROM (SELECT day, list(user_id ORDER BY user_id) AS u FROM ops WHERE n % 4 = 0 GROUP BY day)
+ UNION ALL SELECT day, 5, unnest(['| operation | stage | effect | requires | gates | confidence | evidence |', '|---|---|---|---|---|---|---|']), unnest(range(2)) FROM c
+ UNION ALL SELECT day, 8, unnest({['%d. %s' % (i, t) for i, t in enumerate(checks.CONFIRM, 1)]}), unnest(range(4)) FROM c),
+o AS (SELECT *, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS a, len(gate) = 0 AS b FROM ops)
+SELECT day, section, CAST(place AS BIGINT) AS place, line FROM h UNION ALL SELECT day, 6, row_number() OVER (PARTITION BY day ORDER BY a, b, id), '| `' || id || '` | ' || stage || ' | ' || effect || ' | ' || array_to_string(requires, ', ') || ' | ' || CASE WHEN len(gate) > 0 THEN array_to_string(gate, ', ') ELSE '-' END || ' | ' || confidence || ' | declared, traced |' FROM o
+UNION ALL SELECT day, 7, row_number() OVER (PARTITION BY day ORDER BY a, b, id), '- `' || id || '`: ' || summary FROM o WHERE summary <> ''""",
     "snk_report_summary": f"""WITH {RES}, s AS (SELECT profile, day, count(*) AS n, count(*) FILTER (NOT optional) AS req, count(*) FILTER (binding = 'native') AS b1, count(*) FILTER (binding = 'mcp') AS b2, count(*) FILTER (binding = 'script') AS b3, count(*) FILTER (binding = 'ask-user') AS b4, count(*) FILTER (binding = 'drop') AS b5,
  count(*) FILTER (NOT optional AND binding IN ('ask-user', 'drop')) = 0 AS ok, list_sort(list_distinct(flatten(list(gates)))) AS g, sum(len(gates)) AS gn, list_sort(list_distinct(flatten(list(deferred_gates)))) AS d FROM res GROUP BY profile, day)
 SELECT profile, day, CAST(i AS BIGINT) AS place, ['operations ' || n || '   required ' || req || '   optional ' || (n - req), 'native ' || b1 || '   mcp ' || b2 || '   script ' || b3 || '   ask-user ' || b4 || '   drop ' || b5, 'all required operations executable: ' || CASE WHEN ok THEN 'yes' ELSE 'no' END,
