@@ -610,7 +610,16 @@ def test_trees_find_planted_data_and_leave_numbers_alone(spark):
         x += next(c for c in "0123456789" if pii.luhn(x + c))
         return sep.join(x[i : i + 4] for i in range(0, 16, 4))
 
+    def account() -> str:
+        """A bank account number of valid check digits, solid or in groups, with and without the word."""
+        body = d(18)
+        check = 98 - int(body + "131400") % 97  # D and E are 13 and 14
+        solid = f"DE{check:02d}{body}"
+        value = r.choice([solid, " ".join(solid[i : i + 4] for i in range(0, len(solid), 4))])
+        return r.choice(["", "iban ", "account: "]) + value
+
     forms = {
+        "account": account,
         "email": lambda: r.choice(["mail {} (at) {} (dot) org", "contact {}[at]{}[dot]com", "write to {} at {} dot net"]).format("anna." + d(2), "host" + d(1)),
         "ip": lambda: "server " + "[.]".join(str(r.randint(1, 254)) for _ in range(4)),
         "card": lambda: "pay with " + card(r.choice([".", "/", "_"])),
@@ -630,6 +639,24 @@ def test_trees_find_planted_data_and_leave_numbers_alone(spark):
     assert alarms <= 2
 
 
+def test_network_against_a_slow_convolution():
+    """Scores of chunks, place by place and filter by filter, with the last chunk of a text padded."""
+    m = byte_cnn.start(3)
+    m = {k: v + np.float32(0.01) for k, v in m.items()}
+    chunks = byte_cnn.chunks_of(bytes(np.random.default_rng(2).integers(0, 256, byte_cnn.CHUNK + byte_cnn.STEP // 2, dtype=np.uint8)))
+    assert len(chunks) == 2
+    for chunk, logit in zip(chunks, byte_cnn.chunk_logits(m, chunks), strict=True):
+        flat = np.concatenate([m["embed"][b] for b in chunk]).astype(float)
+        step, width = byte_cnn.STRIDE * byte_cnn.DIM, byte_cnn.BLOCKS * byte_cnn.STRIDE * byte_cnn.DIM
+        filters = m["filters"].reshape(width, byte_cnn.FILTERS).astype(float)
+        best = np.full(byte_cnn.FILTERS, -np.inf)
+        for at in range(0, len(flat) - width + 1, step):
+            for f in range(byte_cnn.FILTERS):
+                best[f] = max(best[f], sum(float(x) * float(y) for x, y in zip(flat[at : at + width], filters[:, f], strict=True)) if f < 2 else flat[at : at + width] @ filters[:, f])
+        hidden = np.tanh(np.maximum(best + m["bias"], 0) @ m["hidden"].astype(float) + m["hidden_bias"])
+        assert logit == pytest.approx(float(hidden @ m["out"] + m["out_bias"][0]), abs=1e-4)
+
+
 def test_long_texts_with_many_spans_end_soon():
     import time
 
