@@ -670,6 +670,40 @@ def test_long_texts_with_many_spans_end_soon():
     assert len(secrets.scan(line, field)) >= 10_000 and time.time() - began < 120
 
 
+def test_trees_learn_from_every_candidate_of_every_document(spark):
+    """Whichever document, and whichever of its candidates, the model depends on it: nothing is drawn."""
+    plain = {i: f"word {i} and words" for i in range(8)}
+    crowd = " ".join(f"ab {100 + i}.{200 + i}.{300 + i}.7" for i in range(30))
+    told = lambda texts: [(m["start"], *(v.tolist() for t in m["trees"] for v in t)) for m in [pii.pii_model(table(spark, texts), documents=2, made=60, per_document=4)]][0]
+    without = told(list(plain.values()))
+    for i in range(8):
+        assert told([*({**plain, i: crowd}).values()]) != without
+    cells = {r["cell"]: r for r in pii.corpus_cells(table(spark, [crowd, None, "", crowd + " tel 030 1234567"]), 4).collect()}
+    want: dict = {}
+    for text in (crowd, crowd + " tel 030 1234567"):
+        found = pii.candidates(text)
+        assert len(found) > 20
+        for c in found:
+            cell = bytes(int(v) + 1 for v in pii.features(text, c))
+            want[cell] = want.get(cell, 0) + round(pii.UNIT * 4 / len(found))
+    assert cells.pop(None)["fit"] == 4
+    assert {k: r["fit"] + r["held"] for k, r in cells.items()} == want
+
+
+def test_trees_from_sums_by_spark_are_those_from_the_driver(spark):
+    data = pii.made_examples(400, seed=5)
+    codes, y = pii.coded(np.array([f for f, _ in data])), [v for _, v in data]
+    rows = spark.createDataFrame([(c.tobytes(), 3, 3 * v, 1, v) for c, v in zip(codes, y, strict=True)], pii.CELL).repartition(5)
+    part = pii.cells_of(rows.toArrow(), "fit", 0.37)
+
+    def by_spark(model: dict, level: int) -> np.ndarray:
+        return pii.summed(rows, (2**level, codes.shape[1], pii.CODES, 2), lambda batch: pii.cells_of(batch, "fit", 0.37).sums(model, level))
+
+    one, two = pii.grown(part.sums, trees=3), pii.grown(by_spark, trees=3)
+    assert one["start"] == two["start"] and all(np.array_equal(a, b) for x, z in zip(one["trees"], two["trees"], strict=True) for a, b in zip(x, z, strict=True))
+    assert np.array_equal(part.scores(one), pii.summed(rows, (len(pii.KINDS), pii.STEPS + 1, 2), lambda batch: pii.cells_of(batch, "fit", 0.37).scores(one)))
+
+
 def test_trees_on_held_out_examples():
     data = pii.made_examples(3000, seed=1)
     model = pii.boost(np.array([f for f, _ in data], float), np.array([y for _, y in data], float))

@@ -6,10 +6,13 @@ Boosted trees score each candidate from its format (digits, separators, group le
 and characters beside it); a threshold for each kind, calibrated on examples held out from the trees so that precision
 there is at least ``precision``, selects redactions. Of overlapping candidates the likeliest stays; base spans win.
 
-Training: candidates of at most ``documents`` documents (the smallest hashes of the id), at most ``per_document`` of each (the
-smallest hashes of their places, from all of the text), labelled by whether a base span covers them, and made examples in
-which such data appear in other dress (other separators, spelled out) or in which numbers are no personal data (amounts,
-dates, versions, measures, order numbers). The seed is fixed.
+Training: all candidates of all documents, labelled by whether a base span covers them, and made examples in which such data
+appear in other dress (other separators, spelled out) or in which numbers are no personal data (amounts, dates, versions,
+measures, order numbers). Nothing is drawn; weights keep the balance: a document's candidates weigh as much as ``per_document``
+together where there are more, and a larger corpus as much as ``documents`` documents. Features are whole numbers of a byte, so
+candidates of equal features are one row with its counts (a cell). Trees grow from sums of gradients by node, feature and value,
+and thresholds come from sums by score; up to ``gathered`` cells are summed by the driver, more by Spark, with equal results, as
+gradients are rounded to whole numbers whose sums don't depend on their order. The seed is fixed.
 
 Defined results: null and empty texts have no spans; whole texts are scanned, in time linear in their length but for a sort of
 the candidates; spans are in code points, end exclusive; of candidates that tie in probability the one proposed first
@@ -23,12 +26,14 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_sample, in_order, read, text_udf, with_struct
+from tidemark.llm.common import materialise, read, text_udf, with_struct
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -59,6 +64,11 @@ HINTS = {
 }
 AGAINST = ("price", "total", "version", "order", "page", "figure", "year", "size", "serial", "invoice", "isbn", "chapter", "lot", "ratio")
 
+#: Values of a feature in a cell; an example's weight there; parts of a gradient of 1; steps of a threshold; cells a task holds.
+CODES, UNIT, PARTS, STEPS, HELD = 256, 1 << 20, float(1 << 32), 10_000, 1 << 16
+GRID = np.arange(STEPS + 1) / STEPS
+CELL = "cell binary, fit long, fit_right long, held long, held_right long"
+
 Span = tuple[int, int, str]
 
 
@@ -138,51 +148,99 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 3.0) -> dict:
+def coded(x: np.ndarray) -> np.ndarray:
+    """Features as bytes, one up, as the least is -1; larger ones count as the largest."""
+    return np.clip(x + 1, 0, CODES - 1).astype(np.uint8)
+
+
+def descended(tree: tuple, x: np.ndarray, steps: int) -> np.ndarray:
+    """Each row's heap position after so many steps; where a node has no split, that node."""
+    feature, cut, _ = tree
+    place = np.ones(len(x), int)
+    for _ in range(steps):
+        j = feature[place]
+        place = np.where(j >= 0, 2 * place + (x[np.arange(len(x)), j] > cut[place]), place)
+    return place
+
+
+def tree_depth(tree: tuple) -> int:
+    return len(tree[0]).bit_length() - 2
+
+
+class Cells:
+    """Features (bytes) with the weight of their examples and of those among them whose label is 1."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, right: np.ndarray):
+        self.codes, self.n, self.right = codes, n, right
+        self.x = codes.astype(np.int16) - 1
+        self.f, self.done = np.zeros(len(n)), 0
+
+    def sums(self, model: dict, level: int) -> np.ndarray:
+        """By node of a level of the last tree, feature and code: sums of first and second derivatives, as whole numbers."""
+        *before, last = model["trees"] or [None]
+        for tree in before[self.done :]:
+            self.f += tree[2][descended(tree, self.x, tree_depth(tree))]
+        self.done = len(before)
+        p = 1 / (1 + np.exp(-self.f - model["start"]))
+        place = descended(last, self.x, level) if last else np.ones(len(p), int)
+        rows = np.flatnonzero(place >= 2**level)
+        node, codes, p, n = (place[rows] - 2**level) * CODES, self.codes[rows], p[rows], self.n[rows]
+        parts = [np.round(v * PARTS) for v in (self.right[rows] - p * n, (p * (1 - p) + 1e-6) * n)]
+        by = [[np.bincount(node + c, v, 2**level * CODES).reshape(-1, CODES) for v in parts] for c in codes.T]
+        return np.array(by).transpose(2, 0, 3, 1)
+
+    def scores(self, model: dict) -> np.ndarray:
+        """By kind and step of the score: weight, and that of label 1, as whole numbers."""
+        at = self.x[:, 0].astype(int) * (STEPS + 1) + np.searchsorted(GRID, probability(model, self.x), "right") - 1
+        return np.stack([np.bincount(at, np.round(v * PARTS), len(KINDS) * (STEPS + 1)).reshape(-1, STEPS + 1) for v in (self.n, self.right)], 2)
+
+
+def grown(sums: Callable[[dict, int], np.ndarray], trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 3.0) -> dict:
     """Gradient boosting on log loss with histogram splits; a tree is arrays of feature, cut and leaf by heap position."""
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins))) for c in x.T]
-    binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], 1)
-    share = np.clip(y.mean(), 0.01, 0.99)
-    f = np.full(len(y), np.log(share / (1 - share)))
-    model = {"start": float(f[0]), "trees": []}
+    model = {"start": 0.0, "trees": []}
+    whole = sums(model, 0)[0]  # at a probability of 1/2, the sums tell the counts
+    n = whole[:, :, 1] / (0.25 + 1e-6)
+    share = np.clip(0.5 + whole[0, :, 0].sum() / n[0].sum(), 0.01, 0.99)
+    cuts = [np.unique(np.searchsorted(np.cumsum(c), np.linspace(0, 1 - 1e-9, bins) * c.sum(), "left")) for c in n]
+    model["start"] = float(np.log(share / (1 - share)))
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-f))
-        g, h = y - p, p * (1 - p) + 1e-6
         size = 2 ** (depth + 1)
         feature, cut, leaf = np.full(size, -1), np.zeros(size), np.zeros(size)
-        place = np.ones(len(y), int)
-        for k in range(1, size):
-            rows = np.flatnonzero(place == k)
-            if not len(rows):
-                continue
-            total_g, total_h = g[rows].sum(), h[rows].sum()
-            leaf[k] = rate * total_g / (total_h + 1)
-            if k >= size // 2 or total_h < 2 * least:
-                continue
-            best = 1e-3
-            for j, c in enumerate(cuts):
-                b = binned[rows, j]
-                gl, hl = np.cumsum(np.bincount(b, g[rows], len(c) + 1))[:-1], np.cumsum(np.bincount(b, h[rows], len(c) + 1))[:-1]
-                gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-                gain[(hl < least) | (total_h - hl < least)] = 0
-                at = int(gain.argmax()) if len(gain) else 0
-                if len(gain) and gain[at] > best:
-                    best, feature[k], cut[k] = gain[at], j, c[at]
-            if feature[k] >= 0:
-                place[rows] = 2 * k + (x[rows, feature[k]] > cut[k])
-        f += leaf[place]
         model["trees"].append((feature, cut, leaf))
+        reached = {1}
+        for level in range(depth):
+            if not any(k >= 2**level for k in reached):
+                break
+            found = sums(model, level) / PARTS
+            for k in sorted(k for k in reached if k >= 2**level):
+                left_g, left_h = np.moveaxis(np.cumsum(found[k - 2**level], 1), 2, 0)
+                total_g, total_h = left_g[0, -1], left_h[0, -1]
+                leaf[k] = rate * total_g / (total_h + 1)
+                if total_h < 2 * least:
+                    continue
+                best = 1e-3
+                for j, c in enumerate(cuts):
+                    gl, hl = left_g[j, c], left_h[j, c]
+                    gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
+                    gain[(hl < least) | (total_h - hl < least)] = 0
+                    at = int(gain.argmax())
+                    if gain[at] > best:
+                        best, feature[k], cut[k] = gain[at], j, c[at] - 1
+                        leaf[2 * k], leaf[2 * k + 1] = rate * gl[at] / (hl[at] + 1), rate * (total_g - gl[at]) / (total_h - hl[at] + 1)
+                if feature[k] >= 0:
+                    reached |= {2 * k, 2 * k + 1}
     return model
 
 
+def boost(x: np.ndarray, y: np.ndarray, **options) -> dict:
+    """Trees from rows of features and their labels."""
+    return grown(Cells(coded(x), np.ones(len(y)), y).sums, **options)
+
+
 def probability(model: dict, x: np.ndarray) -> np.ndarray:
     f = np.full(len(x), model["start"])
-    for feature, cut, leaf in model["trees"]:
-        place = np.ones(len(x), int)
-        for _ in range(len(feature).bit_length() - 2):
-            j = feature[place]
-            place = np.where(j >= 0, 2 * place + (x[np.arange(len(x)), j] > cut[place]), place)
-        f += leaf[place]
+    for tree in model["trees"]:
+        f += tree[2][descended(tree, x, tree_depth(tree))]
     return 1 / (1 + np.exp(-f))
 
 
@@ -233,15 +291,66 @@ def made_examples(n: int, seed: int = 3) -> list[tuple[list[float], int]]:
     return out
 
 
-def examples(text: str | None, most: int) -> list[tuple[list[float], int]]:
-    """Candidates of a text, labelled by whether a base span of their kind covers them; ``most`` of them, drawn by hash."""
-    if not text:
-        return []
-    found = candidates(text)
-    if len(found) > most:
-        found = sorted(sorted(found, key=lambda c: (zlib.crc32(f"{c[0]}:{c[1]}:{c[2]}:{len(text)}".encode()), c))[:most])
-    covers = {k: disjoint([(s, e) for s, e, kind in base_spans(text) if kind == k]) for k in BASE}
-    return [(features(text, c), int(c[2] in covers and within(covers[c[2]], c[0], c[1]))) for c in found]
+def examples(text: str | None, most: int) -> Iterator[tuple[bytes, int, bool, bool]]:
+    """All candidates of a text: cell, weight (that of ``most`` together, where there are more), whether a base span of their kind
+    covers them, whether they are held out from the trees (by hash)."""
+    found = candidates(text) if text else []
+    covers = {k: disjoint([(s, e) for s, e, kind in base_spans(text) if kind == k]) for k in BASE} if found else {}
+    weight = max(1, round(UNIT * min(1, most / max(1, len(found)))))
+    for s, e, kind in found:
+        cell = bytes([min(max(int(v) + 1, 0), CODES - 1) for v in features(text, (s, e, kind))])
+        yield cell, weight, kind in covers and within(covers[kind], s, e), zlib.crc32(f"{s}:{e}:{kind}:{len(text)}".encode()) % 10 >= 7
+
+
+def corpus_cells(docs: DataFrame, per_document: int) -> DataFrame:
+    """Cells of all candidates of all rows: weights to fit and held out, and of label 1 in each. A null cell's ``fit`` counts rows."""
+    names = ["cell", "fit", "fit_right", "held", "held_right"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes | None, list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = [list(held), *([v[i] for v in held.values()] for i in range(4))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), *[pa.int64()] * 4], strict=True)], names)
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.setdefault(None, [0] * 4)[0] += 1
+                for cell, weight, right, out in examples(text, per_document):
+                    counts = held.setdefault(cell, [0] * 4)
+                    counts[2 * out] += weight
+                    counts[2 * out + 1] += weight * right
+                    if len(held) > HELD:
+                        yield rows()
+                        held.clear()
+        yield rows()
+
+    return docs.select("text").mapInArrow(run, CELL).groupBy("cell").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def cells_of(table: pa.Table | pa.RecordBatch, part: str, weight: float) -> Cells:
+    """The rows that have examples of a part (fit, held)."""
+    n, right = (table.column(c).to_numpy() * weight for c in (part, f"{part}_right"))
+    codes = np.frombuffer(b"".join(table.column("cell").to_pylist()), np.uint8).reshape(len(n), -1) if len(n) else np.zeros((0, 1), np.uint8)
+    return Cells(codes[n > 0], n[n > 0], right[n > 0])
+
+
+def summed(cells: DataFrame, shape: tuple, make: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of ``make(batch)``, arrays of a shape whose last axis is two, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += make(batch)
+        flat = total.reshape(-1, 2)
+        at = np.flatnonzero(flat.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at, 0]), pa.array(flat[at, 1])], ["at", "u", "v"])
+
+    found = cells.mapInArrow(run, "at long, u double, v double").groupBy("at").agg(F.sum("u").alias("u"), F.sum("v").alias("v")).toArrow()  # of a fixed size
+    out = np.zeros((int(np.prod(shape)) // 2, 2))
+    out[found.column("at").to_numpy()] = np.stack([found.column(c).to_numpy() for c in "uv"], 1)
+    return out.reshape(shape)
 
 
 def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -267,27 +376,34 @@ def free(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     return i < 0 or spans[i][1] <= start
 
 
-def pii_model(docs: DataFrame, documents: int = 6000, made: int = 6000, precision: float = 0.99, per_document: int = 20) -> dict:
+def pii_model(docs: DataFrame, documents: int = 6000, made: int = 6000, precision: float = 0.99, per_document: int = 20, gathered: int = 1 << 17) -> dict:
     """Trees and a threshold for each kind."""
-    def collect(texts: list[str | None]) -> list[list]:
-        got = [examples(t, per_document) for t in texts]
-        return [[[v for f, _ in g for v in f] for g in got], [[y for _, y in g] for g in got]]
-
-    found = document_sample(docs, documents).select("doc_id", text_udf({"x": "array<double>", "y": "array<int>"}, lambda: collect)("text").alias("e"))
     data = made_examples(made)
-    for row in in_order(found.select("doc_id", "e.*").where(F.size("y") > 0).collect()):
-        width = len(row["x"]) // len(row["y"])
-        data += [(row["x"][i * width : (i + 1) * width], y) for i, y in enumerate(row["y"])]
-    x, y = np.array([f for f, _ in data], float), np.array([v for _, v in data], float)
+    codes, y = coded(np.array([f for f, _ in data])), np.array([v for _, v in data], float)
     part = np.random.default_rng(1).random(len(y)) < 0.7
-    model = boost(x[part], y[part])
-    p, kind, truth = probability(model, x[~part]), x[~part][:, 0], y[~part]
+    own = {name: Cells(codes[at], np.ones(at.sum()), y[at]) for name, at in (("fit", part), ("held", ~part))}
+
+    cells = materialise(corpus_cells(docs, per_document), "cells")
+    told = cells.agg(F.count("cell").alias("cells"), F.sum(F.when(F.col("cell").isNull(), F.col("fit"))).alias("rows")).first()
+    cells = cells.where("cell is not null")
+    weight = min(1, documents / max(1, told["rows"] or 0)) / UNIT
+    if told["cells"] <= gathered:
+        table = cells.orderBy("cell").toArrow()
+        corpus = {name: cells_of(table, name, weight) for name in own}
+        more = lambda name, shape, what: what(corpus[name]) if len(corpus[name].n) else 0
+    else:
+        more = lambda name, shape, what: summed(cells, shape, lambda batch: what(cells_of(batch, name, weight)))
+
+    def both(name: str, what: Callable[[Cells], np.ndarray]) -> np.ndarray:
+        mine = what(own[name])
+        return mine + more(name, mine.shape, what)
+
+    model = grown(lambda model, level: both("fit", lambda c: c.sums(model, level)))
     model["threshold"] = {}
-    for k, name in enumerate(KINDS):
-        order = np.argsort(-p[kind == k])
-        ranked, right = p[kind == k][order], truth[kind == k][order]
-        good = np.flatnonzero(np.cumsum(right) >= precision * np.arange(1, len(right) + 1))
-        model["threshold"][name] = max(0.5, float(ranked[good[-1]])) if len(good) and good[-1] >= 10 else 2.0  # too little evidence: none
+    for name, steps in zip(KINDS, both("held", lambda c: c.scores(model)), strict=True):
+        n, right = np.cumsum(steps[::-1], 0).T / PARTS  # from the highest score down
+        good = np.flatnonzero((steps[::-1, 0] > 0) & (n > 10) & (right >= precision * n))
+        model["threshold"][name] = max(0.5, float(GRID[::-1][good[-1]])) if len(good) else 2.0  # too little evidence: none
     return model
 
 
