@@ -258,6 +258,34 @@ def test_encoder_is_exact():
         assert e.one(t) == e.whole(t), repr(t)
 
 
+def test_encoder_is_kept_between_tasks(spark, tmp_path, monkeypatch):
+    """A Python worker reads the tokenizer and learns words once, not once a task; a file that changes is read again."""
+    import os
+    import shutil
+
+    def run(batches):
+        import pyarrow as pa
+
+        e = tokens.token_counts.__globals__["encoder"](tokens.byte_bpe())
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "known": [len(e.rest)]})
+        e.one(f"some words of process {os.getpid()}")
+
+    got = spark.range(0, 40, 1, 40).mapInArrow(run, "pid long, known long").collect()
+    assert sum(r["known"] == 0 for r in got) <= len({r["pid"] for r in got}) < 40
+    path = str(tmp_path / "t.json")
+    shutil.copy(tokens.byte_bpe(), path)
+    one = tokens.encoder(path)
+    assert tokens.encoder(path) is one
+    os.utime(path, (1, 1))
+    assert tokens.encoder(path) is not one
+    calls = []
+    monkeypatch.setattr(one, "piece", lambda x, f=one.piece: calls.append(x) or f(x))
+    text = " ".join(f"{w}, {w}." for w in words(random.Random(3), 50))
+    assert one.one(text) == one.whole(text) and sorted(calls) == [",", "."]
+
+
 def test_records_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 

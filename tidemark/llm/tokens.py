@@ -17,11 +17,13 @@ text, whatever their names, are not carried.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +64,24 @@ class Known(dict):
             else:
                 ids = self.encoder.piece(self.lead + chunk)
         elif (m := WORD_AND_MARKS.fullmatch(chunk)) and m[1].isalpha():
-            ids = self[m[1]] + self.encoder.piece(m[2])
+            ids = self[m[1]] + self.encoder.marks[m[2]]
         else:
             ids = self.encoder.whole(self.lead + chunk)
         self[chunk] = ids
         return ids
 
 
+class Marks(dict):
+    """Ids of the marks behind words, which are few and come often."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self[marks] = self.encoder.piece(marks)
+        return ids
+
+
 class Encoder:
     """Exact ids of a byte-level BPE tokenizer of the tokenizers library, through a cache of space-separated chunks.
 
@@ -96,7 +109,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.first, self.rest = Known(self, ""), Known(self, " ")
+        self.first, self.rest, self.marks = Known(self, ""), Known(self, " "), Marks(self)
         self.first[""] = b""
 
     def whole(self, text: str) -> bytes:
@@ -113,7 +126,7 @@ class Encoder:
             return b""
         if not self.cached or ADJACENT.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if len(self.first) + len(self.rest) > self.entries:
+        if len(self.first) + len(self.rest) + len(self.marks) > self.entries:
             self.forget()
         first, rest = self.first, self.rest.__getitem__
         lines = []
@@ -126,6 +139,17 @@ class Encoder:
         return [self.one(t) for t in texts]
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str, changed: int, size: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file as it is now: a Python worker keeps the last one, with the chunks it knows, for its next tasks."""
+    told = os.stat(path)
+    return kept_encoder(path, told.st_mtime_ns, told.st_size)
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
@@ -167,7 +191,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     A shard ends once it holds ``shard_bytes``. The manifest is written before it is returned: the files are there.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, made, out, index = Encoder(tokenizer_path), TaskContext.get().partitionId(), [], None, b""
+        encode, part, made, out, index = encoder(tokenizer_path), TaskContext.get().partitionId(), [], None, b""
         end = end_id.to_bytes(encode.width, "little")
         store, root = filesystem(folder)
         run = uuid.uuid4().hex[:12]
@@ -256,7 +280,7 @@ def token_counts(tokenizer_path: str):
     """An Arrow UDF: number of ids of a text, without an end id; null counts as empty."""
 
     def make():
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         return lambda texts: [[len(x) // encode.width for x in encode(texts)]]
 
     return lambda text: text_udf({"n": "long"}, make)(text)["n"]
