@@ -250,6 +250,22 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)}
 
 
+def test_open_links_are_planned_in_steps(spark, monkeypatch):
+    """The driver holds the plan of one step at a time: none of them has many joins."""
+    r = random.Random(9)
+    common = words(r, 100)
+    docs = table(spark, [" ".join([*common, *words(r, 3)]) for _ in range(60)])
+    joins = {}
+
+    def counted(df, name, f=jaccard_join.materialise):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return f(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    assert jaccard_join.near_duplicates(docs).count() == 60
+    assert "more" in joins and max(joins.values()) <= 8, joins
+
+
 def test_encoder_is_exact():
     r = random.Random(4)
     e = tokens.Encoder(tokens.byte_bpe(), entries=40)

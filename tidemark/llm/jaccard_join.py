@@ -347,7 +347,10 @@ def alike(odds: int) -> str:
 
 
 def open_links(met: DataFrame, checked: DataFrame, strict: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between different components (``strict``: node, component) that large buckets may still hide."""
+    """Links between different components (``strict``: node, component) that large buckets may still hide.
+
+    Written down in steps: the driver plans a job anew after each of its stages, so one job of all steps takes its memory.
+    """
     large = met.where("large").select("token", "node", "n", "level", "l", band("n", percent).alias("band"))
     half = of_components(checked.where(alike(50)).select("a", "b"), strict)
     loose = connected_components(half).select(F.col("node").alias("component"), F.col("component").alias("loose"))
@@ -367,7 +370,7 @@ def open_links(met: DataFrame, checked: DataFrame, strict: DataFrame, texts: Dat
     pairs = pairs.where("one <= two and not (team_one is not null and team_one <=> team_two)").select("loose", "one", "two")
     left = pairs.join(placed, (pairs.loose == placed.loose) & (pairs.one == placed.block)).select(pairs.loose, "one", "two", F.lit(0).alias("side"), "node", "component")
     right = pairs.where("one < two").join(placed, (pairs.loose == placed.loose) & (pairs.two == placed.block)).select(pairs.loose, "one", "two", F.lit(1).alias("side"), "node", "component")
-    inside = compared(left.unionByName(right).join(texts, "node"), percent, size)
+    inside = materialise(compared(left.unionByName(right).join(texts, "node"), percent, size), "inside")
 
     # Across loose groups: pairs of groups that share a token in bands that fit, then the pairs of their nodes.
     where = large.join(named.select("node", "loose"), "node")
@@ -375,12 +378,12 @@ def open_links(met: DataFrame, checked: DataFrame, strict: DataFrame, texts: Dat
     where = materialise(where.join(mixed_tokens, "token", "left_semi"), "across")
     groups = where.select("token", "band", "loose").distinct()
     others = groups.select("token", F.col("band").alias("other_band"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("loose").alias("other"))
-    met_groups = groups.join(others, ["token", "band"]).where("loose <> other and (band <> other_band or loose < other)")
+    met_groups = materialise(groups.join(others, ["token", "band"]).where("loose <> other and (band <> other_band or loose < other)"), "groups")
     sides = met_groups.join(where, ["token", "band", "loose"]).select("token", "other_band", "other", F.col("node").alias("a"), "n", F.col("level").alias("la"), F.col("l").alias("l1"))
     sides = sides.join(where.select("token", F.col("band").alias("other_band"), F.col("loose").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("level").alias("lb"), F.col("l").alias("l2")), ["token", "other_band", "other"])
     many = sides.where(fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *meeting("la", "lb", "l1", "l2"))
     few = small_pairs(met, percent).join(many.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    across = counted(many.unionByName(few)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    across = materialise(counted(many.unionByName(few)).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     across = verified(across, texts, size).where(alike(percent))
     return inside.unionByName(across.select("a", "b"))
 
