@@ -24,3 +24,24 @@ def test_package_budgets(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "day string, id string, stage string, effect string, confidence string, requires array<string>, gate array<string>")
     assert checks.validate_operations(none, ["day"]).count() == 0
+
+
+SKILL = "---\nname: {}\ndescription: x\n{}---\nprofile text\n"
+
+
+def skill_files(spark):
+    rows = [
+        ("good", "SKILL.md", SKILL.format("good", "metadata:\n  size: 1\n")), ("good", "references/a.md", "x"), ("bare", "references/a/b.md", "x"), ("bare", "notes.txt", "x"), ("other", "SKILL.md", SKILL.format("name", "odd: x\n")),
+        ("deep", "SKILL.md", SKILL.format("deep", "  a: b\nnothing\n")), ("open", "SKILL.md", "---\nname: open\n"), ("twice", "SKILL.md", SKILL.format("wrong", "name: twice\n")), ("none", "SKILL.md", None),
+    ]
+    return spark.createDataFrame(rows, "package string, rel string, text string")
+
+
+def test_packages_need_no_join(spark):
+    """Rules come from the row of a file: no table of packages is joined, so none is ever broadcast. Of a repeated name the last counts."""
+    got = checks.validate_packages(skill_files(spark))
+    assert sorted((r["package"], r["rule"]) for r in got.collect()) == sorted([
+        ("bare", "no-skill-file"), ("bare", "reference-depth"), ("bare", "unexpected-entry"), ("other", "name-folder"), ("other", "unknown-key"), ("deep", "front-matter-no-parent"), ("deep", "front-matter-no-colon"),
+        ("open", "front-matter-not-closed"), ("none", "front-matter-no-opening"),
+    ])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -162,29 +162,28 @@ def validate_package(files: DataFrame, name: str, text: str) -> DataFrame:
 def validate_packages(files: DataFrame) -> DataFrame:
     """Violations of packages (package, rel, text), each with a SKILL.md: front matter, budgets, depth of references, entries.
 
-    Result: package, rule. Faults of the front matter come with their own names and stop the other tests of the file.
+    Result: package, rule. Faults of the front matter come with their own names and stop the other tests of the file; of a name that
+    it has twice, the last value counts. A file is tested within its row, and only three marks a package are brought together.
     """
-    from tidemark.sources.catalogues import front_matter
-
-    main = files.where("rel = 'SKILL.md'").select("package", "text")
-    absent = files.select("package").distinct().join(main, "package", "left_anti").select("package", F.lit("no-skill-file").alias("rule"))
-    entries, faults = front_matter(main, "package")
-    read = main.join(faults.select("package"), "package", "left_anti")
-    top = entries.where("parent is null").groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("front"))
-    told = read.join(top, "package", "left").withColumn("front", F.coalesce("front", F.create_map().cast("map<string,string>")))
+    from tidemark.sources.catalogues import front_lines
+
+    read = files.where("rel = 'SKILL.md'").select("package", "text", front_lines(F.col("text")).alias("front"))
     body = F.trim(F.regexp_replace("text", r"(?s)^---.*?\n[ \t]*---[ \t]*(?:\n|\z)", ""), F.lit(" \n\t\r"))
-    value = lambda k: F.coalesce(F.try_element_at("front", F.lit(k)), F.lit(""))
-    told = told.withColumn("body", body)
+    faults, top = F.filter("front", lambda x: x["fault"].isNotNull()), F.filter("front", lambda x: x["fault"].isNull() & x["parent"].isNull())
+    told = read.select("package", faults.alias("faults"), top.alias("top"), body.alias("body"))
+    value = lambda k: F.coalesce(F.try_element_at(F.filter("top", lambda x: x["name"] == k), F.lit(-1))["value"], F.lit(""))
     name, lines = value("name"), line_count(F.col("body"))
     tests = {
         "name-empty": name == "", "name-form": (name != "") & ~name.rlike(KEBAB), "name-length": F.length(name) > MOST_NAME, "name-folder": (name != "") & (name != F.col("package")), "description-empty": value("description") == "",
-        "description-length": F.length(value("description")) > MOST_DESCRIPTION, "compatibility-length": F.length(value("compatibility")) > MOST_COMPATIBILITY, "unknown-key": F.size(F.array_except(F.map_keys("front"), F.array(*map(F.lit, FRONT_KEYS)))) > 0,
+        "description-length": F.length(value("description")) > MOST_DESCRIPTION, "compatibility-length": F.length(value("compatibility")) > MOST_COMPATIBILITY, "unknown-key": F.exists("top", lambda x: ~x["name"].isin(*FRONT_KEYS)),
         "lines": lines > MOST_LINES, "tokens": token_estimate(F.col("body")) > MOST_TOKENS,
     }
-    out = told.select("package", F.explode(broken(tests)).alias("rule")).unionByName(absent).unionByName(faults.select("package", F.concat(F.lit("front-matter-"), "fault").alias("rule")))
-    deep = files.where("rel like 'references/%' and size(split(rel, '/')) > 2").select("package", F.lit("reference-depth").alias("rule"))
-    odd = files.where(~F.substring_index("rel", "/", 1).isin(*TOP_ENTRIES)).select("package", F.lit("unexpected-entry").alias("rule"))
-    return out.unionByName(deep.distinct()).unionByName(odd.distinct())
+    faulty = F.transform("faults", lambda x: F.concat(F.lit("front-matter-"), x["fault"]))
+    out = told.select("package", F.explode(F.when(F.size("faults") > 0, faulty).otherwise(broken(tests))).alias("rule"))
+    marks = {"no-skill-file": F.col("rel") != "SKILL.md", "reference-depth": F.expr("rel like 'references/%' and size(split(rel, '/')) > 2"), "unexpected-entry": ~F.substring_index("rel", "/", 1).isin(*TOP_ENTRIES)}
+    # A package has no skill file where no file is one; of the other rules, one file that breaks them is enough.
+    seen = files.groupBy("package").agg(*[(F.min if k == "no-skill-file" else F.max)(F.coalesce(m, F.lit(k == "no-skill-file"))).alias(k) for k, m in marks.items()])
+    return out.unionByName(seen.select("package", F.explode(F.array_compact(F.array(*[F.when(F.col(f"`{k}`"), F.lit(k)) for k in marks]))).alias("rule")))
 
 
 def validate_declaration(bodies: DataFrame, key: str, text: str) -> DataFrame:
