@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks
+from tidemark.sources.catalogues import front_matter
 
 
 def test_profiles(spark):
@@ -45,3 +46,14 @@ def test_packages_need_no_join(spark):
         ("open", "front-matter-not-closed"), ("none", "front-matter-no-opening"),
     ])
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_front_matter_needs_no_join(spark):
+    """Lines come from the row of a document: nothing is joined, shuffled or broadcast, and texts of one key don't mix."""
+    docs = [("a", "---\nx: 1\n# no\n\nm:\n  k: 'v'\nplain\n  l: w\nq: r\n  s: t\n---\nz: 1"), ("a", "---\n  odd: x\n ---"), ("b", "--- y\nx: 1"), ("c", None)]
+    entries, faults = front_matter(spark.createDataFrame(docs, "k string, text string"), "k")
+    assert sorted(map(tuple, entries.collect()), key=str) == sorted([("a", 2, None, "x", "1"), ("a", 5, None, "m", ""), ("a", 6, "m", "k", "v"), ("a", 8, "m", "l", "w"), ("a", 9, None, "q", "r")], key=str)
+    assert sorted(map(tuple, faults.collect())) == [("a", 2, "no-parent"), ("a", 7, "no-colon"), ("a", 10, "no-parent"), ("b", 1, "not-closed"), ("c", 1, "no-opening")]
+    for rows in (entries, faults):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
