@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_routing import CASES, resolved
 from tidemark.operators import checks, packages
+from tidemark.sources import packages as P
 from tidemark.sources.packages import PackageError, PackageWriter, Written, inside, read_packages, write_packages
 
 LINES = "package string, rel string, section int, at string, place long, line string"
@@ -132,3 +133,27 @@ def test_refusal_documents(spark, tmp_path):
     text = (tmp_path / "out" / "x" / "NOT-SUITABLE.md").read_text()
     assert "Source: `u`" in text and "- a\n- b\n" in text and "## Seen\n\n- c\n" in text
     assert "## Seen" not in (tmp_path / "out" / "y" / "NOT-SUITABLE.md").read_text()
+
+
+def test_every_name_comes_back(spark, tmp_path):
+    """No index of files is made on the driver, which would hold them all, leave out names that begin with _ or . and read + as a blank."""
+    rows = [("a", "b+c%20d.txt", "1"), ("a", "_x/.y/z", "2"), ("_p", "x y", "3"), ("é=1", "texts/ü.md", "4"), ("a", "texts/1", "\r"), ("a", "texts/2", "")]
+    write_packages(lines(spark, *rows), (tmp_path / "out").as_uri())
+    (tmp_path / "out" / ".hidden").mkdir()
+    (tmp_path / "out" / ".hidden" / "x").write_text("no package")
+    (tmp_path / "out" / "x").write_text("no package")
+    (tmp_path / "out" / "a" / "empty").write_text("")
+    (tmp_path / "out" / "a" / "odd").write_bytes(b"\xff")
+    got = read_packages(spark, (tmp_path / "out").as_uri())
+    assert sorted(map(tuple, got.where("rel not in ('empty', 'odd')").collect())) == sorted((p, rel, text + "\n") for p, rel, text in rows)
+    assert {r["rel"]: r["h"] for r in got.where("rel in ('empty', 'odd')").select("rel", F.hex("text").alias("h")).collect()} == {"empty": "", "odd": "FF"}
+    assert got.inputFiles() == [] and read_packages(spark, str(tmp_path / "out" / "a")).where("package not in ('_x', 'texts')").count() == 0
+    with pytest.raises(PackageError, match="share"):
+        read_packages(spark, "hdfs://there/out")
+
+
+def test_files_are_handed_on_in_bounded_batches():
+    files = [("p", str(i), b"x" * 1000) for i in range(50)] + [("p", "long", b"x" * 9000), ("p", "last", b"")]
+    got = list(P.batches(iter(files), P.TEXT, lambda r: len(r[2]), 4000))
+    assert [b.num_rows for b in got] == [4] * 12 + [3, 1] and [tuple(r.values()) for b in got for r in b.to_pylist()] == files
+    assert list(P.batches(iter(()), P.TEXT)) == []

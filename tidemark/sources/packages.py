@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -39,6 +40,13 @@ def inside(root: str, *parts: str) -> str:
     return path
 
 
+def local(root: str) -> str:
+    """The path of a root, which may be given as a URL of files."""
+    if "://" in root and not root.startswith("file://"):
+        raise PackageError(f"{root!r} is no folder that driver and executors share")
+    return os.path.abspath(root.removeprefix("file://"))
+
+
 def make_folders(top: str, path: str) -> None:
     """Make the folders of a path below ``top``, which must be there."""
     at = top
@@ -59,7 +67,7 @@ class PackageWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         """Rows of LINE, a package's together and in order; a file stays open until the next one's first line."""
-        folder, packages, last, out = os.path.join(self.staging, uuid.uuid4().hex), [], None, None
+        folder, packages, last, out, made = os.path.join(self.staging, uuid.uuid4().hex), [], None, None, None
         try:
             for r in iterator:
                 if last is None or r["package"] != last[0]:
@@ -73,7 +81,8 @@ class PackageWriter(DataSourceWriter):
                         out.close()
                     last = (r["package"], r["rel"])
                     path = inside(os.path.join(folder, r["package"]), r["rel"])
-                    make_folders(self.staging, os.path.dirname(path))
+                    if os.path.dirname(path) != made:
+                        make_folders(self.staging, made := os.path.dirname(path))
                     out = open(path, "x", encoding="utf-8", newline="\n")  # noqa: SIM115
                 out.write(r["line"] + "\n")
         finally:
@@ -130,15 +139,70 @@ def write_packages(lines: DataFrame, root: str, refused: DataFrame | None = None
     """
     if refused is not None and (found := refused.limit(10).collect()):
         raise PackageError(f"refused: {[tuple(r) for r in found]}")
-    os.makedirs(root.removeprefix("file://"), exist_ok=True)
+    os.makedirs(local(root), exist_ok=True)
     lines.sparkSession.dataSource.register(PackageSink)
     dealt = lines.repartition(parts, "package") if parts else lines.repartition("package")
     typed = dealt.select("package", "rel", F.col("section").cast("int").alias("section"), "at", F.col("place").cast("long").alias("place"), "line")
-    typed.sortWithinPartitions(*LINE).write.format("packages").mode("append").save(root.removeprefix("file://"))
+    typed.sortWithinPartitions(*LINE).write.format("packages").mode("append").save(local(root))
+
+
+def entries(folder: str) -> Iterator[os.DirEntry]:
+    """What a folder holds, one at a time: no list of it is kept."""
+    with os.scandir(folder) as found:
+        yield from found
+
+
+def batches(rows: Iterator[tuple], schema: pa.Schema, size=lambda row: 1, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows as batches, each ended by the row that brings it to ``most``."""
+    kept, n = [], 0
+    for r in rows:
+        kept.append(r)
+        n += size(r)
+        if n >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
+            kept, n = [], 0
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
+
+
+PACKAGE = pa.schema([("package", pa.string())])
+FILE = pa.schema([*PACKAGE, ("rel", pa.string())])
+TEXT = pa.schema([*FILE, ("text", pa.binary())])
+#: Bytes of files that are handed on together; a longer file goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def packages_in(root: str) -> Iterator[tuple[str]]:
+    return ((e.name,) for e in entries(root) if not e.name.startswith(".") and e.is_dir())
+
+
+def files_in(root: str, package: str) -> Iterator[tuple[str, str]]:
+    """The files of a package at any depth; of folders only those still to be looked into are kept."""
+    top, left = os.path.join(root, package), [""]
+    while left:
+        at = left.pop()
+        for e in entries(os.path.join(top, at)):
+            if e.is_dir():
+                left.append(os.path.join(at, e.name))
+            elif e.is_file():
+                yield package, os.path.join(at, e.name)
+
+
+def content(root: str, package: str, rel: str) -> tuple[str, str, bytes]:
+    with open(os.path.join(root, package, rel), "rb") as f:
+        return package, rel, f.read()
 
 
 def read_packages(spark: SparkSession, root: str) -> DataFrame:
-    """package, rel and text of the files below a root."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select("*", F.col("_metadata.file_path").alias("path"))
-    within = F.regexp_extract(F.url_decode("path"), rf"/{os.path.basename(root.rstrip('/'))}/([^/]+)/(.+)$", 1), F.regexp_extract(F.url_decode("path"), rf"/{os.path.basename(root.rstrip('/'))}/([^/]+)/(.+)$", 2)
-    return rows.select(within[0].alias("package"), within[1].alias("rel"), F.col("value").alias("text"))
+    """package, rel and text of the files below a root, a folder that driver and executors share.
+
+    The driver lists nothing: one task streams the names of the packages, those are dealt to tasks that stream the names of their
+    files, and these, whatever package they are of, to tasks that read them. So no memory grows with the number of files.
+    """
+    top, parts = local(root), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = lambda batch: zip(*(c.to_pylist() for c in batch.columns))
+    names = spark.range(0, 1, 1, 1).mapInArrow(lambda given: (b for _ in given for b in batches(packages_in(top), PACKAGE)), "package string")
+    below = lambda given: batches((f for b in given for (p,) in told(b) for f in files_in(top, p)), FILE)
+    texts = lambda given: batches((content(top, p, rel) for b in given for p, rel in told(b)), TEXT, lambda r: len(r[2]) + 1024, BATCH_BYTES)
+    files = names.repartition(parts, "package").mapInArrow(below, "package string, rel string").repartition(parts, "package", "rel")
+    return files.mapInArrow(texts, "package string, rel string, text binary").withColumn("text", F.col("text").cast("string"))
