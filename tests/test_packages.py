@@ -1,6 +1,7 @@
 """The package sink: all or nothing, refusals, paths; and what a package says."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,11 @@ def test_files_are_handed_on_in_bounded_batches():
     got = list(P.batches(iter(files), P.TEXT, lambda r: len(r[2]), 4000))
     assert [b.num_rows for b in got] == [4] * 12 + [3, 1] and [tuple(r.values()) for b in got for r in b.to_pylist()] == files
     assert list(P.batches(iter(()), P.TEXT)) == []
+
+
+def test_a_commit_of_many_packages(tmp_path):
+    """Its time grows with the packages, not with their square."""
+    names, began = [f"p{i}" for i in range(60_000)], time.monotonic()
+    with pytest.raises(PackageError, match=r"come twice: \['p7'\]"):
+        PackageWriter(str(tmp_path)).commit([Written("x", names), Written("y", ["p7"])])
+    assert time.monotonic() - began < 10

@@ -13,6 +13,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,20 +92,23 @@ class PackageWriter(DataSourceWriter):
         return Written(folder, packages)
 
     def commit(self, messages: list[Written | None]) -> None:
-        moves = [(os.path.join(m.folder, p), os.path.join(self.root, p)) for m in messages if m for p in m.packages]
-        targets = [t for _, t in moves]
-        taken = sorted({os.path.basename(t) for t in targets if occupied(t)} | {os.path.basename(t) for t in targets if targets.count(t) > 1})
-        done: list[tuple[str, str]] = []
+        moves = lambda: ((os.path.join(m.folder, p), os.path.join(self.root, p)) for m in messages if m for p in m.packages)
+        seen, taken, done = set(), set(), 0
         try:
+            for _, target in moves():
+                name = os.path.basename(target)
+                if name in seen or occupied(target):
+                    taken.add(name)
+                seen.add(name)
             if taken:
-                raise PackageError(f"folders of packages aren't empty or come twice: {taken[:10]}")
-            for source, target in moves:
+                raise PackageError(f"folders of packages aren't empty or come twice: {sorted(taken)[:10]}")
+            for source, target in moves():
                 if os.path.isdir(target):
                     os.rmdir(target)
                 os.rename(source, target)
-                done.append((source, target))
+                done += 1
         except BaseException:
-            for source, target in reversed(done):
+            for source, target in reversed(list(islice(moves(), done))):
                 os.rename(target, source)
             raise
         finally:
