@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans.request_queries import st_serve
 from tidemark.streaming import requests as R
 from tidemark.streaming.incremental import run_available
 
@@ -79,3 +80,18 @@ def test_a_replay_with_a_restart_is_the_table(spark, tools, tmp_path, strict):
     columns = [c.split()[0] for c in R.ANSWER.split(", ")]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
     assert want.where(F.col("code") == R.NOT_OPENED).count() == (0 if not strict else want.where("not opened and code = -32002").count()) and got.count() > 40
+
+
+def test_the_list_is_made_for_results_alone(spark, data, tools):
+    """All tools in one value are as long as the tools are many; who reads no result, as the query, never makes or broadcasts it."""
+    lines = ['{"id": 1, "method": "initialize"}', CALL % "draw-card", '{"id": 2, "method": "tools/list"}', CALL % "none", '{"id": 3, "method": "ping"}']
+    rows = [("a", i, x) for i, x in enumerate(lines)] + [("b", 0, CALL % "draw-card"), ("b", 1, '{"id": 2, "method": "tools/list"}')]
+    got = R.answers(spark.createDataFrame(rows, REQUESTS), tools, strict=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan(got) and "scalar-subquery" not in plan(got.drop("result"))
+    for df in (got.drop("result"), st_serve(spark, data)):
+        assert "collect_list" not in plan(df) and "listed" not in plan(df)
+    result = {(r["session"], r["place"]): (r["result"] and json.loads(r["result"]), r["text"]) for r in got.collect()}
+    assert [len(result[k][0]["tools"]) for k in (("a", 2), ("b", 1))] == [2, 2]
+    assert result["a", 1][1] == result["a", 1][0]["content"][0]["text"] and all(v[1] is None for k, v in result.items() if k != ("a", 1))
+    assert result["a", 4][0] == {} and result["a", 3][0] is None and result["b", 0][0] is None
